@@ -44,4 +44,38 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (key in (from gone))
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (key not in (from gone)), '')) as kept_sha256
 from keyed group by doc_id"""
 
-ALL = {"op1_mixing": OP1, "op3_line_dedup": OP3}
+
+def _decoded(text: str) -> str:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{char}')"
+    return text
+
+
+_SKIPPED = "(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<head\\b[^>]*>.*?</head\\s*>"
+_BREAKS = "(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|title|blockquote|pre)\\b[^>]*>"
+_TEXT = f"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{_SKIPPED}', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), '{_BREAKS}', chr(10), 'g')"
+_TEXT = f"regexp_replace(regexp_replace({_decoded(f"regexp_replace({_TEXT}, '<[^>]*>', '', 'g')")}, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+_TITLE = _decoded("regexp_extract(coalesce(html, ''), '(?is)<title\\b[^>]*>(.*?)</title', 1)")
+
+
+def _urn(text: str) -> str:
+    h = f"md5({text})"
+    cuts = " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || {cuts} || '>'"
+
+
+OP8 = f"""
+with src as (select page_id, coalesce(url, '') as target_uri, coalesce(html, '') as payload,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) as source_headers,
+    trim({_TEXT}, ' ' || chr(10)) as text, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) as title,
+    len(regexp_extract_all(coalesce(html, ''), '(?i)<a\\b[^>]*\\bhref\\s*=')) as n_links from pages),
+resp as (select *, 'sha256:' || sha256(payload) as source_digest,
+    {_urn("'response' || chr(10) || coalesce(page_id::varchar, '') || chr(10) || target_uri || chr(10) || sha256(payload)")} as refers_to from src),
+rec as (
+  select *, 'metadata' as record_type, 'application/warc-fields' as content_type, 'title: ' || title || chr(13) || chr(10) || 'links: ' || n_links || chr(13) || chr(10)
+    || 'source-payload-digest: ' || source_digest || chr(13) || chr(10) || 'source-' || replace(source_headers, chr(13) || chr(10), chr(13) || chr(10) || 'source-') || chr(13) || chr(10) as block from resp
+  union all select *, 'conversion', 'text/plain', text from resp)
+select page_id, record_type, {_urn("record_type || chr(10) || refers_to")} as record_id, refers_to, target_uri, content_type, strlen(block)::bigint as content_length,
+  'sha256:' || sha256(block) as block_digest, source_digest, source_headers, block from rec"""
+
+ALL = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op8_warc_derivatives": OP8}

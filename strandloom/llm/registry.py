@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .common import read_table
+from .licenses import license_scan
 from .line_dedup import line_dedup
 from .mixing import mix
+from .quality import quality_rules
+from .secrets import secret_scan, spans_text
+from .warc import derivatives, responses
 
 
 #: Integer weights of the mixture of op1 and of the pipeline's last stage; nodes not named get 1.
@@ -35,10 +39,36 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(read_table(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return out.select("doc_id", *counts, "base_failed", "kept")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_line_dedup)}
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(read_table(spark, sf_dir, "documents"))
+    kinds = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *kinds, F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("found").alias("spans"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan(read_table(spark, sf_dir, "documents"))
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return out.withColumns(joined).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = derivatives(responses(read_table(spark, sf_dir, "pages")))
+    return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "source_digest", "source_headers", "block")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_quality_rules, op3_line_dedup, op4_secret_scan, op7_license_scan, op8_warc_derivatives)
+}
 ORACLES = {k: v for k, v in oracles.ALL.items() if k in QUERIES}
