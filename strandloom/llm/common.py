@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import string
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 _own_folders: dict[str, str] = {}
 
 
+def ship(*modules: str) -> None:
+    """Sends functions of these modules to executors by value, so that the package need not be installed there."""
+    for name in modules:
+        cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

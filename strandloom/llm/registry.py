@@ -12,6 +12,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .quality import quality_rules
 from .secrets import secret_scan, spans_text
+from .simhash import near_duplicates
 from .warc import derivatives, responses
 
 
@@ -56,6 +57,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *kinds, F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("found").alias("spans"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(read_table(spark, sf_dir, "documents"), n_words=3, radius=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan(read_table(spark, sf_dir, "documents"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
@@ -69,6 +75,6 @@ def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_quality_rules, op3_line_dedup, op4_secret_scan, op7_license_scan, op8_warc_derivatives)
+    for f in (op1_mixing, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_simhash, op7_license_scan, op8_warc_derivatives)
 }
 ORACLES = {k: v for k, v in oracles.ALL.items() if k in QUERIES}
