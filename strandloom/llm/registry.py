@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .common import read_table
+from .decontaminate import benchmark_matches
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .mixing import mix
+from .pii import pseudonymize
 from .quality import quality_rules
 from .secrets import secret_scan, spans_text
 from .simhash import near_duplicates
@@ -73,8 +75,17 @@ def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "source_digest", "source_headers", "block")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymize(docs, key=b"a key that a user of the operator keeps secret")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_simhash, op7_license_scan, op8_warc_derivatives)
+    for f in (op1_mixing, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_simhash, op7_license_scan, op8_warc_derivatives, op9_decontamination, op10_pii_pseudonyms)
 }
 ORACLES = {k: v for k, v in oracles.ALL.items() if k in QUERIES}
