@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import read_table
 from .decontaminate import benchmark_matches
+from .langid import identify
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .mixing import mix
@@ -64,6 +65,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def learnable(docs: DataFrame) -> DataFrame:
+    """Documents that language identification may learn from; held out are those whose remainder is 1."""
+    return docs.filter((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull())
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    out = identify(docs.select("doc_id", "text"), learnable(docs))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan(read_table(spark, sf_dir, "documents"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
@@ -86,6 +99,6 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_simhash, op7_license_scan, op8_warc_derivatives, op9_decontamination, op10_pii_pseudonyms)
+    for f in (op1_mixing, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_simhash, op6_language_id, op7_license_scan, op8_warc_derivatives, op9_decontamination, op10_pii_pseudonyms)
 }
 ORACLES = {k: v for k, v in oracles.ALL.items() if k in QUERIES}
