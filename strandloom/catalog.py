@@ -1,4 +1,12 @@
 """Queries over the given tables, one for each operator, and the SQL that they are checked against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from importlib import import_module
+
+from strandloom.queries.registry import ORACLES, QUERIES
+
+for _name in ("intervals",):
+    import_module(f"strandloom.queries.{_name}")
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-
+"""Whole analyses made of operators."""
