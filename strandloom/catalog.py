@@ -6,7 +6,7 @@ from importlib import import_module
 
 from strandloom.queries.registry import ORACLES, QUERIES
 
-for _name in ("intervals",):
+for _name in ("intervals", "scalars", "series"):
     import_module(f"strandloom.queries.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
