@@ -6,7 +6,7 @@ from importlib import import_module
 
 from strandloom.queries.registry import ORACLES, QUERIES
 
-for _name in ("intervals", "scalars", "series", "arrays", "joins", "aggregates"):
+for _name in ("intervals", "scalars", "series", "arrays", "joins", "aggregates", "stats", "kmers", "calling", "sampling", "sources"):
     import_module(f"strandloom.queries.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

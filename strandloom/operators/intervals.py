@@ -105,11 +105,10 @@ def nearest_self(pts: DataFrame, key: str) -> DataFrame:
 
 def track_at(points: DataFrame, track: DataFrame, bin_width: int = BIN) -> DataFrame:
     """Points (chrom, pos, ...) with the value of the track's run that holds them, null if none does."""
-    right = _binned(track, bin_width).select("chrom", "__bin", F.col("s").alias("__s"), F.col("e").alias("__e"), "value")
+    right = _binned(track, bin_width).select(F.col("chrom").alias("__c"), F.col("__bin").alias("__b"), F.col("s").alias("__s"), F.col("e").alias("__e"), F.col("value").alias("__v"))
     left = points.withColumn("__bin", F.expr(f"pos div {bin_width}"))
-    cond = [left["chrom"] == right["chrom"], left["__bin"] == right["__bin"], left["pos"] >= right["__s"], left["pos"] <= right["__e"]]
-    joined = left.join(right, cond, "left")
-    return joined.select(*[left[c] for c in points.columns], right["value"])
+    cond = (F.col("chrom") == F.col("__c")) & (F.col("__bin") == F.col("__b")) & F.col("pos").between(F.col("__s"), F.col("__e"))
+    return left.join(right, cond, "left").select(*points.columns, F.col("__v").alias("value"))
 
 
 def lift_coords(points: DataFrame, blocks: DataFrame) -> DataFrame:

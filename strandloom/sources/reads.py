@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import columns as c
@@ -27,12 +27,16 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
     calls = calls.select("file", *[v.alias(k) for k, v in c.parse_header("head").items()], F.trim("body").alias("seq"))
     ratios = _records(spark, path, "*.fa_ratio*").withColumns({"kind": F.regexp_extract("file", r"(_ratio(?:_B)?)$", 1), "file": F.regexp_replace("file", r"_ratio(_B)?$", "")})
     name = c.parse_header("head")["read"]
-    values = F.transform(F.split(F.trim("body"), " +"), lambda x: F.nanvl(x.try_cast("double"), F.lit(None).cast("double")))
-    ratios = ratios.select("file", name.alias("read"), "kind", values.alias("ratio"))
+    ratios = ratios.select("file", name.alias("read"), "kind", ratio_values("body").alias("ratio"))
     ratios = ratios.filter("kind != ''").groupBy("file", "read").agg(F.min_by("ratio", "kind").alias("ratio"))
     return calls.join(ratios, ["file", "read"], "left")
 
 
+def ratio_values(line) -> Column:
+    """Numbers separated by spaces as an array, null for nan."""
+    return F.transform(F.split(F.trim(line), " +"), lambda x: F.when(x != "nan", x.try_cast("double")))
+
+
 def call_lines(df: DataFrame) -> DataFrame:
     """Text records of called sequences: value is two lines."""
     head = F.format_string(">%s {'mapped_chrom': '%s', 'mapped_strand': '%s', 'mapped_start': %d, 'mapped_end': %d}", "read", "chrom", "strand", "start", "end")
