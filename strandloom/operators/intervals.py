@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import neighbour, running
+from .ordered import along, neighbour, running
 
 BIN = 10_000
 
@@ -22,8 +22,7 @@ def coverage(iv: DataFrame, weights: dict[str, Column] | None = None, keys: list
     ends = [(-c).cast("long").alias(n) for n, c in weights.items()]
     steps = iv.select(*keys, F.col("s").alias("pos"), *w).unionAll(iv.select(*keys, (F.col("e") + 1).alias("pos"), *ends))
     at = steps.groupBy(*keys, "pos").agg(*[F.sum(n).alias(n) for n in weights])
-    at = neighbour(at, keys, "pos", [], {"next": "pos"}, ahead=True)
-    runs = running(at, keys, "pos", [], {f"__{n}": ("sum", n) for n in weights})
+    runs = along(at, keys, "pos", [], {f"__{n}": ("sum", n) for n in weights}, after={"next": "pos"})
     runs = runs.filter("next is not null")
     return runs.select(*keys, F.col("pos").alias("s"), (F.col("next") - 1).alias("e"), *[F.col(f"__{n}").alias(n) for n in weights])
 
@@ -97,8 +96,7 @@ def nearest(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def nearest_self(pts: DataFrame, key: str) -> DataFrame:
     """Points (chrom, pos) with the distance to the closest other point of their chromosome."""
-    df = neighbour(pts, ["chrom"], "pos", [key], {"__p": "pos"})
-    df = neighbour(df, ["chrom"], "pos", [key], {"__n": "pos"}, ahead=True)
+    df = along(pts, ["chrom"], "pos", [key], before={"__p": "pos"}, after={"__n": "pos"})
     back, ahead = F.col("pos") - F.col("__p") - 1, F.col("__n") - F.col("pos") - 1
     return df.withColumn("distance", F.greatest(F.least(back, ahead), F.lit(0))).drop("__p", "__n")
 

@@ -19,40 +19,47 @@ def _both(kind: str, a: Column, b: Column) -> Column:
     return (F.greatest if kind == "max" else F.least)(a, b)
 
 
-def running(
-    df: DataFrame, part: list[str], pos: str, order: list[str], specs: dict[str, tuple[str, str]], back: bool = False,
-    strict: bool = False, width: int = WIDTH,
+def along(
+    df: DataFrame, part: list[str], pos: str, order: list[str], sums: dict[str, tuple[str, str]] | None = None,
+    before: dict[str, str] | None = None, after: dict[str, str] | None = None, back: bool = False, strict: bool = False, width: int = WIDTH,
 ) -> DataFrame:
-    """Adds, for each out: (kind, column) in specs, the running sum, max or min of column along pos within part.
+    """Adds running aggregates and neighbours' values along pos within part, in one pass over the bins.
 
-    order breaks ties of pos. back runs from the end; strict leaves the row itself out (null or 0 for the first).
+    sums: out: (sum, max or min, column), from the start (back: from the end) up to the row, or with strict up to the one
+    before. before and after: out: column, the value in the row before and after, null at the ends. order breaks ties of pos.
     """
+    sums, before, after = sums or {}, before or {}, after or {}
     turn = (lambda c: F.col(c).desc()) if back else (lambda c: F.col(c).asc())
     df = df.withColumn("__bin", F.expr(f"{pos} div {width}"))
-    last = -1 if strict else 0
-    inside = Window.partitionBy(*part, "__bin").orderBy(*[turn(c) for c in [pos, *order]]).rowsBetween(Window.unboundedPreceding, last)
-    before = Window.partitionBy(*part).orderBy(turn("__bin")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*part, "__bin").agg(*[_AGG[k](c).alias(f"__t_{out}") for out, (k, c) in specs.items()])
-    carried = totals.select(*part, "__bin", *[_AGG[k](f"__t_{out}").over(before).alias(f"__c_{out}") for out, (k, _) in specs.items()])
-    df = df.withColumns({f"__i_{out}": _AGG[k](c).over(inside) for out, (k, c) in specs.items()})
-    df = df.join(carried, [*part, "__bin"])
-    df = df.withColumns({out: _both(k, F.col(f"__i_{out}"), F.col(f"__c_{out}")) for out, (k, _) in specs.items()})
-    return df.drop("__bin", *[f"__{x}_{out}" for out in specs for x in "ic"])
-
-
-def neighbour(
-    df: DataFrame, part: list[str], pos: str, order: list[str], columns: dict[str, str], ahead: bool = False, width: int = WIDTH
-) -> DataFrame:
-    """Adds, for each out: column in columns, the column's value in the row before (ahead: after) along pos within part."""
-    df = df.withColumn("__bin", F.expr(f"{pos} div {width}"))
-    at = F.struct(pos, *order)
-    inside = Window.partitionBy(*part, "__bin").orderBy(pos, *order)
-    over = Window.partitionBy(*part).orderBy("__bin")
-    edge = (F.min_by if ahead else F.max_by)(F.struct(*[F.col(c).alias(out) for out, c in columns.items()]), at)
-    step = F.lead if ahead else F.lag
-    edges = df.groupBy(*part, "__bin").agg(edge.alias("__edge"))
-    edges = edges.select(*part, "__bin", step("__edge").over(over).alias("__edge"))
-    df = df.withColumns({"__first": step(F.lit(1)).over(inside), **{out: step(c).over(inside) for out, c in columns.items()}})
-    df = df.join(edges, [*part, "__bin"])
-    df = df.withColumns({out: F.when(F.col("__first").isNull(), F.col(f"__edge.{out}")).otherwise(F.col(out)) for out in columns})
-    return df.drop("__bin", "__first", "__edge")
+    by, at = [*part, "__bin"], F.struct(pos, *order)
+    struct = lambda columns: F.struct(*[F.col(c).alias(out) for out, c in columns.items()])
+    edges = [_AGG[k](c).alias(f"__t_{out}") for out, (k, c) in sums.items()]
+    edges += [F.max_by(struct(before), at).alias("__last")] * bool(before) + [F.min_by(struct(after), at).alias("__next")] * bool(after)
+    bins = Window.partitionBy(*part).orderBy("__bin")
+    earlier = Window.partitionBy(*part).orderBy(turn("__bin")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = [_AGG[k](f"__t_{out}").over(earlier).alias(f"__c_{out}") for out, (k, _) in sums.items()]
+    carried += [F.lag("__last").over(bins).alias("__last")] * bool(before) + [F.lead("__next").over(bins).alias("__next")] * bool(after)
+    carried = df.groupBy(*by).agg(*edges).select(*by, *carried)
+    inside = Window.partitionBy(*by).orderBy(pos, *order)
+    run = Window.partitionBy(*by).orderBy(*[turn(c) for c in [pos, *order]]).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    new = {f"__i_{out}": _AGG[k](c).over(run) for out, (k, c) in sums.items()}
+    if before:
+        new["__before"] = F.lag(struct(before)).over(inside)
+    if after:
+        new["__after"] = F.lead(struct(after)).over(inside)
+    df = df.withColumns(new).join(carried, by)
+    out = {out: _both(k, F.col(f"__i_{out}"), F.col(f"__c_{out}")) for out, (k, _) in sums.items()}
+    out |= {o: F.coalesce("__before", "__last")[o] for o in before} | {o: F.coalesce("__after", "__next")[o] for o in after}
+    df = df.withColumns(out)
+    extra = [f"__{x}_{o}" for o in sums for x in "ic"] + ["__before", "__last"] * bool(before) + ["__after", "__next"] * bool(after)
+    return df.drop("__bin", *extra)
+
+
+def running(df: DataFrame, part: list[str], pos: str, order: list[str], specs: dict[str, tuple[str, str]], **how) -> DataFrame:
+    """along() with running aggregates only."""
+    return along(df, part, pos, order, sums=specs, **how)
+
+
+def neighbour(df: DataFrame, part: list[str], pos: str, order: list[str], columns: dict[str, str], ahead: bool = False, width: int = WIDTH) -> DataFrame:
+    """along() with the values of the row before, or after, only."""
+    return along(df, part, pos, order, **{"after" if ahead else "before": columns}, width=width)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.sources.storage import stored
+
 from . import intervals as iv
-from .ordered import neighbour, running
+from .ordered import along
 
 
 def weighted_ranks(df: DataFrame, by: list[str], value: str, weight: str, out: str) -> DataFrame:
@@ -53,8 +55,8 @@ def common_breakpoints(tracks: dict[str, DataFrame]) -> DataFrame:
         both = t.select("chrom", F.explode(F.array(begin, end)).alias(name)).select("chrom", F.col(f"{name}.at").alias("s"), name)
         changes = both if changes is None else changes.unionByName(both, allowMissingColumns=True)
     at = changes.groupBy("chrom", "s").agg(*[F.max(n).alias(n) for n in tracks])
-    at = neighbour(at, ["chrom"], "s", [], {"__n": "s"}, ahead=True)
-    at = running(at, ["chrom"], "s", [], {f"__{n}": ("max", n) for n in tracks}).filter("__n is not null")
+    at = stored(at, "breakpoints")
+    at = along(at, ["chrom"], "s", [], {f"__{n}": ("max", n) for n in tracks}, after={"__n": "s"}).filter("__n is not null")
     return at.select("chrom", "s", (F.col("__n") - 1).alias("e"), *[F.col(f"__{n}.v").alias(n) for n in tracks])
 
 
@@ -64,6 +66,9 @@ def corr_matrix(tracks: dict[str, DataFrame]) -> DataFrame:
     names = list(tracks)
     pairs = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(x).alias("x"), F.col(y).alias("y")) for i, x in enumerate(names) for y in names[i + 1 :]]
     long = runs.select("__w", F.explode(F.array(*pairs)).alias("p")).select("__w", "p.*")
+    # equal pairs of values weigh together, which leaves few rows to rank
+    long = long.filter("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.sum("__w").alias("__w"))
+    long = stored(long, "track-pairs")
     return spearman(long, "x", "y", "__w", ["a", "b"])
 
 
