@@ -121,6 +121,7 @@ def containment_join(blocks: DataFrame, templates: dict[str, str], share: float)
     members = "array(" + ", ".join(_sql_array(words) for _, words in sets) + ")"
     common = F.expr(f"size(array_intersect(words, get({members}, template)))")
     met = met.withColumn("__common", common).filter(F.col("__common") >= F.col("need"))
+    met = met.dropDuplicates([*keys, "words", "template"])  # a pair meets at each word that it shares
     label = F.expr(f"get({_sql_array(label for label, _ in sets)}, template)")
     return met.select(*keys, label.alias("label"), (F.col("__common") / F.col("t_size")).alias("score"))
 

@@ -58,18 +58,21 @@ def bigram_counts(tokens: DataFrame) -> DataFrame:
     return pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
 
-def log_ratios(random: DataFrame, ordinary: DataFrame, weight: float = 1.0) -> list[float]:
+def log_ratios(random: DataFrame, ordinary: DataFrame, weight: float = 20.0) -> list[float]:
     """log P(second | first) under the random model less that under the ordinary one, first by first.
 
-    Both models add weight to every pair. The counts that come here are of pairs of the alphabet: 67 x 67 at most.
+    Each model counts a pair weight times the share of its second character among all seconds beforehand, so that pairs
+    after a rare character follow the model's mix of characters. The counts that come here are of pairs of the alphabet: 67 x 67 at most.
     """
     n, at = len(ALPHABET), {c: i for i, c in enumerate(ALPHABET)}
     logs = []
     for counts in (random, ordinary):
-        table = [[weight] * n for _ in range(n)]
+        table = [[0.0] * n for _ in range(n)]
         for pair, count in counts.collect():
             table[at[pair[0]]][at[pair[1]]] += count
-        logs.append([math.log(x / sum(row)) for row in table for x in row])
+        total = sum(map(sum, table)) + n
+        mix = [(sum(row[j] for row in table) + 1) / total for j in range(n)]
+        logs.append([math.log((x + weight * mix[j]) / (sum(row) + weight)) for row in table for j, x in enumerate(row)])
     return [a - b for a, b in zip(*logs, strict=True)]
 
 
@@ -78,15 +81,15 @@ def _doubles(values: list) -> str:
 
 
 def secret_scan(
-    docs: DataFrame, min_ratio: float = 16.0, min_token: int = 16, sample_docs: int = 2000, min_word: int = 8
+    docs: DataFrame, min_ratio: float = 16.0, min_token: int = 16, sample_docs: int = 2000, min_word: int = 8, min_shared: int = 3
 ) -> DataFrame:
     """One row for each document: doc_id, base and found, both arrays of spans struct<start, rank, end, kind>.
 
     base holds the matches of PATTERNS (of assign those whose value has MIN_ASSIGNED characters), found also tokens of
-    min_token characters or more of the alphabet whose log-likelihood ratio is min_ratio or more, under the kind
+    min_token characters or more of the alphabet, a letter and a digit among them, whose log-likelihood ratio is min_ratio or more, under the kind
     markov. Places are in code points. The random model learns from the values of all matches of the patterns, the
     ordinary one from tokens of min_word characters and more in about sample_docs documents, chosen by a hash of id
-    and text, without what the patterns find in them. Null texts are empty; empty texts have no spans. Rows that repeat
+    and text, without what the patterns find in them, that min_shared of these documents have: random strings don't recur. Null texts are empty; empty texts have no spans. Rows that repeat
     a document each come back. Other columns of docs are not used.
     """
     spark: SparkSession = docs.sparkSession
@@ -98,7 +101,9 @@ def secret_scan(
     clean = F.coalesce("text", F.lit(""))
     for pattern in PATTERNS.values():
         clean = F.regexp_replace(clean, pattern, " ")
-    ordinary = bigram_counts(sample.select(F.explode(F.regexp_extract_all(clean, F.lit(TOKEN % min_word), F.lit(0))).alias("token")))
+    tokens = sample.select(F.explode(F.array_distinct(F.regexp_extract_all(clean, F.lit(TOKEN % min_word), F.lit(0)))).alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_shared)
+    ordinary = bigram_counts(shared)
     ratios = log_ratios(random, ordinary)
     codes = [0] * 128
     for i, c in enumerate(ALPHABET):
@@ -107,7 +112,7 @@ def secret_scan(
     at = f"get({code}, ascii(substring(x.value, %s, 1)))"
     llr = f"aggregate(sequence(1, length(x.value) - 1), 0D, (a, i) -> a + get({_doubles(ratios)}, {at % 'i'} * {len(ALPHABET)} + {at % 'i + 1'}))"
     rank = len(PATTERNS)
-    markov = f"transform(filter(tokens, x -> {llr} >= {min_ratio}), x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, 'kind', 'markov'))"
+    markov = f"transform(filter(tokens, x -> x.value rlike '[A-Za-z]' and x.value rlike '[0-9]' and {llr} >= {min_ratio}), x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, 'kind', 'markov'))"
     return scanned.select("doc_id", "base", F.expr(f"sort_array(concat(base, cast({markov} as {SPAN})))").alias("found"))
 
 
