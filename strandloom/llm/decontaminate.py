@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-grams of test items as seeds, then local alignment.
 
-A first pass counts in how many documents each n-gram of the items stands. Of every few neighbouring n-grams of an
-item the rarest become seeds, however frequent they are, so that each part of each item has some. A second pass
+A first pass counts in how many documents each n-gram of the items stands. The rare ones become seeds, and of every few
+neighbouring n-grams of an item the rarest, however frequent they are, so that each part of each item has some. A second pass
 looks the seeds up in the documents and aligns the item with the words around each hit by Smith-Waterman. Texts
 stay where they are read; only counts and matches are shuffled. Items are dealt in blocks of bounded size, and a pass
 goes over all documents for each block.
@@ -80,15 +80,26 @@ def _counts(items: Items):
     return run
 
 
-def choose_seeds(items: Items, docs_with: dict[int, int], window: int = 8, take: int = 3) -> dict[int, list[tuple[int, int]]]:
-    """code -> [(item, place)]: the take rarest n-grams of each window of an item, ties by place."""
+def choose_seeds(items: Items, docs_with: dict[int, int], rare: int = 1000, window: int = 8, take: int = 3) -> dict[int, list[tuple[int, int]]]:
+    """code -> [(item, place)]: the rare n-grams of each item, and of each window of it the take rarest that occur at all.
+
+    Rare are n-grams of rare documents or fewer, or of four times as many as the first quartile of the item's own: an item copied
+    to many documents keeps all n-grams but those that are common without it. Ties go by place.
+    """
     seeds: dict[int, set[tuple[int, int]]] = defaultdict(set)
     for k, item in enumerate(items.items):
         codes = items.codes(item).tolist()
+        n = [docs_with.get(c, 0) for c in codes]
+        found = sorted(x for x in n if x)
+        if not found:
+            continue
+        limit = max(rare, 4 * found[len(found) // 4])
+        chosen = {p for p, x in enumerate(n) if 0 < x <= limit}
         for a in range(0, len(codes), window // 2):
-            places = range(a, min(a + window, len(codes)))
-            for p in sorted(places, key=lambda p: (docs_with.get(codes[p], 0), p))[:take]:
-                seeds[codes[p]].add((k, p))
+            places = [p for p in range(a, min(a + window, len(codes))) if n[p]]
+            chosen |= set(sorted(places, key=lambda p: (n[p], p))[:take])
+        for p in chosen:
+            seeds[codes[p]].add((k, p))
     return {c: sorted(v) for c, v in seeds.items()}
 
 
