@@ -78,4 +78,65 @@ rec as (
 select page_id, record_type, {_urn("record_type || chr(10) || refers_to")} as record_id, refers_to, target_uri, content_type, strlen(block)::bigint as content_length,
   'sha256:' || sha256(block) as block_digest, source_digest, source_headers, block from rec"""
 
-ALL = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op8_warc_derivatives": OP8}
+
+_LEAST = {"symbol_share": (0.1, False), "dup_line_share": (0.5, False), "repeat_share": (0.3, False), "word_length": (1.5, True)}
+
+
+def _level(name: str, keys: str) -> str:
+    """Quartiles of the sketches merged to keys."""
+    by = ", ".join(filter(None, [keys, "metric"]))
+    return f"""
+{name}_m as (select {by}, bucket, sum(n) as n from sketch group by all),
+{name}_u as (select *, sum(n) over (partition by {by} order by bucket nulls first) as upto, sum(n) over (partition by {by}) as total from {name}_m),
+{name} as (select {by}, any_value(total) as total, min(v) filter (upto >= total * 0.25::double) as q1, min(v) filter (upto >= total * 0.75::double) as q3
+  from (select *, coalesce(power(1.02::double, bucket) * {2 / (1.02 + 1)!r}::double, 0) as v from {name}_u) group by {by})"""
+
+
+def _broken() -> str:
+    out = []
+    for m, (least, low) in _LEAST.items():
+        reach = f"greatest((q3 - q1) * 4.0::double, {least}::double)"
+        out.append(f"(metric = '{m}' and (v > q3 + {reach}" + (f" or v < q1 - {reach}" if low else "") + "))")
+    return " or ".join(out)
+
+
+OP2 = f"""
+with w as (select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{WORD}') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) as l from documents),
+win as (select doc_id, i, list_slice(w, i, i + 7) as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from w where len(w) >= 8)),
+twice as (select doc_id, i from win qualify count(*) over (partition by doc_id, g) > 1),
+rep as (select doc_id, sum(least(8, d))::bigint as n from (select doc_id, coalesce(lead(i) over (partition by doc_id order by i) - i, 8) as d from twice) group by doc_id),
+c as (select w.doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+    len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words from w left join rep using (doc_id)),
+f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c),
+m as (select doc_id, lang, source, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'word_length']) as metric,
+    unnest([n_symbols / n_words, n_dup_lines / greatest(n_lines, 1), n_repeat_words / n_words, word_chars / n_words]) as v from f where not base_failed),
+sketch as (select lang, source, metric, case when v > 0 then ceil(ln(v) / ln(1.02::double)) end as bucket, count(*) as n from m group by all),
+{_level("own", "lang, source")}, {_level("lng", "lang")}, {_level("corpus", "")},
+fence as (select own.lang, own.source, own.metric, case when own.total >= 200 then own.q1 when lng.total >= 200 then lng.q1 else corpus.q1 end as q1,
+    case when own.total >= 200 then own.q3 when lng.total >= 200 then lng.q3 else corpus.q3 end as q3
+  from own join lng on own.lang is not distinct from lng.lang and own.metric = lng.metric join corpus on own.metric = corpus.metric),
+bad as (select distinct doc_id from m join fence on m.lang is not distinct from fence.lang and m.source is not distinct from fence.source and m.metric = fence.metric where {_broken().replace("metric =", "m.metric =")})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (from bad) as kept from f"""
+
+
+def op7(templates: dict[str, str], phrases: dict[str, str], words: str, share: float = 0.8) -> str:
+    low = f"translate(coalesce(text, ''), {UPPER}, {LOWER})"
+    base = " union all ".join(f"select doc_id, '{label}' as label, i - 1 as i from p where list_slice(w, i, i + {len(x.split()) - 1}) = {x.split()}" for x, label in phrases.items())
+    rows = ", ".join(f"({sorted(set(t.split()))}, '{label}')" for t, label in templates.items())
+    return f"""
+with d as (select doc_id, regexp_extract_all({low}, '{words}') as w, {low} as t from documents),
+p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+base as ({base}),
+b as (select doc_id, count(*) as n, min(i) as a, max(i) as z, list_sort(list_distinct(list(label))) as labels from base group by doc_id),
+l as (select doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{words}') as w from d),
+k as (select doc_id, w as b from l where len(w) <= 64 union all select doc_id, list_slice(w, i, i + 63) from (select doc_id, w, unnest(range(1, len(w) - 31, 32)) as i from l where len(w) > 64)),
+tp(t, label) as (values {rows}),
+met as (select doc_id, label, len(list_filter(tp.t, lambda x: list_contains(k.b, x))) / len(tp.t) as share from k, tp),
+s as (select doc_id, list(distinct label) as labels, max(share) as score from met where share >= {share}::double group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.a::bigint as first_word, b.z::bigint as last_word, coalesce(array_to_string(b.labels, ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(s.labels, [])))), ','), '') as labels, case when b.n > 0 then 1 else coalesce(score, 0) end::double as score
+from d left join b using (doc_id) left join s using (doc_id)"""
+
+
+ALL = {"op1_mixing": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op8_warc_derivatives": OP8}

@@ -9,7 +9,7 @@ from . import oracles
 from .common import read_table
 from .decontaminate import benchmark_matches
 from .langid import identify
-from .licenses import license_scan
+from .licenses import PHRASES, TEMPLATES, WORDS, license_scan
 from .line_dedup import line_dedup
 from .mixing import mix
 from .pii import pseudonymize
@@ -101,4 +101,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_mixing, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_simhash, op6_language_id, op7_license_scan, op8_warc_derivatives, op9_decontamination, op10_pii_pseudonyms)
 }
-ORACLES = {k: v for k, v in oracles.ALL.items() if k in QUERIES}
+ORACLES = oracles.ALL | {"op7_license_scan": oracles.op7(TEMPLATES, PHRASES, WORDS)}
