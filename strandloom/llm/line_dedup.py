@@ -15,6 +15,7 @@ from .common import SPACES, ascii_lower, materialize, null_safe
 
 LINE_KEYS = ["h1", "h2"]
 ROW_KEYS = ["doc_id", "text_hash"]
+SALTS = 16
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -31,10 +32,11 @@ def sorted_line_runs(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     return materialize(runs, "line-runs")
 
 
-def repeated_lines(runs: DataFrame, min_docs: int) -> DataFrame:
-    """Keys found in min_docs documents or more, with their first occurrence. Rows that repeat a whole document count once."""
+def repeated_lines(runs: DataFrame, min_docs: int, with_first: bool = False) -> DataFrame:
+    """Keys found in min_docs documents or more, with first, their first occurrence, if asked for. Rows that repeat a whole document count once."""
     per_doc = runs.groupBy(*LINE_KEYS, *ROW_KEYS).agg(F.min("pos").alias("pos"))
-    counts = per_doc.groupBy(*LINE_KEYS).agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(*ROW_KEYS, "pos"))).alias("first")
+    counts = per_doc.groupBy(*LINE_KEYS).agg(F.count(F.lit(1)).alias("n_docs"), *([first] if with_first else []))
     return counts.filter(F.col("n_docs") >= min_docs)
 
 
@@ -42,22 +44,16 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     """Bitmaps of dropped lines: (doc_id, text_hash, words array<struct<word, bits>>).
 
     Bit i of word w stands for line 64 w + i and is set if the line goes. Words without a dropped line are left
-    out, and so are documents that keep all lines. keep_first keeps a repeated key's first occurrence, by doc_id
-    and position (null doc_ids never hold it); otherwise all its occurrences go.
+    out, and so are documents that keep all lines. keep_first keeps a repeated key's first occurrence, by doc_id (then the
+    text's hash) and position (null doc_ids never hold it); otherwise all its occurrences go.
     """
     runs = sorted_line_runs(docs, min_chars)
-    hits = runs.join(repeated_lines(runs, min_docs), LINE_KEYS)
+    # a common line's rows meet its key in SALTS parts
+    keys = repeated_lines(runs, min_docs, keep_first).withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    salted = runs.withColumn("salt", F.pmod(F.xxhash64(*ROW_KEYS), F.lit(SALTS)).cast("int"))
+    hits = salted.join(keys, [*LINE_KEYS, "salt"])
     if keep_first:
-        first = hits.filter(F.col("doc_id") == F.col("first_doc")).groupBy(*LINE_KEYS).agg(
-            F.min_by("text_hash", "pos").alias("first_hash"), F.min("pos").alias("first_pos")
-        )
-        hits = hits.join(first, LINE_KEYS, "left").filter(
-            ~(
-                F.col("doc_id").eqNullSafe(F.col("first_doc"))
-                & F.col("text_hash").eqNullSafe(F.col("first_hash"))
-                & F.col("pos").eqNullSafe(F.col("first_pos"))
-            )
-        )
+        hits = hits.filter(~F.struct(*ROW_KEYS, "pos").eqNullSafe(F.col("first")))
     bit = F.expr("shiftleft(1L, pos % 64)")
     words = hits.groupBy(*ROW_KEYS, F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
     return words.groupBy(*ROW_KEYS).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
