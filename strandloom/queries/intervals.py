@@ -225,7 +225,7 @@ def _(pts):
     q as (select id, chrom, pos from pts where pos < 210000),
     m as (select id, sum(lf * greatest(0, least(f.e, pos - 1) - greatest(f.s, pos - 1000) + 1)) as b, sum(lf * greatest(0, least(f.e, pos + 999) - greatest(f.s, pos) + 1)) as a
       from q join f on q.chrom = f.chrom and f.s <= pos + 999 and f.e >= pos - 1000 group by id)
-    select id, q.chrom, pos, round(case when pos - 1000 >= 1 and pos + 999 <= last then (coalesce(b, 0) - coalesce(a, 0)) / 1000 end, 6) as oem from q join ends using (chrom) left join m using (id)""",
+    select id, q.chrom, pos, round(case when pos - 1000 >= 1 and pos + 999 <= last then (coalesce(b, 0) - coalesce(a, 0)) / 1000 end, 6) as oem from q left join ends using (chrom) left join m using (id)""",
 )
 def _(pts, iv):
     return iv_ops.oem(pts.filter("pos < 210000").select("id", "chrom", "pos"), iv, 1000).withColumn("oem", F.round("oem", 6))
