@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.sources.storage import stored
+
 from .ordered import along, neighbour, running
 
 BIN = 10_000
@@ -223,7 +225,7 @@ def window_sums(points: DataFrame, track: DataFrame, windows: dict[str, tuple[in
 
     Uses the integral of the track up to the windows' ends; bases without a run count 0. No run is expanded to bases.
     """
-    runs = with_integral(track, value)
+    runs = stored(with_integral(stored(track.select("chrom", "s", "e", value), "track"), value), "integral")
     marks = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(sign).alias("sign"), (F.col("pos") + d).alias("at")) for n, (a, b) in windows.items() for sign, d in ((1, b), (-1, a - 1))])
     asked = points.select("id", "chrom", F.explode(marks).alias("m")).select("id", "chrom", "m.*")
     # runs and marks go along the chromosome together: a mark takes the last run that begins at it or before
