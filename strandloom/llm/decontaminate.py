@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +54,30 @@ class Items:
             known &= part > 0
         return np.where(known, code, -1)
 
-    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of texts, each followed by a zero, and where each begins."""
-        get, numbers, begins = self.number.get, [], []
-        for t in texts:
-            begins.append(len(numbers))
-            numbers += [get(w, 0) for w in words(t)]
-            numbers.append(0)
-        return np.array(numbers, np.int64), np.array(begins, np.int64)
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of texts, each followed by a zero, and where each begins.
+
+        Different pieces between spaces are taken apart once a batch, however often they stand.
+        """
+        pieces = pc.ascii_split_whitespace(texts.fill_null(""))
+        encoded = pieces.flatten().dictionary_encode()
+        get = self.number.get
+        parts = [(get(p.lower(), 0),) if p.isalnum() else [get(w, 0) for w in WORD.findall(p.lower())] for p in encoded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        values = np.fromiter((n for p in parts for n in p), np.int64, int(sizes.sum()))
+        firsts = np.cumsum(sizes) - sizes
+        at = encoded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        inside = np.arange(total) - np.repeat(ends - n, n)
+        numbers = values[np.repeat(firsts[at], n) + inside]
+        text = np.repeat(np.arange(len(texts)), np.diff(pieces.offsets.to_numpy()))
+        words_of = np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)
+        begins = np.cumsum(words_of) - words_of + np.arange(len(texts))
+        out = np.zeros(total + len(texts), np.int64)
+        out[np.arange(total) + np.repeat(np.arange(len(texts)), words_of)] = numbers
+        return out, begins
 
 
 def _counts(items: Items):
@@ -68,7 +85,7 @@ def _counts(items: Items):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, begins = items.flat(batch.column("text").to_pylist())
+            numbers, begins = items.flat(batch.column("text"))
             code = items.codes(numbers)
             at = np.nonzero(code >= 0)[0]
             at = at[np.isin(code[at], grams)] if len(grams) else at[:0]
@@ -136,11 +153,15 @@ def _matches(items: Items, seeds: dict[int, list[tuple[int, int]]], min_score: f
                 spans.append((a, b))
     for (doc, k), spans in windows.items():
         item, best = items.items[k], (0, 0, 0)
+        listed, need = item.tolist(), min_score * MATCH * len(item)
         for a, b in spans:
+            held = set(numbers[a:b].tolist())
+            if MATCH * sum(w in held for w in listed) < need:  # no alignment scores more
+                continue
             score, end = align(item, numbers[a:b])
             if score > best[0]:
                 best = (score, a, a + end)
-        if best[0] >= min_score * MATCH * len(item):
+        if best[0] >= max(need, 1):
             score, a, end = best
             _, back = align(item[::-1], numbers[a:end][::-1])
             yield doc, items.ids[k], score / (MATCH * len(item)), end - back - int(begins[doc]), end - 1 - int(begins[doc])
@@ -150,7 +171,7 @@ def _find(items: Items, seeds, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "score", "first_word", "last_word"]
         for batch in batches:
-            found = list(_matches(items, seeds, min_score, *items.flat(batch.column("text").to_pylist())))
+            found = list(_matches(items, seeds, min_score, *items.flat(batch.column("text"))))
             columns = list(zip(*found, strict=True)) or [()] * 5
             ids = batch.column("doc_id").take(pa.array(columns[0], pa.int64()))
             types = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -162,7 +183,7 @@ def _find(items: Items, seeds, min_score: float):
 def _keep(items: Items, seeds, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = {x[0] for x in _matches(items, seeds, min_score, *items.flat(batch.column("text").to_pylist()))}
+            hit = {x[0] for x in _matches(items, seeds, min_score, *items.flat(batch.column("text")))}
             yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
     return run
