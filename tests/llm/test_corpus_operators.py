@@ -160,6 +160,38 @@ def test_near_copies_by_similarity(spark):
     assert len([i for i in left if i % 10 == 1]) <= 1
 
 
+def jaccard(a, b):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("tile", [8192, 4])
+def test_links_by_similarity_are_exact(spark, tile):
+    rng = np.random.default_rng(4)
+    texts = {}
+    for g in range(120):
+        words = [f"g{g}w{i}" for i in range(300)]
+        n = int(rng.integers(23, 46))  # a copy that shares 1 - n / 300 of the shingles has similarity 0.85 to 0.74
+        texts[10 * g] = " ".join(words)
+        texts[10 * g + 1] = " ".join([*words[n:], *(f"x{g}w{i}" for i in range(n))])
+    passage = [f"p{i}" for i in range(60)]
+    rest = [f"q{i}" for i in range(400)]
+    texts[9000], texts[9001] = " ".join(rest + passage), " ".join(rest + passage * 40)  # fingerprints are far from each other
+    chain = [f"c{i}" for i in range(400)]  # neighbours are similar by 0.85, others less than 0.8
+    texts |= {9100 + k: " ".join(chain[k * 24 : k * 24 + 300]) for k in range(4)}
+    want = {i: i for i in texts}
+    ids = sorted(texts)
+    for _ in range(3):
+        for a in ids:
+            for b in ids:
+                if a < b and (a // 10 == b // 10 or a >= 9000) and jaccard(texts[a], texts[b]) >= 0.8:
+                    want[a] = want[b] = min(want[a], want[b])
+    assert want[9001] == 9000 and want[9103] == 9100 and 20 < sum(want[10 * g + 1] == 10 * g for g in range(120)) < 100
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = simhash.near_duplicates(df, 5, similarity=0.8, tile=tile).collect()
+    assert {r.doc_id: r.component_id for r in out} == want
+
+
 def test_one_row_of_each_component_stays(odd):
     near = simhash.near_duplicates(odd)
     out = simhash.one_of_each(odd, near)
