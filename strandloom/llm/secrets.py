@@ -86,7 +86,7 @@ def secret_scan(
     """One row for each document: doc_id, base and found, both arrays of spans struct<start, rank, end, kind>.
 
     base holds the matches of PATTERNS (of assign those whose value has MIN_ASSIGNED characters), found also tokens of
-    min_token characters or more of the alphabet, a letter and a digit among them, whose log-likelihood ratio is min_ratio or more, under the kind
+    min_token characters or more of the alphabet, a letter among them, whose log-likelihood ratio is min_ratio or more, under the kind
     markov. Places are in code points. The random model learns from the values of all matches of the patterns, the
     ordinary one from tokens of min_word characters and more in about sample_docs documents, chosen by a hash of id
     and text, without what the patterns find in them, that min_shared of these documents have: random strings don't recur. Null texts are empty; empty texts have no spans. Rows that repeat
@@ -112,7 +112,7 @@ def secret_scan(
     at = f"get({code}, ascii(substring(x.value, %s, 1)))"
     llr = f"aggregate(sequence(1, length(x.value) - 1), 0D, (a, i) -> a + get({_doubles(ratios)}, {at % 'i'} * {len(ALPHABET)} + {at % 'i + 1'}))"
     rank = len(PATTERNS)
-    markov = f"transform(filter(tokens, x -> x.value rlike '[A-Za-z]' and x.value rlike '[0-9]' and {llr} >= {min_ratio}), x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, 'kind', 'markov'))"
+    markov = f"transform(filter(tokens, x -> x.value rlike '[A-Za-z]' and {llr} >= {min_ratio}), x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, 'kind', 'markov'))"
     return scanned.select("doc_id", "base", F.expr(f"sort_array(concat(base, cast({markov} as {SPAN})))").alias("found"))
 
 

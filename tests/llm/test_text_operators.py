@@ -91,6 +91,22 @@ def test_markov_models_tell_random_tokens_from_words(spark, docs):
     assert sum(bool(v) for k, v in out.items() if k < 10_000) == 0
 
 
+def test_random_tokens_of_letters_only(spark, docs):
+    rng = np.random.default_rng(9)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    known = [(10_000 + i, f"token = \"{''.join(rng.choice([*letters, *'0123456789'], 40))}\" words") for i in range(150)]
+    hidden = [(30_000 + i, f"before {''.join(rng.choice(letters, 32))} after") for i in range(50)]
+    # names of the words of the documents themselves
+    names = sorted({w for r in docs.collect() for w in (r.text or "").split() if w.isascii() and w.isalpha() and 4 <= len(w) <= 9})
+    camel = [(40_000 + i, f"call {''.join(str(w).capitalize() for w in rng.choice(names, 4))} here") for i in range(50)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(known + hidden + camel, "doc_id long, text string"))
+    out = {r.doc_id: [s for s in r.found if s.kind == "markov"] for r in secret_scan(df).collect()}
+    found, wrong = (sum(bool(out[k + i]) for i in range(50)) for k in (30_000, 40_000))
+    assert found >= 45, (found, wrong)
+    assert wrong <= 5, (found, wrong)
+    assert sum(bool(v) for k, v in out.items() if k < 10_000) == 0
+
+
 def test_matches_with_many_blocks(spark):
     text = "ab " * 2000 + "é" + "ab" * 50
     df = spans.with_matches(spark.createDataFrame([(text,), ("",), (None,)], "t string"), "t", "a(b)", "m", masked="k")
