@@ -33,7 +33,8 @@ TEMPLATES = {
     "this source code form is subject to the terms of the mozilla public license": "mpl-2",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
 }
-BLOCK = 64
+#: Words of a window, and between the starts of windows over a whole text: any BLOCK - STEP + 1 words in a row lie in one.
+BLOCK, STEP = 64, 16
 
 
 def _sql_array(values) -> str:
@@ -47,8 +48,10 @@ def _needed(words: list[str], share: float) -> int:
 def text_blocks(docs: DataFrame, templates: dict[str, str], share: float) -> DataFrame:
     """docs (doc_id, text) with n_words, n_base, first_word, last_word, base_labels and blocks (struct<words>).
 
-    A block is a line; one of more than BLOCK words gives windows of BLOCK words that overlap by half. blocks keeps,
-    of blocks that could meet a template, the different words that stand in any template.
+    A block is a line; one of more than BLOCK words gives windows of BLOCK words that overlap by half. Windows of BLOCK words
+    over the words of the whole text, one every STEP words, are blocks too, so that a notice may run over several lines:
+    what spans BLOCK - STEP + 1 words or fewer is never cut. blocks keeps, of blocks that could meet a template, the
+    different words that stand in any template.
     """
     vocabulary = sorted({w for t in templates for w in t.split()})
     least = min(_needed(sorted(set(t.split())), share) for t in templates)
@@ -78,14 +81,20 @@ def text_blocks(docs: DataFrame, templates: dict[str, str], share: float) -> Dat
             "first_word": F.least(*firsts).cast("long"),
             "last_word": F.greatest(*lasts).cast("long"),
             "base_labels": F.array_compact(F.array(*labels)),
-            "__blocks": F.expr(
-                f"flatten(transform(__lines, x -> if(size(x) <= {BLOCK}, array(x),"
-                f" transform(sequence(1, size(x) - {BLOCK // 2}, {BLOCK // 2}), i -> slice(x, i, {BLOCK})))))"
-            ),
+            "__any": F.expr(f"array_intersect(__words, {_sql_array(vocabulary)})"),
         }
     )
+    # a text that lacks too many words of every template has no block that meets one
+    enough = [f"size(array_intersect(__any, {_sql_array(ws)})) >= {_needed(ws, share)}" for ws in (sorted(set(t.split())) for t in templates)]
+    df = df.withColumn("__enough", F.expr(" or ".join(enough)))
+    windows = f"transform(sequence(1, greatest(1, size(__words) - {BLOCK - STEP}), {STEP}), i -> slice(__words, i, {BLOCK}))"
+    lines = (
+        f"flatten(transform(__lines, x -> if(size(x) <= {BLOCK}, array(x),"
+        f" transform(sequence(1, size(x) - {BLOCK // 2}, {BLOCK // 2}), i -> slice(x, i, {BLOCK})))))"
+    )
+    df = df.withColumn("__blocks", F.expr(f"if(__enough, concat({lines}, {windows}), array())"))
     held = f"transform(__blocks, x -> array_intersect(x, {_sql_array(vocabulary)}))"
-    df = df.withColumn("blocks", F.expr(f"filter({held}, x -> size(x) >= {least})"))
+    df = df.withColumn("blocks", F.expr(f"array_distinct(filter({held}, x -> size(x) >= {least}))"))
     return df.drop("text", *[c for c in df.columns if c.startswith("__")])
 
 

@@ -128,6 +128,22 @@ def test_licenses(table):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_wrapped_and_edited_notices(spark):
+    rows, want = [], {}
+    for k, (t, label) in enumerate(TEMPLATES.items()):
+        w = t.split()
+        # in two or more lines, each of less than 0.8 of the words, after some words
+        lines = [w[i : i + max(1, len(w) // 2)] for i in range(0, len(w), max(1, len(w) // 2))]
+        rows.append((k, "\n".join([*(f"x{i} y" for i in range(k * 7)), *(" # " + " ".join(x) for x in lines), "z"])))
+        want[k] = label
+        # with a word inserted after every second word, in a long line
+        edited = [x for i, v in enumerate(w) for x in ((v, f"new{i}") if i % 2 else (v,))]
+        rows.append((100 + k, " ".join([*(f"x{i}" for i in range(k * 7 + 5)), *edited, *["z"] * 40])))
+        want[100 + k] = label
+    out = {r.doc_id: r.labels for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(want[i] in out[i] for i in want), {i: out[i] for i in want if want[i] not in out[i]}
+
+
 def test_containment_join_is_exact(spark):
     rng = np.random.default_rng(2)
     vocabulary = [f"v{i}" for i in range(14)]
