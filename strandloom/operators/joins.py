@@ -41,8 +41,8 @@ def join_percent(reads: DataFrame, percents: DataFrame, name: str, key: Column,
 
 
 def expected_signal(df: DataFrame, table: DataFrame, kmer: str, expected: str) -> DataFrame:
-    """df with the expected level of its k-mer. A table of k-mers has 4^k rows at most; k is 6 or less here."""
-    return df.join(F.broadcast(table.select(kmer, expected).limit(5**6)), kmer)
+    """df with the expected level of its k-mer; positions whose k-mer the table lacks go. Spark broadcasts the table if its size allows."""
+    return df.join(table.select(kmer, expected), kmer)
 
 
 def calibrated_threshold(df: DataFrame, table: DataFrame, kmer: str, value: str, threshold: str) -> DataFrame:

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def kmers(seqs: DataFrame, seq: str, k: int) -> DataFrame:
-    """All overlapping k-mers with their positions p, from 1; sequences shorter than k have none."""
+def kmers(seqs: DataFrame, seq: str, k: int, piece: int = 1024) -> DataFrame:
+    """All overlapping k-mers with their positions p, from 1; sequences shorter than k have none.
+
+    Sequences are cut in pieces that overlap by k - 1 first, so that a long one costs little more than its length.
+    """
     n = F.length(seq) - (k - 1)
-    places = seqs.filter(n >= 1).withColumn("p", F.explode(F.sequence(F.lit(1), n)))
-    return places.withColumn("kmer", F.substring(F.col(seq), F.col("p"), F.lit(k))).drop(seq)
+    pieces = seqs.filter(n >= 1).withColumn("__at", F.explode(F.sequence(F.lit(0), n - 1, F.lit(piece))))
+    pieces = pieces.withColumn("__piece", F.substring(F.col(seq), F.col("__at") + 1, F.lit(piece + k - 1))).drop(seq)
+    inside = F.transform(F.sequence(F.lit(1), F.length("__piece") - (k - 1)), lambda i: F.struct((F.col("__at") + i).alias("p"), F.substring(F.col("__piece"), i, F.lit(k)).alias("kmer")))
+    return pieces.withColumn("__x", F.explode(inside)).drop("__piece", "__at").select("*", "__x.p", "__x.kmer").drop("__x")
 
 
 def series_kmers(df: DataFrame, key: str, idx: str, base: str, k: int) -> DataFrame:

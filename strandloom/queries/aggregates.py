@@ -109,9 +109,10 @@ def _(sig):
     return a.residual_std(sig, "v100", "idx", ["read_id"]).withColumn("std", F.round("std", 6))
 
 
-@query("E22_position_frequency_matrix", "seqs", sql="n as (select p::int as position, substr(seq, p::int, 1) as base, count(*) as n from (select seq, unnest(range(1, 31)) as p from seqs where length(seq) >= 30) group by all) select *, n / sum(n) over (partition by position) as share from n")
+@query("E22_position_frequency_matrix", "seqs", sql="n as (select ((p - 1) % 30 + 1)::int as position, substr(seq, p::int, 1) as base, count(*) as n from (select seq, unnest(range(1, length(seq) // 30 * 30 + 1)) as p from seqs) group by all) select *, n / sum(n) over (partition by position) as share from n")
 def _(seqs):
-    return a.position_frequency_matrix(seqs.filter("length(seq) >= 30").select(F.substring("seq", 1, 30).alias("seq")), "seq")
+    pieces = F.regexp_extract_all("seq", F.lit("[A-Z]{30}"), F.lit(0))
+    return a.position_frequency_matrix(seqs.select(F.explode(pieces).alias("seq")), "seq")
 
 
 @query("E23_label_mean", "sig", sql="select call as sample, avg(v100) as target, sum(idx)::bigint as length from sig group by call")

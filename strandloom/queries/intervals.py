@@ -42,13 +42,13 @@ def _(iv):
 
 @query(
     "G5_meta_profile", "feat", "iv",
-    sql=f"""{STEPS}, mids as (select fid, chrom, (s + e) // 2 as mid, 'size' || (length(status) % 3) as class from feat where (s + e) // 2 < 230000)
+    sql=f"""{STEPS}, mids as (select fid, chrom, (s + e) // 2 as mid, 'size' || (length(status) % 3) as class from feat)
     select class, off as "offset", count(*) as n, sum(depth)::bigint as total from
       (select class, r.depth, unnest(range(-10, 11)) * 100 as off, mid, r.s, r.e from mids m join (select * from runs where depth > 0) r on m.chrom = r.chrom and r.s <= mid + 1000 and r.e >= mid - 1000)
     where mid + off between s and e group by all""",
 )
 def _(feat, iv):
-    mids = feat.selectExpr("fid", "chrom", "(s + e) div 2 mid", "concat('size', length(status) % 3) class").filter("mid < 230000")
+    mids = feat.selectExpr("fid", "chrom", "(s + e) div 2 mid", "concat('size', length(status) % 3) class")
     track = iv_ops.coverage(iv).filter("depth > 0").withColumnRenamed("depth", "value")
     return iv_ops.meta_profile(mids, track, 1000, "class", step=100)
 
@@ -222,13 +222,13 @@ def _(pts):
 @query(
     "F18_oem", "pts", "iv",
     sql=f"""{STEPS}, f as (select chrom, s, e, l / depth as lf from runs where depth > 0), ends as (select chrom, max(e) as last from iv group by chrom),
-    q as (select id, chrom, pos from pts where pos < 210000),
+    q as (select id, chrom, pos from pts),
     m as (select id, sum(lf * greatest(0, least(f.e, pos - 1) - greatest(f.s, pos - 1000) + 1)) as b, sum(lf * greatest(0, least(f.e, pos + 999) - greatest(f.s, pos) + 1)) as a
       from q join f on q.chrom = f.chrom and f.s <= pos + 999 and f.e >= pos - 1000 group by id)
     select id, q.chrom, pos, round(case when pos - 1000 >= 1 and pos + 999 <= last then (coalesce(b, 0) - coalesce(a, 0)) / 1000 end, 6) as oem from q left join ends using (chrom) left join m using (id)""",
 )
 def _(pts, iv):
-    return iv_ops.oem(pts.filter("pos < 210000").select("id", "chrom", "pos"), iv, 1000).withColumn("oem", F.round("oem", 6))
+    return iv_ops.oem(pts.select("id", "chrom", "pos"), iv, 1000).withColumn("oem", F.round("oem", 6))
 
 
 @query("E19_bin_mean", "pts", "chrom_sizes", sql="""tiles as (select chrom, s, least(s + 999, size) as e from (select chrom, size, unnest(range(1, size + 1, 1000)) as s from chrom_sizes)),
@@ -240,13 +240,13 @@ def _(pts, sizes):
 
 @query(
     "E20_binned_average", "iv", "chrom_sizes",
-    sql=f"""{STEPS}, tiles as (select chrom, s, least(s + 999, size) as e from (select chrom, 210000 as size, unnest(range(1, 210001, 1000)) as s from chrom_sizes)),
+    sql=f"""{STEPS}, tiles as (select chrom, s, least(s + 999, size) as e from (select chrom, size, unnest(range(1, size + 1, 1000)) as s from chrom_sizes)),
     m as (select t.chrom, t.s, sum(depth * (least(r.e, t.e) - greatest(r.s, t.s) + 1))::bigint as v from tiles t join runs r on t.chrom = r.chrom and r.s <= t.e and r.e >= t.s group by all)
     select t.chrom, t.s, t.e, coalesce(v, 0) / (t.e - t.s + 1) as mean from tiles t left join m using (chrom, s)""",
 )
 def _(iv, sizes):
     track = iv_ops.coverage(iv).withColumnRenamed("depth", "value")
-    return iv_ops.binned_average(track, sizes.withColumn("size", F.lit(210000).cast("long")), 1000)
+    return iv_ops.binned_average(track, sizes, 1000)
 
 
 @query(

@@ -73,11 +73,11 @@ def _(pts):
     return bed.read_forks(pts.sparkSession, path).drop("file", "source")
 
 
-@query("A10_read_reads_bed", "iv", sql="select chrom, s, e, strand from iv where substr(chrom, 4)::int <= 12")
+@query("A10_read_reads_bed", "iv", sql="select chrom, s, e, strand from iv")
 def _(iv):
     path = new_path(iv.sparkSession, "reads-bed")
     bed.write_bed(iv.select("chrom", "s", "e", "strand"), path)
-    return bed.read_reads_bed(iv.sparkSession, path, 12)
+    return bed.read_reads_bed(iv.sparkSession, path, 16)
 
 
 @query("A12_read_wig", "sig", sql="select 'chr' || (read_id % 16 + 1) || '_' || read_id as chrom, idx * 10 + 1 as pos, v100 / 4 as value from sig")

@@ -143,9 +143,9 @@ def _(seqs):
 
 @query(
     "J18_motif_enrichment", "feat", "pts",
-    sql="""f as (select 'c' || fid % 3 as class, exists (select 1 from pts p where p.chrom = f.chrom and p.id % 4 = 0 and p.pos between (f.s + f.e) // 2 - 1000 and (f.s + f.e) // 2 + 1000) as hit from feat f)
+    sql="""f as (select 'c' || fid % 3 as class, exists (select 1 from pts p where p.chrom = f.chrom and p.pos between (f.s + f.e) // 2 - 1000 and (f.s + f.e) // 2 + 1000) as hit from feat f)
     select coalesce(class, 'all') as class, count(*) as n, count(*) filter (hit) as n_true, count(*) filter (hit) / count(*) as share from f group by grouping sets ((class), ())""",
 )
 def _(feat, pts):
     f = feat.selectExpr("fid", "chrom", "(s + e) div 2 mid", "concat('c', fid % 3) class")
-    return st.motif_enrichment(f, pts.filter("id % 4 = 0").selectExpr("chrom", "pos s", "pos e"), "fid", "class")
+    return st.motif_enrichment(f, pts.selectExpr("chrom", "pos s", "pos e"), "fid", "class")

@@ -27,7 +27,7 @@ _VIEWS = {
 
 SQL = {name: f"select {', '.join(e('varchar'))} from {table}" for name, (table, e) in _VIEWS.items()}
 SQL["reads"] = f"select user_id read_id, {_CHROM.format('user_id', 'varchar')} chrom, case when user_id % 2 = 0 then '+' else '-' end strand, user_id * 1000 start_, user_id * 1000 + count(*) - 1 end_ from events group by user_id"
-SQL["seqs"] = f"select doc_id read_id, translate(lower(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 300)), {_LETTERS}) seq from documents"
+SQL["seqs"] = f"select doc_id read_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), {_LETTERS}) seq from documents"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         grouped = read("events").groupBy("user_id").count()
         return grouped.selectExpr("user_id read_id", chrom, "case when user_id % 2 = 0 then '+' else '-' end strand", "user_id * 1000 start_", "user_id * 1000 + count - 1 end_")
     if name == "seqs":
-        return read("documents").selectExpr("doc_id read_id", f"translate(lower(substr(regexp_replace(text, '[^A-Za-z]', ''), 1, 300)), {_LETTERS}) seq")
+        return read("documents").selectExpr("doc_id read_id", f"translate(lower(regexp_replace(text, '[^A-Za-z]', '')), {_LETTERS}) seq")
     if name not in _VIEWS:
         return read(name)
     table, expressions = _VIEWS[name]
