@@ -39,10 +39,12 @@ from (select *, greatest(0, least(n_tokens, part - before))::bigint as last_toke
 OP3 = f"""
 with lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
 keyed as (select *, translate(trim(line, {SPACES}), {UPPER}, {LOWER}) as key from lines),
-gone as (select key from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+gone as (select key from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10),
+word as (select doc_id, (pos - 1) // 64 as word, (18446744073709551615::hugeint - sum(1::hugeint << ((pos - 1) % 64)::int))::ubigint as bits from keyed where key in (from gone) group by all),
+bitmap as (select doc_id, string_agg(word || ':' || lpad(lower(hex(bits)), 16, '0'), ',' order by word) as keep_bitmap from word group by doc_id)
 select doc_id, count(*)::bigint as n_lines, count(*) filter (key in (from gone))::bigint as n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (key not in (from gone)), '')) as kept_sha256
-from keyed group by doc_id"""
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (key not in (from gone)), '')) as kept_sha256, coalesce(any_value(keep_bitmap), '') as keep_bitmap
+from keyed left join bitmap using (doc_id) group by doc_id"""
 
 
 def _decoded(text: str) -> str:

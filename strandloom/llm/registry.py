@@ -10,7 +10,7 @@ from .common import read_table
 from .decontaminate import benchmark_matches
 from .langid import identify
 from .licenses import PHRASES, TEMPLATES, WORDS, license_scan
-from .line_dedup import line_dedup
+from .line_dedup import bitmap_text, line_dedup
 from .mixing import mix
 from .pii import pseudonymize
 from .quality import quality_rules
@@ -51,7 +51,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"), bitmap_text("keep_bitmap").alias("keep_bitmap"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.llm import line_dedup as line_dedup_module
 from strandloom.llm import registry, spans
 from strandloom.llm.licenses import TEMPLATES, containment_join, license_scan
-from strandloom.llm.line_dedup import keep_bitmaps, line_dedup
+from strandloom.llm.line_dedup import keep_bitmaps, line_dedup, line_hashes, repeated_lines
 from strandloom.llm.quality import quality_rules, quantile_sketches, sketch_quantiles
 from strandloom.llm.secrets import secret_scan, spans_text
 
@@ -68,7 +69,45 @@ def test_line_dedup_keeps_first_and_its_bitmaps(spark):
     out = {r.doc_id: r.text for r in line_dedup(df, min_docs=2, keep_first=True).collect()}
     assert out == {1: "x\na", 2: "y" + "\nz" * 130, 3: "b"}
     bits = {r.doc_id: [(w.word, w.bits) for w in r.words] for r in keep_bitmaps(df, 2, keep_first=True).collect()}
-    assert bits == {1: [(0, 4)], 2: [(0, 1), (2, 1 << (132 - 128))], 3: [(0, 2)]}
+    assert bits == {1: [(0, ~4)], 2: [(0, ~1), (2, ~(1 << (132 - 128)))], 3: [(0, ~2)]}
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """What line dedup writes on its way: label: (plan, table)."""
+    out, materialize = {}, line_dedup_module.materialize
+
+    def keep(df, label):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        out[label] = (plan, materialize(df, label))
+        return out[label][1]
+
+    monkeypatch.setattr(line_dedup_module, "materialize", keep)
+    return out
+
+
+@pytest.mark.parametrize("sample", [1, 64])
+def test_keys_over_the_edges_of_partitions(spark, written, sample):
+    """One line in every document and one in a third of them, rare ones, and repeats within documents: partitions cut the runs of common keys."""
+    rows = [(i, f"Top\n{'third' if i % 3 == 0 else f'own {i}'}\nTOP \npair {i // 2}\nten {i // 10}\nx{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = line_dedup(df, sample=sample).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = written["line-runs"][1].select("h1", F.input_file_name()).distinct().collect()
+    assert max(Counter(r.h1 for r in files).values()) > 1
+    assert sorted(map(tuple, out.collect())) == sorted(brute.line_dedup(rows))
+    kept = {r.doc_id: r.text for r in line_dedup(df, keep_first=True, sample=sample).collect()}
+    assert kept[0] == "Top\nthird\npair 0\nten 0\nx0" and kept[1] == "own 1\npair 0\nx1" and kept[10] == "own 10\npair 5\nten 1\nx10"
+
+
+def test_runs_are_counted_where_they_are_sorted(docs, written):
+    """Between the sorted runs and the windows over them lies no other exchange and no aggregate."""
+    keep_bitmaps(docs)
+    plan = written["line-runs"][0]
+    assert plan.count("rangepartitioning") == 1 and "hashpartitioning" not in plan and "Window" in plan and "Aggregate" not in plan
 
 
 def test_secrets(table):
@@ -169,7 +208,8 @@ def test_rows_are_neither_lost_nor_made(odd):
 
 def test_line_dedup_keeps_other_columns(odd):
     out = line_dedup(odd)
-    assert set(odd.columns) - set(out.columns) == {"text_hash"} and dict(out.dtypes)["n_lines"] == "bigint"
+    assert set(odd.columns) == set(out.columns) and dict(out.dtypes)["n_lines"] == "bigint"
+    assert {r.text_hash for r in out.select("text_hash").collect()} == {"x"}
 
 
 def test_queries_return_digests(spark):
