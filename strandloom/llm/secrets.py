@@ -89,7 +89,10 @@ def secret_scan(
     min_token characters or more of the alphabet, a letter among them, whose log-likelihood ratio is min_ratio or more, under the kind
     markov. Places are in code points. The random model learns from the values of all matches of the patterns, the
     ordinary one from tokens of min_word characters and more in about sample_docs documents, chosen by a hash of id
-    and text, without what the patterns find in them, that min_shared of these documents have: random strings don't recur. Null texts are empty; empty texts have no spans. Rows that repeat
+    and text, without what the patterns find in them, that min_shared of these documents have: random strings don't recur. Without
+    any match, or without recurring tokens, that model knows no pairs and ratios stay near zero: no token is added.
+
+    Null texts are empty; empty texts have no spans; time grows with the length of a text and of a token. Rows that repeat
     a document each come back. Other columns of docs are not used.
     """
     spark: SparkSession = docs.sparkSession
@@ -109,8 +112,10 @@ def secret_scan(
     for i, c in enumerate(ALPHABET):
         codes[ord(c)] = i
     code = "cast(split('" + " ".join(map(str, codes)) + "', ' ') as array<int>)"
-    at = f"get({code}, ascii(substring(x.value, %s, 1)))"
-    llr = f"aggregate(sequence(1, length(x.value) - 1), 0D, (a, i) -> a + get({_doubles(ratios)}, {at % 'i'} * {len(ALPHABET)} + {at % 'i + 1'}))"
+    # a token's characters are numbered once, and pairs are neighbours in that array: a long token costs its length
+    numbers = f"transform(split(x.value, ''), c -> get({code}, ascii(c)))"
+    pairs = f"zip_with({numbers}, slice({numbers}, 2, length(x.value)), (a, b) -> coalesce(get({_doubles(ratios)}, a * {len(ALPHABET)} + b), 0D))"
+    llr = f"aggregate({pairs}, 0D, (a, v) -> a + v)"
     rank = len(PATTERNS)
     markov = f"transform(filter(tokens, x -> x.value rlike '[A-Za-z]' and {llr} >= {min_ratio}), x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, 'kind', 'markov'))"
     return scanned.select("doc_id", "base", F.expr(f"sort_array(concat(base, cast({markov} as {SPAN})))").alias("found"))

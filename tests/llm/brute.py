@@ -1,6 +1,7 @@
 """Plain versions of the rules that the operators' queries must follow, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -42,6 +43,45 @@ def secrets(text):
     return n["assign"], n["access"], n["hex"], hashlib.sha256(joined.encode()).hexdigest(), joined
 
 
+PATTERNS = (ASSIGN, re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}"))
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+
+
+def random_tokens(texts, min_ratio=16.0, weight=20.0):
+    """Spans of each text whose ratio under the two Markov models is min_ratio or more; all texts are in the sample."""
+    values, seen = [], Counter()
+    for t in texts:
+        for k, pattern in enumerate(PATTERNS):
+            found = [m for m in pattern.finditer(t or "") if k or len(m[2]) >= 6]
+            values += [re.search("[A-Za-z0-9+/_=-]*$", m[0])[0] for m in found]
+        bare = t or ""
+        for pattern in PATTERNS:
+            bare = pattern.sub(" ", bare)
+        seen.update(set(re.findall("[A-Za-z0-9+/_=-]{8,}", bare)))
+    ordinary = [w for w, n in seen.items() if n >= 3]
+    logs = []
+    for tokens in (values, ordinary):
+        pairs = Counter(p for w in tokens for p in zip(w, w[1:]))
+        first, second, total = Counter(), Counter(), sum(pairs.values()) + len(ALPHABET)
+        for (a, b), n in pairs.items():
+            first[a] += n
+            second[b] += n
+        logs.append({(a, b): math.log((pairs[a, b] + weight * (second[b] + 1) / total) / (first[a] + weight)) for a in ALPHABET for b in ALPHABET})
+    out = []
+    for t in texts:
+        masked = t or ""
+        if secrets(t)[4]:
+            for pattern in PATTERNS:
+                masked = pattern.sub(lambda m: " " * len(m[0]), masked)
+        spans = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", masked):
+            ratio = sum(logs[0][p] - logs[1][p] for p in zip(m[0], m[0][1:]))
+            if re.search("[A-Za-z]", m[0]) and ratio >= min_ratio:
+                spans.append((m.start(), m.end()))
+        out.append(spans)
+    return out
+
+
 def licenses(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
     places, labels = [], set()

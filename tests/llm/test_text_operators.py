@@ -1,6 +1,7 @@
 """The text operators against brute force, on the given documents and on odd rows."""
 
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
@@ -117,6 +118,27 @@ def test_secrets(table):
     assert sorted(map(tuple, got), key=key) == sorted(((i, *brute.secrets(t)[:4]) for i, t in texts(table)), key=key)
 
 
+def test_markov_spans_equal_brute_force(spark, docs):
+    rng = np.random.default_rng(6)
+    letters = list(brute.ALPHABET)
+    made = ["".join(rng.choice(letters, int(n))) for n in rng.integers(10, 60, 400)]
+    rows = [(50_000 + i, f"token={t} x" if i % 2 else f"see {t}, or {t}: {made[i - 1]}") for i, t in enumerate(made)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == "markov"] for r in secret_scan(df).collect()}
+    listed = texts(df)
+    want = dict(zip([i for i, _ in listed], brute.random_tokens([t for _, t in listed]), strict=True))
+    assert out == want and sum(map(len, want.values())) > 100
+
+
+@pytest.mark.parametrize("token", ["aB3/" * 250_000, "x" * 1_000_000, ("q7" * 12 + " ") * 40_000, "token " * 170_000, "ab=" * 330_000])
+def test_secrets_of_very_long_texts(spark, token):
+    rows = [(0, "data:image/png;base64," + token), (1, 'token = "Zz9+abcdefg0"'), *[(2 + i, "some recurring words, identifiers_of_code") for i in range(4)]]
+    start = time.monotonic()
+    out = {r.doc_id: r.found for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == 6 and [s.kind for s in out[1]] == ["assign"]
+    assert time.monotonic() - start < 60
+
+
 def test_markov_models_tell_random_tokens_from_words(spark, docs):
     rng = np.random.default_rng(8)
     alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
