@@ -8,7 +8,6 @@ each word's distribution over languages; a document's language has the largest s
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,18 +25,23 @@ ship(__name__)
 LOG_ROWS = 18
 NGRAMS = 5
 SEGMENT = 128
-EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 MIX = np.uint32(2654435761)
 
 
 def clean(word: str) -> bytes:
     """The word in lower case without other characters than letters at its ends; empty if it has no letter."""
-    return EDGES.sub("", word.lower()).encode()
+    first, last = 0, len(word)
+    while first < last and not word[first].isalpha():
+        first += 1
+    while last > first and not word[last - 1].isalpha():
+        last -= 1
+    return word[first:last].lower().encode()
 
 
 def _rows(h: np.ndarray, salt: int) -> np.ndarray:
     """Rows of the weight table; row zero is no feature."""
-    return (((h ^ np.uint32(salt * 0x9E3779B1 & 0xFFFFFFFF)) * MIX) >> np.uint32(32 - LOG_ROWS)) | np.uint32(1)
+    rows = ((h ^ np.uint32(salt * 0x9E3779B1 & 0xFFFFFFFF)) * MIX) >> np.uint32(32 - LOG_ROWS)
+    return np.maximum(rows, np.uint32(1))
 
 
 def features(words: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -76,13 +80,13 @@ class Model:
     weights: np.ndarray  # [rows, labels]
     transitions: np.ndarray  # [labels, labels], logs
 
-    def scores(self, words: list[bytes]) -> np.ndarray:
+    def scores(self, words: list[bytes], most: int = 1 << 16) -> np.ndarray:
         out = np.zeros((len(words), len(self.labels)), np.float32)
         for at, width in by_width(words):
-            part = [words[i] for i in at]
-            for rows in features(part, width):
-                for j in range(rows.shape[1]):
-                    out[at] += self.weights[rows[:, j]]
+            step = max(1, most // len(at))  # places at a time: many of few long words, one of many short ones
+            for rows in features([words[i] for i in at], width):
+                for j in range(0, rows.shape[1], step):
+                    out[at] += self.weights[rows[:, j : j + step]].sum(axis=1)
         return out
 
 
@@ -265,30 +269,32 @@ def _run(shared, chunk_bytes: int = 8_000_000):
     return run
 
 
-def training_sample(labelled: DataFrame, per_lang: int = 400, n_words: int = 60) -> list[tuple[str, list[str]]]:
-    """About per_lang documents of each language, chosen by a hash of id and text, and of each n_words words in a row."""
+def training_sample(labelled: DataFrame, per_lang: int = 400, n_words: int = 60, max_langs: int = 64) -> list[tuple[str, list[str]]]:
+    """About per_lang documents of each of the max_langs most frequent languages, chosen by a hash of id and text, and of each n_words words in a row."""
     known = labelled.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
+    counts = {r["lang"]: r["count"] for r in counts.collect()}
     if not counts:
         return []
     h = F.xxhash64("doc_id", "text")
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))])
-    chosen = known.filter(F.pmod(h, F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    chosen = known.filter(F.pmod(h, F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)  # null, so false, for other languages
     words = F.split(F.trim("text"), r"\s+")
     first = F.pmod(F.shiftright(h, 20), F.greatest(F.lit(1), F.size("w") - n_words + 1)).cast("int") + 1
     rows = chosen.withColumn("w", words).select("lang", F.slice("w", first, F.lit(n_words)).alias("w"), h.alias("h"))
     return [(r["lang"], r["w"]) for r in sorted(rows.collect(), key=lambda r: (r["h"], r["lang"]))]
 
 
-def identify(docs: DataFrame, labelled: DataFrame, per_lang: int = 400, n_words: int = 60) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, per_lang: int = 400, n_words: int = 60, max_langs: int = 64) -> DataFrame:
     """docs with lang_pred and score: the language of most words of a text and its expected share of them.
 
-    The model learns from labelled(doc_id, text, lang): n_words words of about per_lang documents of each language, which bounds what the
-    driver holds. Predictions depend on text alone. Texts that are null or have no letter are und, with score 0; so are all
-    without labelled rows. Ties go to the first language in order. Rows that repeat each come back the same. Other columns
-    of docs stay; ones with the names of added columns are replaced.
+    The model learns from labelled(doc_id, text, lang): n_words words of about per_lang documents of each of the max_langs most
+    frequent languages, which bounds what the driver holds. Predictions depend on text alone. Texts that are null or have no
+    letter (a character of Unicode's classes L; number signs are none) are und, with score 0; so are all without labelled rows.
+    Ties go to the first language in order. Time grows with the length of a text and of a word. Rows that repeat each come back
+    the same. Other columns of docs stay; ones with the names of added columns are replaced.
     """
-    model = train(training_sample(labelled, per_lang, n_words))
+    model = train(training_sample(labelled, per_lang, n_words, max_langs))
     base = docs.drop("lang_pred", "score")
     if not model.labels:
         return base.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))

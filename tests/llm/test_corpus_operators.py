@@ -2,10 +2,12 @@
 
 import datetime as dt
 import re
+import time
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +251,53 @@ def test_languages_of_odd_rows(odd, none, docs):
     assert {r.lang_pred for r in langid.identify(odd, registry.learnable(docs).limit(0)).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("word, cleaned", [("²", ""), ("½", ""), ("Ⅷ", ""), ("①", ""), ("12_", ""), ("(Don't!", "don't"), ("9Ångström²", "ångström"), ("a1b2", "a1b"), ("", "")])
+def test_words_are_letters(word, cleaned):
+    assert langid.clean(word) == cleaned.encode()
+
+
+def test_languages_of_signs_and_very_long_texts(spark, docs):
+    texts = ["½ ² Ⅷ ①", "1" * 1_000_000, "a" + "1" * 1_000_000 + "a", "the and " * 150_000, "word" * 250_000, "½the½ Ⅷ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.monotonic()
+    out = {r.doc_id: r.lang_pred for r in langid.identify(df, registry.learnable(docs)).collect()}
+    assert out[0] == out[1] == "und" and out[3] == out[5] == "en" and "und" not in (out[2], out[4])
+    assert time.monotonic() - start < 60
+
+
+def test_predictions_equal_a_plain_model(docs):
+    """Whole predictions against sums over words and places, one text at a time, and marginals by plain forward-backward."""
+    model = langid.train(langid.training_sample(registry.learnable(docs)))
+    step = np.exp(model.transitions.astype(float))
+    step /= step.sum(axis=1, keepdims=True)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    names, scores = langid._predict(model, pa.array(texts, pa.string()))
+    for text, name, score in zip(texts, names, scores, strict=True):
+        kept = [c for w in (text or "").split() if (c := langid.clean(w))]
+        if not kept:
+            assert (name, score) == ("und", 0)
+            continue
+        potential = []
+        for w in kept:
+            rows = np.concatenate([r[0] for r in langid.features([w], len(w))])
+            total = model.weights[rows[rows > 0]].astype(float).sum(axis=0)
+            potential.append(np.exp(total - total.max()))
+        k = len(model.labels)
+        ahead, back = [np.full(k, 1 / k)], [np.ones(k)]
+        for p in potential:
+            ahead.append((ahead[-1] @ step) * p / ((ahead[-1] @ step) * p).sum())
+        for p in reversed(potential):
+            back.append(step @ (p * back[-1]) / (step @ (p * back[-1])).sum())
+        share = sum(a * b / (a * b).sum() for a, b in zip(ahead[1:], reversed(back[:-1]), strict=True)) / len(kept)
+        assert name == model.labels[int(share.argmax())] and abs(score - share.max()) < 1e-3
+
+
+def test_only_frequent_languages_are_learned(spark):
+    rows = [(i, "one two three four five " * 5, f"l{i % 3}" if i < 30 else f"odd{i}") for i in range(90)]
+    sample = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_langs=3)
+    assert {x for x, _ in sample} == {"l0", "l1", "l2"}
+
+
 # benchmark
 
 
