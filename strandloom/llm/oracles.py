@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from . import warc
+
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -48,16 +50,18 @@ from keyed left join bitmap using (doc_id) group by doc_id"""
 
 
 def _decoded(text: str) -> str:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = f"replace({text}, '{name}', '{char}')"
-    return text
+    """SQL of text with its character references decoded."""
+    names = f"map({list(warc.NAMES)}, {list(warc.NAMES.values())})"
+    character = lambda code: f"chr(case when {code} between 1 and 55295 or {code} between 57344 and 1114111 then {code} else 65533 end::int)"
+    one = f"""case when m[2] != '#' then case when {names}[m[2:-2]] is null then m else {character(f"{names}[m[2:-2]]")} end
+      when lower(m[3]) = 'x' then {character("('0x' || m[4:-2])::bigint")} else {character("m[3:-2]::bigint")} end"""
+    pieces, refs = f"string_split_regex({text}, '{warc.REFERENCE}')", f"regexp_extract_all({text}, '{warc.REFERENCE}')"
+    return f"list_reduce(list_prepend('', list_transform(list_zip({pieces}, list_append(list_transform({refs}, lambda m: {one}), '')), lambda x: x[1] || x[2])), lambda x, y: x || y)"
 
 
-_SKIPPED = "(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<head\\b[^>]*>.*?</head\\s*>"
-_BREAKS = "(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|title|blockquote|pre)\\b[^>]*>"
-_TEXT = f"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{_SKIPPED}', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), '{_BREAKS}', chr(10), 'g')"
-_TEXT = f"regexp_replace(regexp_replace({_decoded(f"regexp_replace({_TEXT}, '<[^>]*>', '', 'g')")}, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
-_TITLE = _decoded("regexp_extract(coalesce(html, ''), '(?is)<title\\b[^>]*>(.*?)</title', 1)")
+_TEXT = f"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{warc.SKIPPED}', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), '{warc.BREAKS}', chr(10), 'g')"
+_TEXT = f"regexp_replace(regexp_replace({_decoded(f"regexp_replace({_TEXT}, '{warc.TAGS}', '', 'g')")}, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+_TITLE = _decoded(f"regexp_extract(coalesce(html, ''), '{warc.TITLE}', 1)")
 
 
 def _urn(text: str) -> str:
@@ -70,7 +74,7 @@ OP8 = f"""
 with src as (select page_id, coalesce(url, '') as target_uri, coalesce(html, '') as payload,
     'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) as source_headers,
     trim({_TEXT}, ' ' || chr(10)) as text, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) as title,
-    len(regexp_extract_all(coalesce(html, ''), '(?i)<a\\b[^>]*\\bhref\\s*=')) as n_links from pages),
+    len(regexp_extract_all(coalesce(html, ''), '{warc.LINKS}')) as n_links from pages),
 resp as (select *, 'sha256:' || sha256(payload) as source_digest,
     {_urn("'response' || chr(10) || coalesce(page_id::varchar, '') || chr(10) || target_uri || chr(10) || sha256(payload)")} as refers_to from src),
 rec as (

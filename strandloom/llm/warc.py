@@ -1,38 +1,75 @@
 """Builder of WARC derivatives: for each response a metadata record and a plain-text conversion record.
 
 Both refer to the response's record, carry the headers of their source and digests of what they hold. Record ids
-are made from what a record is about, so that a repeated run gives the same ones.
+are made from what a record is about, so that a repeated run gives the same ones. Responses are read from WARC files, or made
+from a table of pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from html.entities import name2codepoint
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Named character references that are decoded, the ampersand last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-SKIPPED = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>"
-BREAKS = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|title|blockquote|pre)\b[^>]*>"
-TAGS = r"<[^>]*>"
+# Every pattern matches at each of its beginnings, if need be up to the end of the text: what is never closed costs one pass.
+#: Comments, scripts, styles and titles, without which a page's text is read.
+SKIPPED = "(?is)<(?:!--.*?(?:-->|\\z)|" + "|".join(f"{t}\\b[^>]*(?:>.*?(?:</{t}\\s*>|\\z)|\\z)" for t in ("script", "style", "title")) + ")"
+BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|title|blockquote|pre)\b[^>]*(?:>|\z)"
+#: A tag begins with a letter, a slash and a letter, or a mark of declarations; other angle brackets are text.
+TAGS = r"<(?:/?[A-Za-z]|[!?])[^>]*(?:>|\z)"
+TITLE = r"(?is)<title\b[^>]*(?:>(.*?)(?:</title|\z)|\z)"
+LINKS = r"(?i)<a\b[^<>]*\bhref\s*="
+REFERENCE = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: Names of character references: HTML 4's, and apos.
+NAMES = {**name2codepoint, "apos": 39, "nbsp": 32}
+
+
+CRLF = "\r\n"
+
+
+def _character(code: str) -> str:
+    """SQL of the character of a code point; numbers that are no character become U+FFFD."""
+    valid = f"({code} between 1 and 55295 or {code} between 57344 and 1114111)"
+    return f"decode(unhex(lpad(hex(if({valid}, {code}, 65533L)), 8, '0')), 'UTF-32')"
+
+
+def _decoded(m: str) -> str:
+    """SQL of what the reference m stands for; unknown names stay as they are."""
+    names = f"map_from_arrays(split('{' '.join(NAMES)}', ' '), transform(split('{' '.join(map(str, NAMES.values()))}', ' '), x -> cast(x as bigint)))"
+    base16 = f"cast(conv(substring({m}, 4, length({m}) - 4), 16, 10) as bigint)"
+    base10 = f"cast(substring({m}, 3, length({m}) - 3) as bigint)"
+    named = f"element_at({names}, substring({m}, 2, length({m}) - 2))"
+    return (
+        f"case when substring({m}, 2, 1) != '#' then if({named} is null, {m}, {_character(named)})"
+        f" when lower(substring({m}, 3, 1)) = 'x' then {_character(base16)} else {_character(base10)} end"
+    )
+
+
+def with_decoded(df: DataFrame, column: str) -> DataFrame:
+    """df with the character references of a column decoded, once."""
+    df = df.withColumn("__refs", F.regexp_extract_all(column, F.lit(REFERENCE), F.lit(0)))
+    pieces = F.split(column, REFERENCE, -1)
+    made = F.expr(f"concat(transform(__refs, m -> {_decoded('m')}), array(''))")
+    joined = F.array_join(F.flatten(F.zip_with(pieces, made, lambda x, y: F.array(x, y))), "")
+    return df.withColumn(column, F.when(F.size("__refs") > 0, joined).otherwise(F.col(column))).drop("__refs")
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: no scripts, styles, head or comments; block tags end lines; spaces are single, lines trimmed and not empty."""
+def with_plain_text(df: DataFrame, html: str, out: str) -> DataFrame:
+    """Adds out, the text of a page: no scripts, styles, titles or comments, closed or not; block tags end lines; spaces are single, lines trimmed and not empty.
+
+    A tag ends at the next >, in quotes too. Angle brackets that begin no tag stay.
+    """
     text = F.regexp_replace(F.coalesce(html, F.lit("")), SKIPPED, " ")
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\n]+", " "), BREAKS, "\n")
-    text = F.regexp_replace(text, TAGS, "")
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.regexp_replace(text, r" +", " ")
-    text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
-    return F.btrim(text, F.lit(" \n"))
+    df = with_decoded(df.withColumn(out, F.regexp_replace(text, TAGS, "")), out)
+    text = F.regexp_replace(F.regexp_replace(out, r" +", " "), r" ?\n[ \n]*", "\n")
+    return df.withColumn(out, F.btrim(text, F.lit(" \n")))
 
 
-def page_title(html: Column) -> Column:
-    title = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title\b[^>]*>(.*?)</title", 1)
-    for name, char in ENTITIES.items():
-        title = F.replace(title, F.lit(name), F.lit(char))
-    return F.btrim(F.regexp_replace(title, r"\s+", " "))
+def with_title(df: DataFrame, html: str, out: str) -> DataFrame:
+    df = with_decoded(df.withColumn(out, F.regexp_extract(F.coalesce(html, F.lit("")), TITLE, 1)), out)
+    return df.withColumn(out, F.btrim(F.regexp_replace(out, r"\s+", " ")))
 
 
 def record_id(*parts: Column) -> Column:
@@ -47,9 +84,10 @@ def digest(block: Column) -> Column:
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", status: str = "HTTP/1.1 200 OK") -> DataFrame:
-    """Response records of pages(page_id, url, html): page_id, target_uri, date, record_id, http_headers and payload.
+    """Response records of pages(page_id, url, html), for crawls kept as tables: page_id, target_uri, date, record_id, http_headers, payload and payload_digest.
 
-    Null urls and pages are empty. Pages with equal id, url and payload get the same record id.
+    Such a table has no headers: a status line, type and length are made. Null urls and pages are empty. Pages with equal id, url and payload
+    get the same record id. Other columns are not used.
     """
     payload = F.coalesce("html", F.lit(""))
     uri = F.coalesce("url", F.lit(""))
@@ -61,37 +99,74 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", status: str
         record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), uri, F.sha2(payload, 256)).alias("record_id"),
         head.alias("http_headers"),
         payload.alias("payload"),
+        digest(payload).alias("payload_digest"),
     )
 
 
+def _field(head: str, name: str) -> Column:
+    """The first header of a name; null if there is none."""
+    return F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1), F.lit(""))
+
+
+def read_records(spark: SparkSession, path: str, version: str = "WARC/1.1") -> DataFrame:
+    """Records of WARC files, plain or gzipped: record_type, record_id, refers_to, target_uri, date, content_type, payload_digest, head, block (bytes) and complete.
+
+    Files are cut at version lines by Spark's text reader, so that plain ones are read in parallel. A block that holds such a line itself is cut
+    there too: complete says whether a block has the length its header states. Pieces without a record type are left out.
+    """
+    rows = spark.read.text(path, lineSep=version + CRLF).withColumn("head", F.substring_index("value", CRLF * 2, 1))
+    size = _field("head", "Content-Length").try_cast("int")
+    rest = F.substring(F.col("value").cast("binary"), F.octet_length("head") + 5, F.coalesce(size, F.lit(0)))
+    names = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest"}
+    out = rows.select(*[_field("head", f).alias(c) for c, f in names.items()], "head", rest.alias("block"), size.alias("__size"))
+    out = out.filter("record_type is not null")
+    return out.withColumn("complete", F.coalesce(F.octet_length("block") == F.col("__size"), F.lit(False))).drop("__size")
+
+
+def read_responses(spark: SparkSession, path: str, version: str = "WARC/1.1") -> DataFrame:
+    """HTTP responses of WARC files as responses() returns them, without page_id: their own headers, all lines, and digests are kept.
+
+    payload is text: bytes are taken as ISO-8859-1, US-ASCII or UTF-16 if the headers say so, else as UTF-8 with invalid bytes replaced. A record
+    without a payload digest gets the payload's sha256. Transfer and content encodings must have been undone, as crawls in archives have them.
+    """
+    rows = read_records(spark, path, version).filter("record_type = 'response' and lower(content_type) like 'application/http%'")
+    rows = rows.withColumn("http_headers", F.substring_index(F.col("block").cast("string"), CRLF * 2, 1))
+    rows = rows.withColumn("__bytes", F.expr("substring(block, octet_length(http_headers) + 5)"))
+    charset = F.lower(F.regexp_extract("http_headers", r"(?im)^content-type:[^\r\n]*charset=[\"']?([A-Za-z0-9_.:-]+)", 1))
+    payload = (
+        F.when(charset.isin("iso-8859-1", "latin1", "us-ascii", "ascii", "windows-1252"), F.decode("__bytes", "ISO-8859-1"))
+        .when(charset.isin("utf-16", "utf-16le", "utf-16be"), F.when(charset == "utf-16le", F.decode("__bytes", "UTF-16LE")).otherwise(F.decode("__bytes", "UTF-16")))
+        .otherwise(F.make_valid_utf8(F.col("__bytes").cast("string")))
+    )
+    found = F.coalesce("payload_digest", F.concat(F.lit("sha256:"), F.sha2("__bytes", 256)))
+    return rows.select(F.coalesce("target_uri", F.lit("")).alias("target_uri"), "date", "record_id", F.make_valid_utf8("http_headers").alias("http_headers"), payload.alias("payload"), found.alias("payload_digest"))
+
+
 def derivatives(source: DataFrame) -> DataFrame:
-    """Two records for each response: record_type metadata, then conversion.
+    """Two records for each response of responses() or read_responses(): record_type metadata, then conversion.
 
     metadata holds warc-fields: the page's title, its number of links, the source's headers and its payload's digest. conversion holds the page's
     text. Each has its record_id, refers_to (the response's id), target_uri, date, content_type, content_length (bytes),
-    block_digest, source_digest (of the response's payload), source_headers and block. Repeated responses give
-    repeated records, empty payloads empty texts. Other columns of source are not used.
+    block_digest, source_digest (of the response's payload), source_headers and block, and page_id if source has it. Null payloads and headers are empty.
+    Repeated responses give repeated records, empty payloads empty texts. Time grows with the length of a page, whatever it leaves open.
+    Other columns of source are not used.
     """
-    base = source.select("page_id", "target_uri", "date", "record_id", "http_headers", "payload")
-    base = base.withColumns(
-        {
-            "source_digest": digest(F.col("payload")),
-            "text": plain_text(F.col("payload")),
-            "title": page_title(F.col("payload")),
-            "n_links": F.regexp_count("payload", F.lit(r"(?i)<a\b[^>]*\bhref\s*=")),
-        }
-    )
+    keys = [c for c in ("page_id",) if c in source.columns]
+    base = source.select(*keys, "target_uri", "date", "record_id", F.coalesce("http_headers", F.lit("")).alias("http_headers"), F.coalesce("payload", F.lit("")).alias("payload"), F.col("payload_digest").alias("source_digest"))
+    base = with_title(with_plain_text(base, "payload", "text"), "payload", "title")
+    base = base.withColumn("n_links", F.regexp_count("payload", F.lit(LINKS)))
     fields = F.concat(
         F.lit("title: "), F.col("title"), F.lit("\r\nlinks: "), F.col("n_links").cast("string"),
-        F.lit("\r\nsource-payload-digest: "), F.col("source_digest"), F.lit("\r\nsource-"),
-        F.regexp_replace("http_headers", "\r\n", "\r\nsource-"), F.lit("\r\n"),
+        F.lit("\r\nsource-payload-digest: "), F.coalesce("source_digest", F.lit("")), F.lit("\r\nsource-"),
+        F.regexp_replace("http_headers", CRLF, "\r\nsource-"), F.lit(CRLF),
     )
     made = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), F.col("text").alias("block")),
     )
-    out = base.select("page_id", "target_uri", "date", F.col("record_id").alias("refers_to"), "source_digest", F.col("http_headers").alias("source_headers"), F.explode(made).alias("r"))
-    out = out.select("page_id", "target_uri", "date", "refers_to", "source_digest", "source_headers", "r.*")
+    kept = [*keys, "target_uri", "date"]
+    out = base.select(*kept, F.col("record_id").alias("refers_to"), "source_digest", F.col("http_headers").alias("source_headers"), F.explode(made).alias("r"))
+    out = out.select(*kept, "refers_to", "source_digest", "source_headers", "r.*")
     return out.withColumns(
         {
             "record_id": record_id(F.col("record_type"), F.col("refers_to")),
@@ -101,12 +176,31 @@ def derivatives(source: DataFrame) -> DataFrame:
     )
 
 
+def _record_text(fields: dict[str, Column], block: Column) -> Column:
+    """A record as text; fields that are null are left out."""
+    lines = [F.concat(F.lit(f"{name}: "), value) for name, value in fields.items()]
+    return F.concat(F.concat_ws(CRLF, F.lit("WARC/1.1"), *lines), F.lit(CRLF * 2), block)
+
+
+def response_text(source: DataFrame) -> DataFrame:
+    """One column, value: responses as WARC/1.1 response records, ready for write.text(path, lineSep="\\r\\n\\r\\n")."""
+    block = F.concat(F.coalesce("http_headers", F.lit("")), F.lit(CRLF * 2), F.coalesce("payload", F.lit("")))
+    fields = {
+        "WARC-Type": F.lit("response"), "WARC-Record-ID": F.col("record_id"), "WARC-Target-URI": F.col("target_uri"), "WARC-Date": F.col("date"),
+        "WARC-Payload-Digest": F.col("payload_digest"), "Content-Type": F.lit("application/http;msgtype=response"), "Content-Length": F.octet_length(block).cast("string"),
+    }
+    return source.select(_record_text(fields, block).alias("value"))
+
+
 def warc_text(records: DataFrame) -> DataFrame:
-    """One column, value: records of derivatives() as WARC/1.1 text, ready for write.text(path, lineSep="\\r\\n\\r\\n")."""
-    head = F.concat_ws(
-        "\r\n", F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), "record_type"), F.concat(F.lit("WARC-Record-ID: "), "record_id"),
-        F.concat(F.lit("WARC-Refers-To: "), "refers_to"), F.concat(F.lit("WARC-Target-URI: "), "target_uri"),
-        F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Block-Digest: "), "block_digest"),
-        F.concat(F.lit("Content-Type: "), "content_type"), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
-    )
-    return records.select(F.concat(head, F.lit("\r\n\r\n"), "block").alias("value"))
+    """One column, value: records of derivatives() as WARC/1.1 text, ready for write.text(path, lineSep="\\r\\n\\r\\n").
+
+    Each keeps its source's digest and headers, a line of them in a field X-Source-Header of its own.
+    """
+    headers = F.when(F.col("source_headers") != "", F.replace("source_headers", F.lit(CRLF), F.lit("\r\nX-Source-Header: ")))
+    fields = {
+        "WARC-Type": F.col("record_type"), "WARC-Record-ID": F.col("record_id"), "WARC-Refers-To": F.col("refers_to"), "WARC-Target-URI": F.col("target_uri"),
+        "WARC-Date": F.col("date"), "WARC-Block-Digest": F.col("block_digest"), "X-Source-Payload-Digest": F.col("source_digest"), "X-Source-Header": headers,
+        "Content-Type": F.col("content_type"), "Content-Length": F.col("content_length").cast("string"),
+    }
+    return records.select(_record_text(fields, F.col("block")).alias("value"))
