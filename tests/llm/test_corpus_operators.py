@@ -1,6 +1,8 @@
 """Operators over the corpus: mixing, near copies, languages, benchmark, pseudonyms, web records and the pipeline."""
 
 import datetime as dt
+import gzip
+import hashlib
 import re
 import time
 from collections import Counter
@@ -16,7 +18,7 @@ from strandloom.llm import bitslice, langid, pii, registry, simhash
 from strandloom.llm.components import connected_components
 from strandloom.llm.decontaminate import benchmark_matches, decontaminate
 from strandloom.llm.mixing import leaf_budgets
-from strandloom.llm.warc import derivatives, responses, warc_text
+from strandloom.llm.warc import derivatives, read_records, read_responses, response_text, responses, warc_text, with_plain_text
 
 from . import brute
 from .conftest import ROWS
@@ -374,6 +376,96 @@ def test_texts_are_rewritten_and_linked(spark, odd, none):
     assert Counter(r.doc_id for r in pii.pseudonymize(odd, KEY).collect()) == IDS and pii.pseudonymize(none, KEY).count() == 0
 
 
+VALUES = [
+    ("email", "und.34@mail7.example.com"), ("email", "é@x.org"), ("email", "наталья.1@x.org"), ("email", "0_9+a-b@x.y-z.org"),
+    ("date", "2024-02-29"), ("date", "31/12/1999"), ("date", "12/31/1999"), ("date", "01.02.2003"), ("date", "04/03/1850"), ("date", "2150-01-01"), ("date", "12/30/0007"),
+    ("ssn", "123-45-6789"), ("ipv4", "97.51.17.173"), ("phone", "+1 (017) 555-7713"), ("phone", "555.123.4567"),
+    ("number", "4111 1111 1111 1111"), ("number", "4111111111111112"), ("number", "1234-5678-9012-3"),
+]
+
+
+@pytest.mark.parametrize("kind, value", VALUES)
+def test_values_come_back(kind, value):
+    name, new = pii.pseudonym(kind, value, KEY)
+    assert new != value and (len(new) == len(value) or kind == "ipv4") and pii.pseudonym(kind, new, KEY, undo=True) == (name, value)
+    assert pii.pseudonym(kind, value, b"another key")[1] != new
+
+
+def test_dates_of_a_format_never_meet():
+    """Different texts become different ones: over all days of a year, day first, month first and dotted."""
+    days = [dt.date(1996, 1, 1) + dt.timedelta(i) for i in range(366)]
+    day_first = {f"{d.day:02}/{d.month:02}/{d.year}" for d in days}
+    all_texts = sorted(day_first | {f"{d.month:02}/{d.day:02}/{d.year}" for d in days})
+    new = {t: pii.pseudonym("date", t, KEY)[1] for t in all_texts}
+    assert len(set(new.values())) == len(all_texts)
+    assert all(1900 <= int(t[-4:]) < 2100 for t in new.values())
+    iso = pii.pseudonym("date", "1996-03-02", KEY)[1]
+    assert new["02/03/1996"] == f"{iso[8:]}/{iso[5:7]}/{iso[:4]}"  # equal dates stay linked
+
+
+def test_what_cannot_change_is_not_counted(spark):
+    rows = [(1, "._é@x.org and ++@x.org and \u0301@x.org, --a@b.c"), (2, "no at, 12/32/1999 0000-01-01")]
+    out = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    assert out[1].n_email == 2 and "++@x.org and \u0301@x.org, --" in out[1].text and "é@" not in out[1].text
+    assert out[2].text == rows[1][1] and out[2].n_date == 0
+
+
+def plain_rewrite(text):
+    """Pseudonyms by a scan that tries each place in turn, for texts of ASCII."""
+    for patterns in (("email",), ("date", "ssn", "ipv4", "phone", "number")):
+        out, at = "", 0
+        while at < len(text):
+            found = None
+            for kind in patterns:
+                if kind == "email":
+                    # the first letter or digit of a run of characters of addresses
+                    start = re.search(r"[\w.+-]*\Z", text[:at])[0]
+                    if text[at].isalnum() and not start.strip("_.+-"):
+                        found = re.match(r"[\w.+-]*@[\w-]+(\.[\w-]+)+", text[at:])
+                else:
+                    found = re.compile(BRUTE[kind]).match(text, at)
+                if found:
+                    break
+            value = found[0] if found else text[at]
+            new = pii.pseudonym(kind, value, KEY) if found else None
+            out, at = out + (new[1] if new else value), at + len(value)
+        text = out
+    return text
+
+
+BRUTE = {
+    "date": r"(?<![\w.-])(\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\w-])",
+    "ssn": r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
+    "ipv4": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
+    "phone": r"(?<!\w)(\+\d{1,3}[ .-]?)?(\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\w)",
+    "number": r"(?<!\w)\d([ -]?\d){12,18}(?!\w)",
+}
+
+
+def test_rewriting_equals_brute_force_and_comes_back(docs, spark):
+    rng = np.random.default_rng(12)
+    made = []
+    for i in range(300):
+        pieces = [VALUES[k][1] if rng.random() < 0.6 else "".join(rng.choice(list("0129 .-@/ax+("), 6)) for k in rng.integers(0, len(VALUES), 6)]
+        made.append((90_000 + i, "".join(p + str(rng.choice(["", " ", ", ", "\n"])) for p in pieces)))
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    before = {r.doc_id: r.text for r in df.collect()}
+    out = pii.pseudonymize(df, KEY)
+    after = {r.doc_id: r.text for r in out.collect()}
+    assert sum(after[i] != before[i] for i in before) > 200
+    assert {i: after[i] for i, t in before.items() if t and t.isascii() and len(t) < 3000} == {i: plain_rewrite(t) for i, t in before.items() if t and t.isascii() and len(t) < 3000}
+    again = {r.doc_id: r.text for r in pii.restore(out, KEY).collect()}
+    assert all((t or "").lower() == (again[i] or "").lower() for i, t in before.items())
+
+
+@pytest.mark.parametrize("piece", ["a", "ab.", "a@", "1", "1 ", "1.", "12-", "@", "a@b", "+1 (", "4111 1111 1111 1111 ", "x@y.z "])
+def test_values_of_very_long_texts(spark, piece):
+    text = "x@y " + piece * (1_000_000 // len(piece))
+    start = time.monotonic()
+    assert len(pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).first().text) == len(text)
+    assert time.monotonic() - start < 60
+
+
 # web records
 
 
@@ -389,6 +481,76 @@ def test_records_refer_to_their_response(spark):
     assert derivatives(src.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("&eacute; &#8217; caf&#233; &mdash; &#xE9;&#X1F600; &amp;lt; &unknown; &#0;&#55296; AT&T", "é \u2019 café \u2014 é\U0001f600 &lt; &unknown; \ufffd\ufffd AT&T"),
+        ("1 < y and z > w <b>bold</b> a<3 </ x>", "1 < y and z > w bold a<3 </ x>"),
+        ("<p>a<!-- b --><script>c</script><style>d</style>e<br>f<p>g", "a e\nf\ng"),
+        ("a<!-- never closed <p>b", "a"), ("a<script>b <p>c", "a"), ("a<title>b", "a"), ("a<b c", "a"), ("a <!DOCTYPE html> <?x?> b", "a b"),
+        ("", ""), (None, ""),
+    ],
+)
+def test_text_of_pages(spark, html, text):
+    assert with_plain_text(spark.createDataFrame([(html,)], "h string"), "h", "t").first().t == text
+
+
+@pytest.mark.parametrize("piece", ["<!-- x ", "<script>", "<script ", "<head>", "<title>", "<title ", "<p ", "<", "<a ", "</", "&amp", "&#", "<a href=x>&eacute;</a> ", "text \n"])
+def test_very_long_pages(spark, piece):
+    html = piece * (1_000_000 // len(piece))
+    start = time.monotonic()
+    out = derivatives(responses(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))).collect()
+    assert len(out) == 2 and time.monotonic() - start < 60
+
+
+def test_records_of_odd_rows(odd, none):
+    pages = odd.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), F.lit("x").alias("payload"), F.lit("x").alias("record_id"), F.lit("x").alias("block"))
+    out = derivatives(responses(pages)).collect()
+    assert Counter(r.page_id for r in out) == Counter({i: 2 * n for i, n in IDS.items()})
+    assert all(r.content_length == len(r.block.encode()) and r.block_digest == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest() for r in out)
+    assert derivatives(responses(pages.limit(0))).count() == 0
+
+
+WARC = [
+    ("response", "<urn:uuid:1>", "http://a/x", "application/http; msgtype=response", "sha1:ABC", b"HTTP/1.1 200 OK\r\nServer: s/1.0\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n<p>caf\xe9</p>\r\n\r\nmore"),
+    ("response", "<urn:uuid:2>", "http://b", "application/http", None, "HTTP/1.0 404 No\r\nX-Empty:\r\n\r\nné \U0001f600".encode()),
+    ("response", "<urn:uuid:3>", "http://c", "application/http", None, b"HTTP/1.1 304 Not Modified\r\nETag: x\r\n\r\n"),
+    ("request", "<urn:uuid:4>", "http://a/x", "application/http; msgtype=request", None, b"GET / HTTP/1.1\r\n\r\n"),
+]
+
+
+def test_warc_files_keep_headers_and_digests(spark, tmp_path):
+    raw = b""
+    for kind, name, uri, content, payload_digest, block in WARC:
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\nWARC-Date: 2020-02-03T04:05:06Z\r\nWARC-Target-URI: {uri}\r\n"
+        head += (f"WARC-Payload-Digest: {payload_digest}\r\n" if payload_digest else "") + f"Content-Type: {content}\r\nContent-Length: {len(block)}\r\n\r\n"
+        raw += head.encode() + block + b"\r\n\r\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(raw)
+    with gzip.open(tmp_path / "in" / "b.warc.gz", "wb") as f:
+        f.write(raw.replace(b"urn:uuid:", b"urn:uuid:z"))
+    source = read_responses(spark, str(tmp_path / "in"))
+    got = {r.record_id: r for r in source.collect()}
+    assert len(got) == 6 and got["<urn:uuid:1>"].payload == "<p>café</p>\r\n\r\nmore" and got["<urn:uuid:2>"].payload == "né \U0001f600" and got["<urn:uuid:3>"].payload == ""
+    assert got["<urn:uuid:1>"].http_headers == WARC[0][5].split(b"\r\n\r\n")[0].decode() and got["<urn:uuid:z1>"].payload_digest == "sha1:ABC"
+    assert got["<urn:uuid:2>"].payload_digest == "sha256:" + hashlib.sha256(WARC[1][5].split(b"\r\n\r\n")[1]).hexdigest()
+    # written again and read, responses are what they were (payloads in UTF-8 now, so those of another charset are left out)
+    plain = source.filter("http_headers not like '%8859%'")
+    response_text(plain).write.text(str(tmp_path / "again"), lineSep="\r\n\r\n")
+    assert sorted(map(tuple, read_responses(spark, str(tmp_path / "again")).collect())) == sorted(map(tuple, plain.collect()))
+    # derivatives, written and read, hold their text, what they refer to, and their source's digest and headers
+    made = derivatives(source)
+    warc_text(made).write.text(str(tmp_path / "out"), lineSep="\r\n\r\n")
+    back = {r.record_id: r for r in read_records(spark, str(tmp_path / "out")).collect()}
+    rows = made.collect()
+    assert len(back) == len(rows) == 12
+    for r in rows:
+        b = back[r.record_id]
+        assert (b.record_type, b.refers_to, b.target_uri, b.date, b.content_type, bytes(b.block).decode(), b.complete) == (r.record_type, r.refers_to, r.target_uri, r.date, r.content_type, r.block, True)
+        assert f"\r\nX-Source-Payload-Digest: {r.source_digest}\r\n" in b.head and r.refers_to in got
+        assert all(f"\r\nX-Source-Header: {line}" in b.head for line in r.source_headers.split("\r\n"))
+
+
 # pipeline
 
 
