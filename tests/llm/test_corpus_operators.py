@@ -330,6 +330,71 @@ def test_exact_and_edited_passages(spark):
     assert sorted(map(tuple, blocks)) == sorted(map(tuple, out.values()))
 
 
+def plain_scores(docs, items, min_score=0.5, min_words=5):
+    """{(doc, item): score} by Smith-Waterman of every item with every whole text."""
+    out = {}
+    for i, text in docs:
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        for k, item in items:
+            words = re.findall(r"[^\W_]+", (item or "").lower())
+            if len(words) < max(3, min_words) or not w:
+                continue
+            number = {x: n for n, x in enumerate(dict.fromkeys(words))}
+            t, best, row = np.array([number.get(x, -1) for x in w]), 0, np.zeros(len(w) + 1, np.int64)
+            for x in words:
+                new = np.maximum(row - 1, 0)
+                new[1:] = np.maximum(new[1:], row[:-1] + np.where(t == number[x], 2, -1))
+                row = np.maximum.accumulate(new + np.arange(len(new))) - np.arange(len(new))
+                best = max(best, int(row.max()))
+            if best >= min_score * 2 * len(words):
+                out[i, k] = best / (2 * len(words))
+    return out
+
+
+def test_all_pairs_of_the_tables(spark, docs):
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.score for r in benchmark_matches(docs, items).collect()}
+    want = plain_scores([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in items.select("item_id", "text").collect()])
+    assert got == want and want
+
+
+@pytest.mark.parametrize("min_score", [0.5, 0.6, 0.8])
+def test_edited_passages_against_all_pairs(spark, docs, min_score):
+    """Words inserted, left out, replaced and swapped, more and less of them: every pair that reaches the score, and no other."""
+    rng = np.random.default_rng(int(10 * min_score))
+    common = "the of and de to in a is it that".split()
+    items, texts = [], []
+    for k in range(60):
+        item = [str(rng.choice(common)) if rng.random() < 0.5 else f"w{rng.integers(300)}" for _ in range(int(rng.integers(5, 40)))]
+        items.append((f"item {k}", " ".join(item)))
+        for j in range(6):
+            rate, out = (0.15, 0.3, 0.45, 0.6, 0.8, 1.0)[j], []
+            for i, w in enumerate(item):
+                what = rng.integers(4) if rng.random() < rate else -1
+                out += {0: [], 1: [w, f"x{rng.integers(99)}"], 2: [f"y{rng.integers(99)}"], 3: [w, str(rng.choice(common))]}.get(int(what), [w])
+            filler = lambda: [str(rng.choice(common)) if rng.random() < 0.4 else f"w{rng.integers(300)}" for _ in range(int(rng.integers(60)))]
+            texts.append((1000 * k + j, " ".join(filler() + out + filler())))
+    # a word after every word, and every third word replaced
+    items.append(("spread", " ".join(f"s{i}" for i in range(24))))
+    texts.append((99_000, " ".join(f"s{i} and" for i in range(24))))
+    texts.append((99_001, " ".join(f"s{i}" if i % 3 else f"z{i}" for i in range(24))))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in benchmark_matches(df, spark.createDataFrame(items, "item_id string, text string"), min_score).collect()}
+    want = plain_scores(texts, items, min_score)
+    print(f"recall {len(got.keys() & want.keys())} of {len(want)} at {min_score}")
+    assert got == want and len(want) > 60
+    assert min_score > 0.5 or {99_000, 99_001} <= {i for i, _ in got}
+
+
+def test_benchmark_of_very_long_texts(spark):
+    item = " ".join(ITEM)
+    rows = [(1, f"{'filler words here ' * 60_000} {item}"), (2, f"{item} " * 9000), (3, "a" * 1_000_000), (4, "the old clock " * 70_000), (5, "_" * 1_000_000)]
+    start = time.monotonic()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in benchmark_matches(df, spark.createDataFrame([("x", item)], "item_id string, text string")).collect()) == [1, 2]
+    assert time.monotonic() - start < 60
+
+
 def test_benchmark_of_odd_rows(odd, none, spark):
     items = spark.createDataFrame([(1, ROWS[0][1].split("\n")[0])], "item_id long, text string")
     assert sorted(r.doc_id for r in benchmark_matches(odd, items).collect()) == [1, 2, 2]
