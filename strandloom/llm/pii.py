@@ -94,7 +94,6 @@ def ssn_valid(d: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
 
-@lru_cache(1000)
 def _letters(page: int) -> str:
     """Lower-case letters, and letters without case, of a page of 256 code points, without ASCII."""
     return "".join(c for c in map(chr, range(256 * page, 256 * page + 256)) if c.isalpha() and c == c.lower() and not c.isascii())
