@@ -2,8 +2,8 @@
 
 Every document gets counts from its words and lines. Their distributions are gathered for each language and
 source in mergeable quantile sketches with a relative error (counts in buckets whose bounds grow by a constant
-factor), merged to sketches of the language and of the corpus for groups with few documents. Fences drawn from
-the sketches' quartiles are joined to the documents and decide which stay.
+factor), merged to sketches of the language and of the corpus. Fences drawn from the sketches' quartiles, those of small groups
+drawn towards their language's and the corpus's, are joined to the documents and decide which stay.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize, null_safe
 
-#: metric: (expression, least distance of a fence from its quartile, whether a low fence holds too)
+#: metric: (expression, least distance of a fence from its quartile, whether a low fence holds too). Most documents of most groups have
+#: shares of zero, whose quartiles don't differ: distances under the least one are not odd, however alike a group is.
 METRICS = {
     "symbol_share": ("n_symbols / n_words", 0.1, False),
     "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", 0.5, False),
-    "repeat_share": ("n_repeat_words / n_words", 0.3, False),
+    "repeat_share": ("n_repeat_words / n_words", 0.25, False),
     "word_length": ("word_chars / n_words", 1.5, True),
 }
 GROUP = ["lang", "source"]
@@ -91,8 +92,12 @@ def sketch_quantiles(sketches: DataFrame, keys: list[str], quantiles: dict[str,
     return df.groupBy(*by).agg(F.first("total").alias("total"), *at)
 
 
-def fences(rows: DataFrame, reach: float = 4.0, min_docs: int = 200) -> DataFrame:
-    """One row (lang, source, and low and high of each metric) for each group in rows(lang, source, metrics...)."""
+def fences(rows: DataFrame, reach: float = 4.0, prior_docs: int = 200) -> DataFrame:
+    """One row (lang, source, and low and high of each metric) for each group in rows(lang, source, metrics...).
+
+    A language's quartiles are means of its own and the corpus's, which count as prior_docs documents; a group's, of its own and its language's.
+    So a group's own documents count the more, the more there are, without a size at which another rule sets in.
+    """
     names = list(METRICS)
     fine = materialize(quantile_sketches(rows, names, GROUP), "quality-sketches")
     quartiles = {"q1": 0.25, "q3": 0.75}
@@ -103,10 +108,11 @@ def fences(rows: DataFrame, reach: float = 4.0, min_docs: int = 200) -> DataFram
     own, lang, corpus = (d.withColumnsRenamed({"total": f"n{i}", "q1": f"q1_{i}", "q3": f"q3_{i}"}) for i, d in enumerate(levels))
     df = null_safe(null_safe(own, lang, ["lang", "metric"], "left"), corpus, ["metric"], "left")
 
-    def chosen(q: str) -> Column:
-        return F.when(F.col("n0") >= min_docs, F.col(f"{q}_0")).when(F.col("n1") >= min_docs, F.col(f"{q}_1")).otherwise(F.col(f"{q}_2"))
+    def drawn(n: Column, own: Column, parent: Column) -> Column:
+        return (n * own + prior_docs * parent) / (n + prior_docs)
 
-    df = df.select(*GROUP, "metric", chosen("q1").alias("q1"), chosen("q3").alias("q3"))
+    quartile = {q: drawn(F.col("n0"), F.col(f"{q}_0"), drawn(F.col("n1"), F.col(f"{q}_1"), F.col(f"{q}_2"))) for q in quartiles}
+    df = df.select(*GROUP, "metric", *[c.alias(q) for q, c in quartile.items()])
     spread = (F.col("q3") - F.col("q1")) * reach
     out = []
     for name, (_, least, low) in METRICS.items():
@@ -117,20 +123,19 @@ def fences(rows: DataFrame, reach: float = 4.0, min_docs: int = 200) -> DataFram
     return df.groupBy(*GROUP).agg(*out)
 
 
-def quality_rules(docs: DataFrame, reach: float = 4.0, min_docs: int = 200, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+def quality_rules(docs: DataFrame, reach: float = 4.0, prior_docs: int = 200, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """One row for each document: doc_id, lang, source, its counts, base_failed, kept and the rules it broke.
 
     base_failed: fewer than min_words words, or over max_repeat percent of them in repeated windows. Sketches hold
     the documents that pass this. A document is kept if it passes and lies within the fences of its group: reach
-    times the distance of the quartiles beyond them, of the language or the corpus if a group has under min_docs
-    documents. Null or empty texts have no words and fail; null languages and sources are groups of their own.
+    times the distance of the quartiles beyond them (see fences). Null or empty texts have no words and fail; null languages and sources are groups of their own.
     Rows that repeat a document count each time. Other columns of docs are not used.
     """
     counts = base_counts(docs.select("doc_id", "text", *GROUP)).drop("text")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     counts = materialize(counts.withColumn("base_failed", failed), "quality-counts")
     passed = counts.filter("not base_failed").select(*GROUP, *[F.expr(e).alias(m) for m, (e, _, _) in METRICS.items()])
-    joined = null_safe(counts, fences(passed, reach, min_docs), GROUP, "left")
+    joined = null_safe(counts, fences(passed, reach, prior_docs), GROUP, "left")
     broken = []
     for name, (e, _, low) in METRICS.items():
         value = F.when(~F.col("base_failed"), F.expr(f"if(n_words > 0, {e}, 0.0)"))
