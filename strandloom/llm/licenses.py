@@ -9,6 +9,8 @@ common words, are compared.
 from __future__ import annotations
 
 import math
+import re
+import string
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, materialize, null_safe
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 #: Phrases and labels of the base rule.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Sentences that mark a license, in the words of WORDS, and their labels.
@@ -33,26 +36,35 @@ TEMPLATES = {
     "this source code form is subject to the terms of the mozilla public license": "mpl-2",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
 }
-#: Words of a window, and between the starts of windows over a whole text: any BLOCK - STEP + 1 words in a row lie in one.
-BLOCK, STEP = 64, 16
+#: Least words of a window. Windows over a whole text start a quarter of their words apart: any three quarters of them in a row lie in one.
+BLOCK = 64
+#: Templates are a short list, which plans hold as literals; the prefixes of more than so many words are not broadcast.
+MOST_TEMPLATES, MOST_PREFIXES = 1000, 200_000
 
 
 def _sql_array(values) -> str:
-    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+    return "array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
 
 
 def _needed(words: list[str], share: float) -> int:
     return math.ceil(share * len(words) - 1e-9)
 
 
+def block_words(templates: dict[str, str]) -> int:
+    """Words of a window: BLOCK, or twice the longest template's if that is more, in fours."""
+    return max(BLOCK, -(-max(len(t.split()) for t in templates) // 2) * 4)
+
+
 def text_blocks(docs: DataFrame, templates: dict[str, str], share: float) -> DataFrame:
     """docs (doc_id, text) with n_words, n_base, first_word, last_word, base_labels and blocks (struct<words>).
 
-    A block is a line; one of more than BLOCK words gives windows of BLOCK words that overlap by half. Windows of BLOCK words
-    over the words of the whole text, one every STEP words, are blocks too, so that a notice may run over several lines:
-    what spans BLOCK - STEP + 1 words or fewer is never cut. blocks keeps, of blocks that could meet a template, the
+    A block is a line; one of more than block_words() words gives windows of as many that overlap by half. Such windows over the words
+    of the whole text, which overlap by three quarters, are blocks too, so that a notice may run over several lines: what
+    spans three quarters of a window or less is never cut. blocks keeps, of blocks that could meet a template, the
     different words that stand in any template.
     """
+    block = block_words(templates)
+    step = block // 4
     vocabulary = sorted({w for t in templates for w in t.split()})
     least = min(_needed(sorted(set(t.split())), share) for t in templates)
     text = ascii_lower(F.coalesce("text", F.lit("")))
@@ -87,10 +99,10 @@ def text_blocks(docs: DataFrame, templates: dict[str, str], share: float) -> Dat
     # a text that lacks too many words of every template has no block that meets one
     enough = [f"size(array_intersect(__any, {_sql_array(ws)})) >= {_needed(ws, share)}" for ws in (sorted(set(t.split())) for t in templates)]
     df = df.withColumn("__enough", F.expr(" or ".join(enough)))
-    windows = f"transform(sequence(1, greatest(1, size(__words) - {BLOCK - STEP}), {STEP}), i -> slice(__words, i, {BLOCK}))"
+    windows = f"transform(sequence(1, greatest(1, size(__words) - {block - step}), {step}), i -> slice(__words, i, {block}))"
     lines = (
-        f"flatten(transform(__lines, x -> if(size(x) <= {BLOCK}, array(x),"
-        f" transform(sequence(1, size(x) - {BLOCK // 2}, {BLOCK // 2}), i -> slice(x, i, {BLOCK})))))"
+        f"flatten(transform(__lines, x -> if(size(x) <= {block}, array(x),"
+        f" transform(sequence(1, size(x) - {block // 2}, {block // 2}), i -> slice(x, i, {block})))))"
     )
     df = df.withColumn("__blocks", F.expr(f"if(__enough, concat({lines}, {windows}), array())"))
     held = f"transform(__blocks, x -> array_intersect(x, {_sql_array(vocabulary)}))"
@@ -122,7 +134,8 @@ def containment_join(blocks: DataFrame, templates: dict[str, str], share: float)
     ranked = ranked.withColumn("__prefix", F.expr(f"slice(__ranked, 1, size(__ranked) - {least} + 1)"))
     probes = ranked.select(*keys, "words", F.posexplode("__prefix").alias("b_at", "__x")).withColumn("word", F.col("__x.w")).drop("__x")
     size = F.size("words")
-    met = probes.join(F.broadcast(index), "word").filter(
+    index = F.broadcast(index) if len(prefixes) <= MOST_PREFIXES else index
+    met = probes.join(index, "word").filter(
         (size >= F.col("need"))
         & (F.col("b_at") <= size - F.col("need"))
         & (1 + F.least(F.col("t_size") - F.col("t_at"), size - F.col("b_at")) - 1 >= F.col("need"))
@@ -135,15 +148,24 @@ def containment_join(blocks: DataFrame, templates: dict[str, str], share: float)
     return met.select(*keys, label.alias("label"), (F.col("__common") / F.col("t_size")).alias("score"))
 
 
-def license_scan(docs: DataFrame, share: float = 0.8, templates: dict[str, str] | None = None) -> DataFrame:
+def template_table(templates: DataFrame) -> dict[str, str]:
+    """Templates of a table (text, label) in the words of WORDS; a list of more than MOST_TEMPLATES is refused, and empty or null ones are left out."""
+    listed = templates.select("text", "label").distinct().limit(MOST_TEMPLATES + 1).collect()
+    if len(listed) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    split = sorted((" ".join(re.findall(WORDS, r["text"].translate(LOWER))), r["label"]) for r in listed if r["text"] and r["label"])
+    return {t: label for t, label in split if t}
+
+
+def license_scan(docs: DataFrame, share: float = 0.8, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """One row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays) and score.
 
     n_base counts the places of PHRASES, first_word and last_word are the smallest and largest start among them,
     in words from 0 (null without any). labels adds those of templates of which a block holds the share of words or
     more. score is 1 with a phrase, else the largest share held by such a block, else 0. Null and empty texts have no words. Rows that repeat
-    a document share what is found. Other columns of docs are not used.
+    a document share what is found. Other columns of docs are not used. templates: texts, in lower-case words, and their labels, or a table (text, label).
     """
-    templates = templates or TEMPLATES
+    templates = template_table(templates) if isinstance(templates, DataFrame) else templates or TEMPLATES
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     scanned = materialize(text_blocks(rows, templates, share), "license-blocks")
     blocks = scanned.select("doc_id", "text_hash", F.explode("blocks").alias("words"))

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from . import warc
+from . import quality, warc
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,9 +85,6 @@ select page_id, record_type, {_urn("record_type || chr(10) || refers_to")} as re
   'sha256:' || sha256(block) as block_digest, source_digest, source_headers, block from rec"""
 
 
-_LEAST = {"symbol_share": (0.1, False), "dup_line_share": (0.5, False), "repeat_share": (0.3, False), "word_length": (1.5, True)}
-
-
 def _level(name: str, keys: str) -> str:
     """Quartiles of the sketches merged to keys."""
     by = ", ".join(filter(None, [keys, "metric"]))
@@ -100,7 +97,7 @@ def _level(name: str, keys: str) -> str:
 
 def _broken() -> str:
     out = []
-    for m, (least, low) in _LEAST.items():
+    for m, (_, least, low) in quality.METRICS.items():
         reach = f"greatest((q3 - q1) * 4.0::double, {least}::double)"
         out.append(f"(metric = '{m}' and (v > q3 + {reach}" + (f" or v < q1 - {reach}" if low else "") + "))")
     return " or ".join(out)
@@ -119,8 +116,8 @@ m as (select doc_id, lang, source, unnest(['symbol_share', 'dup_line_share', 're
     unnest([n_symbols / n_words, n_dup_lines / greatest(n_lines, 1), n_repeat_words / n_words, word_chars / n_words]) as v from f where not base_failed),
 sketch as (select lang, source, metric, case when v > 0 then ceil(ln(v) / ln(1.02::double)) end as bucket, count(*) as n from m group by all),
 {_level("own", "lang, source")}, {_level("lng", "lang")}, {_level("corpus", "")},
-fence as (select own.lang, own.source, own.metric, case when own.total >= 200 then own.q1 when lng.total >= 200 then lng.q1 else corpus.q1 end as q1,
-    case when own.total >= 200 then own.q3 when lng.total >= 200 then lng.q3 else corpus.q3 end as q3
+fence as (select own.lang, own.source, own.metric, (own.total * own.q1 + 200 * ((lng.total * lng.q1 + 200 * corpus.q1) / (lng.total + 200))) / (own.total + 200) as q1,
+    (own.total * own.q3 + 200 * ((lng.total * lng.q3 + 200 * corpus.q3) / (lng.total + 200))) / (own.total + 200) as q3
   from own join lng on own.lang is not distinct from lng.lang and own.metric = lng.metric join corpus on own.metric = corpus.metric),
 bad as (select distinct doc_id from m join fence on m.lang is not distinct from fence.lang and m.source is not distinct from fence.source and m.metric = fence.metric where {_broken().replace("metric =", "m.metric =")})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (from bad) as kept from f"""
@@ -136,9 +133,10 @@ p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
 base as ({base}),
 b as (select doc_id, count(*) as n, min(i) as a, max(i) as z, list_sort(list_distinct(list(label))) as labels from base group by doc_id),
 l as (select doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{words}') as w from d),
-k as (select doc_id, w as b from l where len(w) <= 64 union all select doc_id, list_slice(w, i, i + 63) from (select doc_id, w, unnest(range(1, len(w) - 31, 32)) as i from l where len(w) > 64)),
+k as (select doc_id, w as b from l where len(w) <= 64 union all select doc_id, list_slice(w, i, i + 63) from (select doc_id, w, unnest(range(1, len(w) - 31, 32)) as i from l where len(w) > 64)
+  union all select doc_id, list_slice(w, i, i + 63) from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 48) + 1, 16)) as i from d)),
 tp(t, label) as (values {rows}),
-met as (select doc_id, label, len(list_filter(tp.t, lambda x: list_contains(k.b, x))) / len(tp.t) as share from k, tp),
+met as (select doc_id, label, len(list_intersect(tp.t, k.b)) / len(tp.t) as share from k, tp),
 s as (select doc_id, list(distinct label) as labels, max(share) as score from met where share >= {share}::double group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.a::bigint as first_word, b.z::bigint as last_word, coalesce(array_to_string(b.labels, ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(s.labels, [])))), ','), '') as labels, case when b.n > 0 then 1 else coalesce(score, 0) end::double as score

@@ -94,16 +94,19 @@ def licenses(text):
 
 
 def containment(text, templates, share, block=64):
+    split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x)
+    blocks, text = [], lower(text or "")
+    for w in map(split, text.split("\n")):
+        blocks += [w] if len(w) <= block else [w[i : i + block] for i in range(0, len(w) - block // 2, block // 2)]
+    w = split(text)
+    blocks += [w[i : i + block] for i in range(0, max(1, len(w) - block * 3 // 4), block // 4)]
     best = {}
-    for line in lower(text or "").split("\n"):
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)
-        blocks = [w] if len(w) <= block else [w[i : i + block] for i in range(0, len(w) - block // 2, block // 2)]
-        for b in blocks:
-            for t, label in templates.items():
-                t = set(t.split())
-                held = len(t & set(b)) / len(t)
-                if held >= share - 1e-9:
-                    best[label] = max(best.get(label, 0), held)
+    for b in map(set, blocks):
+        for t, label in templates.items():
+            t = set(t.split())
+            held = len(t & b) / len(t)
+            if held >= share - 1e-9:
+                best[label] = max(best.get(label, 0), held)
     return best
 
 

@@ -47,6 +47,25 @@ def test_quality_keeps_what_is_like_its_group(spark):
     assert all(kept[i] == (i < 1000) for i in kept)
 
 
+def test_each_rule_fires(spark):
+    """In a group alike in each metric, a document that is odd in one breaks that rule; a small group follows its language."""
+    def words(i, n=100):
+        return [f"w{(j * 7 + i) % 997}xy" for j in range(n)]
+
+    plain = [(i, " ".join(words(i)), "en", "a" if i % 50 else "small") for i in range(400)]
+    repeated = words(1)[:13]
+    odd = {
+        1000: " ".join(words(3)) + "#" * 60, 1001: "\n".join(f"lin{x}e" for x in np.random.default_rng(1).integers(0, 40, 100)), 1002: " ".join([*words(5, 69), *repeated, *repeated]),
+        1003: " ".join(w * 3 for w in words(6)), 1004: " ".join(w[1:3] for w in words(7)),
+    }
+    rows = [*plain, *[(i + 10 * (s == "small"), t, "en", s) for i, t in odd.items() for s in ("a", "small")]]
+    out = {r.doc_id: r.broken for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    want = {1000: "high_symbol_share", 1001: "high_dup_line_share", 1002: "high_repeat_share", 1003: "high_word_length", 1004: "low_word_length"}
+    for i, rule in want.items():
+        assert rule in out[i] and rule in out[i + 10], (i, out[i], out[i + 10])
+    assert not any(out[i] for i in range(400))
+
+
 def test_sketches_merge_and_are_close(spark):
     values = np.random.default_rng(3).lognormal(size=4000)
     df = spark.createDataFrame([(float(v), "a" if i % 3 else "b") for i, v in enumerate(values)], "m double, g string")
@@ -205,6 +224,22 @@ def test_wrapped_and_edited_notices(spark):
     assert all(want[i] in out[i] for i in want), {i: out[i] for i in want if want[i] not in out[i]}
 
 
+def test_templates_of_a_table(spark):
+    long = " ".join(f"clause{i}" for i in range(150))
+    table = spark.createDataFrame([(f"Clause Zero, it's: {long}!", "long"), ("Any\nother notice", "short"), (None, "none"), ("--", "empty")], "text string, label string")
+    words = f"clause zero it s {long}".split()
+    rows = [(1, "a b " * 50 + "\n".join(words) + " c d" * 50), (2, " ".join(words[:100])), (3, "ANY other-notice"), (4, None)]
+    out = {r.doc_id: r.labels for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=table).collect()}
+    assert out == {1: ["long"], 2: [], 3: ["short"], 4: []}
+
+
+@pytest.mark.parametrize("piece", ["the license ", "x", "licensed\n", "cc by "])
+def test_licenses_of_very_long_texts(spark, piece):
+    start = time.monotonic()
+    df = spark.createDataFrame([(1, piece * (1_000_000 // len(piece)))], "doc_id long, text string")
+    assert license_scan(df).count() == 1 and time.monotonic() - start < 60
+
+
 def test_containment_join_is_exact(spark):
     rng = np.random.default_rng(2)
     vocabulary = [f"v{i}" for i in range(14)]
