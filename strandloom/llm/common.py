@@ -16,6 +16,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_folders: dict[str, str] = {}
+_leaving: set[str] = set()
 
 
 def ship(*modules: str) -> None:
@@ -43,10 +44,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors. It goes when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/strandloom-text-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if folder not in _leaving:
+        _leaving.add(folder)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -78,8 +78,9 @@ def mix(
     [^\\x20\\x09-\\x0D]+; null and empty texts have none and are never read. The order of an epoch is that of
     md5(seed:epoch:doc_id), then doc_id, then the text's hash; null ids count as the empty string. Rows that
     repeat id and text are read one after the other. Null domains, languages and sources are nodes of their own.
-    Other columns are not used. A leaf's order is cut by the first buckets_hex digits: the sums of the buckets show
-    the one that the prefix ends in, and only that one's rows are sorted, so that no leaf meets in one task.
+    Budgets are rounded down, so that up to a token a node is not spent. Other columns are not used. A leaf's order is cut by the
+    first buckets_hex digits: the sums of the buckets show the one that the prefix ends in, and only that one's rows are
+    sorted, so that no leaf meets in one task.
     """
     counted = docs.select(
         "doc_id",
@@ -97,14 +98,24 @@ def mix(
         F.expr("budget div n_tokens").alias("epochs"),
         (F.col("budget") % F.col("n_tokens")).alias("part"),
     )
-    rows = null_safe(slim, plan, LEVELS, "inner")
+    rows = null_safe(slim, materialize(plan, "mix-budgets"), LEVELS, "inner")
     key = [F.lit(str(seed)), (F.col("epochs") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))]
     rows = rows.withColumn("order_key", F.md5(F.concat_ws(":", *key)))
     rows = rows.withColumn("bucket", F.substring("order_key", 1, buckets_hex))
     by_bucket = [*LEVELS, "bucket"]
-    sums = rows.groupBy(*by_bucket).agg(F.sum("n_tokens").alias("in_bucket"))
-    earlier = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)))
+    sums = materialize(rows.groupBy(*by_bucket).agg(F.sum("n_tokens").alias("in_bucket")), "mix-buckets")
+    # a leaf's buckets are summed up in groups of the same first digit, and the few groups along the leaf
+    sums = sums.withColumn("group", F.substring("bucket", 1, 1))
+    by_group = [*LEVELS, "group"]
+
+    def upto(value: str, part: list[str], order: str) -> Column:
+        earlier = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(earlier), F.lit(0))
+
+    groups = sums.groupBy(*by_group).agg(F.sum("in_bucket").alias("in_group"))
+    groups = groups.withColumn("group_start", upto("in_group", LEVELS, "group")).drop("in_group")
+    starts = null_safe(sums.withColumn("start", upto("in_bucket", by_group, "bucket")), groups, by_group, "inner")
+    starts = starts.withColumn("start", F.col("start") + F.col("group_start")).drop("group", "group_start")
     placed = null_safe(rows, starts, by_bucket, "inner")
     whole, none = F.expr("start + in_bucket <= part"), F.expr("start >= part")
     within = Window.partitionBy(*by_bucket).orderBy("order_key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)

@@ -335,9 +335,9 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """docs without all but one row of each component: the one of the smallest doc_id, then the smallest hash of its text."""
+    """docs without all but one row of each component: the one of the smallest doc_id, then the smallest hash of its text. All columns stay."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    kept = components.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash").distinct()
-    marked = docs.withColumn("text_hash", F.xxhash64("text"))
-    joined = null_safe(marked, kept, ["doc_id", "text_hash"], "inner")
-    return joined.dropDuplicates(["doc_id", "text_hash"]).drop("text_hash")
+    kept = components.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("__text_hash")).distinct()
+    marked = docs.withColumn("__text_hash", F.xxhash64("text"))
+    joined = null_safe(marked, kept, ["doc_id", "__text_hash"], "inner")
+    return joined.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
