@@ -639,8 +639,66 @@ def test_pipeline_stages(spark):
     assert {"domain", "n_tokens", "epochs", "last_tokens", "tokens"} <= set(docs.columns)
 
 
+def extra(df):
+    """df with n_chars, a column whose name has a dot, and a null one."""
+    return df.withColumns({"n_chars": F.length("text").cast("long"), "a.b": F.lit("x"), "empty": F.lit(None).cast("array<int>")})
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_of_odd_rows(spark, odd, k):
+    """Each stage on nulls, empty and long texts, repeats and clashing columns: which rows stay, and that their other columns do."""
+    docs = extra(odd)
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, docs, DATA)
+    rows = out.collect()
+    ids = Counter(r.doc_id for r in rows)
+    letters = Counter(i for i, t, _, _ in ROWS if any(c.isalpha() for c in t or ""))
+    if name == "mixing":
+        added = ["domain", "n_tokens", "epochs", "last_tokens", "tokens"]
+        assert set(out.columns) == set(docs.columns) | set(added) and set(ids) <= set(letters)
+    else:
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert all(r["a.b"] == r.text_hash == r.words == r.lang_pred == r.n_lines == r.tokens == "x" and r.empty is None for r in rows)
+    if name == "language identification":
+        assert set(ids) <= set(letters) and all(n == letters[i] for i, n in ids.items()) and {1, 2, 6} <= set(ids)
+    if name == "line dedup":
+        assert ids == IDS and all(r.n_chars == len(r.text) for r in rows)
+    if name == "near dedup":
+        assert ids == {1: 1, 3: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, None: 1}
+    if name == "decontamination":
+        assert ids == IDS
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_of_an_empty_table(spark, none, k):
+    assert corpus_pipeline.STAGES[k][1](spark, extra(none), DATA).count() == 0
+
+
+def test_near_copies_of_the_tables(spark):
+    """All pairs of similarity 0.8 or more among the given documents, by inverted lists of shingles; the share that the stage links is printed."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: frozenset(map(int, simhash.shingle_hashes((r.text or "").encode(), 5))) for r in docs.collect()}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    common = Counter((a, b) for listed in holders.values() for k, a in enumerate(listed) for b in listed[k + 1 :])
+    similar = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, similarity=0.8).collect()}
+    linked = sum(found[a] == found[b] for a, b in similar)
+    print(f"{linked} of {len(similar)} pairs")
+    assert linked >= 0.99 * len(similar) > 0
+    # and no more than these pairs link
+    root = {i: i for i in sets}
+    for _ in range(20):
+        for a, b in similar:
+            root[a] = root[b] = min(root[a], root[b])
+    nothing = min((i for i, s in sets.items() if not s), default=None)
+    assert all(found[i] == (root[i] if sets[i] else nothing) for i in sets)
+
+
 def test_pipeline_of_odd_rows(spark, odd):
-    docs = odd.select("doc_id", "text", "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
+    docs = extra(odd)
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA).cache()
     assert docs.count() > 0
