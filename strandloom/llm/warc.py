@@ -35,13 +35,13 @@ def _character(code: str) -> str:
 
 
 def _decoded(m: str) -> str:
-    """SQL of what the reference m stands for; unknown names stay as they are."""
-    names = f"map_from_arrays(split('{' '.join(NAMES)}', ' '), transform(split('{' '.join(map(str, NAMES.values()))}', ' '), x -> cast(x as bigint)))"
+    """SQL of what the reference m stands for; unknown names stay as they are. The map is a constant, made once."""
+    characters = "\x01".join(map(chr, NAMES.values())).replace("'", "\\'")
+    names = f"map_from_arrays(split('{' '.join(NAMES)}', ' '), split('{characters}', '\x01'))"
     base16 = f"cast(conv(substring({m}, 4, length({m}) - 4), 16, 10) as bigint)"
     base10 = f"cast(substring({m}, 3, length({m}) - 3) as bigint)"
-    named = f"element_at({names}, substring({m}, 2, length({m}) - 2))"
     return (
-        f"case when substring({m}, 2, 1) != '#' then if({named} is null, {m}, {_character(named)})"
+        f"case when substring({m}, 2, 1) != '#' then coalesce(element_at({names}, substring({m}, 2, length({m}) - 2)), {m})"
         f" when lower(substring({m}, 3, 1)) = 'x' then {_character(base16)} else {_character(base10)} end"
     )
 
