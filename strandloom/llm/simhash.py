@@ -31,6 +31,8 @@ N_HASHES = 128
 #: Sets of similarity 0.8 share no band in 5 of 100,000 cases, and agree in less than SLACK below 0.8 of their hashes in fewer.
 BANDS, BAND_ROWS = 25, 5
 SLACK = 0.15
+#: Bytes of sets that a block of sets holds, in the mean, before it is cut.
+TILE_BYTES = 64_000_000
 SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (2, N_HASHES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -148,27 +150,41 @@ def _first_reached(radius: int, similarity: float | None):
     return links
 
 
-def _pairs_apart(similarity: float, most: int = 1 << 18):
-    """All pairs (node, other) of a group in different components whose signatures agree by similarity."""
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets of hashes."""
+    return len(np.intersect1d(a, b, assume_unique=True))
+
+
+def _links_apart(similarity: float):
+    """Links (node, other) that join the components of a group: pairs of different ones whose sets are similar, exactly, fewer than rows.
+
+    Pairs whose signatures agree too little are passed over; each other pair of parts that are still apart is compared where it meets.
+    """
 
     def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, part = rows.column("node").to_numpy(), rows.column("part").to_numpy()
+        node, part = rows.column("node").to_numpy(), rows.column("part").to_numpy().copy()
         signs = _signatures(rows)
-        starts = _groups(rows)
-        a, b, held = [], [], 0
-        for start, end in itertools.pairwise([*starts.tolist(), len(node)]):
-            for i in range(start, end - 1):
-                other = i + 1 + np.nonzero(part[i + 1 : end] != part[i])[0]
-                if len(other):
-                    other = other[(signs[other] == signs[i]).mean(axis=1) >= similarity]
-                    a.append(np.full(len(other), node[i]))
-                    b.append(node[other])
-                    held += len(other)
-                if held > most:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["node", "other"])
-                    a, b, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["node", "other"])
+        held = rows.column("shingles")
+        found = []
+        for start, end in itertools.pairwise([*_groups(rows).tolist(), len(node)]):
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in held.slice(start, end - start)] if end - start > 1 else []
+            own = part[start:end]
+            for i in range(len(sets) - 1):
+                others = i + 1 + np.nonzero(own[i + 1 :] != own[i])[0]
+                if len(others):
+                    others = others[(signs[start + others] == signs[start + i]).mean(axis=1) >= similarity - SLACK]
+                for j in others.tolist():
+                    if own[j] == own[i]:
+                        continue
+                    total = len(sets[i]) + len(sets[j])
+                    if min(len(sets[i]), len(sets[j])) < similarity * max(len(sets[i]), len(sets[j])) - 1e-9:
+                        continue
+                    common = _common(sets[i], sets[j])
+                    if common >= similarity * (total - common) - 1e-9:
+                        found.append((node[start + i], node[start + j]))
+                        own[own == own[j]] = own[i]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "other"])
 
     return links
 
@@ -198,14 +214,16 @@ def _by_group(links):
     return run
 
 
-def _deal(blocks: DataFrame, tile: int) -> DataFrame:
+def _deal(blocks: DataFrame, tile: int, carried: DataFrame | None = None) -> DataFrame:
     """Rows (block, key, tile_a, tile_b, ...) of blocks (block, key, node, ...), groups of these four together.
 
-    A block of more than tile rows is cut by a hash of the nodes, and each pair of its tiles is a group by itself.
+    A block of more than tile rows is cut by a hash of the nodes, and each pair of its tiles is a group by itself. carried (node, ...) is joined to the
+    rows that are dealt; then blocks have a column size, the bytes that a node carries, and blocks of more than TILE_BYTES are cut too.
     """
-    large = blocks.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
-    large = materialize(large.withColumn("tiles", F.ceil(F.col("n") / (tile // 2)).cast("int")).drop("n"), "large-blocks")
-    rest = [c for c in blocks.columns if c not in ("block", "key")]
+    n = [F.count(F.lit(1)) / tile, *([F.sum("size") / TILE_BYTES] if carried is not None else [])]
+    large = blocks.groupBy("block", "key").agg((F.greatest(*n) if n[1:] else n[0]).alias("n")).filter(F.col("n") > 1)
+    large = materialize(large.withColumn("tiles", F.ceil(2 * F.col("n")).cast("int")).drop("n"), "large-blocks")
+    rest = [c for c in blocks.columns if c not in ("block", "key", "size")]
     if large.isEmpty():
         dealt = blocks.select("block", "key", F.lit(0).alias("tile_a"), F.lit(0).alias("tile_b"), *rest)
     else:
@@ -215,8 +233,9 @@ def _deal(blocks: DataFrame, tile: int) -> DataFrame:
         cut = cut.filter("tiles = 1 or own != other")
         dealt = cut.select("block", "key", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"), *rest)
     keys = ["block", "key", "tile_a", "tile_b"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt
+    if carried is not None:
+        dealt = dealt.join(carried, "node").select(*keys, "node", *[c for c in rest if c != "node"], *[c for c in carried.columns if c != "node"])
+    return dealt.repartition(*keys).sortWithinPartitions(*keys)
 
 
 def block_links(blocks: DataFrame, radius: int, similarity: float | None, tile: int = 8192) -> DataFrame:
@@ -255,7 +274,7 @@ def _similar(similarity: float):
             keep = []
             for a, b in zip(batch.column("shingles"), batch.column("others"), strict=True):
                 a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
-                common = len(np.intersect1d(a, b, assume_unique=True))
+                common = _common(a, b)
                 keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
             yield batch.select(["node", "other"]).filter(pa.array(keep, pa.bool_()))
 
@@ -273,7 +292,7 @@ def _similar_roots(docs: DataFrame, classes: DataFrame, n_words: int, similarity
     """(node, root) of classes (node, doc_id, text_hash, signature, bands) that are linked to a smaller one.
 
     First each class is compared with the first one of a block that it seems to reach, which joins most copies; then all
-    pairs of a block that are candidates and still apart.
+    pairs of a block that are candidates and still apart, in the tasks that hold the block's sets.
     """
     keys = classes.select(F.explode("bands").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -290,10 +309,11 @@ def _similar_roots(docs: DataFrame, classes: DataFrame, n_words: int, similarity
     roots = materialize(roots.select("node", F.col("root").alias("part")), "first-components")
     parts = blocks.join(roots, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part"))
     mixed = parts.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a != b").select("key")
-    apart = parts.join(mixed, "key").join(classes.select("node", "signature"), "node").select(F.lit(0).alias("block"), "key", "node", "signature", "part")
-    apart = materialize(apart, "blocks-apart")
-    pairs = _deal(apart, tile).mapInArrow(_by_group(_pairs_apart(similarity - SLACK)), "node long, other long")
-    links = materialize(similar_pairs(pairs, sets, similarity), "links-apart")
+    size = sets.select("node", F.octet_length("shingles").alias("size"))
+    apart = parts.join(mixed, "key").join(size, "node").select(F.lit(0).alias("block"), "key", "node", "part", "size")
+    # sets meet in the blocks, and only links that join components leave them: pairs that are nearly similar are never rows
+    dealt = _deal(materialize(apart, "blocks-apart"), tile, sets.join(classes.select("node", "signature"), "node"))
+    links = materialize(dealt.mapInArrow(_by_group(_links_apart(similarity)), "node long, other long"), "links-apart")
     if links.isEmpty():
         return roots.withColumnRenamed("part", "root")
     own = roots.union(links.select("node", "other"))
