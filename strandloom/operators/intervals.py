@@ -143,11 +143,19 @@ def cluster_by_gap(iv: DataFrame, gap: int, part: list[str] | None = None, order
 
 
 def cluster_sweep(iv: DataFrame, gaps: list[int], order: list[str] | None = None) -> DataFrame:
-    """cluster_by_gap for each of some gaps, gap among the keys. The list of gaps is short."""
-    df = iv.withColumn("gap", F.explode(F.array(*[F.lit(g) for g in gaps])))
-    part = ["gap", "chrom"]
-    df = label_clusters(df, F.col("gap"), part, order or [])
-    return df.groupBy(*part, "cluster").agg(F.min("s").alias("s"), F.max("s").alias("e"), F.count(F.lit(1)).alias("eff")).drop("cluster")
+    """cluster_by_gap for each of some gaps, gap among the keys. The list of gaps is short.
+
+    Each row's place along the chromosome and the row before it are found once; only rows that begin a cluster are dealt to their
+    gaps, and a cluster ends before the next beginning.
+    """
+    order = order or []
+    df = along(iv.withColumn("__one", F.lit(1)), ["chrom"], "s", order, {"__n": ("sum", "__one")}, before={"__pe": "e", "__ps": "s"})
+    begins = F.filter(F.array(*[F.lit(g) for g in gaps]), lambda g: F.coalesce(F.col("s") - F.col("__pe") - 1 >= g, F.lit(True)))
+    starts = stored(df.select("chrom", "s", *[c for c in order if c != "s"], "__n", "__ps", F.explode(begins).alias("gap")), "cluster-starts")
+    starts = along(starts, ["gap", "chrom"], "s", order, after={"__n_after": "__n", "__e": "__ps"})
+    last = iv.groupBy("chrom").agg(F.count(F.lit(1)).alias("__all"), F.max("s").alias("__last"))
+    size = F.coalesce("__n_after", F.col("__all") + 1) - F.col("__n")
+    return starts.join(last, "chrom").select("gap", "chrom", "s", F.coalesce("__e", "__last").alias("e"), size.alias("eff"))
 
 
 def cluster_spread(iv: DataFrame, gap: int, order: list[str] | None = None, scale: float = 1.4826) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.sources.storage import stored
+
 from . import intervals as iv
 from .ordered import running
 
 
 def draw(seed: int, *keys) -> Column:
-    """A uniform number of 0..1 for each key."""
-    h = F.xxhash64(F.lit(seed), *keys)
-    return F.shiftrightunsigned(h, 11) / float(1 << 53)
+    """A uniform number of 0..1 for each key: the first 13 digits of an md5, which any engine can follow."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def limit_per_group(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
@@ -51,7 +53,7 @@ def weighted_subsequences(reads: DataFrame, key: str, seq: str, weight: str, n:
     """
     scale = 1_000_000
     able = reads.filter((F.length(seq) >= length) & (F.col(weight) > 0)).select(key, seq, F.col(weight).cast("double").alias("__w"))
-    able = able.withColumns({"__p": F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)), "chrom": F.lit("all")})
+    able = able.withColumns({"__p": F.floor(draw(seed, key) * (1 << 30)), "chrom": F.lit("all")})
     upto = running(able, ["chrom"], "__p", [key], {"__to": ("sum", "__w")}, width=1 << 20)
     total = upto.agg(F.max("__to").alias("__all"))
     spans = upto.join(F.broadcast(total))  # one row
@@ -67,7 +69,7 @@ def weighted_subsequences(reads: DataFrame, key: str, seq: str, weight: str, n:
 def augment_mix(df: DataFrame, key: str, values: str, label: str, seed: int) -> DataFrame:
     """Each example's first half with the last half of another, drawn one, and the mean of their labels."""
     w = Window.partitionBy("__b").orderBy(key)
-    placed = df.withColumn("__b", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(64))).withColumn("__i", F.row_number().over(w))
+    placed = df.withColumn("__b", F.floor(draw(seed, key) * 64).cast("int")).withColumn("__i", F.row_number().over(w))
     sizes = placed.groupBy("__b").agg(F.count(F.lit(1)).alias("__m"))
     placed = placed.join(F.broadcast(sizes), "__b")  # 64 rows
     partner = placed.select("__b", F.col("__i").alias("__j"), F.col(values).alias("__v"), F.col(label).alias("__l"))
@@ -94,32 +96,35 @@ def augment_up_down(df: DataFrame, key: str, values: str, seed: int) -> DataFram
     return at.withColumn(values, out).drop("__p", "__up")
 
 
-def shuffle_intervals(features: DataFrame, gaps: DataFrame, chrom_sizes: DataFrame, key: str, seed: int, rounds: int = 20, salt: str | None = None) -> DataFrame:
-    """Features (key, chrom, s, e) at drawn places of their chromosome, outside the gaps; those that find none in rounds are not returned.
+def shuffle_intervals(features: DataFrame, gaps: DataFrame, chrom_sizes: DataFrame, key: str, seed: int, salt: str | None = None) -> DataFrame:
+    """Features (key, chrom, s, e) at drawn places of their chromosome, outside the gaps: s and e are null where none is wide enough.
 
-    Each round draws a base among those not in gaps, as a place in their joined length, for each feature still without a place; a
-    feature keeps its width, and a draw counts if it leaves it clear of gaps and within the chromosome.
+    Each start that keeps a feature clear of gaps and within its chromosome is drawn alike: free runs count by the number of such starts for the
+    feature's width, cumulated along the chromosome for each width, and one draw falls into one of them. A feature keeps its own width; that
+    widths are dealt anew among a chromosome's features would only change which key has which. Makes a row for each free run and each
+    different width that it can hold.
     """
     extra = [salt] if salt else []
-    free = iv.region_gaps(gaps, chrom_sizes).withColumn("__w", F.col("e") - F.col("s") + 1)
-    free = running(free, ["chrom"], "s", [], {"__to": ("sum", "__w")}, width=1 << 20)
-    free = free.withColumnsRenamed({"s": "f_s", "e": "f_e"}).withColumn("__from", F.col("__to") - F.col("__w"))
-    total = free.groupBy("chrom").agg(F.max("__to").alias("__all"))
-    runs = free.select("chrom", (F.col("__from") + 1).alias("s"), F.col("__to").alias("e"), "f_s", "f_e", "__from")
-    tries = features.join(total, "chrom").withColumn("__try", F.explode(F.expr(f"sequence(1, {rounds})")))
-    place = F.floor(draw(seed, F.col(key), F.col("__try"), *extra) * F.col("__all")) + 1
-    tries = tries.select(key, *extra, "chrom", (F.col("e") - F.col("s")).alias("__d"), "__try", place.alias("s")).withColumn("e", F.col("s"))
-    met = iv.overlap_join(tries, runs, 1 << 14)
-    start = F.col("f_s") + F.col("s") - F.col("__from") - 1
-    ok = met.withColumn("start", start).filter(F.col("start") + F.col("__d") <= F.col("f_e"))
-    best = ok.groupBy(key, *extra).agg(F.min(F.struct("__try", "chrom", F.col("start").alias("s"), (F.col("start") + F.col("__d")).alias("e"))).alias("x"))
-    return best.select(key, *extra, "x.chrom", "x.s", "x.e")
+    free = iv.region_gaps(gaps, chrom_sizes).withColumnsRenamed({"s": "f_s", "e": "f_e"})
+    widths = features.select("chrom", (F.col("e") - F.col("s")).alias("__d")).distinct()
+    by_width = F.concat_ws(":", "chrom", "__d")
+    fits = free.join(widths, "chrom").withColumn("__n", F.col("f_e") - F.col("f_s") + 1 - F.col("__d")).filter("__n > 0")
+    fits = stored(fits.select(by_width.alias("chrom"), "f_s", "__n"), "free-runs")
+    runs = running(fits, ["chrom"], "f_s", [], {"e": ("sum", "__n")}).withColumn("s", F.col("e") - F.col("__n") + 1)
+    total = fits.groupBy("chrom").agg(F.sum("__n").alias("__all"))
+    asked = features.select(key, *extra, F.col("chrom").alias("__chrom"), (F.col("e") - F.col("s")).alias("__d"), F.concat_ws(":", "chrom", F.col("e") - F.col("s")).alias("chrom"))
+    asked = stored(asked.join(total, "chrom", "left").withColumn("s", F.floor(draw(seed, key, *extra) * F.col("__all")) + 1), "draws")
+    met = iv.overlap_join(asked.filter("s is not null").withColumn("e", F.col("s")), runs, 1 << 14)
+    start = F.col("f_s") + F.col("s") - F.col("s_b")
+    placed = met.select(key, *extra, F.col("__chrom").alias("chrom"), start.alias("s"), (start + F.col("__d")).alias("e"))
+    nowhere = asked.filter("s is null").select(key, *extra, F.col("__chrom").alias("chrom"), F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))
+    return placed.unionByName(nowhere)
 
 
 def null_quantiles(features: DataFrame, gaps: DataFrame, chrom_sizes: DataFrame, hits: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
-    """Median, 1 and 99 percent quantiles of the share of shuffled features that overlap hits, over reps shuffles."""
+    """Median, 1 and 99 percent quantiles of the share of shuffled features that overlap hits, over reps shuffles; features without a place count in none."""
     many = features.withColumn("rep", F.explode(F.expr(f"sequence(1, {reps})")))
-    drawn = shuffle_intervals(many, gaps, chrom_sizes, key, seed, salt="rep").withColumn("__k", F.concat_ws(":", key, "rep"))
+    drawn = shuffle_intervals(many, gaps, chrom_sizes, key, seed, salt="rep").filter("s is not null").withColumn("__k", F.concat_ws(":", key, "rep"))
     hit = iv.overlaps_any(drawn, hits, "__k").select("__k", F.lit(1).alias("hit"))
     share = drawn.join(hit, "__k", "left").groupBy("rep").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
     q = F.percentile("share", F.array(F.lit(0.5), F.lit(0.01), F.lit(0.99))).alias("q")

@@ -11,6 +11,13 @@ from .registry import query
 K = "read_id"
 
 
+def _draw(seed: int, *keys: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 13))::bigint / 4503599627370496"
+
+
+ARRAYS = "a as (select read_id, list(v100::double order by idx) as v, max(v100) % 2 as label from sig group by read_id)"
+
+
 def _arrays(sig):
     v = F.transform(F.sort_array(F.collect_list(F.struct("idx", "v100"))), lambda x: x.v100.cast("double"))
     return sig.groupBy(K).agg(v.alias("v"), (F.max("v100") % 2).cast("double").alias("label"))
@@ -21,12 +28,12 @@ def _(sig):
     return sm.limit_per_group(sig.withColumn("neg", -F.col("v100")), [K], ["neg", "idx"], 5).select(K, "idx", "v100")
 
 
-@query("H4_shuffle", "pts")
+@query("H4_shuffle", "pts", sql="select * from pts")
 def _(pts):
     return sm.shuffle(pts, "id", 3)
 
 
-@query("H5_holdout", "pts")
+@query("H5_holdout", "pts", sql=f"select *, {_draw(3, 'id')} < 0.1 as held_out from pts")
 def _(pts):
     return sm.holdout(pts, "id", 0.1, 3)
 
@@ -36,7 +43,7 @@ def _(pts):
     return sm.split_by_chrom(pts, "chrom").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("H7_subsample_by_value", "pts")
+@query("H7_subsample_by_value", "pts", sql=f"select * from pts where {_draw(5, 'id')} < case rep when 'BC' then 0.2 when 'BD' then 0.5 else 1 end")
 def _(pts):
     return sm.subsample_by_value(pts, "rep", {"BC": 0.2, "BD": 0.5}, "id", 5)
 
@@ -46,28 +53,58 @@ def _(seqs):
     return sm.weighted_subsequences(seqs.withColumn("w", F.col(K) % 5), K, "seq", "w", 500, 40, 11)
 
 
-@query("H9_augment_mix", "sig")
+@query(
+    "H9_augment_mix", "sig",
+    sql=f"""{ARRAYS}, b as (select *, floor({_draw(7, 'read_id')} * 64) as b from a), n as (select *, row_number() over (partition by b order by read_id) as i, count(*) over (partition by b) as m from b),
+    p as (select *, floor({_draw(8, 'read_id')} * m) + 1 as j from n)
+    select p.read_id, list_concat(p.v[:len(p.v) // 2], n.v[len(p.v) // 2 + 1:]) as v, (p.label + n.label)::double / 2 as label from p join n on n.b = p.b and n.i = p.j""",
+)
 def _(sig):
     return sm.augment_mix(_arrays(sig), K, "v", "label", 7)
 
 
-@query("H9_augment_noise", "sig")
+@query("H9_augment_noise", "sig", sql=f"{ARRAYS} select read_id, label::double as label, list_transform(v, lambda x: x * (0.9::double + 0.2::double * ({_draw(7, 'read_id')}))) as v from a")
 def _(sig):
     return sm.augment_noise(_arrays(sig), K, "v", 7)
 
 
-@query("H9_augment_up_down", "sig")
+@query(
+    "H9_augment_up_down", "sig",
+    sql=f"""{ARRAYS}, p as (select *, floor({_draw(7, 'read_id')} * len(v))::int + 1 as p, {_draw(8, 'read_id')} < 0.5 as up from a)
+    select read_id, label::double as label, list_concat(v[:case when up then p else p - 1 end], v[case when up then p else p + 1 end:]) as v from p""",
+)
 def _(sig):
     return sm.augment_up_down(_arrays(sig), K, "v", 7)
 
 
-@query("H11_shuffle_intervals", "feat", "chrom_sizes", "pts")
+def _places(gaps: str, asked: str, draw: str) -> str:
+    """placed: the rows of asked(fid, chrom, d, ...) with start, among all starts in the parts of their chromosome outside the gaps."""
+    return f"""r as ({gaps} union all select chrom, size + 1, size + 1 from chrom_sizes),
+    m as (select chrom, s, coalesce(max(e) over (partition by chrom order by s, e rows between unbounded preceding and 1 preceding), 0) as top from r),
+    free as (select chrom, top + 1 as s, s - top - 1 as n from m where s > top + 1), w as (select distinct chrom, e - s as d from feat),
+    fits as (select free.chrom, d, free.s, n - d as n, sum(n - d) over (partition by free.chrom, d order by free.s)::bigint as upto from free join w on free.chrom = w.chrom and n > d),
+    total as (select chrom, d, sum(n)::bigint as total from fits group by all),
+    drawn as (select a.*, floor(({draw}) * total)::bigint + 1 as place from ({asked}) a left join total using (chrom, d)),
+    placed as (select drawn.*, fits.s + place - (upto - n) - 1 as start from drawn left join fits on fits.chrom = drawn.chrom and fits.d = drawn.d and place > upto - n and place <= upto)"""
+
+
+@query(
+    "H11_shuffle_intervals", "feat", "chrom_sizes", "pts",
+    sql=f"{_places('select chrom, pos as s, pos + 20 as e from pts', 'select fid, chrom, e - s as d from feat', _draw(13, 'fid'))} select fid, chrom, start as s, start + d as e from placed",
+)
 def _(feat, sizes, pts):
-    gaps = pts.filter("id % 50 = 0").selectExpr("chrom", "pos s", "pos + 300 e")
+    gaps = pts.selectExpr("chrom", "pos s", "pos + 20 e")
     return sm.shuffle_intervals(feat.select("fid", "chrom", "s", "e"), gaps, sizes, "fid", 13)
 
 
-@query("H12_null_quantiles", "feat", "chrom_sizes", "pts")
+@query(
+    "H12_null_quantiles", "feat", "chrom_sizes", "pts",
+    sql=f"""{_places("select chrom, pos as s, pos + 20 as e from pts where rep = 'BD'", 'select fid, chrom, e - s as d, rep from feat, range(1, 11) t(rep)', _draw(13, 'fid', 'rep'))},
+    x as (select rep, exists (select 1 from pts where pts.rep = 'BC' and pts.chrom = placed.chrom and pos between start and start + d) as hit from placed where start is not null),
+    sh as (select rep, avg(hit::int) as share from x group by rep)
+    select round(quantile_cont(share, 0.5), 9) as median, round(quantile_cont(share, 0.01), 9) as q01, round(quantile_cont(share, 0.99), 9) as q99 from sh""",
+)
 def _(feat, sizes, pts):
-    gaps = pts.filter("id % 50 = 0").selectExpr("chrom", "pos s", "pos + 300 e")
-    return sm.null_quantiles(feat.select("fid", "chrom", "s", "e"), gaps, sizes, pts.selectExpr("chrom", "pos s", "pos e"), "fid", 10, 13)
+    gaps, hits = pts.filter("rep = 'BD'").selectExpr("chrom", "pos s", "pos + 20 e"), pts.filter("rep = 'BC'").selectExpr("chrom", "pos s", "pos e")
+    out = sm.null_quantiles(feat.select("fid", "chrom", "s", "e"), gaps, sizes, hits, "fid", 10, 13)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
