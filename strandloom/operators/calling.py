@@ -64,12 +64,14 @@ def motif_sites(reads: DataFrame, key: str, seq: str, motif: str) -> DataFrame:
 
 def template_offset(template: DataFrame, signal: DataFrame, key: str, idx: str, value: str, most: int = 5000, limit: float = 100.0) -> DataFrame:
     """(key, offset, gap): where the short template lies in the signal of the same read: the offset, up to most, of the smallest mean squared
-    difference, the first of equal ones; reads whose gap exceeds limit go. Only offsets at which the whole template fits count."""
-    t = template.select(key, F.col(idx).alias("__i"), F.col(value).alias("__t"))
-    s = signal.select(key, F.col(idx).alias("__j"), F.col(value).alias("__s"))
+    difference, the first of equal ones; reads whose gap exceeds limit go. Only offsets at which the whole template fits count.
+
+    Template and signal meet in stretches of most positions, so that places further apart than that make no pairs."""
+    t = template.select(key, F.col(idx).alias("__i"), F.col(value).alias("__t"), F.explode(F.expr(f"array({idx} div {most}, {idx} div {most} + 1)")).alias("__at"))
+    s = signal.select(key, F.col(idx).alias("__j"), F.col(value).alias("__s"), F.expr(f"{idx} div {most}").alias("__at"))
     size = template.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     offset = (F.col("__j") - F.col("__i")).alias("offset")
-    pairs = t.join(s, key).filter((F.col("__j") >= F.col("__i")) & (F.col("__j") - F.col("__i") <= most))
+    pairs = t.join(s, [key, "__at"]).filter((F.col("__j") >= F.col("__i")) & (F.col("__j") - F.col("__i") <= most))
     gap = F.sum((F.col("__t") - F.col("__s")) * (F.col("__t") - F.col("__s"))).alias("__q")
     at = pairs.groupBy(key, offset).agg(gap, F.count(F.lit(1)).alias("__c")).join(size, key).filter("__c = __n")
     at = at.withColumn("gap", F.col("__q") / F.col("__n"))

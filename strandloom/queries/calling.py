@@ -13,6 +13,7 @@ from .joins import KM, k3
 from .kmers import HALF, _hist_sql, _hists
 from .kmers import HIST as HISTS
 from .registry import query
+from .series import OVERLAP
 
 K, I = "read_id", "idx"
 #: The given signals have some dozens of positions: shorter smoothing, and places 100 bases apart.
@@ -99,11 +100,16 @@ def _(sig, reads):
     return out.withColumn("log", F.round("log", 6))
 
 
-@query("K11_score_windows", "sig")
+@query(
+    "K11_score_windows", "sig",
+    sql=f"""{OVERLAP}, w as (select read_id, phase, win, avg(v100 / 100) as m, stddev_pop(v100 / 100) as d from o group by all),
+    sc as (select read_id, phase, win, 1 / (1 + exp(-(0.05::double * m - 0.01::double * d - 1))) as score from w),
+    e as (select read_id, unnest(range(win * 12 + phase * 4, win * 12 + phase * 4 + 12)) as idx, score from sc) select read_id, idx, round(quantile_cont(score, 0.5), 6) as score from e group by read_id, idx""",
+)
 def _(sig):
     w = s.overlapped_windows(sig, 12, 3, K, I).groupBy(K, "phase", "win").agg(F.transform(F.sort_array(F.collect_list(F.struct(I, "v100"))), lambda x: x.v100 / 100).alias("v"))
     scores = k.score_windows(w, [K, "phase", "win"], "v", [0.05, -0.01, 0.0], -1.0)
-    return s.overlap_consensus(scores, 12, 3, K, "score")
+    return s.overlap_consensus(scores, 12, 3, K, "score").withColumn("score", F.round("score", 6))
 
 
 @query("K12_relabel_reads", "seqs", sql="m as (select read_id, seq, read_id % 97 / 96 as p from seqs) select read_id, case when p >= 0.5 then replace(seq, 'TA', 'BA') else seq end as labelled from m where p between 0.1 and 0.9")

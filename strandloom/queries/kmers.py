@@ -121,8 +121,16 @@ def _(sig):
     return x.groupBy("read_id").agg(F.round(F.avg("ratio"), 6).alias("ratio"))
 
 
-@query("J10_refine_kmer_table", "sig")
+def _round(i: int) -> str:
+    """The table t of round i, from that of the round before."""
+    return f"""j{i} as (select k3.*, t{i - 1}.mean as th, left(kmer, 1) != 'T' as u from k3 join t{i - 1} using (kmer)),
+    m{i} as (select read_id, avg(v100) filter (u) as ma, avg(th) filter (u) as mb, stddev_pop(v100) filter (u) as sa, stddev_pop(th) filter (u) as sb from j{i} group by read_id),
+    t{i} as (select kmer, count(*) as n, avg((v100 - ma) * ((sb + sa) / 2) / sa + mb) as mean from j{i} join m{i} using (read_id) where sa > 0 group by kmer)"""
+
+
+@query("J10_refine_kmer_table", "sig", sql=f"{KM}, t0 as (from tab), {', '.join(map(_round, range(1, 7)))} select kmer, n, round(mean, 4) as mean from t6")
 def _(sig):
     from strandloom.plans.kmer_workflow import refine_kmer_table
 
-    return refine_kmer_table(k3(sig), "read_id", "kmer", "v100", F.startswith("kmer", F.lit("T")), rounds=3)
+    table = refine_kmer_table(k3(sig), "read_id", "kmer", "v100", F.startswith("kmer", F.lit("T")), rounds=6)
+    return table.withColumn("mean", F.round("mean", 4))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_leaving: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,7 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path not used before, in a folder of the application that goes when it ends."""
+    folder = f"{shared_folder(spark)}/strandloom-{spark.sparkContext.applicationId}"
+    if folder not in _leaving:
+        _leaving.add(folder)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -72,3 +72,34 @@ def test_empty_inputs(spark):
     assert iv.nearest(some, none, "id").first().distance is None
     assert iv.overlap_join(some, none.withColumnRenamed("id", "i2")).count() == 0
     assert iv.cluster_by_gap(none, 10).count() == 0
+
+
+def test_shuffled_intervals_keep_all_features(spark):
+    """Dense gaps: each feature lands clear of them, on each admissible start alike, or nowhere if no run is wide enough."""
+    from collections import Counter
+
+    from strandloom.operators.sampling import shuffle_intervals
+
+    sizes = spark.createDataFrame([("c", 1000), ("d", 50)], "chrom string, size long")
+    gaps = spark.createDataFrame([("c", s, s + 39) for s in range(60, 1000, 60)] + [("d", 1, 50)], "chrom string, s long, e long")
+    features = [(i, "c", 500, 500 + w) for i, w in enumerate([15] * 400 + [19] * 50 + [58, 59, 900])] + [(1000, "d", 1, 3)]
+    out = {r.id: r for r in shuffle_intervals(spark.createDataFrame(features, "id long, chrom string, s long, e long"), gaps, sizes, "id", 5).collect()}
+    assert set(out) == {f[0] for f in features}
+    taken = {x for s in range(60, 1000, 60) for x in range(s, s + 40)}
+    for i, chrom, s, e in features:
+        r = out[i]
+        if e - s > 58 or chrom == "d":
+            assert r.s is None and r.e is None and r.chrom == chrom
+        else:
+            assert r.e - r.s == e - s and r.s >= 1 and r.e <= 1000 and not taken & set(range(r.s, r.e + 1))
+    starts = Counter(out[i].s for i in range(400))
+    assert len(starts) > 60 and max(starts.values()) < 20
+
+
+def test_expected_signal_joins_every_kmer(spark):
+    from pyspark.sql import functions as F
+
+    from strandloom.operators.joins import expected_signal
+
+    table = spark.range(4**8).select(F.col("id").cast("string").alias("kmer"), F.col("id").alias("expected"))
+    assert expected_signal(table.select("kmer"), table, "kmer", "expected").count() == 4**8
