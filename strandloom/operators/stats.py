@@ -102,39 +102,40 @@ def kde(df: DataFrame, x: str, lo: float, hi: float, n: int, bw: float, by: list
     return grid.groupBy(*by, "i", "at").agg((F.sum(F.col("__c") * kernel) / F.sum("__c")).alias("density"))
 
 
-def per_read(df: DataFrame, key: str, aggs: list[Column]) -> DataFrame:
-    """df with aggregates of its reads."""
-    return df.join(df.groupBy(key).agg(*aggs), key)
+def per_read(df: DataFrame, key: str, aggs: dict[str, Column]) -> DataFrame:
+    """df with aggregates of its reads, in one pass: a read's rows meet in a task."""
+    read = Window.partitionBy(key)
+    return df.withColumns({name: c.over(read) for name, c in aggs.items()})
 
 
 def robust_z(df: DataFrame, x: str, mask: Column, key: str, out: str, scale: float = 1.4826) -> DataFrame:
     """(x - median) by the scaled median distance from it, both over positions outside the mask."""
     df = df.withColumn("__m", mask)
-    df = per_read(df, key, [F.percentile(F.when(~F.col("__m"), F.col(x)), 0.5).alias("__med")])
-    df = per_read(df, key, [(F.percentile(F.when(~F.col("__m"), F.abs(F.col(x) - F.col("__med"))), 0.5) * scale).alias("__mad")])
-    return df.withColumn(out, F.try_divide(F.col(x) - F.col("__med"), "__mad")).drop("__m", "__med", "__mad")
+    df = per_read(df, key, {"__med": F.percentile(F.when(~F.col("__m"), F.col(x)), 0.5)})
+    df = per_read(df, key, {"__mad": F.percentile(F.when(~F.col("__m"), F.abs(F.col(x) - F.col("__med"))), 0.5)})
+    return df.withColumn(out, F.try_divide(F.col(x) - F.col("__med"), F.col("__mad") * scale)).drop("__m", "__med", "__mad")
 
 
 def mean_norm(df: DataFrame, x: str, mask: Column, key: str, out: str) -> DataFrame:
     """(x - mean) / mean of squares, over positions outside the mask."""
     kept = F.when(~mask, F.col(x))
-    df = per_read(df, key, [F.avg(kept).alias("__m"), F.avg(kept * kept).alias("__q")])
+    df = per_read(df, key, {"__m": F.avg(kept), "__q": F.avg(kept * kept)})
     return df.withColumn(out, F.try_divide(F.col(x) - F.col("__m"), "__q")).drop("__m", "__q")
 
 
 def moment_match(df: DataFrame, x: str, theory: str, mask: Column, key: str, out: str) -> DataFrame:
     """x moved to the mean of theory, and to a deviation halfway to it, by moments outside the mask; reads without a deviation go."""
     a, b = F.when(~mask, F.col(x)), F.when(~mask, F.col(theory))
-    df = per_read(df, key, [F.avg(a).alias("__ma"), F.avg(b).alias("__mb"), F.stddev_pop(a).alias("__sa"), F.stddev_pop(b).alias("__sb")])
+    df = per_read(df, key, {"__ma": F.avg(a), "__mb": F.avg(b), "__sa": F.stddev_pop(a), "__sb": F.stddev_pop(b)})
     moved = (F.col(x) - F.col("__ma")) * ((F.col("__sb") + F.col("__sa")) / 2) / F.col("__sa") + F.col("__mb")
     return df.filter(F.col("__sa") > 0).withColumn(out, moved).drop("__ma", "__mb", "__sa", "__sb")
 
 
 def iqr_scale(df: DataFrame, x: str, key: str, out: str, bound: float = 5.0) -> DataFrame:
     """(x - median) by the distance of the quartiles of the read, within the bound."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q")
+    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     z = F.try_divide(F.col(x) - F.col("__q")[1], F.col("__q")[2] - F.col("__q")[0])
-    return per_read(df, key, [q]).withColumn(out, F.least(F.greatest(z, F.lit(-bound)), F.lit(bound))).drop("__q")
+    return per_read(df, key, {"__q": q}).withColumn(out, F.least(F.greatest(z, F.lit(-bound)), F.lit(bound))).drop("__q")
 
 
 def pad(values: str, n: int) -> Column:
@@ -144,9 +145,9 @@ def pad(values: str, n: int) -> Column:
 
 def percentile_shift(df: DataFrame, x: str, key: str, out: str, fixed: float | None = 20.0) -> DataFrame:
     """(x - p25) / fixed, or by p60 - p20 without fixed."""
-    q = F.percentile(x, F.array(F.lit(0.2), F.lit(0.25), F.lit(0.6))).alias("__q")
+    q = F.percentile(x, F.array(F.lit(0.2), F.lit(0.25), F.lit(0.6)))
     width = F.lit(fixed) if fixed else F.col("__q")[2] - F.col("__q")[0]
-    return per_read(df, key, [q]).withColumn(out, F.try_divide(F.col(x) - F.col("__q")[1], width)).drop("__q")
+    return per_read(df, key, {"__q": q}).withColumn(out, F.try_divide(F.col(x) - F.col("__q")[1], width)).drop("__q")
 
 
 def high_share(df: DataFrame, x: str, key: str, above: float = 10.0) -> DataFrame:
@@ -156,14 +157,14 @@ def high_share(df: DataFrame, x: str, key: str, above: float = 10.0) -> DataFram
 
 def quantile_match(df: DataFrame, x: str, key: str, out: str, p25: float, p75: float) -> DataFrame:
     """x moved so that its quartiles are p25 and p75, and its square as out_square."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("__q")
+    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
     z = F.try_divide(F.col(x) - F.col("__q")[0], F.col("__q")[1] - F.col("__q")[0]) * (p75 - p25) + p25
-    return per_read(df, key, [q]).withColumn(out, z).withColumn(f"{out}_square", F.col(out) * F.col(out)).drop("__q")
+    return per_read(df, key, {"__q": q}).withColumn(out, z).withColumn(f"{out}_square", F.col(out) * F.col(out)).drop("__q")
 
 
 def p75_scale(df: DataFrame, x: str, length: str, key: str, out: str) -> DataFrame:
     """(x - p75) / p75 as out, and length by its mean as out_length."""
-    df = per_read(df, key, [F.percentile(x, 0.75).alias("__q"), F.avg(length).alias("__l")])
+    df = per_read(df, key, {"__q": F.percentile(x, 0.75), "__l": F.avg(length)})
     return df.withColumns({out: F.try_divide(F.col(x) - F.col("__q"), "__q"), f"{out}_length": F.try_divide(length, "__l")}).drop("__q", "__l")
 
 
@@ -173,16 +174,16 @@ def affine_fit_rescale(df: DataFrame, x: str, expected: str, use: Column, key: s
 
     def fit(df: DataFrame, keep: Column, a: str, b: str) -> DataFrame:
         xs, es = F.when(keep, F.col(x).cast("double")), F.when(keep, F.col(expected).cast("double"))
-        return per_read(df, key, [F.regr_slope(xs, es).alias(b), F.regr_intercept(xs, es).alias(a)])
+        return per_read(df, key, {b: F.regr_slope(xs, es), a: F.regr_intercept(xs, es)})
 
     df = fit(df.withColumn("__u", use & F.col(expected).isNotNull()), F.col("__u"), "__a0", "__b0")
     df = df.withColumn("__r", F.abs(F.col(x) - F.col("__a0") - F.col("__b0") * F.col(expected)))
-    df = per_read(df, key, [F.percentile(F.when(F.col("__u"), F.col("__r")), trim).alias("__c")])
+    df = per_read(df, key, {"__c": F.percentile(F.when(F.col("__u"), F.col("__r")), trim)})
     df = fit(df, F.col("__u") & (F.col("__r") <= F.col("__c")), "__a", "__b")
     df = df.filter("__b != 0").withColumn(out, (F.col(x) - F.col("__a")) / F.col("__b"))
     if limit is not None:
         gap = F.when(F.col("__u"), (F.col(out) - F.col(expected)) * (F.col(out) - F.col(expected)))
-        df = per_read(df, key, [F.avg(gap).alias("__e")]).filter(F.col("__e") <= limit).drop("__e")
+        df = per_read(df, key, {"__e": F.avg(gap)}).filter(F.col("__e") <= limit).drop("__e")
     return df.drop("__u", "__a0", "__b0", "__r", "__c", "__a", "__b")
 
 
