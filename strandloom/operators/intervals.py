@@ -6,7 +6,7 @@ meet in bins of positions, so that each pair is found once and no chromosome is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.sources.storage import stored
@@ -191,14 +191,25 @@ def binned_average(track: DataFrame, chrom_sizes: DataFrame, width: int) -> Data
 
 
 def meta_profile(features: DataFrame, track: DataFrame, half: int, by: str, step: int = 1, bin_width: int = BIN) -> DataFrame:
-    """(by, offset, n, total): sum and number of track values at each offset -half..half of features(mid); total / n is the mean."""
+    """(by, offset, n, total): sum and number of track values at each offset -half..half of features(mid); total / n is the mean.
+
+    An overlap of a feature and a run counts where it begins and is taken back where it ends; sums along a class's few offsets give the profile.
+    """
     wide = features.withColumns({"s": F.col("mid") - half, "e": F.col("mid") + half})
-    met = overlap_join(wide, track.select("chrom", "s", "e", "value"), bin_width)
+    met = overlap_join(wide, track.select("chrom", "s", "e", "value").filter("value is not null"), bin_width)
     lo, hi = F.greatest("s", "s_b") - F.col("mid"), F.least("e", "e_b") - F.col("mid")
     # offsets that are multiples of step
-    first, last = F.ceil(lo / step) * step, F.floor(hi / step) * step
-    offsets = met.filter(first <= last).withColumn("offset", F.explode(F.sequence(first, last, F.lit(step).cast("long"))))
-    return offsets.groupBy(by, "offset").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+    first, last = (F.ceil(lo / step) * step).cast("long"), (F.floor(hi / step) * step).cast("long")
+    one = F.lit(1).cast("long")
+    ends = F.array(F.struct(first.alias("offset"), one.alias("n"), F.col("value").alias("total")), F.struct((last + step).alias("offset"), (-one).alias("n"), (-F.col("value")).alias("total")))
+    steps = met.filter(first <= last).select(by, F.explode(ends).alias("x")).select(by, "x.*")
+    steps = steps.groupBy(by, "offset").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    every = F.explode(F.sequence(F.lit(-(half // step) * step).cast("long"), F.lit(half // step * step).cast("long"), F.lit(step).cast("long")))
+    grid = steps.select(by).distinct().select(by, every.alias("offset"), F.lit(0).cast("long").alias("n"), F.lit(0).cast(steps.schema["total"].dataType).alias("total"))
+    at = steps.unionByName(grid).groupBy(by, "offset").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    run = Window.partitionBy(by).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumns({"n": F.sum("n").over(run), "total": F.sum("total").over(run)})
+    return at.filter((F.col("n") > 0) & (F.col("offset") <= half))
 
 
 def inner_region(features: DataFrame, chrom_sizes: DataFrame, margin: int, blacklist: DataFrame, key: str) -> DataFrame:
