@@ -95,6 +95,17 @@ def flatten_spikes(x: np.ndarray, y: np.ndarray, width: float) -> np.ndarray:
     return y
 
 
+def without_spikes(signal: DataFrame, key: str, idx: str, x: str, y: str, width: float) -> DataFrame:
+    """(key, idx, y): reads' values with narrow spikes flattened. A read meets in one task, as each change shows in the next."""
+
+    def run(read: pd.DataFrame) -> pd.DataFrame:
+        read = read.sort_values(idx)
+        return read[[key, idx]].assign(**{y: flatten_spikes(read[x].to_numpy(float), read[y].to_numpy(float), width)})
+
+    types = dict(signal.dtypes)
+    return signal.select(key, idx, x, y).groupBy(key).applyInPandas(run, f"{key} {types[key]}, {idx} {types[idx]}, {y} double")
+
+
 class Corners:
     """Corner points of a read and the tracts they make."""
 

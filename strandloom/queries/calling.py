@@ -49,6 +49,18 @@ query("K4_detect_inits", "sig")(_part("init"))
 query("K5_detect_terms", "sig")(_part("term"))
 
 
+@query(
+    "F26_flatten_spikes", "sig",
+    sql="""recursive w as (select read_id, idx, v100 / 10000 as y, lead(v100) over (partition by read_id order by idx) / 10000 as nx from sig),
+    f as (select read_id, idx, y from w where idx = 0 union all
+      select w.read_id, w.idx, case when abs(w.nx - f.y) < 0.3::double and greatest(abs(w.nx - w.y), abs(f.y - w.y)) > 0.6::double then (f.y + w.nx) / 2 else w.y end from f join w on w.read_id = f.read_id and w.idx = f.idx + 1)
+    select read_id, idx, round(y, 6) as y from f""",
+)
+def _(sig):
+    at = sig.withColumns({"x": F.col(I) * 100.0, "y": F.col("v100") / 10000})
+    return fk.without_spikes(at, K, I, "x", "y", 250.0).withColumn("y", F.round("y", 6))
+
+
 @query("K14_detect_forks", "sig", "reads")
 def _(sig, reads):
     """Both tracks, letters and ratios, with places on the genome."""

@@ -13,13 +13,15 @@ ORACLES: dict[str, str] = {}
 
 
 def oracle(body: str, *views: str) -> str:
-    """body with the views as CTEs before it; body is a select, or more CTEs and a select."""
+    """body with the views as CTEs before it; body is a select, or more CTEs and a select, after the word recursive if one of them is."""
     ctes = ", ".join(f"{v} as ({tables.SQL[v]})" for v in views if v in tables.SQL)
     body = body.strip()
     plain = body.lower().startswith("select")
+    start = "with recursive " if body.startswith("recursive ") else "with "
+    body = body.removeprefix("recursive ")
     if not ctes:
-        return body if plain else f"with {body}"
-    return f"with {ctes}" + (" " if plain else ", ") + body
+        return body if plain else f"{start}{body}"
+    return f"{start}{ctes}" + (" " if plain else ", ") + body
 
 
 def query(name: str, *views: str, sql: str | None = None):
