@@ -227,6 +227,18 @@ def resolve_overlaps(tracts: list[Tract]) -> list[Tract]:
     return tracts
 
 
+def without_overlaps(tracts: DataFrame, key: str) -> DataFrame:
+    """(key, start, end, score): tracts left by resolve_overlaps, taken in order of start, end and score. A read's tracts meet in one task."""
+
+    def run(read: pd.DataFrame) -> pd.DataFrame:
+        read = read.sort_values(["start", "end", "score"], ignore_index=True)
+        left = resolve_overlaps([Tract(t.start, t.end, i, score=t.score) for i, t in enumerate(read.itertuples(index=False))])
+        return read.iloc[[t.jump_score for t in left]]
+
+    columns = [key, "start", "end", "score"]
+    return tracts.select(*columns).groupBy(key).applyInPandas(run, tracts.select(*columns).schema)
+
+
 def detect_tracts(x: np.ndarray, y: np.ndarray, min_jump: float) -> list[Tract]:
     """Tracts of the corner points, in order, without overlaps."""
     if len(x) < 3:

@@ -13,7 +13,7 @@ from .joins import KM, k3
 from .kmers import HALF, _hist_sql, _hists
 from .kmers import HIST as HISTS
 from .registry import query
-from .series import OVERLAP
+from .series import OVERLAP, _frame
 
 K, I = "read_id", "idx"
 #: The given signals have some dozens of positions: shorter smoothing, and places 100 bases apart.
@@ -61,6 +61,21 @@ def _(sig):
     return fk.without_spikes(at, K, I, "x", "y", 250.0).withColumn("y", F.round("y", 6))
 
 
+@query(
+    "K3_resolve_overlaps", "sig",
+    sql="""recursive t as (select read_id, list({'s': idx, 'e': idx + v100 % 12 + 1, 'c': v100 % 37 - 18} order by idx) as l from sig where idx % 5 = 0 group by read_id),
+    f as (select read_id, l from t union all select read_id, list_concat(l[:out - 1], l[out + 1:])
+      from (select *, case when abs(l[p.a].c) > abs(l[p.b].c) then p.b else p.a end as out
+      from (select read_id, l, flatten(list_transform(range(1, len(l) + 1), lambda a: list_transform(list_filter(range(1, len(l) + 1), lambda b: b <> a and l[b].s <= l[a].s and l[a].s < l[b].e), lambda b: {'a': a, 'b': b})))[1] as p from f)
+      where p is not null)),
+    least as (select read_id, unnest(arg_min(l, len(l))) as k from f group by read_id)
+    select read_id, k.s as start, k.e as "end", k.c as score from least""",
+)
+def _(sig):
+    tracts = sig.filter("idx % 5 = 0").selectExpr(K, "idx as start", "idx + v100 % 12 + 1 as end", "v100 % 37 - 18 as score")
+    return fk.without_overlaps(tracts, K)
+
+
 @query("K14_detect_forks", "sig", "reads")
 def _(sig, reads):
     """Both tracks, letters and ratios, with places on the genome."""
@@ -86,14 +101,52 @@ def _(sig):
     return k.call_tm(x.withColumn("base", F.substring("kmer", 1, 1)), "v100", "t", "b", "base", 400).select(K, I, "called")
 
 
-@query("K7_detect_events", "sig")
+def _tstat_sql(w: int) -> str:
+    n, m, q = (f"{f} over {{}} / {w}" for f in ("count(*)", "sum(v100)", "sum(v100 * v100)"))
+    left, right = _frame(-w, -1), _frame(0, w - 1)
+    var = lambda win: f"greatest({q.format(win)} - ({m.format(win)}) * ({m.format(win)}), 1e-100)"
+    t = f"abs({m.format(right)} - {m.format(left)}) / sqrt(({var(left)} + {var(right)}) / {w})"
+    return f"case when {n.format(left)} = 1 and {n.format(right)} = 1 then {t} else 0::double end"
+
+
+# one row a read and step; the state is each detector's place, value and certainty, and where the short one's silence ends
+@query(
+    "K7_detect_events", "sig",
+    sql=f"""recursive m as (select read_id, idx, {_tstat_sql(4)} as u, {_tstat_sql(6)} as v from sig),
+    f as (select distinct read_id, (-1)::bigint as i, null::bigint as aat, 'inf'::double as av, false as asure, null::bigint as bat, 'inf'::double as bv, false as bsure, 0::bigint as quiet, null::bigint as pa, null::bigint as pb from sig union all
+      select read_id, i, case when pa is null then aat end, case when pa is null then av else u end, pa is null and asure, case when pb is null then bat end, case when pb is null then bv else v end, pb is null and bsure, quiet, pa, pb
+      from (select *, case when rb and bsure and i - bat > 3 then bat end as pb
+      from (select * replace (bsure or (rb and bv - v > 0.65::double and bv > 1) as bsure)
+      from (select * replace (case when not heard then bat when rb then case when v > bv then i else bat end when v >= bv and v - bv > 0.65::double then i end as bat,
+        case when not heard then bv when rb then greatest(bv, v) when v < bv or v - bv > 0.65::double then v else bv end as bv)
+      from (select *, heard and bat is not null as rb, case when ra and asure and i - aat > 2 then aat end as pa
+      from (select * replace (asure or (ra and av - u > 0.65::double and av > 1.4::double) as asure, case when loud then aat + 4 else quiet end as quiet, case when not loud then bat end as bat, case when loud then 'inf'::double else bv end as bv, bsure and not loud as bsure),
+        i > case when loud then aat + 4 else quiet end as heard
+      from (select *, ra and av > 1.4::double as loud
+      from (select f.* exclude (i, aat, av, pa, pb), m.idx as i, u, v, aat is not null as ra, case when aat is not null then case when u > av then m.idx else aat end when u >= av and u - av > 0.65::double then m.idx end as aat,
+        case when aat is not null then greatest(av, u) when u < av or u - av > 0.65::double then u else av end as av
+      from f join m on m.read_id = f.read_id and m.idx = f.i + 1)))))))
+    ) select read_id, pa as peak from f where pa is not null union all select read_id, pb from f where pb is not null""",
+)
 def _(sig):
-    return k.detect_events(sig.withColumn("x", F.col("v100") / 100), "x", K, I)
+    return k.detect_events(sig, "v100", K, I)
 
 
-@query("K9_optimal_segments", "sig")
+# least costs of all beginnings of a read, each with the begin of its last segment; then the way back from the end
+@query(
+    "K9_optimal_segments", "sig",
+    sql="""recursive x as (select read_id, idx, v100 / 1000 as x from sig),
+    f as (select distinct read_id, 0::bigint as n, [0::double] as s, [0::double] as q, [0::double] as c, [0::bigint] as b from sig union all
+      select read_id, n, s, q, list_append(c, list_min(o)), list_append(b, greatest(0, n - 10) + list_position(o, list_min(o)) - 1)
+      from (select *, list_transform(range(greatest(0, n - 10), n), lambda g: c[g + 1] + 3::double + (q[n + 1] - q[g + 1] - (s[n + 1] - s[g + 1]) * (s[n + 1] - s[g + 1]) / (n - g))) as o
+      from (select f.read_id, n + 1 as n, list_append(s, s[n + 1] + x) as s, list_append(q, q[n + 1] + x * x) as q, c, b from f join x on x.read_id = f.read_id and x.idx = n))),
+    w as (select read_id, n as till, b[n + 1] as origin, b from f where n = (select count(*) from sig where sig.read_id = f.read_id) union all select read_id, origin, b[origin + 1], b from w where origin > 0)
+    select w.read_id, (dense_rank() over (partition by w.read_id order by origin) - 1)::int as seg, origin::int as start, (till - origin)::int as length, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std
+    from w join x on x.read_id = w.read_id and idx >= origin and idx < till group by w.read_id, origin, till""",
+)
 def _(sig):
-    return k.optimal_segments(sig.withColumn("x", F.col("v100") / 1000), "x", K, I, gamma=3.0)
+    found = k.optimal_segments(sig.withColumn("x", F.col("v100") / 1000), "x", K, I, gamma=3.0)
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
 @query(

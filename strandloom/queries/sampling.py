@@ -48,7 +48,12 @@ def _(pts):
     return sm.subsample_by_value(pts, "rep", {"BC": 0.2, "BD": 0.5}, "id", 5)
 
 
-@query("H8_weighted_subsequences", "seqs")
+@query(
+    "H8_weighted_subsequences", "seqs",
+    sql=f"""w as (select read_id, seq, read_id % 5 as w, floor({_draw(11, 'read_id')} * 1073741824) as p from seqs where length(seq) >= 40 and read_id % 5 > 0), t as (select *, sum(w) over (order by p, read_id) as upto, sum(w) over () as total from w),
+    d as (select i as draw, {_draw(12, 'i')} as u, {_draw(13, 'i')} as v from range(500) r(i))
+    select draw, read_id, floor(v * (length(seq) - 39))::int as start, substr(seq, floor(v * (length(seq) - 39))::int + 1, 40) as piece from d join t on (upto - w) / total <= u and u < upto / total""",
+)
 def _(seqs):
     return sm.weighted_subsequences(seqs.withColumn("w", F.col(K) % 5), K, "seq", "w", 500, 40, 11)
 
