@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles
+
 
 def conditional_share(df: DataFrame, hit: str, by: str) -> DataFrame:
     """(class, n, n_true, share) for each value of by and for all rows; null counts as not satisfied."""
@@ -117,9 +119,11 @@ def sweep_summary(df: DataFrame, param: str, values: list[str]) -> DataFrame:
 
 
 def describe5(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-    out = df.groupBy(*(by or [])).agg(F.min(value).alias("min"), q.alias("q"), F.avg(value).alias("mean"), F.max(value).alias("max"))
-    return out.select(*(by or []), "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("q3"), "max")
+    """(by..., min, q1, median, mean, q3, max)"""
+    mean = F.sum(F.col(value) * F.col("__w")) / F.sum(F.when(F.col(value).isNotNull(), F.col("__w")))
+    aggs = [F.min(value).alias("min"), mean.alias("mean"), F.max(value).alias("max")]
+    out = quantiles(df, by or [], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, aggs)
+    return out.select(*(by or []), "min", "q1", "median", "mean", "q3", "max")
 
 
 def value_table(df: DataFrame, value: str) -> DataFrame:
@@ -152,4 +156,4 @@ def window_mod_fraction(df: DataFrame, key: str, idx: str, base: str, mods: dict
 
 def kmer_percentile(df: DataFrame, kmer: str, p: str, threshold: float) -> DataFrame:
     """For each k-mer the percentile 100 - 100 * threshold of p, between neighbours in proportion, and the number of samples."""
-    return df.groupBy(kmer).agg(F.percentile(p, 1 - threshold).alias("percentile"), F.count(p).alias("nsample"))
+    return quantiles(df, [kmer], p, {"percentile": 1 - threshold}, [F.coalesce(F.sum(F.when(F.col(p).isNotNull(), F.col("__w"))), F.lit(0)).alias("nsample")]).select(kmer, "percentile", "nsample")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.sources.storage import stored
 
-from .ordered import along, neighbour, running
+from .ordered import along, neighbour, quantiles, running
 
 BIN = 10_000
 
@@ -161,10 +161,12 @@ def cluster_sweep(iv: DataFrame, gaps: list[int], order: list[str] | None = None
 def cluster_spread(iv: DataFrame, gap: int, order: list[str] | None = None, scale: float = 1.4826) -> DataFrame:
     """Clusters with the median of their starts and the scaled median distance from it."""
     df = label_clusters(iv, gap, ["chrom"], order or [])
-    med = df.groupBy("chrom", "cluster").agg(F.percentile("s", 0.5).alias("med"))
-    near = df.join(med, ["chrom", "cluster"]).groupBy("chrom", "cluster", "med")
-    mad = F.percentile(F.abs(F.col("s") - F.col("med")), 0.5) * scale
-    return near.agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("eff"), mad.alias("mad")).drop("cluster")
+    df = stored(df.select("chrom", "cluster", "s"), "clusters")
+    aggs = [F.min("s").alias("first"), F.sum("__w").alias("eff")]
+    med = quantiles(df, ["chrom", "cluster"], "s", {"med": 0.5}, aggs)
+    near = df.join(med, ["chrom", "cluster"]).withColumn("off", F.abs(F.col("s") - F.col("med")))
+    out = quantiles(near, ["chrom", "cluster", "med", "first", "eff"], "off", {"mad": 0.5})
+    return out.select("chrom", "med", F.col("first").alias("s"), "eff", (F.col("mad") * scale).alias("mad"))
 
 
 def tile_genome(chrom_sizes: DataFrame, width: int) -> DataFrame:

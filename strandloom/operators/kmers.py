@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles
+
 
 def kmers(seqs: DataFrame, seq: str, k: int, piece: int = 1024) -> DataFrame:
     """All overlapping k-mers with their positions p, from 1; sequences shorter than k have none.
@@ -100,7 +102,7 @@ def kmer_ranges(*samples: DataFrame, kmer: str = "kmer", value: str = "value") -
     """(kmer, lo, hi): the union of the samples' ranges from the 0.2 to the 99.8 percentile."""
     out = None
     for df in samples:
-        q = df.groupBy(kmer).agg(F.percentile(value, 0.002).alias("lo"), F.percentile(value, 0.998).alias("hi"))
+        q = quantiles(df, [kmer], value, {"lo": 0.002, "hi": 0.998})
         out = q if out is None else out.unionByName(q)
     return out.groupBy(kmer).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.sources.storage import stored
+
 WIDTH = 1 << 17
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -63,3 +65,43 @@ def running(df: DataFrame, part: list[str], pos: str, order: list[str], specs: d
 def neighbour(df: DataFrame, part: list[str], pos: str, order: list[str], columns: dict[str, str], ahead: bool = False, width: int = WIDTH) -> DataFrame:
     """along() with the values of the row before, or after, only."""
     return along(df, part, pos, order, **{"after" if ahead else "before": columns}, width=width)
+
+
+def cumulated(at: DataFrame, by: list[str], value: str, weight: str, out: str, total: str | None = None, bins: int = 256) -> DataFrame:
+    """Adds out, the sum of weight over rows of at up to value within by, and total, that over all of them. at, which is read more than
+    once, has a row for each by and value.
+
+    Values are cut at approximate quantiles of their own, so that bins stay even however they are spread; the bins' sums carry the total
+    along, exactly wherever the cuts are: no by meets in one task.
+    """
+    cuts = F.array_distinct(F.percentile_approx(value, [i / bins for i in range(1, bins)], 4 * bins))
+    sums = [F.sum(weight).alias(total)] if total else []
+    ends = at.groupBy(*by).agg(cuts.alias("__cuts"), *sums)
+    place = F.size(F.filter("__cuts", lambda cut: cut < F.col(value))).cast("long")
+    at = at.join(ends, by).withColumn("__place", place).drop("__cuts")
+    return along(at, by, "__place", [value], {out: ("sum", weight)}, width=1).drop("__place")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float], aggs: list[Column] | None = None) -> DataFrame:
+    """(by..., aggs..., points...): the exact quantile of each group's values at each of points, between neighbours in proportion.
+
+    aggs are over the different values of a group, null among them, where __w is how often each occurs. Nulls in by make a group;
+    quantiles leave nulls out; without by there is one row. Sums over bins of values give the ranks: a group's values never meet in one task.
+    """
+    df = df.withColumn("__g", F.struct(*by) if by else F.struct(F.lit(1)))
+    at = stored(df.groupBy("__g", value).agg(F.count(F.lit(1)).alias("__w")), "values")
+    aggs = [*(aggs or []), F.sum("__w").alias("__rows")]
+    base = at.groupBy("__g").agg(*aggs) if by else at.agg(*aggs).withColumn("__g", F.struct(F.lit(1)))
+    at = cumulated(at.filter(F.col(value).isNotNull()), ["__g"], value, "__w", "__to", total="__all")
+    place = {name: p * (F.col("__all") - 1) for name, p in points.items()}
+    ranked = lambda rank: F.min(F.when(F.col("__to") > rank, F.col(value)))
+    ends = [c for n, p in place.items() for c in (ranked(F.floor(p)).alias(f"__a_{n}"), ranked(F.ceil(p)).alias(f"__b_{n}"))]
+    found = at.groupBy("__g", "__all").agg(*ends)
+
+    def between(name: str) -> Column:
+        low, high = F.floor(place[name]), F.ceil(place[name])
+        mixed = (high - place[name]) * F.col(f"__a_{name}") + (place[name] - low) * F.col(f"__b_{name}")
+        return F.when(low == high, F.col(f"__a_{name}")).otherwise(mixed).cast("double").alias(name)
+
+    found = found.select("__g", *[between(name) for name in points])
+    return base.join(found, "__g", "left").select(*["__g.*"] * bool(by), *[c for c in base.columns if c not in ("__g", "__rows")], *points)

@@ -8,19 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.sources.storage import stored
 
 from . import intervals as iv
-from .ordered import along
-
-
-def cumulated(at: DataFrame, by: list[str], value: str, weight: str, out: str, bins: int = 1024) -> DataFrame:
-    """Adds out, the sum of weight over rows of at up to value within by. at has a row for each by and value.
-
-    Values are cut in bins of equal width between the least and the largest, whose sums carry the total along: no by meets in one task.
-    """
-    at = stored(at, "values")
-    ends = at.groupBy(*by).agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
-    place = F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins)
-    at = at.join(ends, by).withColumn("__place", F.when(F.col("__hi") > F.col("__lo"), place).otherwise(F.lit(0).cast("long")))
-    return along(at, by, "__place", [value], {out: ("sum", weight)}, width=1).drop("__lo", "__hi", "__place")
+from .ordered import along, cumulated
 
 
 def weighted_ranks(df: DataFrame, by: list[str], value: str, weight: str, out: str) -> DataFrame:
@@ -28,7 +16,8 @@ def weighted_ranks(df: DataFrame, by: list[str], value: str, weight: str, out: s
 
     Ranks are made on the distinct values, whose weights are summed before they meet in one order.
     """
-    at = cumulated(df.groupBy(*by, value).agg(F.sum(weight).alias("__w")), by, value, "__w", "__to")
+    at = stored(df.groupBy(*by, value).agg(F.sum(weight).alias("__w")), "values")
+    at = cumulated(at, by, value, "__w", "__to")
     ranks = at.select(*by, value, (2 * F.col("__to") - F.col("__w") + 1).alias(out))
     return df.join(ranks, [*by, value])
 
@@ -87,7 +76,7 @@ def ecdf(df: DataFrame, x: str, weight: str | None = None, by: list[str] | None
     part = by or ["__all"]
     df = df if by else df.withColumn("__all", F.lit(1))
     at = df.filter(F.col(x).isNotNull()).groupBy(*part, x).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__w"))
-    at = cumulated(at, part, x, "__w", "__to")
+    at = cumulated(stored(at, "values"), part, x, "__w", "__to")
     every = at.groupBy(*part).agg(F.max("__to").alias("__every"))
     return at.join(every, part).select(*(by or []), x, (F.col("__to") / F.col("__every")).alias("share"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators import intervals as iv
-from strandloom.operators.ordered import neighbour
+from strandloom.operators.ordered import neighbour, quantiles
+from strandloom.sources.storage import stored
 
 
 def event_balance(inits: DataFrame, terms: DataFrame, chrom_sizes: DataFrame, width: int) -> DataFrame:
@@ -21,8 +22,10 @@ def event_balance(inits: DataFrame, terms: DataFrame, chrom_sizes: DataFrame, wi
 def cluster_size_table(clusters: DataFrame) -> DataFrame:
     """For each gap the number of clusters of 1 and of more than 1, 2, 3, 5 and 10 members, and the median width of those of more than one."""
     over = [F.count_if(F.col("eff") > k).alias(f"n_over_{k}") for k in (1, 2, 3, 5, 10)]
-    width = F.percentile(F.when(F.col("eff") > 1, F.col("e") - F.col("s") + 1), 0.5)
-    return clusters.groupBy("gap").agg(F.count_if(F.col("eff") == 1).alias("n1"), *over, width.alias("median_width"))
+    clusters = stored(clusters, "clusters")
+    wide = clusters.select("gap", F.when(F.col("eff") > 1, F.col("e") - F.col("s") + 1).alias("width"))
+    counts = clusters.groupBy("gap").agg(F.count_if(F.col("eff") == 1).alias("n1"), *over)
+    return counts.join(quantiles(wide, ["gap"], "width", {"median_width": 0.5}), "gap")
 
 
 def cluster_by_replicate(events: DataFrame, gap: int, order: list[str]) -> DataFrame:
