@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import quantiles
+from strandloom.sources.storage import stored
+
+from .ordered import cumulated, quantiles
 
 
 def kmers(seqs: DataFrame, seq: str, k: int, piece: int = 1024) -> DataFrame:
@@ -51,10 +53,11 @@ def top_by_delta(a: DataFrame, b: DataFrame, n: int = 30) -> DataFrame:
 
 
 def rank_sums(df: DataFrame, by: str, value: str, sample: str, first: str) -> DataFrame:
-    """(by, n1, n2, r1, ties) of two samples, ties sharing their mean rank: twice the rank sum is whole."""
-    at = df.groupBy(by, value).agg(F.count_if(F.col(sample) == first).alias("c1"), F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = at.withColumn("r2", 2 * before + F.col("c") + 1)
+    """(by, n1, n2, r1, ties) of two samples, ties sharing their mean rank: twice the rank sum is whole. Rows without by or value are left out."""
+    known = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull())
+    at = known.groupBy(by, value).agg(F.count_if(F.col(sample) == first).alias("c1"), F.count(F.lit(1)).alias("c"))
+    at = cumulated(stored(at, "values"), [by], value, {"__k": "c"})
+    at = at.withColumn("r2", 2 * F.col("__k") - F.col("c") + 1)
     return at.groupBy(by).agg(
         F.sum("c1").alias("n1"), (F.sum("c") - F.sum("c1")).alias("n2"), F.sum(F.col("r2") * F.col("c1")).alias("r1x2"), F.sum(F.expr("c * c * c - c")).alias("ties")
     )
@@ -80,12 +83,12 @@ def mann_whitney(df: DataFrame, by: str, value: str, sample: str, first: str) ->
 
 
 def ks_2samp(df: DataFrame, by: str, value: str, sample: str, first: str, terms: int = 20) -> DataFrame:
-    """(by, n1, n2, d, p): largest difference of the two distribution functions, and its asymptotic p."""
-    at = df.groupBy(by, value).agg(F.count_if(F.col(sample) == first).alias("c1"), F.count_if(F.col(sample) != first).alias("c2"))
-    run, every = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by)
-    at = at.withColumns({"k1": F.sum("c1").over(run), "k2": F.sum("c2").over(run), "n1": F.sum("c1").over(every), "n2": F.sum("c2").over(every)})
+    """(by, n1, n2, d, p): largest difference of the two distribution functions, and its asymptotic p. Rows without by or value are left out."""
+    known = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull())
+    at = known.groupBy(by, value).agg(F.count_if(F.col(sample) == first).alias("c1"), F.count_if(F.col(sample) != first).alias("c2"))
+    at = cumulated(stored(at, "values"), [by], value, {"__k1": "c1", "__k2": "c2"}, {"n1": "c1", "n2": "c2"})
     # the difference over the common denominator is whole
-    gap = F.max(F.abs(F.col("k1") * F.col("n2") - F.col("k2") * F.col("n1")))
+    gap = F.max(F.abs(F.col("__k1") * F.col("n2") - F.col("__k2") * F.col("n1")))
     d = at.groupBy(by, "n1", "n2").agg(gap.alias("gap")).filter("n1 > 0 and n2 > 0").withColumn("d", F.col("gap") / (F.col("n1") * F.col("n2")))
     x2 = F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")) * F.col("d") * F.col("d")
     tail = sum((2.0 * (-1) ** (j - 1) * F.exp(-2.0 * j * j * x2) for j in range(2, terms + 1)), 2.0 * F.exp(-2.0 * x2))

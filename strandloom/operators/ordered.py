@@ -67,19 +67,19 @@ def neighbour(df: DataFrame, part: list[str], pos: str, order: list[str], column
     return along(df, part, pos, order, **{"after" if ahead else "before": columns}, width=width)
 
 
-def cumulated(at: DataFrame, by: list[str], value: str, weight: str, out: str, total: str | None = None, bins: int = 256) -> DataFrame:
-    """Adds out, the sum of weight over rows of at up to value within by, and total, that over all of them. at, which is read more than
-    once, has a row for each by and value.
+def cumulated(at: DataFrame, by: list[str], value: str, upto: dict[str, str], totals: dict[str, str] | None = None, bins: int = 256) -> DataFrame:
+    """Adds sums over the rows of at up to value within by, and over all of them: upto and totals are out: column. at, which is read more
+    than once, has a row for each by and value.
 
     Values are cut at approximate quantiles of their own, so that bins stay even however they are spread; the bins' sums carry the total
     along, exactly wherever the cuts are: no by meets in one task.
     """
     cuts = F.array_distinct(F.percentile_approx(value, [i / bins for i in range(1, bins)], 4 * bins))
-    sums = [F.sum(weight).alias(total)] if total else []
+    sums = [F.sum(c).alias(out) for out, c in (totals or {}).items()]
     ends = at.groupBy(*by).agg(cuts.alias("__cuts"), *sums)
     place = F.size(F.filter("__cuts", lambda cut: cut < F.col(value))).cast("long")
     at = at.join(ends, by).withColumn("__place", place).drop("__cuts")
-    return along(at, by, "__place", [value], {out: ("sum", weight)}, width=1).drop("__place")
+    return along(at, by, "__place", [value], {out: ("sum", c) for out, c in upto.items()}, width=1).drop("__place")
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float], aggs: list[Column] | None = None) -> DataFrame:
@@ -92,7 +92,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]
     at = stored(df.groupBy("__g", value).agg(F.count(F.lit(1)).alias("__w")), "values")
     aggs = [*(aggs or []), F.sum("__w").alias("__rows")]
     base = at.groupBy("__g").agg(*aggs) if by else at.agg(*aggs).withColumn("__g", F.struct(F.lit(1)))
-    at = cumulated(at.filter(F.col(value).isNotNull()), ["__g"], value, "__w", "__to", total="__all")
+    at = cumulated(at.filter(F.col(value).isNotNull()), ["__g"], value, {"__to": "__w"}, {"__all": "__w"})
     place = {name: p * (F.col("__all") - 1) for name, p in points.items()}
     ranked = lambda rank: F.min(F.when(F.col("__to") > rank, F.col(value)))
     ends = [c for n, p in place.items() for c in (ranked(F.floor(p)).alias(f"__a_{n}"), ranked(F.ceil(p)).alias(f"__b_{n}"))]

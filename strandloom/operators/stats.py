@@ -17,7 +17,7 @@ def weighted_ranks(df: DataFrame, by: list[str], value: str, weight: str, out: s
     Ranks are made on the distinct values, whose weights are summed before they meet in one order.
     """
     at = stored(df.groupBy(*by, value).agg(F.sum(weight).alias("__w")), "values")
-    at = cumulated(at, by, value, "__w", "__to")
+    at = cumulated(at, by, value, {"__to": "__w"})
     ranks = at.select(*by, value, (2 * F.col("__to") - F.col("__w") + 1).alias(out))
     return df.join(ranks, [*by, value])
 
@@ -76,9 +76,8 @@ def ecdf(df: DataFrame, x: str, weight: str | None = None, by: list[str] | None
     part = by or ["__all"]
     df = df if by else df.withColumn("__all", F.lit(1))
     at = df.filter(F.col(x).isNotNull()).groupBy(*part, x).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__w"))
-    at = cumulated(stored(at, "values"), part, x, "__w", "__to")
-    every = at.groupBy(*part).agg(F.max("__to").alias("__every"))
-    return at.join(every, part).select(*(by or []), x, (F.col("__to") / F.col("__every")).alias("share"))
+    at = cumulated(stored(at, "values"), part, x, {"__to": "__w"}, {"__every": "__w"})
+    return at.select(*(by or []), x, (F.col("__to") / F.col("__every")).alias("share"))
 
 
 def kde(df: DataFrame, x: str, lo: float, hi: float, n: int, bw: float, by: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from strandloom.operators import aggregates, stats
+from strandloom.operators import aggregates, kmers, stats
 from strandloom.operators.ordered import quantiles
 
 
@@ -47,3 +47,20 @@ def test_ecdf_of_values_far_apart(spark):
     values = [10.0 ** (i % 300 - 150) for i in range(900)]
     got = sorted(tuple(r) for r in stats.ecdf(spark.createDataFrame([(v,) for v in values], "x double"), "x").collect())
     assert got == [(v, (i + 1) / 300) for i, v in enumerate(sorted(set(values)))]
+
+
+def test_tests_of_two_samples_with_a_hot_group(spark):
+    """Rank sums and distribution functions against sorted lists; a group holds most rows, with values far apart, ties and nulls."""
+    r = random.Random(4)
+    rows = [("hot", r.choice([10.0 ** r.uniform(-9, 9), 1.0, 2.0]), r.choice("ab")) for _ in range(1500)]
+    rows += [(f"g{i % 9}", r.choice([None, float(r.randrange(7))]), r.choice("ab")) for i in range(300)] + [(None, 1.0, "a"), ("lone", 1.0, "a")]
+    df = spark.createDataFrame(rows, "k string, x double, s string").repartition(5)
+    u = {row.k: row.u for row in kmers.mann_whitney(df, "k", "x", "s", "a").collect()}
+    d = {row.k: row.d for row in kmers.ks_2samp(df, "k", "x", "s", "a").collect()}
+    groups = {k for k, _, _ in rows} - {None, "lone"}
+    assert set(u) == set(d) == groups
+    for k in groups:
+        a, b = ([x for key, x, s in rows if key == k and x is not None and s == side] for side in "ab")
+        assert u[k] == sum((x > y) + (x == y) / 2 for x in a for y in b)
+        gap = max(abs(sum(x <= v for x in a) / len(a) - sum(y <= v for y in b) / len(b)) for v in {*a, *b})
+        assert abs(d[k] - gap) < 1e-12
