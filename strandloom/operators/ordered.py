@@ -76,9 +76,11 @@ def cumulated(at: DataFrame, by: list[str], value: str, upto: dict[str, str], to
     """
     cuts = F.array_distinct(F.percentile_approx(value, [i / bins for i in range(1, bins)], 4 * bins))
     sums = [F.sum(c).alias(out) for out, c in (totals or {}).items()]
-    ends = at.groupBy(*by).agg(cuts.alias("__cuts"), *sums)
-    place = F.size(F.filter("__cuts", lambda cut: cut < F.col(value))).cast("long")
-    at = at.join(ends, by).withColumn("__place", place).drop("__cuts")
+    ends = at.groupBy(*by).agg(cuts.alias("__cuts"), *sums).withColumn("__heads", F.filter("__cuts", lambda _, i: i % 16 == 0))
+    below = lambda some: F.size(F.filter(some, lambda cut: cut < F.col(value)))
+    head = F.greatest(16 * (below("__heads") - 1), F.lit(0))
+    place = (head + below(F.slice("__cuts", head + 1, F.lit(16)))).cast("long")
+    at = at.join(ends, by).withColumn("__place", place).drop("__cuts", "__heads")
     return along(at, by, "__place", [value], {out: ("sum", c) for out, c in upto.items()}, width=1).drop("__place")
 
 
