@@ -6,7 +6,10 @@ import string
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +74,29 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
         one = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
         cond = one if cond is None else cond & one
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 16, size: int = 1 << 26) -> Iterator[pa.Table]:
+    """Tables of whole groups of batches sorted by keys, which are numbers: about so many rows or bytes, or one group if that is more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in keys])
+        begins = np.nonzero((key[:, 1:] != key[:, :-1]).any(axis=0))[0] + 1
+        full = held and (sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size)
+        if full and [held[-1].column(k)[-1].as_py() for k in keys] != key[:, 0].tolist():
+            yield pa.Table.from_batches(held)
+            held, full = [], False
+        if full and len(begins):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(begins[0]))])
+            held, batch = [], batch.slice(int(begins[0]))
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where each group of rows of equal keys begins, which are numbers."""
+    key = np.stack([rows.column(k).to_numpy() for k in keys])
+    return np.nonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))[0]

@@ -143,4 +143,48 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base,
 from d left join b using (doc_id) left join s using (doc_id)"""
 
 
-ALL = {"op1_mixing": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op8_warc_derivatives": OP8}
+OP11 = """
+with recursive tab as (select list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as tab),
+run as (select doc_id, run, count(*) as n from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents) group by all),
+octets as (select run, n, hex(coalesce(doc_id::varchar, '') || ':' || run) as x from run),
+crc as (select run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) as h from octets, tab),
+typed as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from crc),
+w as (select word, sum(n)::bigint as n from typed where length(word) >= 6 group by word having sum(n) >= 5),
+del as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as d from (select *, unnest(range(1, length(word) + 1)) as i from w)),
+near as (select a.word, b.word as other, b.n from del a join del b on a.d = b.d and a.i = b.i and a.word != b.word
+  union select a.word, b.word, b.n from del a join w b on a.d = b.word union select b.word, a.word, a.n from del a join w b on a.d = b.word),
+best as (select word, count(*) as n_near, first(other order by n desc, other) as form, max(n) as form_n from near group by word),
+forms as (select word, form, form_n from best join w using (word) where form_n >= 5 * w.n),
+chain(word, root, step) as (select word, form, 1 from forms union all select c.word, f.form, step + 1 from chain c join forms f on c.root = f.word),
+roots as (select word, max_by(root, step) as root from chain group by word)
+select w.word, f.form, coalesce(r.root, w.word) as root, w.n, coalesce(b.n_near, 0)::bigint as n_near, f.form_n::bigint as form_n
+from w left join best b using (word) left join forms f using (word) left join roots r using (word)"""
+
+
+def _assigned(k: int) -> str:
+    """Parts with the number of the nearest entry of book{k} and its distance, as CTE text."""
+    return f"""
+near{k} as (select vec_id, label, p.part, x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint * 64 + k) as best
+  from p join book{k} b on p.part = b.part group by all)"""
+
+
+def _trained(k: int) -> str:
+    """book{k + 1} from the parts assigned to book{k}, as CTE text."""
+    return f"""
+mean{k} as (select part, k, list(m order by i) as m from (select part, best % 64 as k, i, floor(sum(x[i]) / count(*))::bigint as m
+  from (select *, unnest(range(1, len(x) + 1)) as i from near{k}) group by all) group by all),
+book{k + 1} as (select part, k, coalesce(m, c) as c from book{k} left join mean{k} using (part, k))"""
+
+
+OP13 = f"""
+with v as (select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as e from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select vec_id, label, part, list_slice(e, part * (len(e) // 16) + 1, (part + 1) * (len(e) // 16)) as x from v, range(16) as t(part)),
+book0 as (select part, k, x as c from p join (select vec_id, row_number() over (order by vec_id) - 1 as k from v order by vec_id limit 64) using (vec_id)),
+{_assigned(0)}, {_trained(0)}, {_assigned(1)}, {_trained(1)}, {_assigned(2)},
+coded as (select vec_id, label, string_agg(lpad(lower(hex(best % 64)), 2, '0'), '' order by part) as code, sum(best // 64)::bigint as error from near2 group by all),
+sha as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, k)) as codebooks_sha256 from book2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded, sha"""
+
+
+ALL = {"op11_spelling": OP11, "op13_vector_codes": OP13, "op1_mixing": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op8_warc_derivatives": OP8}

@@ -16,6 +16,8 @@ from .pii import pseudonymize
 from .quality import quality_rules
 from .secrets import secret_scan, spans_text
 from .simhash import near_duplicates
+from .spelling import count_words, variants
+from .vector_codes import codebooks_sha256, vector_codes
 from .warc import derivatives, responses
 
 
@@ -97,8 +99,20 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(docs, key=b"a key that a user of the operator keeps secret")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(count_words(read_table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes(read_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_simhash, op6_language_id, op7_license_scan, op8_warc_derivatives, op9_decontamination, op10_pii_pseudonyms)
-}
+    for f in (
+        op1_mixing, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_simhash, op6_language_id, op7_license_scan, op8_warc_derivatives, op9_decontamination, op10_pii_pseudonyms,
+        op11_spelling, op13_vector_codes,
+    )
+}
 ORACLES = oracles.ALL | {"op7_license_scan": oracles.op7(TEMPLATES, PHRASES, WORDS)}

@@ -29,7 +29,7 @@ IDS = Counter(r[0] for r in ROWS)
 
 def db():
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
 
