@@ -161,6 +161,18 @@ select w.word, f.form, coalesce(r.root, w.word) as root, w.n, coalesce(b.n_near,
 from w left join best b using (word) left join forms f using (word) left join roots r using (word)"""
 
 
+OP12 = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '{WORD}') as w from documents),
+g as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) end) as gram from w),
+n as (select doc_id, count(*) as n from g group by doc_id),
+met as (select a.doc_id, b.doc_id as other, count(*) as common from g a join g b on a.gram = b.gram and a.doc_id != b.doc_id group by all),
+link as (select met.doc_id, other from met join n a on a.doc_id = met.doc_id join n b on b.doc_id = other where 100 * common >= 80 * (a.n + b.n - common)),
+reach(doc_id, other) as (select doc_id, other from link union select r.doc_id, l.other from reach r join link l on r.other = l.doc_id)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(w.doc_id, coalesce(r.low, w.doc_id)) as component_id
+from w left join n using (doc_id) left join (select doc_id, min(other) as low from reach group by doc_id) r using (doc_id)"""
+
+
 def _assigned(k: int) -> str:
     """Parts with the number of the nearest entry of book{k} and its distance, as CTE text."""
     return f"""
@@ -187,4 +199,4 @@ sha as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, k))
 select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded, sha"""
 
 
-ALL = {"op11_spelling": OP11, "op13_vector_codes": OP13, "op1_mixing": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op8_warc_derivatives": OP8}
+ALL = {"op11_spelling": OP11, "op12_ngram_join": OP12, "op13_vector_codes": OP13, "op1_mixing": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op8_warc_derivatives": OP8}

@@ -12,6 +12,7 @@ from .langid import identify
 from .licenses import PHRASES, TEMPLATES, WORDS, license_scan
 from .line_dedup import bitmap_text, line_dedup
 from .mixing import mix
+from .ngram_join import ngram_components
 from .pii import pseudonymize
 from .quality import quality_rules
 from .secrets import secret_scan, spans_text
@@ -103,6 +104,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(count_words(read_table(spark, sf_dir, "documents")))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read_table(spark, sf_dir, "documents"), n_words=5, percent=80)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, books = vector_codes(read_table(spark, sf_dir, "embeddings"))
     return out.select("vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
@@ -112,7 +117,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_simhash, op6_language_id, op7_license_scan, op8_warc_derivatives, op9_decontamination, op10_pii_pseudonyms,
-        op11_spelling, op13_vector_codes,
+        op11_spelling, op12_ngram_join, op13_vector_codes,
     )
 }
 ORACLES = oracles.ALL | {"op7_license_scan": oracles.op7(TEMPLATES, PHRASES, WORDS)}

@@ -34,13 +34,14 @@ TILE, CELLS = 64, 1 << 20
 DEALT, BYTES = 4096, 1 << 26
 #: Different words that a task counts before it passes their counts on.
 COUNTED = 1 << 18
-RUN = re.compile("[a-zÀ-ÿ]+")
 BLOCK = ["longer", "part", "key", "tile_a", "tile_b"]
 
 
 def _count_words(typo: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
+        # no run becomes longer
+        long_enough = re.compile(f"[a-zÀ-ÿ]{{{max(least, 1)},}}")
 
         def passed_on() -> pa.RecordBatch:
             held = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
@@ -52,7 +53,7 @@ def _count_words(typo: int, least: int):
                 if not text.is_valid:
                     continue
                 start = zlib.crc32(f"{i.as_py() if i.is_valid else ''}:".encode())
-                for word, n in Counter(RUN.findall(text.as_py().lower().decode())).items():
+                for word, n in Counter(long_enough.findall(text.as_py().lower().decode())).items():
                     h = zlib.crc32(word.encode(), start)
                     if not h % typo:
                         at = h % len(word)
