@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import group_starts, materialize, ship, whole_groups
 from .components import connected_components
-from .simhash import shingle_hashes
 
-ship(__name__, "strandloom.llm.common", "strandloom.llm.simhash", "strandloom.llm.bitslice")
+ship(__name__, "strandloom.llm.common")
 
 #: Documents sampled for frequent n-grams (the larger of a number and a share), and in how many of these an n-gram is frequent: so one that is not is in fewer
 #: than 2,000,000 documents, whatever their number.
@@ -36,12 +35,40 @@ SAMPLE, SAMPLE_SHARE, FREQUENT = 4000, 1e-5, 20
 CHUNK, RANGE = 1 << 21, 1 << 21
 #: Sets of a trie.
 TILE = 1024
+#: Odd multipliers of the words of an n-gram.
+MULTIPLIERS = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 GROUP = ["sig", "tile_a", "tile_b"]
 
 
+def gram_hashes(text: bytes | None, n_words: int) -> np.ndarray:
+    """64-bit hashes of the text's n-grams of words, with A-Z in lower case; of the whole sequence if it has fewer words. n_words is 64 at most."""
+    words = (text or b"").lower().split()
+    n = min(n_words, len(words))
+    if not n:
+        return np.empty(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    count = len(words) - n + 1
+    out = np.full(count, n, np.uint64)
+    for k in range(n):
+        out += each[k : k + count] * MULTIPLIERS[k]
+    for shift, factor in ((33, MULTIPLIERS[-1]), (29, MULTIPLIERS[-2])):
+        out ^= out >> np.uint64(shift)
+        out *= factor
+    return out ^ (out >> np.uint64(32))
+
+
 def _sets(texts, n_words: int) -> Iterator[np.ndarray]:
     for t in pc.cast(texts, pa.binary()):
-        yield np.unique(shingle_hashes(t.as_py(), n_words))
+        yield np.unique(gram_hashes(t.as_py(), n_words))
+
+
+def _places(frequent: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of grams are frequent, and where among the frequent ones."""
+    if not len(frequent):
+        return np.zeros(len(grams), bool), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+    known = frequent[at] == grams
+    return known, at[known]
 
 
 def _name(grams: np.ndarray) -> int:
@@ -75,7 +102,7 @@ def _described(n_words: int, frequent: np.ndarray):
             for grams in _sets(batch.column("text"), n_words):
                 size.append(len(grams))
                 node.append(_name(grams))
-                held.append(np.nonzero(np.isin(frequent, grams, assume_unique=True))[0].astype(np.uint32).tobytes() if len(frequent) else b"")
+                held.append(_places(frequent, grams)[1].astype(np.uint32).tobytes())
             columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(held, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "frequent"])
 
@@ -109,8 +136,7 @@ def _packed(n_words: int, frequent: np.ndarray, bits: int):
         for batch in batches:
             for grams in _sets(batch.column("text"), n_words):
                 node = _name(grams)
-                if len(frequent):
-                    grams = grams[~np.isin(grams, frequent, assume_unique=True)]
+                grams = grams[~_places(frequent, grams)[0]]
                 if len(grams) and node not in held:
                     held[node] = grams
                     n += len(grams)
@@ -198,25 +224,22 @@ def _frequent_weights(df: np.ndarray, sig: np.ndarray):
     return run
 
 
-def _routes(percent: int):
-    """A row (sig, node, n, items) for each weighted n-gram of a set that may be the first one that it shares with a similar set. items: df, sig and weight, in order."""
+def _listed(percent: int):
+    """Rows (node, n, items, routes): items are the weighted n-grams (df, sig, weight) in order; routes names those that may be the first ones that the set shares with a similar set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for node, n, held in zip(*(batch.column(c) for c in ("node", "n", "items")), strict=True):
-                flat = held.values.flatten()
-                df, sig, weight = (x.to_numpy() for x in flat)
+            packed, routes = [], []
+            for n, held in zip(batch.column("n").to_pylist(), batch.column("items"), strict=True):
+                df, sig, weight = (x.to_numpy() for x in held.values.flatten())
                 items, place = np.unique(np.stack([df, sig]), axis=1, return_inverse=True)
                 total = np.bincount(place.reshape(-1), weight).astype(np.int64)
-                n = n.as_py()
                 first = n - -(-percent * n // 100) + 1
                 before = n - total.sum() + np.cumsum(total) - total
-                packed = np.vstack([items, total]).T.tobytes()
-                out += [(s, node.as_py(), n, packed) for s in items[1][before < first].tolist()]
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["sig", "node", "n", "items"])
+                packed.append(np.vstack([items, total]).T.tobytes())
+                routes.append(items[1][before < first].tolist())
+            columns = [batch.column("node"), batch.column("n"), pa.array(packed, pa.binary()), pa.array(routes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "items", "routes"])
 
     return run
 
@@ -308,11 +331,6 @@ def _links(percent: int):
     return run
 
 
-def _joined(rows: DataFrame, percent: int) -> DataFrame:
-    dealt = rows.select(*GROUP, "node", "part", "n", "items").repartition(*GROUP).sortWithinPartitions(*GROUP)
-    return materialize(dealt.mapInArrow(_links(percent), "node long, other long"), "ngram-links")
-
-
 def weighted_sets(docs: DataFrame, classes: DataFrame, n_words: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """(node, n, items) of classes(node, n, frequent) of whose n-grams percent or more are in other sets too: items are their weights (df, sig, weight)."""
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -330,23 +348,39 @@ def weighted_sets(docs: DataFrame, classes: DataFrame, n_words: int, percent: in
     return items.join(classes.select("node", "n"), "node").filter(F.col("shared") * 100 >= F.col("n") * percent).select("node", "n", "items")
 
 
+def _joined(lists: DataFrame, routes: DataFrame, percent: int, tile: int, all_pairs: bool) -> DataFrame:
+    """Links (node, other) between sets of lists that meet in routes (sig, node, part).
+
+    Groups of more than tile sets are cut in tiles. With all_pairs each two tiles are a group by themselves; else each tile with the smallest node of all.
+    """
+    tiles = F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")
+    groups = routes.groupBy("sig").agg(tiles, F.min("node").alias("pivot"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    dealt = routes.join(groups, "sig").withColumn("own", F.pmod(F.hash("node"), F.col("tiles")))
+    every = F.expr("sequence(0, tiles - 1)")
+    if all_pairs:
+        # of two tiles or more, every pair of tiles holds its own pairs
+        dealt = dealt.withColumn("other", F.explode(every)).filter("tiles = 1 or own != other")
+        dealt = dealt.withColumns({"tile_a": F.least("own", "other"), "tile_b": F.greatest("own", "other")})
+    else:
+        dealt = dealt.withColumn("tile_a", F.explode(F.when(F.col("node") == F.col("pivot"), every).otherwise(F.array("own")))).withColumn("tile_b", F.col("tile_a"))
+    dealt = dealt.select(*GROUP, "node", "part").join(lists.select("node", "n", "items"), "node")
+    dealt = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return materialize(dealt.mapInArrow(_links(percent), "node long, other long"), "ngram-links")
+
+
 def similar_roots(sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     """(node, root) of the sets (node, n, items) that are linked to a smaller node.
 
-    Groups of more than tile sets are first joined in tiles, each with the group's smallest node, which joins most copies; then, of those in which
-    several components are left, each pair of tiles.
+    First each set meets others by the most frequent n-gram of its routes alone, which joins most copies. Then all routes count, of the groups
+    in which several components are left, so that the lists of a group of copies don't travel once for each n-gram.
     """
-    routes = materialize(sets.mapInArrow(_routes(percent), "sig long, node long, n long, items binary"), "ngram-routes")
-    groups = routes.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"), F.min("node").alias("pivot"), F.count(F.lit(1)).alias("rows"))
-    dealt = routes.join(groups.filter("rows > 1").drop("rows"), "sig").withColumn("part", F.col("node"))
-    own = F.pmod(F.hash("node"), F.col("tiles"))
-    seen = F.explode(F.when(F.col("node") == F.col("pivot"), F.expr("sequence(0, tiles - 1)")).otherwise(F.array(own)))
-    first = dealt.withColumn("tile_a", seen).withColumn("tile_b", F.col("tile_a"))
-    roots = materialize(connected_components(_joined(first, percent)), "ngram-roots")
-    large = dealt.filter("tiles > 1").drop("part").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    mixed = large.groupBy("sig").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a != b").select("sig")
-    large = large.join(mixed, "sig").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).filter("own != other")
-    more = _joined(large.withColumn("tile_a", F.least("own", "other")).withColumn("tile_b", F.greatest("own", "other")), percent)
+    lists = materialize(sets.mapInArrow(_listed(percent), "node long, n long, items binary, routes array<long>"), "ngram-lists")
+    last = lists.select(F.element_at("routes", -1).alias("sig"), "node", F.col("node").alias("part"))
+    roots = materialize(connected_components(_joined(lists, last, percent, tile, all_pairs=False)), "ngram-roots")
+    routes = lists.select(F.explode("routes").alias("sig"), "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("part"))
+    routes = materialize(routes, "ngram-routes")
+    mixed = routes.groupBy("sig").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a != b").select("sig")
+    more = _joined(lists, routes.join(mixed, "sig"), percent, tile, all_pairs=True)
     if more.isEmpty():
         return roots
     return connected_components(roots.union(more))
