@@ -38,6 +38,8 @@ TILE = 1024
 #: Odd multipliers of the words of an n-gram.
 MULTIPLIERS = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 GROUP = ["sig", "tile_a", "tile_b"]
+ITEM = np.dtype([("order", "<i8"), ("weight", "<i4")])
+ROUTE = [("sig", pa.int64()), ("at", pa.int32()), ("before", pa.int64())]
 
 
 def gram_hashes(text: bytes | None, n_words: int) -> np.ndarray:
@@ -114,19 +116,17 @@ def _packed(n_words: int, frequent: np.ndarray, bits: int):
 
     def pack(grams: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(grams)
-        owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(g) for g in grams])
-        which = (flat >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(which, kind="stable")
-        edges = np.searchsorted(which[order], np.arange((1 << bits) + 1))
+        order = np.argsort(flat)
+        flat, owner = flat[order], np.repeat(np.arange(len(nodes)), [len(g) for g in grams])[order]
+        edges = np.searchsorted(flat >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
         names = np.array(nodes, np.int64)
         out = []
         for r in np.nonzero(edges[1:] > edges[:-1])[0].tolist():
-            own = owner[order[edges[r] : edges[r + 1]]]
-            # owners ascend, as the sort is stable
-            first = np.append(True, own[1:] != own[:-1])
-            place = np.cumsum(first) - 1
-            short = np.uint16 if place[-1] < 1 << 16 else np.uint32
-            out.append((r, flat[order[edges[r] : edges[r + 1]]].tobytes(), place.astype(short).tobytes(), names[own[first]].tobytes()))
+            own, place = np.unique(owner[edges[r] : edges[r + 1]], return_inverse=True)
+            short = np.uint16 if len(own) <= 1 << 16 else np.uint32
+            # steps between sorted hashes, byte by byte, so that the bytes that are mostly zero compress
+            steps = np.diff(flat[edges[r] : edges[r + 1]], prepend=np.uint64(0))
+            out.append((r, steps.view(np.uint8).reshape(-1, 8).T.tobytes(), place.astype(short).tobytes(), names[own].tobytes()))
         columns = zip(*out, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), *[pa.binary()] * 3), strict=True)], ["range", "grams", "owners", "nodes"])
 
@@ -153,7 +153,7 @@ def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     grams, nodes = [], []
     for g, o, names in zip(*(rows.column(c) for c in ("grams", "owners", "nodes")), strict=True):
         g, o = g.as_py(), o.as_py()
-        grams.append(np.frombuffer(g, np.uint64))
+        grams.append(np.frombuffer(g, np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(-1).cumsum(dtype=np.uint64))
         nodes.append(np.frombuffer(names.as_py(), np.int64)[np.frombuffer(o, np.uint16 if len(o) * 4 == len(g) else np.uint32)])
     return np.concatenate(grams), np.concatenate(nodes)
 
@@ -225,20 +225,26 @@ def _frequent_weights(df: np.ndarray, sig: np.ndarray):
 
 
 def _listed(percent: int):
-    """Rows (node, n, items, routes): items are the weighted n-grams (df, sig, weight) in order; routes names those that may be the first ones that the set shares with a similar set."""
+    """Rows (node, n, items, routes) of sets as lists of ITEM, in order: by the magnitude of df, then by sig.
+
+    A route (sig, at, before) is an item that may be the first one that the set shares with a similar set: its place in the list, and the n-grams before it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed, routes = [], []
             for n, held in zip(batch.column("n").to_pylist(), batch.column("items"), strict=True):
                 df, sig, weight = (x.to_numpy() for x in held.values.flatten())
-                items, place = np.unique(np.stack([df, sig]), axis=1, return_inverse=True)
-                total = np.bincount(place.reshape(-1), weight).astype(np.int64)
+                size = np.minimum(4 * np.log2(df), 127).astype(np.int64)
+                order, place = np.unique(size << 56 | sig & ((1 << 56) - 1), return_inverse=True)
+                items = np.empty(len(order), ITEM)
+                items["order"], items["weight"] = order, np.bincount(place.reshape(-1), weight)
                 first = n - -(-percent * n // 100) + 1
-                before = n - total.sum() + np.cumsum(total) - total
-                packed.append(np.vstack([items, total]).T.tobytes())
-                routes.append(items[1][before < first].tolist())
-            columns = [batch.column("node"), batch.column("n"), pa.array(packed, pa.binary()), pa.array(routes, pa.list_(pa.int64()))]
+                upto = np.cumsum(items["weight"], dtype=np.int64)
+                before = n - upto[-1] + upto - items["weight"]
+                packed.append(items.tobytes())
+                routes.append([(int(order[i]), i, int(before[i])) for i in np.nonzero(before < first)[0].tolist()])
+            columns = [batch.column("node"), batch.column("n"), pa.array(packed, pa.binary()), pa.array(routes, pa.list_(pa.struct(ROUTE)))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "n", "items", "routes"])
 
     return run
@@ -257,7 +263,7 @@ class Trie:
 
 def similar_links(sets: list[tuple[int, int, int, list[int], list[int]]], percent: int) -> list[tuple[int, int]]:
     """Links (node, other) that join the components of sets (node, part, size, ranks, weights): pairs of different parts whose Jaccard similarity
-    is percent or more, exactly, fewer than sets. ranks ascend; size counts n-grams that no other set holds too."""
+    is percent or more, exactly, fewer than sets. ranks ascend; size counts n-grams too that are not among them, which no two sets share."""
     above: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -311,15 +317,13 @@ def _links(percent: int):
         for rows in whole_groups(batches, GROUP, rows=1 << 14):
             starts = [*group_starts(rows, GROUP).tolist(), rows.num_rows]
             node, part, n = (rows.column(c).to_pylist() for c in ("node", "part", "n"))
-            items = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in rows.column("items").to_pylist()]
+            items = [np.frombuffer(x, ITEM) for x in rows.column("items").to_pylist()]
             found = []
             for s, e in zip(starts, starts[1:], strict=False):
                 if e - s < 2:
                     continue
                 flat = np.concatenate(items[s:e])
-                # equal numbers for equal (df, sig), in their order
-                rank = np.unique(flat[:, :2], axis=0, return_inverse=True)[1].reshape(-1).tolist()
-                weight, at, sets = flat[:, 2].tolist(), 0, []
+                rank, weight, at, sets = flat["order"].tolist(), flat["weight"].tolist(), 0, []
                 for i in range(s, e):
                     upto = at + len(items[i])
                     sets.append((node[i], part[i], n[i], rank[at:upto], weight[at:upto]))
@@ -348,22 +352,26 @@ def weighted_sets(docs: DataFrame, classes: DataFrame, n_words: int, percent: in
     return items.join(classes.select("node", "n"), "node").filter(F.col("shared") * 100 >= F.col("n") * percent).select("node", "n", "items")
 
 
-def _joined(lists: DataFrame, routes: DataFrame, percent: int, tile: int, all_pairs: bool) -> DataFrame:
-    """Links (node, other) between sets of lists that meet in routes (sig, node, part).
+def _joined(lists: DataFrame, routes: DataFrame, percent: int, tile: int, last: bool) -> DataFrame:
+    """Links (node, other) between sets of lists that meet in routes (sig, at, before, node, n, part), whose lists travel from place at on.
 
-    Groups of more than tile sets are cut in tiles. With all_pairs each two tiles are a group by themselves; else each tile with the smallest node of all.
+    Groups of more than tile sets are cut in tiles: each two tiles are a group by themselves in the last round, before that each tile with the smallest node of all.
+    A set stays away where too little of it is left for the smallest set of the group.
     """
+    groups = routes.groupBy("sig").agg(F.min("n").alias("least"))
+    routes = routes.join(groups, "sig").filter(F.expr(f"{100 + percent} * (n - before) >= {percent} * (n + least)")).drop("least")
     tiles = F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")
-    groups = routes.groupBy("sig").agg(tiles, F.min("node").alias("pivot"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    groups = routes.groupBy("sig").agg(tiles, F.min("node").alias("pivot"), F.min("part").alias("a"), F.max("part").alias("b")).filter("a != b").drop("a", "b")
     dealt = routes.join(groups, "sig").withColumn("own", F.pmod(F.hash("node"), F.col("tiles")))
     every = F.expr("sequence(0, tiles - 1)")
-    if all_pairs:
+    if last:
         # of two tiles or more, every pair of tiles holds its own pairs
         dealt = dealt.withColumn("other", F.explode(every)).filter("tiles = 1 or own != other")
         dealt = dealt.withColumns({"tile_a": F.least("own", "other"), "tile_b": F.greatest("own", "other")})
     else:
         dealt = dealt.withColumn("tile_a", F.explode(F.when(F.col("node") == F.col("pivot"), every).otherwise(F.array("own")))).withColumn("tile_b", F.col("tile_a"))
-    dealt = dealt.select(*GROUP, "node", "part").join(lists.select("node", "n", "items"), "node")
+    tail = F.expr(f"substring(items, at * {ITEM.itemsize} + 1)").alias("items")
+    dealt = dealt.select(*GROUP, "node", "part", "at").join(lists.select("node", "n", "items"), "node").select(*GROUP, "node", "part", "n", tail)
     dealt = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
     return materialize(dealt.mapInArrow(_links(percent), "node long, other long"), "ngram-links")
 
@@ -371,16 +379,18 @@ def _joined(lists: DataFrame, routes: DataFrame, percent: int, tile: int, all_pa
 def similar_roots(sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     """(node, root) of the sets (node, n, items) that are linked to a smaller node.
 
-    First each set meets others by the most frequent n-gram of its routes alone, which joins most copies. Then all routes count, of the groups
-    in which several components are left, so that the lists of a group of copies don't travel once for each n-gram.
+    First each set meets others in the largest group of its routes alone, with its whole list, which joins most copies. Then all routes count, of the groups
+    in which several components are left: two similar sets share nothing before their first common route, so lists travel from there on.
     """
-    lists = materialize(sets.mapInArrow(_listed(percent), "node long, n long, items binary, routes array<long>"), "ngram-lists")
-    last = lists.select(F.element_at("routes", -1).alias("sig"), "node", F.col("node").alias("part"))
-    roots = materialize(connected_components(_joined(lists, last, percent, tile, all_pairs=False)), "ngram-roots")
-    routes = lists.select(F.explode("routes").alias("sig"), "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("part"))
-    routes = materialize(routes, "ngram-routes")
-    mixed = routes.groupBy("sig").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a != b").select("sig")
-    more = _joined(lists, routes.join(mixed, "sig"), percent, tile, all_pairs=True)
+    lists = sets.mapInArrow(_listed(percent), "node long, n long, items binary, routes array<struct<sig: long, at: int, before: long>>")
+    lists = materialize(lists, "ngram-lists")
+    routes = lists.select(F.inline("routes"), "node", "n")
+    sizes = routes.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"))
+    largest = routes.join(sizes, "sig").groupBy("node", "n").agg(F.max(F.struct("rows", "sig"))["sig"].alias("sig"))
+    largest = largest.select("sig", F.lit(0).alias("at"), F.lit(0).cast("long").alias("before"), "node", "n", F.col("node").alias("part"))
+    roots = materialize(connected_components(_joined(lists, largest, percent, tile, last=False)), "ngram-roots")
+    routes = routes.join(roots, "node", "left").select("sig", "at", "before", "node", "n", F.coalesce("root", "node").alias("part"))
+    more = _joined(lists, materialize(routes, "ngram-routes"), percent, tile, last=True)
     if more.isEmpty():
         return roots
     return connected_components(roots.union(more))
