@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.columns import motif_positions
@@ -17,25 +20,107 @@ from strandloom.functions.columns import motif_positions
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def call_tm(df: DataFrame, x: str, expected_t: str, expected_b: str, base: str, significant: float = 0.4, out: str = "called") -> DataFrame:
-    """At bases T: X where both expectations differ by significant or less, else B or T, whichever is nearer to x (T if equal)."""
-    gap_t, gap_b = F.abs(F.col(x) - F.col(expected_t)), F.abs(F.col(x) - F.col(expected_b))
-    call = F.when(~(F.abs(F.col(expected_t) - F.col(expected_b)) > significant), "X").when(gap_b < gap_t, "B").otherwise("T")
-    return df.withColumn(out, F.when(F.col(base) == "T", call).otherwise(F.col(base)))
-
+def call_tm(
+    df: DataFrame, x: str, expected_t: str, expected_b: str, base: str, significant: float = 0.4, out: str = "called",
+    near: float | None = None, both: tuple[str, str] | None = None,
+) -> DataFrame:
+    """At bases T: X where both expectations differ by significant or less, else B or T, whichever is nearer to x (T if equal).
 
-def score_windows(windows: DataFrame, keys: list[str], values: str, weights: list[float], bias: float) -> DataFrame:
-    """(keys..., score): a logistic score of each window's mean, deviation and size, in batches. Any function of a batch's windows fits in its place."""
-    w = np.asarray(weights, float)
+    near: X too where neither expectation lies nearer than that. both, a read's key and order, couples each step with the one before, of any base: a step
+    counts if one of the two does, two that count and disagree make X, B needs both, or one where the other's pair does not count;
+    a read's first step is never B. Steps without an expectation don't count then.
+    """
+    gap_t, gap_b = F.abs(F.col(x) - F.col(expected_t)), F.abs(F.col(x) - F.col(expected_b))
+    counts = F.abs(F.col(expected_t) - F.col(expected_b)) > significant
+    if near is not None:
+        counts = counts & (F.least(gap_t, gap_b) < near)
+    if both is None:
+        call = F.when(~counts, "X").when(gap_b < gap_t, "B").otherwise("T")
+        return df.withColumn(out, F.when(F.col(base) == "T", call).otherwise(F.col(base)))
+    w = Window.partitionBy(both[0]).orderBy(both[1])
+    df = df.withColumns({"__s": F.coalesce(counts, F.lit(False)), "__b": F.coalesce(gap_b < gap_t, F.lit(False))})
+    df = df.withColumn("__p", F.col("__s") | F.lag("__s", 1, False).over(w))
+    before, b_before = F.lag("__p").over(w), F.lag("__b").over(w)
+    df = df.withColumns({"__v": F.coalesce(before, F.lit(False)), "__f": before.isNull(), "__a": b_before})
+    b = F.when(F.col("__f"), False).when(F.col("__v"), F.col("__b") & F.col("__a")).otherwise(F.col("__b"))
+    call = F.when(~F.col("__p") | (F.col("__v") & (F.col("__b") != F.col("__a"))), "X").when(b, "B").otherwise("T")
+    return df.withColumn(out, F.when(F.col(base) == "T", call).otherwise(F.col(base))).drop("__s", "__b", "__p", "__v", "__f", "__a")
+
+
+@dataclass(frozen=True)
+class Logistic:
+    """Scores windows by a logistic function of their mean, deviation and size, in Spark's own functions; null for empty ones."""
+
+    weights: tuple[float, float, float]
+    bias: float
+
+    def column(self, values: str) -> Column:
+        x, n = F.col(values), F.size(values).cast("double")
+        mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
+        # the mean is a field, so that it is not summed again for each value
+        spread = F.aggregate(
+            x, F.struct(F.lit(0.0).alias("q"), mean.alias("m")),
+            lambda a, v: F.struct((a.q + (v - a.m) * (v - a.m)).alias("q"), a.m.alias("m")),
+            lambda a: F.struct(a.m.alias("m"), F.sqrt(a.q / n).alias("d")),
+        )
+        return F.transform(
+            F.array(spread), lambda s: 1 / (1 + F.exp(-(self.weights[0] * s.m + self.weights[1] * s.d + self.weights[2] * n + self.bias)))
+        )[0]
+
+
+class Model:
+    """A model as it travels to workers: pickled and broadcast once, unpacked once in each worker process."""
+
+    def __init__(self, spark: SparkSession, model):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    def get(self):
+        # a worker keeps one object for each broadcast, whatever the task
+        if not hasattr(self.held, "unpacked"):
+            self.held.unpacked = pickle.loads(self.held.value)
+        return self.held.unpacked
+
+
+def predictions(model, windows: list, n_outputs: int, batch: int = 1024) -> np.ndarray:
+    """(n_outputs, windows): what model.predict gives for windows of values or of channels; nan for null ones. Windows of one length are predicted together."""
+    out = np.full((n_outputs, len(windows)), np.nan)
+    lengths: dict[int, list[int]] = {}
+    for i, v in enumerate(windows):
+        if v is not None:
+            lengths.setdefault(len(v), []).append(i)
+    for places in lengths.values():
+        for k in range(0, len(places), batch):
+            at = places[k : k + batch]
+            x = np.array([np.array([np.asarray(c, float) for c in windows[i]]) for i in at])
+            found = model.predict(x[..., None] if x.ndim == 2 else x)
+            found = [found] if n_outputs == 1 and not isinstance(found, list | tuple) else found
+            if len(found) != n_outputs:
+                raise ValueError(f"the model gives {len(found)} outputs instead of {n_outputs}")
+            for row, one in zip(out, found, strict=True):
+                row[at] = np.asarray(one, float).reshape(len(at), -1)[:, 0]
+    return out
+
+
+def score_windows(windows: DataFrame, keys: list[str], values: str, model, outputs: tuple[str, ...] = ("score",)) -> DataFrame:
+    """(keys..., outputs...): scores of windows, whose values are an array of numbers or of channels at each position.
+
+    model is an object with column(values), an expression of one score, or with predict(x), which takes an array (windows, positions, channels) and returns an array of a
+    score a window, or a list of such arrays for several outputs; it must be picklable. It is broadcast once and fed batches. Scores of null windows, and scores that are not a number, are null.
+    """
+    if hasattr(model, "column"):
+        (name,) = outputs
+        return windows.select(*keys, model.column(values).alias(name))
+    types = dict(windows.dtypes)
+    held = Model(windows.sparkSession, model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([(np.mean(v), np.std(v), len(v)) for v in batch[values]], float).reshape(-1, 3)
-            yield batch[keys].assign(score=1 / (1 + np.exp(-(x @ w + bias))))
+            found = predictions(held.get(), batch.column(values).to_pylist(), len(outputs))
+            columns = [*(batch.column(k) for k in keys), *(pa.array(row, pa.float64(), mask=np.isnan(row)) for row in found)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, *outputs])
 
-    types = dict(windows.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", score double"
-    return windows.select(*keys, values).mapInPandas(run, schema)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{o} double" for o in outputs)])
+    return windows.select(*keys, values).mapInArrow(run, schema)
 
 
 def relabel_reads(reads: DataFrame, seq: str, mean: str, threshold: float, mod: str, bounds: tuple[float, float] | None = None, motif: str | None = None, out: str = "labelled") -> DataFrame:

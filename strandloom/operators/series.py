@@ -166,12 +166,12 @@ def overlapped_windows(df: DataFrame, n: int, m: int, key: str, idx: str) -> Dat
     return df.filter((F.col("win") >= 0) & (F.col("win") < least)).drop("__size")
 
 
-def overlap_consensus(scores: DataFrame, n: int, m: int, key: str, score: str) -> DataFrame:
-    """(key, idx, score): median over the tilings of overlapped_windows' window scores, nulls left out."""
+def overlap_consensus(scores: DataFrame, n: int, m: int, key: str, *score: str) -> DataFrame:
+    """(key, idx, score...): medians over the tilings of overlapped_windows' window scores, nulls left out."""
     shift = n // m
     first = F.col("win") * n + F.col("phase") * shift
-    spread = scores.select(key, score, F.explode(F.sequence(first, first + n - 1)).alias("idx"))
-    return spread.groupBy(key, "idx").agg(F.percentile(score, 0.5).alias(score))
+    spread = scores.select(key, *score, F.explode(F.sequence(first, first + n - 1)).alias("idx"))
+    return spread.groupBy(key, "idx").agg(*[F.percentile(c, 0.5).alias(c) for c in score])
 
 
 def with_successor(df: DataFrame, columns: list[str], key: str, idx: str) -> DataFrame:

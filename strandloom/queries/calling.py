@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from strandloom.operators import calling as k
@@ -16,6 +20,7 @@ from .registry import query
 from .series import OVERLAP, _frame
 
 K, I = "read_id", "idx"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: The given signals have some dozens of positions: shorter smoothing, and places 100 bases apart.
 SMALL = fk.Settings(min_std=0.1, smoothing=4, min_amplitude=0.2, min_jump=0.3, low_plateau=0.4, min_distance=100, score=0.5, jump_score=0.2)
 
@@ -88,17 +93,47 @@ def _(sig, reads):
     return parts[0].unionByName(parts[1])
 
 
+def _expected(sig):
+    """Steps with their first base and the levels of their k-mers in two sets of reads."""
+    x = k3(sig)
+    for name, part in (("t", 0), ("b", 1)):
+        table = km.kmer_stats(x.filter(F.col(K) % 2 == part), "kmer", "v100").select("kmer", F.col("mean").alias(name))
+        x = x.join(table, "kmer")
+    return x.withColumn("base", F.substring("kmer", 1, 1))
+
+
+#: The same as SQL: x.
+EXPECTED = f"""{KM}, {HALF}, ta as (select kmer, sum(v100) / count(*) as t from a group by kmer), tb as (select kmer, sum(v100) / count(*) as b from b group by kmer),
+    x as (select read_id, idx, v100, left(kmer, 1) as base, t, b from k3 join ta using (kmer) join tb using (kmer))"""
+
+
 @query(
     "K6_call_tm", "sig",
     sql=f"""{KM}, {HALF}, ta as (select kmer, sum(v100) / count(*) as t from a group by kmer), tb as (select kmer, sum(v100) / count(*) as b from b group by kmer)
     select read_id, idx, case when left(kmer, 1) = 'T' then case when not abs(t - b) > 400 then 'X' when abs(v100 - b) < abs(v100 - t) then 'B' else 'T' end else left(kmer, 1) end as called from k3 join ta using (kmer) join tb using (kmer)""",
 )
 def _(sig):
-    x = k3(sig)
-    for name, part in (("t", 0), ("b", 1)):
-        table = km.kmer_stats(x.filter(F.col(K) % 2 == part), "kmer", "v100").select("kmer", F.col("mean").alias(name))
-        x = x.join(table, "kmer")
-    return k.call_tm(x.withColumn("base", F.substring("kmer", 1, 1)), "v100", "t", "b", "base", 400).select(K, I, "called")
+    return k.call_tm(_expected(sig), "v100", "t", "b", "base", 400).select(K, I, "called")
+
+
+@query(
+    "K6_call_tm_near", "sig",
+    sql=f"""{EXPECTED} select read_id, idx, case when base = 'T' then case when not (abs(t - b) > 50 and least(abs(v100 - t), abs(v100 - b)) < 1500) then 'X' when abs(v100 - b) < abs(v100 - t) then 'B' else 'T' end else base end as called from x""",
+)
+def _(sig):
+    return k.call_tm(_expected(sig), "v100", "t", "b", "base", 50, near=1500).select(K, I, "called")
+
+
+# numbers of the steps' sides: 10 stands for one that does not count; sums of neighbours say whether they agree
+@query(
+    "K6_call_tm_both", "sig",
+    sql=f"""{EXPECTED}, s as (select *, abs(t - b) > 400 as s, (abs(v100 - b) < abs(v100 - t))::int as b1 from x),
+    p as (select *, s or coalesce(lag(s) over w, false) as p from s window w as (partition by read_id order by idx)),
+    n as (select *, case when p then b1 else 10 end as n from p), y as (select *, lag(n) over (partition by read_id order by idx) as before from n)
+    select read_id, idx, case when base <> 'T' then base when not p or (before is not null and n + before = 1) then 'X' when n + coalesce(before, 0) in (2, 11) then 'B' else 'T' end as called from y""",
+)
+def _(sig):
+    return k.call_tm(_expected(sig), "v100", "t", "b", "base", 400, both=(K, I)).select(K, I, "called")
 
 
 def _tstat_sql(w: int) -> str:
@@ -173,19 +208,43 @@ def _(sig, reads):
 )
 def _(sig):
     w = s.overlapped_windows(sig, 12, 3, K, I).groupBy(K, "phase", "win").agg(F.transform(F.sort_array(F.collect_list(F.struct(I, "v100"))), lambda x: x.v100 / 100).alias("v"))
-    scores = k.score_windows(w, [K, "phase", "win"], "v", [0.05, -0.01, 0.0], -1.0)
+    scores = k.score_windows(w, [K, "phase", "win"], "v", k.Logistic((0.05, -0.01, 0.0), -1.0))
     return s.overlap_consensus(scores, 12, 3, K, "score").withColumn("score", F.round("score", 6))
 
 
+class TwoHeads:
+    """A layer of two outputs over the values and the letters of a window, each position with a weight of its own."""
+
+    def predict(self, x):
+        place = 1.0 + np.arange(x.shape[1])
+        a = (x[..., 0] * place).sum(axis=1) / 2000 - x[..., 1].sum(axis=1) / 8
+        b = (x[..., 0] * x[..., 1] / place).sum(axis=1) / 100
+        return [1 / (1 + np.exp(-a)), (b / (1 + b))[:, None]]
+
+
+@query(
+    "K11_two_outputs", "sig",
+    sql=f"""{OVERLAP}, w as (select read_id, phase, win, sum(v100 / 100 * (idx - win * 12 - phase * 4 + 1)) / 2000 - sum((call in ('T', 'B'))::int) / 8 as a,
+      sum(v100 / 100 * (call in ('T', 'B'))::int / (idx - win * 12 - phase * 4 + 1)) / 100 as b from o group by all),
+    e as (select read_id, unnest(range(win * 12 + phase * 4, win * 12 + phase * 4 + 12)) as idx, 1 / (1 + exp(-a)) as p, b / (1 + b) as q from w)
+    select read_id, idx, round(quantile_cont(p, 0.5), 6) as first, round(quantile_cont(q, 0.5), 6) as second from e group by read_id, idx""",
+)
+def _(sig):
+    channels = F.array(F.col("v100") / 100, F.col("call").isin("T", "B").cast("double")).alias("c")
+    w = s.overlapped_windows(sig, 12, 3, K, I).groupBy(K, "phase", "win").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(I), channels))), lambda x: x.c).alias("v"))
+    scores = k.score_windows(w, [K, "phase", "win"], "v", TwoHeads(), ("first", "second"))
+    return s.overlap_consensus(scores, 12, 3, K, "first", "second").withColumns({c: F.round(c, 6) for c in ("first", "second")})
+
+
 @query("K12_relabel_reads", "seqs", sql="m as (select read_id, seq, read_id % 97 / 96 as p from seqs) select read_id, case when p >= 0.5 then replace(seq, 'TA', 'BA') else seq end as labelled from m where p between 0.1 and 0.9")
 def _(seqs):
     return k.relabel_reads(seqs.withColumn("p", F.col(K) % 97 / 96), "seq", "p", 0.5, "B", (0.1, 0.9), "TA").select(K, "labelled")
 
 
-@query("K12_relabel_positions", "sig", sql=f"{KM} select read_id, idx, case when left(kmer, 1) = 'T' and v100 > mean then 'B' else left(kmer, 1) end as labelled from k3 left join (from tab where n > 100) using (kmer) where kmer is not null")
+@query("K12_relabel_positions", "sig", sql=f"{KM} select read_id, idx, case when left(kmer, 1) = 'T' and v100 > mean then 'B' else left(kmer, 1) end as labelled from k3 left join tab using (kmer) where kmer is not null")
 def _(sig):
     x = k3(sig)
-    table = km.kmer_stats(x, "kmer", "v100").filter("n > 100").select("kmer", "mean")
+    table = km.kmer_stats(x, "kmer", "v100").select("kmer", "mean")
     x = x.join(table, "kmer", "left").withColumn("base", F.substring("kmer", 1, 1))
     return k.relabel_positions(x, "base", "v100", F.col("mean"), "B").select(K, I, "labelled")
 

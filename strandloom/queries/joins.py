@@ -71,10 +71,10 @@ def _(sig):
     return km.expected_pairs(table, "kmer", "mean").select("kmer", F.round("expected", 6).alias("expected"))
 
 
-@query("D8_calibrated_threshold", "sig", sql=f"{KM} select read_id, idx, v100 > mean as modified from k3 left join (from tab where n > 100) using (kmer) where kmer is not null")
+@query("D8_calibrated_threshold", "sig", sql=f"{KM} select read_id, idx, v100 > mean as modified from k3 left join tab using (kmer) where kmer is not null")
 def _(sig):
     k = k3(sig)
-    table = km.kmer_stats(k, "kmer", "v100").filter("n > 100")
+    table = km.kmer_stats(k, "kmer", "v100")
     return j.calibrated_threshold(k, table, "kmer", "v100", "mean").select("read_id", "idx", "modified")
 
 
