@@ -55,7 +55,7 @@ class Logistic:
     bias: float
 
     def column(self, values: str) -> Column:
-        x, n = F.col(values), F.size(values).cast("double")
+        x, n = F.col(values), F.when(F.size(values) > 0, F.size(values)).cast("double")
         mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
         # the mean is a field, so that it is not summed again for each value
         spread = F.aggregate(
