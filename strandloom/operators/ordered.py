@@ -107,3 +107,38 @@ def quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]
 
     found = found.select("__g", *[between(name) for name in points])
     return base.join(found, "__g", "left").select(*["__g.*"] * bool(by), *[c for c in base.columns if c not in ("__g", "__rows")], *points)
+
+
+def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, out: str = "__n", total: str = "__all") -> DataFrame:
+    """Adds each row's place (from 0) in order, of any types, and how many rows there are; within by, if given, nulls of which make a group. order ends with a key, or ties are
+    placed as they come.
+
+    Rows are cut in ranges of the order, as many as their size asks for, and sorted there; only the ranges' sizes meet in one place, a row a task. So neither
+    a common beginning nor a large group brings more rows to one task than another.
+    """
+    by = by or []
+    cut = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    # the rest of the id after a task's number counts the task's rows
+    cut = cut.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__i"))
+    cut = stored(cut, "ranges")
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+    sizes = sizes.select("__p", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__o"), F.sum("__c").over(Window.partitionBy(F.lit(1))).alias("__t"))
+    cut = cut.join(F.broadcast(sizes), "__p").withColumn(out, F.col("__o") + F.col("__i"))  # a row for each task
+    if not by:
+        return cut.withColumn(total, F.col("__t")).drop("__p", "__i", "__o", "__t")
+    cut = cut.withColumn("__g", F.struct(*by))
+    first = cut.groupBy("__g").agg(F.min(out).alias("__f"), F.count(F.lit(1)).alias(total))
+    return cut.join(first, "__g").withColumn(out, F.col(out) - F.col("__f")).drop("__p", "__i", "__o", "__t", "__g", "__f")
+
+
+def last_before(points: DataFrame, breaks: DataFrame, part: list[str], pos: str, payload: list[str], width: int = WIDTH) -> DataFrame:
+    """points with the payload of the last of breaks, in pos and then payload, that lies at or before their pos within part; nulls if none does.
+
+    Both are merged in one order, cut in bins of pos: each row is there once, however far it is to the break before.
+    """
+    held = F.struct(pos, *payload)
+    a = breaks.select(*part, pos, F.lit(0).alias("__kind"), held.alias("__b"))
+    b = points.select(*part, pos, F.lit(1).alias("__kind"), F.struct(*[c for c in points.columns if c not in (*part, pos)]).alias("__row"))
+    met = running(a.unionByName(b, allowMissingColumns=True), part, pos, ["__kind"], {"__found": ("max", "__b")}, width=width).filter("__kind = 1")
+    return met.select(*part, pos, "__row.*", *[F.col("__found")[c].alias(c) for c in payload])

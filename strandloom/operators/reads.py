@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def filter_min_length(df: DataFrame, seq: str, n: int) -> DataFrame:
     return df.filter(F.length(seq) >= n)
@@ -48,18 +50,10 @@ def filter_contains(df: DataFrame, column: str, parts: DataFrame, part: str, lim
     return df.filter(reduce(Column.__or__, [F.contains(column, F.lit(p)) for p in listed], F.lit(False)))
 
 
-def fraction_slice(df: DataFrame, name: str, lo: float, hi: float, prefix: int = 6) -> DataFrame:
-    """Rows whose rank by name, as a share of all, lies between lo and hi.
-
-    Names meet others with the same beginning; the sizes of the groups before and the rank in its own give a row's rank.
-    """
-    ranged = df.withColumn("__r", F.substring(name, 1, prefix))
-    sizes = ranged.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
-    over = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__r", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__r").orderBy(name)) - 1
-    share = rank / F.col("__all")
-    return ranged.join(sizes, "__r").withColumn("__f", share).filter((F.col("__f") > lo) & (F.col("__f") < hi)).drop("__r", "__before", "__all", "__f")
+def fraction_slice(df: DataFrame, name: str, lo: float, hi: float) -> DataFrame:
+    """Rows whose rank by name, as a share of all, lies between lo and hi, exactly."""
+    share = F.col("__n") / F.col("__all")
+    return numbered(df, [name]).withColumn("__f", share).filter((F.col("__f") > lo) & (F.col("__f") < hi)).drop("__n", "__all", "__f")
 
 
 def minmax_invert(df: DataFrame, value: str, out: str) -> DataFrame:

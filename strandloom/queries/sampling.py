@@ -60,9 +60,8 @@ def _(seqs):
 
 @query(
     "H9_augment_mix", "sig",
-    sql=f"""{ARRAYS}, b as (select *, floor({_draw(7, 'read_id')} * 64) as b from a), n as (select *, row_number() over (partition by b order by read_id) as i, count(*) over (partition by b) as m from b),
-    p as (select *, floor({_draw(8, 'read_id')} * m) + 1 as j from n)
-    select p.read_id, list_concat(p.v[:len(p.v) // 2], n.v[len(p.v) // 2 + 1:]) as v, (p.label + n.label)::double / 2 as label from p join n on n.b = p.b and n.i = p.j""",
+    sql=f"""{ARRAYS}, n as (select *, row_number() over (order by {_draw(7, 'read_id')}, read_id) as i, count(*) over () as m from a)
+    select p.read_id, list_concat(p.v[:len(p.v) // 2], n.v[len(p.v) // 2 + 1:]) as v, (p.label + n.label)::double / 2 as label from n p join n on n.i = p.i % p.m + 1""",
 )
 def _(sig):
     return sm.augment_mix(_arrays(sig), K, "v", "label", 7)
@@ -82,20 +81,26 @@ def _(sig):
     return sm.augment_up_down(_arrays(sig), K, "v", 7)
 
 
-def _places(gaps: str, asked: str, draw: str) -> str:
-    """placed: the rows of asked(fid, chrom, d, ...) with start, among all starts in the parts of their chromosome outside the gaps."""
+def _places(gaps: str, features: str, by: str, seed: int, *keys: str) -> str:
+    """placed: the rows of features(by..., fid, d), widths dealt anew within by, with start: an end drawn among the free positions d or more behind
+    their run's begin, in the order of this distance and then of the runs, longest first."""
     return f"""r as ({gaps} union all select chrom, size + 1, size + 1 from chrom_sizes),
     m as (select chrom, s, coalesce(max(e) over (partition by chrom order by s, e rows between unbounded preceding and 1 preceding), 0) as top from r),
-    free as (select chrom, top + 1 as s, s - top - 1 as n from m where s > top + 1), w as (select distinct chrom, e - s as d from feat),
-    fits as (select free.chrom, d, free.s, n - d as n, sum(n - d) over (partition by free.chrom, d order by free.s)::bigint as upto from free join w on free.chrom = w.chrom and n > d),
-    total as (select chrom, d, sum(n)::bigint as total from fits group by all),
-    drawn as (select a.*, floor(({draw}) * total)::bigint + 1 as place from ({asked}) a left join total using (chrom, d)),
-    placed as (select drawn.*, fits.s + place - (upto - n) - 1 as start from drawn left join fits on fits.chrom = drawn.chrom and fits.d = drawn.d and place > upto - n and place <= upto)"""
+    free as (select chrom, top + 1 as s, s - top - 1 as n, row_number() over (partition by chrom order by s - top - 1 desc, top) - 1 as k from m where s > top + 1),
+    f as ({features}), o as (select *, row_number() over (partition by {by} order by fid) as i, row_number() over (partition by {by} order by {_draw(seed + 1, *keys)}, fid) as j from f),
+    dealt as (select a.* exclude (d), b.d from o a join o b on {" and ".join(f"a.{c.strip()} = b.{c.strip()}" for c in by.split(","))} and a.i = b.j),
+    total as (select chrom, d, sum(n - d)::bigint as total from free join (select distinct chrom, d from dealt) using (chrom) where n > d group by all),
+    steps as (select chrom, n as t0, lead(n) over (partition by chrom order by n) as t1, (select count(*) from free g where g.chrom = u.chrom and g.n > u.n) as reach from (select distinct chrom, n from free union select distinct chrom, 0 from free) u),
+    reached as (select *, sum((t1 - t0) * reach) over (partition by chrom order by t0)::bigint as upto from steps where t1 is not null),
+    drawn as (select dealt.*, floor(({_draw(seed, *keys)}) * total)::bigint as place, total from dealt left join total using (chrom, d)),
+    ends as (select a.*, (select max(upto) from reached where reached.chrom = a.chrom) - total + place as nth from drawn a),
+    placed as (select ends.* exclude (i, j, nth, place, total), free.s + t0 + (nth - upto + (t1 - t0) * reach) // reach - d as start from ends left join reached on reached.chrom = ends.chrom and nth < upto and nth >= upto - (t1 - t0) * reach
+      left join free on free.chrom = ends.chrom and k = (nth - upto + (t1 - t0) * reach) % reach)"""
 
 
 @query(
     "H11_shuffle_intervals", "feat", "chrom_sizes", "pts",
-    sql=f"{_places('select chrom, pos as s, pos + 20 as e from pts', 'select fid, chrom, e - s as d from feat', _draw(13, 'fid'))} select fid, chrom, start as s, start + d as e from placed",
+    sql=f"{_places('select chrom, pos as s, pos + 20 as e from pts', 'select fid, chrom, e - s as d from feat', 'chrom', 13, 'fid', 'chrom')} select fid, chrom, start as s, start + d as e from placed",
 )
 def _(feat, sizes, pts):
     gaps = pts.selectExpr("chrom", "pos s", "pos + 20 e")
@@ -104,7 +109,7 @@ def _(feat, sizes, pts):
 
 @query(
     "H12_null_quantiles", "feat", "chrom_sizes", "pts",
-    sql=f"""{_places("select chrom, pos as s, pos + 20 as e from pts where rep = 'BD'", 'select fid, chrom, e - s as d, rep from feat, range(1, 11) t(rep)', _draw(13, 'fid', 'rep'))},
+    sql=f"""{_places("select chrom, pos as s, pos + 20 as e from pts where rep = 'BD'", 'select fid, chrom, e - s as d, rep from feat, range(1, 11) t(rep)', 'rep, chrom', 13, 'fid', 'rep', 'chrom')},
     x as (select rep, exists (select 1 from pts where pts.rep = 'BC' and pts.chrom = placed.chrom and pos between start and start + d) as hit from placed where start is not null),
     sh as (select rep, avg(hit::int) as share from x group by rep)
     select round(quantile_cont(share, 0.5), 9) as median, round(quantile_cont(share, 0.01), 9) as q01, round(quantile_cont(share, 0.99), 9) as q99 from sh""",
