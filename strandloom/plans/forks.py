@@ -106,6 +106,17 @@ def without_spikes(signal: DataFrame, key: str, idx: str, x: str, y: str, width:
     return signal.select(key, idx, x, y).groupBy(key).applyInPandas(run, f"{key} {types[key]}, {idx} {types[idx]}, {y} double")
 
 
+def polyline(signal: DataFrame, key: str, idx: str, x: str, y: str, tolerance: float) -> DataFrame:
+    """(key, idx, x, y): the corner points of each read's signal, see corner_points. A read meets in one task."""
+
+    def run(read: pd.DataFrame) -> pd.DataFrame:
+        read = read.sort_values(idx)
+        return read.iloc[corner_points(read[x].to_numpy(float), read[y].to_numpy(float), tolerance)]
+
+    held = signal.select(key, idx, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    return held.groupBy(key).applyInPandas(run, held.schema)
+
+
 class Corners:
     """Corner points of a read and the tracts they make."""
 

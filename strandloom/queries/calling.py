@@ -40,6 +40,21 @@ def _(sig):
     return fk.gated_signal(_small(sig), K, I, "x", "y", SMALL).select(K, I, F.round("yr", 6).alias("yr"))
 
 
+# a level at a time: of each open stretch the farthest point, the first of equal ones, which opens two stretches if it is too far away
+@query(
+    "K1_polyline", "sig",
+    sql="""recursive p as (select read_id, idx, idx::double * 100 as x, v100::double / 10000 as y from sig),
+    seg as (select read_id, min(idx) as a, max(idx) as b from p group by read_id union all
+      select read_id, unnest([a, far]), unnest([far, b]) from (select read_id, a, b, arg_max(idx, {'d': d, 'i': -idx}) as far, max(d) as d from (
+        select s.read_id, s.a, s.b, p.idx, abs((q.x - o.x) * (p.y - o.y) - (q.y - o.y) * (p.x - o.x)) / sqrt((q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y)) as d
+        from seg s join p o on o.read_id = s.read_id and o.idx = s.a join p q on q.read_id = s.read_id and q.idx = s.b join p on p.read_id = s.read_id and p.idx > s.a and p.idx < s.b) group by all) where d > 0.4)
+    select distinct read_id, idx, round(y, 6) as y from p join (select read_id, a as idx from seg union select read_id, b from seg) using (read_id, idx)""",
+)
+def _(sig):
+    at = sig.withColumns({"x": F.col(I) * 100.0, "y": F.col("v100") / 10000})
+    return fk.polyline(at, K, I, "x", "y", 0.4).select(K, I, F.round("y", 6).alias("y"))
+
+
 def _part(kind):
     columns = {"tract": ["start", "end", "dir", "score", "jump_score"]}.get(kind, ["mid", "s1", "e1", "s2", "e2"])
 
