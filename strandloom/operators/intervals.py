@@ -6,8 +6,11 @@ meet in bins of positions, so that each pair is found once and no chromosome is
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from strandloom.sources.storage import stored
 
@@ -96,11 +99,17 @@ def nearest(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(found, key)
 
 
-def nearest_self(pts: DataFrame, key: str) -> DataFrame:
-    """Points (chrom, pos) with the distance to the closest other point of their chromosome."""
-    df = along(pts, ["chrom"], "pos", [key], before={"__p": "pos"}, after={"__n": "pos"})
-    back, ahead = F.col("pos") - F.col("__p") - 1, F.col("__n") - F.col("pos") - 1
-    return df.withColumn("distance", F.greatest(F.least(back, ahead), F.lit(0))).drop("__p", "__n")
+def nearest_self(df: DataFrame, key: str, start: str = "pos", end: str | None = None) -> DataFrame:
+    """Points (chrom, pos), or ranges with start and end, with the distance to the closest other one of their chromosome: 0 if they touch or overlap, null if there is none.
+
+    Of those before in order, the one that reaches furthest is the closest, even if others begin later; of those after, the next.
+    """
+    end = end or start
+    order = [c for c in (end, key) if c != start]
+    near = along(df, ["chrom"], start, order, {"__p": ("max", end)}, after={"__n": start}, strict=True)
+    back, ahead = F.col(start) - F.col("__p") - 1, F.col("__n") - F.col(end) - 1
+    closest = F.least(back, ahead)
+    return near.withColumn("distance", F.when(closest.isNotNull(), F.greatest(closest, F.lit(0)))).drop("__p", "__n")
 
 
 def track_at(points: DataFrame, track: DataFrame, bin_width: int = BIN) -> DataFrame:
@@ -196,7 +205,14 @@ def meta_profile(features: DataFrame, track: DataFrame, half: int, by: str, step
     """(by, offset, n, total): sum and number of track values at each offset -half..half of features(mid); total / n is the mean.
 
     An overlap of a feature and a run counts where it begins and is taken back where it ends; sums along a class's few offsets give the profile.
+    Real values are added as whole numbers of a step of 25 digits below the largest, so that what is taken back leaves nothing behind; those that aren't finite count as missing.
     """
+    scale = None
+    if isinstance(track.schema["value"].dataType, DoubleType | FloatType):
+        track = track.withColumn("value", F.col("value").cast("double")).filter(F.abs("value") < float("inf"))
+        most = track.agg(F.max(F.abs("value"))).first()[0] or 1.0
+        scale = (10.0 ** min(-math.floor(math.log10(most)) - 1, 300), 1e25)
+        track = track.withColumn("value", F.round(F.col("value") * scale[0] * scale[1]).cast("decimal(38,0)"))
     wide = features.withColumns({"s": F.col("mid") - half, "e": F.col("mid") + half})
     met = overlap_join(wide, track.select("chrom", "s", "e", "value").filter("value is not null"), bin_width)
     lo, hi = F.greatest("s", "s_b") - F.col("mid"), F.least("e", "e_b") - F.col("mid")
@@ -210,8 +226,8 @@ def meta_profile(features: DataFrame, track: DataFrame, half: int, by: str, step
     grid = steps.select(by).distinct().select(by, every.alias("offset"), F.lit(0).cast("long").alias("n"), F.lit(0).cast(steps.schema["total"].dataType).alias("total"))
     at = steps.unionByName(grid).groupBy(by, "offset").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     run = Window.partitionBy(by).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    at = at.withColumns({"n": F.sum("n").over(run), "total": F.sum("total").over(run)})
-    return at.filter((F.col("n") > 0) & (F.col("offset") <= half))
+    at = at.withColumns({"n": F.sum("n").over(run), "total": F.sum("total").over(run)}).filter((F.col("n") > 0) & (F.col("offset") <= half))
+    return at if scale is None else at.withColumn("total", F.col("total").cast("double") / scale[1] / scale[0])
 
 
 def inner_region(features: DataFrame, chrom_sizes: DataFrame, margin: int, blacklist: DataFrame, key: str) -> DataFrame:

@@ -110,11 +110,11 @@ def kmer_ranges(*samples: DataFrame, kmer: str = "kmer", value: str = "value") -
     return out.groupBy(kmer).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def kmer_histogram(df: DataFrame, ranges: DataFrame, bins: int = 50, floor: float = 1e-7, kmer: str = "kmer", value: str = "value") -> DataFrame:
+def kmer_histogram(df: DataFrame, ranges: DataFrame, bins: int = 50, floor: float = 1e-7, kmer: str = "kmer", value: str = "value", strict: bool = False) -> DataFrame:
     """(kmer, bin, lo, width, p): smoothed distribution of each k-mer's values over its range.
 
     Densities of empty bins at the ends become floor, others are drawn between their neighbours that are not empty; then
-    each k-mer's sum to 1.
+    each k-mer's sum to 1. With strict, all empty bins become floor and none is drawn.
     """
     spread = ranges.filter("hi > lo").withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     inside = df.join(spread, kmer).filter((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
@@ -124,7 +124,7 @@ def kmer_histogram(df: DataFrame, ranges: DataFrame, bins: int = 50, floor: floa
     total = F.sum("n").over(Window.partitionBy(kmer))
     grid = grid.withColumn("d", F.coalesce(F.col("n") / (total * F.col("width")), F.lit(0.0)))
     filled = F.when((F.col("d") == 0) & F.col("bin").isin(0, bins - 1), floor).when(F.col("d") > 0, F.col("d"))
-    grid = grid.withColumn("f", filled)
+    grid = grid.withColumn("f", F.greatest("d", F.lit(floor)) if strict else filled)
     back = Window.partitionBy(kmer).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(kmer).orderBy("bin").rowsBetween(0, Window.unboundedFollowing)
     mark = F.when(F.col("f").isNotNull(), F.struct("bin", "f"))

@@ -29,6 +29,7 @@ def along(
 
     sums: out: (sum, max or min, column), from the start (back: from the end) up to the row, or with strict up to the one
     before. before and after: out: column, the value in the row before and after, null at the ends. order breaks ties of pos.
+    Rows whose part or pos is null have no place and go.
     """
     sums, before, after = sums or {}, before or {}, after or {}
     turn = (lambda c: F.col(c).desc()) if back else (lambda c: F.col(c).asc())

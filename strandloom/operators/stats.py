@@ -119,11 +119,33 @@ def moment_match(df: DataFrame, x: str, theory: str, mask: Column, key: str, out
     return df.filter(F.col("__sa") > 0).withColumn(out, moved).drop("__ma", "__mb", "__sa", "__sb")
 
 
+def _within(z: Column, bound: float) -> Column:
+    return F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-bound)), F.lit(bound)))
+
+
 def iqr_scale(df: DataFrame, x: str, key: str, out: str, bound: float = 5.0) -> DataFrame:
-    """(x - median) by the distance of the quartiles of the read, within the bound."""
+    """(x - median) by the distance of the quartiles of the read, within the bound; null in reads without spread."""
     q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     z = F.try_divide(F.col(x) - F.col("__q")[1], F.col("__q")[2] - F.col("__q")[0])
-    return per_read(df, key, {"__q": q}).withColumn(out, F.least(F.greatest(z, F.lit(-bound)), F.lit(bound))).drop("__q")
+    return per_read(df, key, {"__q": q}).withColumn(out, _within(z, bound)).drop("__q")
+
+
+def iqr_summary(events: DataFrame, samples: str, key: str, bound: float = 5.0) -> DataFrame:
+    """events with mean, std, low and high of their samples, an array, scaled like iqr_scale over all samples of the read; samples of 0 stay 0, null ones are left out.
+
+    Events without samples get nulls. Reads without spread too, but for samples of 0.
+    """
+    q = F.percentile("__x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q")
+    scale = events.select(key, F.explode(samples).alias("__x")).groupBy(key).agg(q)
+    df = events.join(scale, key, "left").withColumn("__s", F.filter(samples, lambda x: x.isNotNull()))
+    mid, wide = F.col("__q")[1], F.col("__q")[2] - F.col("__q")[0]
+    z = lambda x: F.when(x == 0, 0.0).otherwise(_within(F.try_divide(x - mid, wide), bound))
+    df = df.withColumn("__z", F.transform("__s", z))
+    n = F.when(F.size("__z") > 0, F.size("__z"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    df = df.withColumn("mean", total("__z") / n)
+    std = F.sqrt(total(F.transform("__z", lambda x: (x - F.col("mean")) * (x - F.col("mean")))) / n)
+    return df.withColumns({"std": std, "low": F.array_min("__z"), "high": F.array_max("__z")}).drop("__q", "__s", "__z")
 
 
 def pad(values: str, n: int) -> Column:

@@ -230,12 +230,21 @@ def _contest(tracts: list[Tract], new: Tract, score: float) -> tuple[int, int, s
 
 
 def resolve_overlaps(tracts: list[Tract]) -> list[Tract]:
-    """While a tract starts inside another, the one of the smaller score by amount goes (the inner one of equal ones)."""
-    tracts = list(tracts)
-    while pair := next(((a, b) for a in range(len(tracts)) for b in range(len(tracts)) if a != b and tracts[b].holds(tracts[a])), None):
-        inner, outer = pair
-        tracts.pop(outer if abs(tracts[inner].score) > abs(tracts[outer].score) else inner)
-    return tracts
+    """While a tract starts inside another, the one of the smaller score by amount goes (the inner one of equal ones).
+
+    The first tract that lies in another and the first that holds it are decided first. Who goes frees others only, so each tract is looked at once, against all that are left at a time.
+    """
+    start, end, score = (np.array([getattr(t, c) for t in tracts], float) for c in ("start", "end", "score"))
+    score, left = np.abs(score), np.ones(len(tracts), bool)
+    for a in range(len(tracts)):
+        while left[a]:
+            holds = left & (start <= start[a]) & (start[a] < end)
+            holds[a] = False
+            b = int(holds.argmax())
+            if not holds[b]:
+                break
+            left[b if score[a] > score[b] else a] = False
+    return [t for t, stays in zip(tracts, left, strict=True) if stays]
 
 
 def without_overlaps(tracts: DataFrame, key: str) -> DataFrame:

@@ -53,6 +53,19 @@ def _(feat, iv):
     return iv_ops.meta_profile(mids, track, 1000, "class", step=100)
 
 
+@query(
+    "G5_profile_of_ratios", "feat", "iv",
+    sql=f"""{STEPS}, mids as (select fid, chrom, (s + e) // 2 as mid, 'size' || (length(status) % 3) as class from feat)
+    select class, off as "offset", count(*) as n, round(sum(1 / depth), 6) as total from
+      (select class, r.depth, unnest(range(-10, 11)) * 100 as off, mid, r.s, r.e from mids m join (select * from runs where depth > 0) r on m.chrom = r.chrom and r.s <= mid + 1000 and r.e >= mid - 1000)
+    where mid + off between s and e group by all""",
+)
+def _(feat, iv):
+    mids = feat.selectExpr("fid", "chrom", "(s + e) div 2 mid", "concat('size', length(status) % 3) class")
+    track = iv_ops.coverage(iv).filter("depth > 0").withColumn("value", 1 / F.col("depth"))
+    return iv_ops.meta_profile(mids, track, 1000, "class", step=100).withColumn("total", F.round("total", 6))
+
+
 @query("G6_tile_genome", "chrom_sizes", sql="select chrom, s, least(s + 4999, size) as e from (select chrom, size, unnest(range(1, size + 1, 5000)) as s from chrom_sizes)")
 def _(sizes):
     return iv_ops.tile_genome(sizes, 5000)
@@ -134,12 +147,22 @@ def _(pts, feat):
 
 @query(
     "D12_nearest_self", "pts",
-    sql="select id, chrom, pos, rep, greatest(least(pos - lag(pos) over w - 1, lead(pos) over w - pos - 1), 0)::bigint as distance from pts window w as (partition by chrom order by pos, id)",
+    sql="""n as (select *, least(pos - lag(pos) over w - 1, lead(pos) over w - pos - 1) as d from pts window w as (partition by chrom order by pos, id))
+    select id, chrom, pos, rep, case when d is not null then greatest(d, 0)::bigint end as distance from n""",
 )
 def _(pts):
     return iv_ops.nearest_self(pts, "id")
 
 
+@query(
+    "D12_nearest_ranges", "feat",
+    sql="""d as (select a.fid, min(greatest(b.s - a.e - 1, a.s - b.e - 1, 0))::bigint as distance from feat a join feat b on a.chrom = b.chrom and a.fid <> b.fid group by a.fid)
+    select fid, chrom, s, e, distance from feat left join d using (fid)""",
+)
+def _(feat):
+    return iv_ops.nearest_self(feat.select("fid", "chrom", "s", "e"), "fid", "s", "e")
+
+
 @query("D13_track_at", "pts", "iv", sql=f"{STEPS} select id, p.chrom, pos, rep, depth as value from pts p left join runs r on p.chrom = r.chrom and pos between r.s and r.e")
 def _(pts, iv):
     return iv_ops.track_at(pts, iv_ops.coverage(iv).withColumnRenamed("depth", "value"))

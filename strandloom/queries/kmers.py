@@ -99,6 +99,16 @@ def _(sig):
     return _hists(sig)[0].select("kmer", "bin", F.round("lo", 6).alias("lo"), F.round("width", 6).alias("width"), F.round("p", 8).alias("p"))
 
 
+@query(
+    "E8_strict_histogram", "sig",
+    sql=f"{HIST}, {_hist_sql('a', 'h')}, v as (select *, greatest(d, 1e-7) as v from h_g) select kmer, bin, round(lo, 6) as lo, round(width, 6) as width, round(v / sum(v) over (partition by kmer), 8) as p from v",
+)
+def _(sig):
+    a, b = (h.select("kmer", F.col("v100").alias("value")) for h in halves(sig))
+    h = km.kmer_histogram(a, km.kmer_ranges(a, b), 10, strict=True)
+    return h.select("kmer", "bin", F.round("lo", 6).alias("lo"), F.round("width", 6).alias("width"), F.round("p", 8).alias("p"))
+
+
 @query(
     "D7_bin_lookup", "sig",
     sql=f"""{HIST}, {_hist_sql('a', 'h')} select k3.read_id, k3.idx, round(coalesce(ln(p), -16.11809565095832), 6) as lp, p is null as out from (select * from k3 where kmer is not null) k3 left join sp using (kmer)

@@ -100,6 +100,20 @@ def _(sig):
     return st.iqr_scale(sig, "v100", K, "z").select(K, "idx", F.round("z", 6).alias("z"))
 
 
+@query(
+    "J11_iqr_summary", "sig",
+    sql="""y as (select read_id, idx, case when v100 % 7 = 0 then 0 else v100 end as v from sig),
+    q as (select read_id, quantile_cont(v, 0.5) as m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) as w from y group by read_id),
+    z as (select read_id, idx // 5 as event, case when v = 0 then 0 else least(greatest((v - m) / w, -5), 5) end as z from y join q using (read_id))
+    select read_id, event, round(avg(z), 6) as mean, round(stddev_pop(z), 6) as std, round(min(z), 6) as low, round(max(z), 6) as high from z group by all""",
+)
+def _(sig):
+    x = F.when(F.col("v100") % 7 == 0, 0).otherwise(F.col("v100"))
+    events = sig.withColumn("v100", x).groupBy(K, F.expr("idx div 5").alias("event")).agg(F.collect_list("v100").alias("v"))
+    out = st.iqr_summary(events, "v", K)
+    return out.select(K, "event", *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high")])
+
+
 @query("J12_percentile_shift", "sig", sql=f"{_q(0.2, 0.25, 0.6)} select read_id, idx, round((v100 - q1) / 20, 6) as a, round((v100 - q1) / (q2 - q0), 6) as b from sig join q using (read_id)")
 def _(sig):
     df = st.percentile_shift(st.percentile_shift(sig, "v100", K, "a"), "v100", K, "b", None)

@@ -1,5 +1,8 @@
 """Fork detection on reads drawn by hand."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 
@@ -112,3 +115,30 @@ def test_peaks_need_height_and_threshold():
     assert find_peaks(peak, quiet, (4, 6), (1.4, 1.0), 0.65) == [11]
     assert find_peaks(peak / 3, quiet, (4, 6), (1.4, 1.0), 0.65) == []
     assert find_peaks(quiet, peak, (4, 6), (1.4, 1.0), 0.65) == [11]
+
+
+def slow_overlaps(tracts):
+    """The rule as it is told: while a tract starts inside another, the first pair is decided."""
+    tracts = list(tracts)
+    while pair := next(((a, b) for a in range(len(tracts)) for b in range(len(tracts)) if a != b and tracts[b].start <= tracts[a].start < tracts[b].end), None):
+        a, b = pair
+        tracts.pop(b if abs(tracts[a].score) > abs(tracts[b].score) else a)
+    return tracts
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_overlaps_go_as_told(ordered):
+    draw = random.Random(ordered)
+    for _ in range(150):
+        tracts = [fk.Tract(s := draw.randrange(30), s + draw.randrange(12), i, score=draw.randrange(-4, 5)) for i in range(draw.randrange(14))]
+        if ordered:
+            tracts.sort(key=lambda t: (t.start, t.end))
+        assert [t.jump_score for t in fk.resolve_overlaps(tracts)] == [t.jump_score for t in slow_overlaps(tracts)]
+
+
+def test_many_tracts_of_a_read():
+    draw = random.Random(8)
+    tracts = sorted((fk.Tract(s := draw.randrange(10**6), s + draw.randrange(3000), i, score=draw.random()) for i in range(10_000)), key=lambda t: t.start)
+    start = time.time()
+    left = fk.resolve_overlaps(tracts)
+    assert time.time() - start < 3 and all(a.end <= b.start for a, b in zip(left, left[1:]))

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from strandloom.operators import intervals as iv
 from strandloom.operators import sampling as sm
 
@@ -103,3 +105,26 @@ def test_expected_signal_joins_every_kmer(spark):
 
     table = spark.range(4**8).select(F.col("id").cast("string").alias("kmer"), F.col("id").alias("expected"))
     assert expected_signal(table.select("kmer"), table, "kmer", "expected").count() == 4**8
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nearest_other_range(spark, seed):
+    """Nested, equal, touching and lonely ranges; width one too."""
+    draw = random.Random(seed)
+    rows = [(i, draw.choice("aab"), s := draw.randrange(1, 400_000 if i % 3 else 300), s + draw.choice([0, 0, 3, 40, 200_000])) for i in range(120)]
+    rows += [(900, "a", 50, 60), (901, "a", 50, 60), (902, "a", 61, 70), (903, "z", 1, 5)]
+    out = iv.nearest_self(spark.createDataFrame(rows, "id int, chrom string, s long, e long"), "id", "s", "e").collect()
+    for r in out:
+        others = [max(0, b[2] - r["e"] - 1, r["s"] - b[3] - 1) for b in rows if b[1] == r["chrom"] and b[0] != r["id"]]
+        assert r["distance"] == min(others, default=None)
+    assert len(out) == len(rows)
+
+
+@pytest.mark.parametrize("large", [1e16, 1e300, 1e-290])
+def test_profiles_of_small_values_next_to_large_ones(spark, large):
+    """What a large value leaves behind when it is taken back would drown the small ones."""
+    features = spark.createDataFrame([("c", 100, "x")], "chrom string, mid long, by string")
+    track = spark.createDataFrame([("c", 80, 89, large), ("c", 95, 105, large / 1e16), ("c", 106, 107, float("nan"))], "chrom string, s long, e long, value double")
+    out = {r["offset"]: r["total"] for r in iv.meta_profile(features, track, 20, "by").collect()}
+    assert set(out) == {*range(-20, -10), *range(-5, 6)}
+    assert all(abs(out[o] / large - 1) < 1e-12 for o in range(-20, -10)) and all(abs(out[o] / large * 1e16 - 1) < 1e-8 for o in range(-5, 6))

@@ -101,3 +101,18 @@ def test_draws_by_weight_are_exact(spark):
     assert len(out) == 3000 and len({r["draw"] for r in out}) == 3000 and all(weight[i] > 0 for i in seen)
     heavy = sum(c for i, c in seen.items() if weight[i] == 1000)
     assert abs(heavy / 3000 - sum(w for w in weight.values() if w == 1000) / total) < 0.03
+
+
+def test_summaries_of_scaled_samples(spark):
+    import numpy as np
+
+    from strandloom.operators.stats import iqr_summary
+
+    rows = [(1, 0, [3.0, 0.0, 900.0]), (1, 1, [4.0, 5.5]), (1, 2, []), (1, 3, None), (2, 0, [7.0, 7.0, 0.0, 7.0, 7.0])]
+    out = {(r["r"], r["i"]): (r["mean"], r["std"], r["low"], r["high"]) for r in iqr_summary(spark.createDataFrame(rows, "r int, i int, v array<double>"), "v", "r").collect()}
+    x = np.array([3, 0, 900, 4, 5.5])
+    wide = np.percentile(x, 75) - np.percentile(x, 25)
+    for i, v in ((0, [3.0, 0.0, 900.0]), (1, [4.0, 5.5])):
+        z = np.where(np.array(v) == 0, 0, np.clip((np.array(v) - np.median(x)) / wide, -5, 5))
+        assert np.allclose(out[1, i], (z.mean(), z.std(), z.min(), z.max()))
+    assert out[1, 2] == out[1, 3] == (None,) * 4 and out[2, 0][0] is None
