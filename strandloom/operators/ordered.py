@@ -81,7 +81,7 @@ def cumulated(at: DataFrame, by: list[str], value: str, upto: dict[str, str], to
     below = lambda some: F.size(F.filter(some, lambda cut: cut < F.col(value)))
     head = F.greatest(16 * (below("__heads") - 1), F.lit(0))
     place = (head + below(F.slice("__cuts", head + 1, F.lit(16)))).cast("long")
-    at = at.join(ends, by).withColumn("__place", place).drop("__cuts", "__heads")
+    at = at.join(ends if by else F.broadcast(ends), by).withColumn("__place", place).drop("__cuts", "__heads")
     return along(at, by, "__place", [value], {out: ("sum", c) for out, c in upto.items()}, width=1).drop("__place")
 
 

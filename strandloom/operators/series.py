@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strandloom.functions.columns import col
@@ -16,10 +16,10 @@ def frame(key: str, idx: str, lo: int | None = None, hi: int | None = None):
     return w.rowsBetween(Window.unboundedPreceding if lo is None else lo, Window.unboundedFollowing if hi is None else hi)
 
 
-def running_mean(x, n: int, key: str, idx: str) -> Column:
-    """Mean of the zero-padded means of n values from, and up to, each position."""
-    x = col(x)
-    return (F.sum(x).over(frame(key, idx, 0, n - 1)) + F.sum(x).over(frame(key, idx, -(n - 1), 0))) / (2 * n)
+def running_mean(x, n: int, key: str, idx: str, order: WindowSpec | None = None) -> Column:
+    """Mean of the zero-padded means of n values from, and up to, each position; order may be another than that of the read."""
+    x, order = col(x), order or frame(key, idx)
+    return (F.sum(x).over(order.rowsBetween(0, n - 1)) + F.sum(x).over(order.rowsBetween(-(n - 1), 0))) / (2 * n)
 
 
 def rolling_mean_centered(x, w: int, key: str, idx: str) -> Column:

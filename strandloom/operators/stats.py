@@ -11,15 +11,19 @@ from . import intervals as iv
 from .ordered import along, cumulated
 
 
-def weighted_ranks(df: DataFrame, by: list[str], value: str, weight: str, out: str) -> DataFrame:
-    """Adds out, twice the mean rank of value within by, where a row counts weight times.
+def weighted_ranks(df: DataFrame, by: list[str], columns: dict[str, str], weight: str) -> DataFrame:
+    """Adds, for columns of one type, out: column, twice the mean rank of the column's value within by, where a row counts weight times.
 
-    Ranks are made on the distinct values, whose weights are summed before they meet in one order.
+    Ranks are made on the distinct values of all columns at once, whose weights are summed before they meet in one order.
     """
-    at = stored(df.groupBy(*by, value).agg(F.sum(weight).alias("__w")), "values")
-    at = cumulated(at, by, value, {"__to": "__w"})
-    ranks = at.select(*by, value, (2 * F.col("__to") - F.col("__w") + 1).alias(out))
-    return df.join(ranks, [*by, value])
+    values = [F.struct(F.lit(out).alias("__c"), F.col(c).alias("__v")) for out, c in columns.items()]
+    at = df.select(*by, weight, F.explode(F.array(*values)).alias("x")).groupBy(*by, "x.__c", "x.__v").agg(F.sum(weight).alias("__w"))
+    ranks = cumulated(stored(at, "values"), [*by, "__c"], "__v", {"__to": "__w"})
+    ranks = stored(ranks.select(*by, "__c", "__v", (2 * F.col("__to") - F.col("__w") + 1).alias("__r")), "ranks")
+    for out, c in columns.items():
+        of = ranks.filter(F.col("__c") == out).select(*by, F.col("__v").alias(c), F.col("__r").alias(out))
+        df = df.join(of, [*by, c])
+    return df
 
 
 def correlation(df: DataFrame, by: list[str], a: str, b: str, weight: str) -> DataFrame:
@@ -34,12 +38,13 @@ def correlation(df: DataFrame, by: list[str], a: str, b: str, weight: str) -> Da
 def spearman(df: DataFrame, a: str, b: str, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Rank correlation over rows where both are known, equal values sharing their mean rank; rows of a track weigh by their width."""
     by = by or []
-    df = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("__one", F.col(weight) if weight else F.lit(1))
-    part = by or ["__all"]
-    df = df if by else df.withColumn("__all", F.lit(1))
-    ranked = weighted_ranks(weighted_ranks(df, part, a, "__one", "__ra"), part, b, "__one", "__rb")
-    out = correlation(ranked, part, "__ra", "__rb", "__one")
-    return out if by else out.drop("__all")
+    one_type = df.schema[a].dataType == df.schema[b].dataType
+    x, y = (F.col(c) if one_type else F.col(c).cast("double") for c in (a, b))
+    known = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    # equal pairs count together
+    pairs = known.groupBy(*by, x.alias("__x"), y.alias("__y")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__w"))
+    ranked = weighted_ranks(pairs, by, {"__ra": "__x", "__rb": "__y"}, "__w")
+    return correlation(ranked, by, "__ra", "__rb", "__w")
 
 
 def common_breakpoints(tracks: dict[str, DataFrame]) -> DataFrame:
@@ -65,9 +70,6 @@ def corr_matrix(tracks: dict[str, DataFrame]) -> DataFrame:
     names = list(tracks)
     pairs = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(x).alias("x"), F.col(y).alias("y")) for i, x in enumerate(names) for y in names[i + 1 :]]
     long = runs.select("__w", F.explode(F.array(*pairs)).alias("p")).select("__w", "p.*")
-    # equal pairs of values weigh together, which leaves few rows to rank
-    long = long.filter("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.sum("__w").alias("__w"))
-    long = stored(long, "track-pairs")
     return spearman(long, "x", "y", "__w", ["a", "b"])
 
 

@@ -7,13 +7,14 @@ within a read runs on its corner points, a read at a time.
 from __future__ import annotations
 
 import sys
-from dataclasses import asdict, dataclass, replace
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.series import running_mean
@@ -57,11 +58,29 @@ class Tract:
 
 def gated_signal(df: DataFrame, key: str, idx: str, x: str, y: str, settings: Settings) -> DataFrame:
     """(key, idx, x, yr): smoothed values scaled to 0..1, of the reads that vary enough before and after smoothing."""
-    moments = df.groupBy(key).agg(F.stddev_pop(y).alias("__std")).filter(F.col("__std") > settings.min_std).select(key)
-    smooth = df.join(moments, key, "left_semi").withColumn("__y", running_mean(y, settings.smoothing, key, idx))
-    ends = smooth.groupBy(key).agg(F.min("__y").alias("__lo"), F.max("__y").alias("__hi")).filter(F.col("__hi") - F.col("__lo") > settings.min_amplitude)
-    scaled = (F.col("__y") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-    return smooth.join(ends, key).select(key, idx, x, scaled.alias("yr"))
+    return _scaled(df, key, idx, {"yr": (y, settings)}).filter("yr is not null").select(key, idx, x, "yr")
+
+
+def _scaled(df: DataFrame, key: str, idx: str, tracks: dict[str, tuple[str, Settings]]) -> DataFrame:
+    """Adds out: (y, settings): y smoothed over the positions where it is known and scaled to 0..1, null at others and in reads that vary too little.
+
+    All tracks of a read are made where its rows meet, in one exchange.
+    """
+    read = Window.partitionBy(key)
+    df = df.withColumns({f"__std_{out}": F.stddev_pop(y).over(read) for out, (y, _) in tracks.items()})
+    smooth = {}
+    for out, (y, s) in tracks.items():
+        # positions without a value go into a part of their own
+        known = Window.partitionBy(key, F.col(y).isNull()).orderBy(idx)
+        smooth[f"__y_{out}"] = F.when(F.col(y).isNotNull() & (F.col(f"__std_{out}") > s.min_std), running_mean(y, s.smoothing, key, idx, known))
+    df = df.withColumns(smooth)
+    ends = {f"__{f.__name__}_{out}": f(f"__y_{out}").over(read) for out in tracks for f in (F.min, F.max)}
+    df = df.withColumns(ends)
+    new = {}
+    for out, (_, s) in tracks.items():
+        lo, wide = F.col(f"__min_{out}"), F.col(f"__max_{out}") - F.col(f"__min_{out}")
+        new[out] = F.when(wide > s.min_amplitude, (F.col(f"__y_{out}") - lo) / wide)
+    return df.withColumns(new).drop(*[f"__{k}_{out}" for out in tracks for k in ("std", "y", "min", "max")])
 
 
 def corner_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
@@ -325,7 +344,7 @@ def analyse_read(x: np.ndarray, yr: np.ndarray, s: Settings) -> list[dict]:
     cx, cy = cx[order], cy[order]
     tracts = detect_tracts(cx, flatten_spikes(cx, cy, s.spike), s.min_jump)
     inits = detect_inits(tracts, x, yr, s)
-    rows = [{"kind": "tract", "id": i, **asdict(t)} for i, t in enumerate(tracts)]
+    rows = [{"kind": "tract", "id": i, **vars(t)} for i, t in enumerate(tracts)]
     for kind, found in (("init", inits), ("term", detect_terms(tracts, x, yr, s))):
         rows += [{"kind": kind, "id": i, **dict(zip(("mid", "s1", "e1", "s2", "e2"), v, strict=True))} for i, v in enumerate(found)]
     return rows
@@ -334,21 +353,53 @@ def analyse_read(x: np.ndarray, yr: np.ndarray, s: Settings) -> list[dict]:
 FIELDS = {"kind": "string", "id": "int", "start": "double", "end": "double", "dir": "string", "score": "double", "jump_score": "double"} | {c: "double" for c in ("mid", "s1", "e1", "s2", "e2")}
 
 
-def detect_forks(signal: DataFrame, key: str, idx: str, x: str, y: str, settings: Settings = LETTERS) -> DataFrame:
-    """Tracts, initiations and terminations of reads' signals (key, idx, x: place on the genome, y), a row each (see FIELDS).
+def detect_tracks_of(signal: DataFrame, key: str, idx: str, x: str, tracks: dict[str, tuple[str, Settings]]) -> DataFrame:
+    """Rows of detect_forks() for each track name: (y, settings) of the reads' signals (key, idx, x, y...), with the track's name.
 
-    Positions without a value are left out before. A read's scaled signal meets in one task; reads are of bounded length.
+    Positions without a value of a track are left out of it. A read's scaled signals meet in one task, all tracks at once; reads are of bounded length.
     """
-    known = signal.filter(F.col(y).isNotNull())
-    gated = gated_signal(known, key, idx, x, y, settings)
-
-    def run(read: pd.DataFrame) -> pd.DataFrame:
-        read = read.sort_values(idx)
-        rows = analyse_read(read[x].to_numpy(float), read["yr"].to_numpy(float), settings)
-        out = pd.DataFrame(rows, columns=list(FIELDS))
-        out.insert(0, key, [read[key].iloc[0]] * len(out))
-        return out
+    scaled = _scaled(signal, key, idx, {f"__yr_{name}": t for name, t in tracks.items()})
+    held = [f"__yr_{name}" for name in tracks]
+    scaled = scaled.filter(F.coalesce(*held).isNotNull()).select(key, idx, x, *held)
+
+    def rows_of(reads: pd.DataFrame) -> pd.DataFrame:
+        """Rows of whole reads, each in one stretch and in order."""
+        places, values = reads[x].to_numpy(float), {name: reads[f"__yr_{name}"].to_numpy(float) for name in tracks}
+        rows = []
+        for start, end in pairwise(_stretches(reads[key])):
+            read = reads[key].iloc[start]
+            for name, (_, settings) in tracks.items():
+                part = start + np.nonzero(~np.isnan(values[name][start:end]))[0]
+                if len(part):
+                    rows += [{key: read, "track": name, **r} for r in analyse_read(places[part], values[name][part], settings)]
+        return pd.DataFrame(rows, columns=[key, "track", *FIELDS])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            # the last read may go on in the next batch
+            last = _stretches(held[key])[-2]
+            if last:
+                yield rows_of(held.iloc[:last])
+                held = held.iloc[last:].reset_index(drop=True)
+        if held is not None:
+            yield rows_of(held)
 
     kind = dict(signal.dtypes)[key]
-    schema = f"{key} {kind}, " + ", ".join(f"`{c}` {t}" for c, t in FIELDS.items())
-    return gated.groupBy(key).applyInPandas(run, schema)
+    schema = f"{key} {kind}, track string, " + ", ".join(f"`{c}` {t}" for c, t in FIELDS.items())
+    # windows have brought a read's rows together already; rows of many reads leave a task at a time
+    return scaled.sortWithinPartitions(key, idx).mapInPandas(run, schema)
+
+
+def _stretches(keys: pd.Series) -> list[int]:
+    """Where stretches of equal keys begin, nulls being equal, and the end."""
+    codes = pd.factorize(keys, use_na_sentinel=False)[0]
+    return [0, *(np.nonzero(np.diff(codes))[0] + 1).tolist(), len(codes)]
+
+
+def detect_forks(signal: DataFrame, key: str, idx: str, x: str, y: str, settings: Settings = LETTERS) -> DataFrame:
+    """Tracts, initiations and terminations of reads' signals (key, idx, x: place on the genome, y), a row each (see FIELDS)."""
+    return detect_tracks_of(signal, key, idx, x, {"one": (y, settings)}).drop("track")

@@ -102,10 +102,10 @@ def _(sig, reads):
     from strandloom.functions.columns import genome_pos, indicator
 
     at = sig.join(reads, K).withColumn("x", genome_pos("strand", "start_", "end_", "idx") * 100.0)
-    letters = at.withColumn("y", indicator("call").cast("double"))
-    ratio = at.withColumn("y", F.when(F.col("call").isin("T", "B"), F.least(F.col("v100"), F.lit(10000)) / 10000))
-    parts = [fk.detect_forks(d, K, I, "x", "y", SMALL).withColumn("track", F.lit(n)) for n, d in (("letters", letters), ("ratio", ratio))]
-    return parts[0].unionByName(parts[1])
+    letters = indicator("call").cast("double")
+    ratio = F.when(F.col("call").isin("T", "B"), F.least(F.col("v100"), F.lit(10000)) / 10000)
+    at = at.withColumns({"letters": letters, "ratio": ratio})
+    return fk.detect_tracks_of(at, K, I, "x", {name: (name, SMALL) for name in ("letters", "ratio")})
 
 
 def _expected(sig):
