@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from strandloom.sources.storage import stored
 
-from .ordered import along, neighbour, quantiles, running
+from .ordered import along, last_before, neighbour, quantiles, running
 
 BIN = 10_000
 
@@ -99,6 +99,17 @@ def nearest(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(found, key)
 
 
+def with_hit(a: DataFrame, b: DataFrame, out: str = "hit") -> DataFrame:
+    """a with whether a range of b overlaps it: of those of b that begin before its end, the furthest end decides.
+
+    Both are merged in one order once, so that many rows of a, as of many shuffles, are answered from one index of b.
+    """
+    reach = running(b.select("chrom", "s", "e"), ["chrom"], "s", ["e"], {"__reach": ("max", "e")})
+    at = a.withColumn("__at", F.col("e"))
+    found = last_before(at, reach.select("chrom", F.col("s").alias("__at"), "__reach"), ["chrom"], "__at", ["__reach"])
+    return found.select(*a.columns, F.coalesce(F.col("__reach") >= F.col("s"), F.lit(False)).alias(out))
+
+
 def nearest_self(df: DataFrame, key: str, start: str = "pos", end: str | None = None) -> DataFrame:
     """Points (chrom, pos), or ranges with start and end, with the distance to the closest other one of their chromosome: 0 if they touch or overlap, null if there is none.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.sources.storage import stored
 
 from .ordered import cumulated, quantiles
 
@@ -56,7 +55,7 @@ def rank_sums(df: DataFrame, by: str, value: str, sample: str, first: str) -> Da
     """(by, n1, n2, r1, ties) of two samples, ties sharing their mean rank: twice the rank sum is whole. Rows without by or value are left out."""
     known = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull())
     at = known.groupBy(by, value).agg(F.count_if(F.col(sample) == first).alias("c1"), F.count(F.lit(1)).alias("c"))
-    at = cumulated(stored(at, "values"), [by], value, {"__k": "c"})
+    at = cumulated(at, [by], value, {"__k": "c"})
     at = at.withColumn("r2", 2 * F.col("__k") - F.col("c") + 1)
     return at.groupBy(by).agg(
         F.sum("c1").alias("n1"), (F.sum("c") - F.sum("c1")).alias("n2"), F.sum(F.col("r2") * F.col("c1")).alias("r1x2"), F.sum(F.expr("c * c * c - c")).alias("ties")
@@ -86,7 +85,7 @@ def ks_2samp(df: DataFrame, by: str, value: str, sample: str, first: str, terms:
     """(by, n1, n2, d, p): largest difference of the two distribution functions, and its asymptotic p. Rows without by or value are left out."""
     known = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull())
     at = known.groupBy(by, value).agg(F.count_if(F.col(sample) == first).alias("c1"), F.count_if(F.col(sample) != first).alias("c2"))
-    at = cumulated(stored(at, "values"), [by], value, {"__k1": "c1", "__k2": "c2"}, {"n1": "c1", "n2": "c2"})
+    at = cumulated(at, [by], value, {"__k1": "c1", "__k2": "c2"}, {"n1": "c1", "n2": "c2"})
     # the difference over the common denominator is whole
     gap = F.max(F.abs(F.col("__k1") * F.col("n2") - F.col("__k2") * F.col("n1")))
     d = at.groupBy(by, "n1", "n2").agg(gap.alias("gap")).filter("n1 > 0 and n2 > 0").withColumn("d", F.col("gap") / (F.col("n1") * F.col("n2")))

@@ -68,21 +68,24 @@ def neighbour(df: DataFrame, part: list[str], pos: str, order: list[str], column
     return along(df, part, pos, order, **{"after" if ahead else "before": columns}, width=width)
 
 
-def cumulated(at: DataFrame, by: list[str], value: str, upto: dict[str, str], totals: dict[str, str] | None = None, bins: int = 256) -> DataFrame:
-    """Adds sums over the rows of at up to value within by, and over all of them: upto and totals are out: column. at, which is read more
-    than once, has a row for each by and value.
+def cumulated(at: DataFrame, by: list[str], value: str, upto: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+    """Adds sums over the rows of at up to value, of any type, within by, and over all of them: upto and totals are out: column. at has a row for each by and value.
 
-    Values are cut at approximate quantiles of their own, so that bins stay even however they are spread; the bins' sums carry the total
-    along, exactly wherever the cuts are: no by meets in one task.
+    Rows are cut in ranges of by and value, as many as their size asks for; the ranges' sums carry the total along, so that no by meets in one task.
     """
-    cuts = F.array_distinct(F.percentile_approx(value, [i / bins for i in range(1, bins)], 4 * bins))
-    sums = [F.sum(c).alias(out) for out, c in (totals or {}).items()]
-    ends = at.groupBy(*by).agg(cuts.alias("__cuts"), *sums).withColumn("__heads", F.filter("__cuts", lambda _, i: i % 16 == 0))
-    below = lambda some: F.size(F.filter(some, lambda cut: cut < F.col(value)))
-    head = F.greatest(16 * (below("__heads") - 1), F.lit(0))
-    place = (head + below(F.slice("__cuts", head + 1, F.lit(16)))).cast("long")
-    at = at.join(ends if by else F.broadcast(ends), by).withColumn("__place", place).drop("__cuts", "__heads")
-    return along(at, by, "__place", [value], {out: ("sum", c) for out, c in upto.items()}, width=1).drop("__place")
+    cut = at.repartitionByRange(*by, value).sortWithinPartitions(*by, value).withColumn("__p", F.spark_partition_id())
+    cut = stored(cut, "ranges")
+    parts = cut.groupBy(*by, "__p").agg(*[F.sum(c).alias(f"__s_{out}") for out, c in (upto | (totals or {})).items()])
+    group = Window.partitionBy(*(by or [F.lit(1)]))
+    earlier = group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum(f"__s_{out}").over(earlier), F.lit(0)).alias(f"__c_{out}") for out in upto]
+    parts = parts.select(*by, "__p", *carried, *[F.sum(f"__s_{out}").over(group).alias(out) for out in totals or {}])
+    run = Window.partitionBy(*by, "__p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumns({f"__i_{out}": F.sum(c).over(run) for out, c in upto.items()})
+    # without by there is a row for each range
+    cut = cut.join(parts if by else F.broadcast(parts), [*by, "__p"])
+    cut = cut.withColumns({out: F.col(f"__c_{out}") + F.col(f"__i_{out}") for out in upto})
+    return cut.drop("__p", *[f"__{x}_{out}" for out in upto for x in "ci"])
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float], aggs: list[Column] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.sources.storage import stored
+
 from .ordered import numbered
 
 
@@ -42,12 +44,26 @@ def filter_ids(df: DataFrame, column: str, allowed: DataFrame, key: str) -> Data
     return df.join(allowed.select(F.col(key).alias(column)).distinct(), column, "left_semi")
 
 
-def filter_contains(df: DataFrame, column: str, parts: DataFrame, part: str, limit: int = 1000) -> DataFrame:
-    """Rows whose column holds one of a list of parts; a list of more than limit is refused, as each row is held against all."""
-    listed = [r[0] for r in parts.select(part).distinct().limit(limit + 1).collect()]
-    if len(listed) > limit:
-        raise ValueError(f"more than {limit} parts")
-    return df.filter(reduce(Column.__or__, [F.contains(column, F.lit(p)) for p in listed], F.lit(False)))
+def filter_contains(df: DataFrame, column: str, parts: DataFrame, part: str, q: int = 8) -> DataFrame:
+    """Rows whose column holds one of any number of parts. Null parts count for nothing, an empty one is in all but null values.
+
+    Of each part the piece of q characters that the fewest parts have, or the whole part if it is shorter, is sought among the pieces of the column's different
+    values; a part whose piece is found is then compared whole.
+    """
+    wanted = parts.select(F.col(part).alias("__part")).filter("__part is not null").distinct()
+    if not wanted.filter("__part = ''").isEmpty():
+        return df.filter(F.col(column).isNotNull())
+    size = F.least(F.length("__part"), F.lit(q))
+    pieces = wanted.withColumn("__k", size).withColumn("__g", F.explode(F.expr("transform(sequence(1, length(__part) - __k + 1), i -> substring(__part, i, __k))"))).distinct()
+    counts = pieces.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = pieces.join(counts, "__g").groupBy("__part").agg(F.min(F.struct("__n", "__g"))["__g"].alias("__g"))
+    rarest = stored(rarest, "rarest-pieces")
+    lengths = [r[0] for r in rarest.select(F.length("__g")).distinct().collect()]  # q at most
+    values = df.select(F.col(column).alias("__v")).filter("__v is not null").distinct()
+    cut = [F.expr(f"transform(sequence(1, greatest(length(__v) - {k - 1}, 1)), i -> substring(__v, i, {k}))") for k in lengths]
+    cells = values.withColumn("__g", F.explode(F.array_distinct(F.concat(*cut)))) if cut else values.limit(0).withColumn("__g", F.lit(""))
+    met = cells.join(rarest, "__g").filter(F.contains("__v", "__part")).select(F.col("__v").alias(column)).distinct()
+    return df.join(met, column, "left_semi").select(*df.columns)
 
 
 def fraction_slice(df: DataFrame, name: str, lo: float, hi: float) -> DataFrame:

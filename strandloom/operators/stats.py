@@ -18,7 +18,7 @@ def weighted_ranks(df: DataFrame, by: list[str], columns: dict[str, str], weight
     """
     values = [F.struct(F.lit(out).alias("__c"), F.col(c).alias("__v")) for out, c in columns.items()]
     at = df.select(*by, weight, F.explode(F.array(*values)).alias("x")).groupBy(*by, "x.__c", "x.__v").agg(F.sum(weight).alias("__w"))
-    ranks = cumulated(stored(at, "values"), [*by, "__c"], "__v", {"__to": "__w"})
+    ranks = cumulated(at, [*by, "__c"], "__v", {"__to": "__w"})
     ranks = stored(ranks.select(*by, "__c", "__v", (2 * F.col("__to") - F.col("__w") + 1).alias("__r")), "ranks")
     for out, c in columns.items():
         of = ranks.filter(F.col("__c") == out).select(*by, F.col("__v").alias(c), F.col("__r").alias(out))
@@ -75,11 +75,10 @@ def corr_matrix(tracks: dict[str, DataFrame]) -> DataFrame:
 
 def ecdf(df: DataFrame, x: str, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
     """(by..., x, share): the weighted share of values up to x, for each different x; nulls are left out. Weights are 0 or more."""
-    part = by or ["__all"]
-    df = df if by else df.withColumn("__all", F.lit(1))
-    at = df.filter(F.col(x).isNotNull()).groupBy(*part, x).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__w"))
-    at = cumulated(stored(at, "values"), part, x, {"__to": "__w"}, {"__every": "__w"})
-    return at.select(*(by or []), x, (F.col("__to") / F.col("__every")).alias("share"))
+    by = by or []
+    at = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__w"))
+    at = cumulated(at, by, x, {"__to": "__w"}, {"__every": "__w"})
+    return at.select(*by, x, (F.col("__to") / F.col("__every")).alias("share"))
 
 
 def kde(df: DataFrame, x: str, lo: float, hi: float, n: int, bw: float, by: list[str] | None = None) -> DataFrame:
@@ -200,9 +199,28 @@ def affine_fit_rescale(df: DataFrame, x: str, expected: str, use: Column, key: s
 
 
 def motif_enrichment(features: DataFrame, hits: DataFrame, key: str, by: str, half: int = 1000) -> DataFrame:
-    """For each class the share of features(mid) that have a hit within half bases."""
+    """For each class the share of features(mid) that have a hit, a range, within half bases."""
     from .aggregates import conditional_share
 
     wide = features.withColumns({"s": F.col("mid") - half, "e": F.col("mid") + half})
-    hit = iv.overlaps_any(wide, hits, key).select(key, F.lit(True).alias("hit"))
-    return conditional_share(features.join(hit, key, "left"), "hit", by)
+    return conditional_share(iv.with_hit(wide, hits), "hit", by)
+
+
+def enrichment_over_shuffles(
+    features: DataFrame, hits: DataFrame, gaps: DataFrame, chrom_sizes: DataFrame, key: str, by: str, reps: int, seed: int, half: int = 1000
+) -> DataFrame:
+    """motif_enrichment() of features(key, chrom, s, e, by), of their middles, next to the median, q01 and q99 of the share among reps shuffles of all of them.
+
+    Shuffles keep the widths of a chromosome's features and clear of the gaps, like shuffle_intervals(); features without a place count in none.
+    """
+    from .sampling import shuffle_intervals
+
+    middle = F.expr("(s + e) div 2").alias("mid")
+    shares = motif_enrichment(features.select(key, "chrom", by, middle), hits, key, by, half)
+    many = features.select(key, "chrom", "s", "e").withColumn("rep", F.explode(F.expr(f"sequence(1, {reps})")))
+    drawn = shuffle_intervals(many, gaps, chrom_sizes, key, seed, salt="rep").filter("s is not null").select("rep", "chrom", middle)
+    drawn = drawn.select("rep", "chrom", (F.col("mid") - half).alias("s"), (F.col("mid") + half).alias("e"))
+    null = iv.with_hit(drawn, hits).groupBy("rep").agg(F.avg(F.col("hit").cast("int")).alias("share"))
+    q = F.percentile("share", F.array(F.lit(0.5), F.lit(0.01), F.lit(0.99))).alias("q")
+    null = null.agg(q).select(F.col("q")[0].alias("median"), F.col("q")[1].alias("q01"), F.col("q")[2].alias("q99"))
+    return shares.join(F.broadcast(null))  # one row

@@ -11,6 +11,7 @@ from strandloom.operators import stats as st
 from .intervals import STEPS
 from .joins import KM, k3
 from .registry import query
+from .sampling import _places
 
 K = "read_id"
 RANKS = "rank() over ({p} order by {c}) * 2 + count(*) over (partition by {q}{c}) - 1"
@@ -163,3 +164,26 @@ def _(seqs):
 def _(feat, pts):
     f = feat.selectExpr("fid", "chrom", "(s + e) div 2 mid", "concat('c', fid % 3) class")
     return st.motif_enrichment(f, pts.selectExpr("chrom", "pos s", "pos e"), "fid", "class")
+
+
+#: Places of the matrix's hits on the genome.
+HITS = f"""k as (select read_id, p::int as p, substr(seq, p::int, 4) as w from (select read_id, seq, unnest(range(1, length(seq) - 2)) as p from seqs where length(seq) >= 4)),
+hits as (select chrom, start_ + p - 1 as s, start_ + p + 2 as e from (select *, {_SCORE} as score from k) join reads using (read_id) where score >= 8.8)"""
+
+
+@query(
+    "J18_hits_and_shuffles", "feat", "seqs", "reads", "chrom_sizes", "pts",
+    sql=f"""{HITS}, {_places("select chrom, pos as s, pos + 20 as e from pts where rep = 'BD'", 'select fid, chrom, e - s as d, rep from feat, range(1, 21) t(rep)', 'rep, chrom', 17, 'fid', 'rep', 'chrom')},
+    mids as (select rep, chrom, start + d // 2 as mid from placed where start is not null),
+    x as (select rep, exists (select 1 from hits h where h.chrom = mids.chrom and h.s <= mid + 1000 and h.e >= mid - 1000) as hit from mids),
+    sh as (select rep, avg(hit::int) as share from x group by rep),
+    c as (select 'c' || fid % 3 as class, exists (select 1 from hits h where h.chrom = f.chrom and h.s <= (f.s + f.e) // 2 + 1000 and h.e >= (f.s + f.e) // 2 - 1000) as hit from feat f),
+    shares as (select coalesce(class, 'all') as class, count(*) as n, count(*) filter (hit) as n_true, count(*) filter (hit) / count(*) as share from c group by grouping sets ((class), ()))
+    select shares.*, median, q01, q99 from shares, (select round(quantile_cont(share, 0.5), 9) as median, round(quantile_cont(share, 0.01), 9) as q01, round(quantile_cont(share, 0.99), 9) as q99 from sh)""",
+)
+def _(feat, seqs, reads, sizes, pts):
+    found = km.pwm_scan(seqs, "seq", PWM).select("read_id", "p").join(reads, "read_id")
+    hits = found.selectExpr("chrom", "start_ + p - 1 s", "start_ + p + 2 e")
+    f = feat.selectExpr("fid", "chrom", "s", "e", "concat('c', fid % 3) class")
+    out = st.enrichment_over_shuffles(f, hits, pts.filter("rep = 'BD'").selectExpr("chrom", "pos s", "pos + 20 e"), sizes, "fid", "class", 20, 17)
+    return out.withColumns({c: F.round(c, 9) for c in ("median", "q01", "q99")})

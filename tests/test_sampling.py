@@ -116,3 +116,27 @@ def test_summaries_of_scaled_samples(spark):
         z = np.where(np.array(v) == 0, 0, np.clip((np.array(v) - np.median(x)) / wide, -5, 5))
         assert np.allclose(out[1, i], (z.mean(), z.std(), z.min(), z.max()))
     assert out[1, 2] == out[1, 3] == (None,) * 4 and out[2, 0][0] is None
+
+
+def test_values_that_hold_one_of_many_parts(spark):
+    """Far more parts than a plan could list; short, empty and null ones too."""
+    draw = random.Random(9)
+    word = lambda n: "".join(draw.choice("abcd") for _ in range(n))
+    values = [f"read_{word(12)}" for _ in range(400)] + ["", None, "abé\U0001f600", "read_x"]
+    parts = [v[5 : 5 + draw.randint(9, 12)] for v in values[:40]] + [word(draw.randint(9, 14)) + "q" for _ in range(100_000)] + ["\U0001f600", "read_x", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, name string")
+    out = reads.filter_contains(df, "name", spark.createDataFrame([(p,) for p in parts], "p string"), "p")
+    known = set(filter(None, parts))
+    want = {i for i, v in enumerate(values) if v and any(v[a:b] in known for a in range(len(v)) for b in range(a + 1, len(v) + 1))}
+    assert {r["id"] for r in out.collect()} == want and len(want) >= 42 and out.columns == ["id", "name"]
+    few = lambda ps: {r["id"] for r in reads.filter_contains(df, "name", spark.createDataFrame([(p,) for p in ps], "p string"), "p").collect()}
+    assert few([""]) == {i for i, v in enumerate(values) if v is not None} and few([None]) == set() == few([])
+    assert few(["d"]) == {i for i, v in enumerate(values) if v and "d" in v}
+
+
+def test_shares_of_strings_and_dates(spark):
+    from strandloom.operators.stats import ecdf
+
+    rows = [(draw, f"name_{draw:03d}") for draw in (random.Random(4).choices(range(50), k=500))]
+    out = {r["s"]: r["share"] for r in ecdf(spark.createDataFrame(rows, "i int, s string"), "s").collect()}
+    assert out == {s: sum(x <= s for _, x in rows) / 500 for _, s in rows}
