@@ -9,8 +9,14 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .common import materialize, ship
+
+ship(__name__)
 
 # Every pattern matches at each of its beginnings, if need be up to the end of the text: what is never closed costs one pass.
 #: Comments, scripts, styles and titles, without which a page's text is read.
@@ -26,6 +32,9 @@ NAMES = {**name2codepoint, "apos": 39, "nbsp": 32}
 
 
 CRLF = "\r\n"
+#: Where a record begins, less the last figure of its version.
+VERSION = "WARC/1."
+WEB_CHARSETS = {c: "windows-1252" for c in ("iso-8859-1", "latin1", "us-ascii", "ascii")}
 
 
 def _character(code: str) -> str:
@@ -108,38 +117,89 @@ def _field(head: str, name: str) -> Column:
     return F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1), F.lit(""))
 
 
-def read_records(spark: SparkSession, path: str, version: str = "WARC/1.1") -> DataFrame:
-    """Records of WARC files, plain or gzipped: record_type, record_id, refers_to, target_uri, date, content_type, payload_digest, head, block (bytes) and complete.
+def _whole_records(file: pd.DataFrame) -> pd.DataFrame:
+    """(id, record, nth) of a file's pieces that are not a record by themselves: the piece that begins their record, null for what is no part of one, and their place in it.
 
-    Files are cut at version lines by Spark's text reader, so that plain ones are read in parallel. A block that holds such a line itself is cut
-    there too: complete says whether a block has the length its header states. Pieces without a record type are left out.
+    A record takes as many pieces after its own as its stated length needs, whatever they look like; only then may the next begin.
     """
-    rows = spark.read.text(path, lineSep=version + CRLF).withColumn("head", F.substring_index("value", CRLF * 2, 1))
-    size = _field("head", "Content-Length").try_cast("int")
-    rest = F.substring(F.col("value").cast("binary"), F.octet_length("head") + 5, F.coalesce(size, F.lit(0)))
+    file = file.sort_values(["start", "id"])
+    out, owner, nth, missing, size = [], None, 0, 0, 0
+    for piece, length, begins, needs in zip(file["id"].tolist(), file["length"].tolist(), file["begins"].tolist(), file["needs"].tolist(), strict=True):
+        if missing > 0:
+            if not nth:
+                out.append((owner, owner, 0))
+            nth += 1
+            out.append((piece, owner, nth))
+            missing -= length + size
+        elif begins:
+            # the separator that was cut away counts where a piece follows
+            owner, nth, size, missing = piece, 0, len(VERSION), needs - length
+        else:
+            out.append((piece, None, 0))
+    return pd.DataFrame(out, columns=["id", "record", "nth"]).astype({"record": "Int64"})
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files of versions 1.0 and 1.1, plain or gzipped: record_type, record_id, refers_to, target_uri, date, content_type, payload_digest, head, block (bytes) and complete.
+
+    Spark's text reader cuts files at the beginning of version lines, so that plain ones are read in parallel; pieces are stored once. Blocks end by the length
+    that their headers state: what is cut within one, even a whole record that it quotes, is put together again, by the pieces' lengths alone, a file
+    at a time. complete says whether a block has its stated length, as the last one of a torn file has not. Without a length, a block ends at the next version line.
+    """
+    raw = spark.read.text(path, lineSep=VERSION).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    pieces = materialize(raw.withColumn("id", F.monotonically_increasing_id()), "warc-pieces")
+    head = F.substring_index("value", CRLF * 2, 1)
+    pieces = pieces.withColumn("__size", _field(head, "Content-Length").try_cast("long"))
+    needs = F.octet_length(head) + 4 + F.coalesce("__size", F.lit(0))
+    # the first characters of a record are what remains of its version line
+    begins = F.coalesce(F.col("value").rlike(r"^[01]\r\n") & head.rlike(r"(?im)^WARC-Type:"), F.lit(False))
+    light = pieces.select("file", "start", "id", F.octet_length("value").cast("long").alias("length"), begins.alias("begins"), needs.cast("long").alias("needs"))
+    odd = materialize(light.groupBy("file").applyInPandas(_whole_records, "id long, record long, nth int"), "warc-odd-pieces")
+    plain = pieces.join(odd.select("id"), "id", "left_anti").select("value", "__size")
+    part = F.struct("nth", "value").alias("part")
+    joined = pieces.join(odd.filter("record is not null"), "id").groupBy("record").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.max(F.when(F.col("nth") == 0, F.col("__size"))).alias("__size"))
+    joined = joined.select(F.array_join("parts.value", VERSION).alias("value"), "__size")
+    rows = plain.unionByName(joined).withColumn("head", F.expr(f"substring(substring_index(value, '{CRLF * 2}', 1), 4)"))
+    begin = F.octet_length(F.substring_index("value", CRLF * 2, 1)) + 5
+    body = F.col("value").cast("binary")
+    # without a length: what lies before the empty lines that end a record
+    rest = F.when(F.col("__size").isNotNull(), F.substring(body, begin, F.col("__size").cast("int"))).otherwise(F.substring(body, begin, F.octet_length(body) - begin - 3))
     names = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest"}
-    out = rows.select(*[_field("head", f).alias(c) for c, f in names.items()], "head", rest.alias("block"), size.alias("__size"))
-    out = out.filter("record_type is not null")
+    out = rows.select(*[_field("head", f).alias(c) for c, f in names.items()], "head", rest.alias("block"), "__size").filter("record_type is not null")
     return out.withColumn("complete", F.coalesce(F.octet_length("block") == F.col("__size"), F.lit(False))).drop("__size")
 
 
-def read_responses(spark: SparkSession, path: str, version: str = "WARC/1.1") -> DataFrame:
-    """HTTP responses of WARC files as responses() returns them, without page_id: their own headers, all lines, and digests are kept.
+@F.pandas_udf(StringType())
+def _in_charset(held: pd.Series, charset: pd.Series) -> pd.Series:
+    """Texts of bytes in charsets by their names; UTF-8 for names that are not known. Invalid bytes are replaced."""
+
+    def one(data: bytes | None, name: str) -> str | None:
+        if data is None:
+            return None
+        try:
+            # web pages that say so mean the windows charset, which has letters where the other has controls
+            return data.decode(WEB_CHARSETS.get(name, name), "replace")
+        except (LookupError, ValueError):
+            return data.decode("utf-8", "replace")
 
-    payload is text: bytes are taken as ISO-8859-1, US-ASCII or UTF-16 if the headers say so, else as UTF-8 with invalid bytes replaced. A record
+    return pd.Series([one(d, c) for d, c in zip(held, charset, strict=True)], dtype=object)
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """HTTP responses of WARC files as responses() returns them, without page_id: their own headers, all lines, and digests are kept, and complete of read_records().
+
+    payload is text: bytes are decoded by the charset that the headers name, those of ISO-8859-1 and ASCII as windows-1252, which web pages mean by it; else as UTF-8. Invalid bytes are replaced. A record
     without a payload digest gets the payload's sha256. Transfer and content encodings must have been undone, as crawls in archives have them.
     """
-    rows = read_records(spark, path, version).filter("record_type = 'response' and lower(content_type) like 'application/http%'")
+    rows = read_records(spark, path).filter("record_type = 'response' and lower(content_type) like 'application/http%'")
     rows = rows.withColumn("http_headers", F.substring_index(F.col("block").cast("string"), CRLF * 2, 1))
     rows = rows.withColumn("__bytes", F.expr("substring(block, octet_length(http_headers) + 5)"))
     charset = F.lower(F.regexp_extract("http_headers", r"(?im)^content-type:[^\r\n]*charset=[\"']?([A-Za-z0-9_.:-]+)", 1))
-    payload = (
-        F.when(charset.isin("iso-8859-1", "latin1", "us-ascii", "ascii", "windows-1252"), F.decode("__bytes", "ISO-8859-1"))
-        .when(charset.isin("utf-16", "utf-16le", "utf-16be"), F.when(charset == "utf-16le", F.decode("__bytes", "UTF-16LE")).otherwise(F.decode("__bytes", "UTF-16")))
-        .otherwise(F.make_valid_utf8(F.col("__bytes").cast("string")))
-    )
+    rows = rows.withColumn("__charset", charset)
+    utf8 = F.col("__charset").isin("", "utf-8", "utf8")
+    payload = F.when(utf8, F.make_valid_utf8(F.col("__bytes").cast("string"))).otherwise(_in_charset(F.when(~utf8, F.col("__bytes")), "__charset"))
     found = F.coalesce("payload_digest", F.concat(F.lit("sha256:"), F.sha2("__bytes", 256)))
-    return rows.select(F.coalesce("target_uri", F.lit("")).alias("target_uri"), "date", "record_id", F.make_valid_utf8("http_headers").alias("http_headers"), payload.alias("payload"), found.alias("payload_digest"))
+    return rows.select(F.coalesce("target_uri", F.lit("")).alias("target_uri"), "date", "record_id", F.make_valid_utf8("http_headers").alias("http_headers"), payload.alias("payload"), found.alias("payload_digest"), "complete")
 
 
 def derivatives(source: DataFrame) -> DataFrame:

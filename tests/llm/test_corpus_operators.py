@@ -602,6 +602,7 @@ def test_warc_files_keep_headers_and_digests(spark, tmp_path):
     # written again and read, responses are what they were (payloads in UTF-8 now, so those of another charset are left out)
     plain = source.filter("http_headers not like '%8859%'")
     response_text(plain).write.text(str(tmp_path / "again"), lineSep="\r\n\r\n")
+    assert all(r.complete for r in got.values())
     assert sorted(map(tuple, read_responses(spark, str(tmp_path / "again")).collect())) == sorted(map(tuple, plain.collect()))
     # derivatives, written and read, hold their text, what they refer to, and their source's digest and headers
     made = derivatives(source)
@@ -616,6 +617,49 @@ def test_warc_files_keep_headers_and_digests(spark, tmp_path):
         assert all(f"\r\nX-Source-Header: {line}" in b.head for line in r.source_headers.split("\r\n"))
 
 
+def record(version, name, block, length=None, kind="response"):
+    head = f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nContent-Type: application/http\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def http(text, charset="utf-8", codec=None):
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}\r\n\r\n".encode() + text.encode(codec or charset)
+
+
+@pytest.mark.parametrize("split", ["128m", "300b"])
+def test_warc_files_of_both_versions_and_pages_that_quote_records(spark, tmp_path, split):
+    """Versions 1.0 and 1.1 in a file; pages that hold version lines and whole records; charsets by name; a torn end. Also where files are read in many splits."""
+    quoted = record("1.0", "quoted", b"HTTP/1.1 200 OK\r\n\r\nno", 10**6).decode()
+    texts = {f"a{i}": (f"page {i} é " * 40, v, "utf-8", None) for i, v in enumerate(("1.0", "1.0", "1.1", "1.0", "1.1"))}
+    texts |= {
+        "line": ("before\r\nWARC/1.1\r\nafter WARC/1.0 and WARC/1.", "1.0", "utf-8", None),
+        "whole": (f"<pre>{quoted}</pre>{quoted} end", "1.1", "utf-8", None),
+        "first": ("WARC/1.0\r\nWARC-Type: response\r\n\r\n", "1.1", "utf-8", None),
+        "russian": ("Привет, мир", "1.0", "windows-1251", None),
+        "quotes": ("“quoted” for 5 €", "1.0", "windows-1252", None),
+        "web": ("“quoted” for 5 €", "1.0", "ISO-8859-1", "windows-1252"),
+        "japanese": ("日本語", "1.1", "shift_jis", None),
+        "unknown": ("naïve", "1.1", "x-none", "utf-8"),
+        "last": ("ok", "1.0", "utf-8", None),
+    }
+    info = record("1.0", "info", b"software: x\r\n", kind="warcinfo")
+    raw, again = (info + b"".join(record(v, z + name, http(t, c, codec)) for name, (t, v, c, codec) in texts.items()) for z in ("", "z"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(raw + record("1.0", "torn", http("cut of"), 5000))
+    with gzip.open(tmp_path / "in" / "b.warc.gz", "wb") as f:
+        f.write(again)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = read_responses(spark, str(tmp_path / "in")).collect()
+        assert read_records(spark, str(tmp_path / "in")).filter("record_type = 'warcinfo'").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {r.record_id: r for r in rows}
+    assert len(rows) == len(got) == 2 * len(texts) + 1 and not got.pop("<torn>").complete
+    for r in got.values():
+        assert r.payload == texts[r.record_id.strip("<>").removeprefix("z")][0] and r.complete
+
+
 # pipeline
 
 
