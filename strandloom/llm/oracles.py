@@ -95,11 +95,15 @@ def _level(name: str, keys: str) -> str:
   from (select *, coalesce(power(1.02::double, bucket) * {2 / (1.02 + 1)!r}::double, 0) as v from {name}_u) group by {by})"""
 
 
+def _metric(i: int) -> str:
+    return ", ".join(e[i] for e in quality.METRICS.values())
+
+
 def _broken() -> str:
     out = []
-    for m, (_, least, low) in quality.METRICS.items():
-        reach = f"greatest((q3 - q1) * 4.0::double, {least}::double)"
-        out.append(f"(metric = '{m}' and (v > q3 + {reach}" + (f" or v < q1 - {reach}" if low else "") + "))")
+    for m, (*_, low) in quality.METRICS.items():
+        reach, doubt = "(q3 - q1) * 4.0::double", "sqrt(s) * 4.0::double"
+        out.append(f"(metric = '{m}' and (x - {doubt} > (q3 + {reach}) * 1.02::double" + (f" or x + {doubt} < (q1 - {reach}) / 1.02::double" if low else "") + "))")
     return " or ".join(out)
 
 
@@ -113,7 +117,7 @@ c as (select w.doc_id, lang, source, len(w)::bigint as n_words, length(array_to_
     len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words from w left join rep using (doc_id)),
 f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c),
 m as (select doc_id, lang, source, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'word_length']) as metric,
-    unnest([n_symbols / n_words, n_dup_lines / greatest(n_lines, 1), n_repeat_words / n_words, word_chars / n_words]) as v from f where not base_failed),
+    unnest([{_metric(0)}]) as v, unnest([{_metric(1)}]) as x, unnest([{_metric(2)}]) as s from f where not base_failed),
 sketch as (select lang, source, metric, case when v > 0 then ceil(ln(v) / ln(1.02::double)) end as bucket, count(*) as n from m group by all),
 {_level("own", "lang, source")}, {_level("lng", "lang")}, {_level("corpus", "")},
 fence as (select own.lang, own.source, own.metric, (own.total * own.q1 + 200 * ((lng.total * lng.q1 + 200 * corpus.q1) / (lng.total + 200))) / (own.total + 200) as q1,

@@ -15,18 +15,26 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize, null_safe
 
-#: metric: (expression, least distance of a fence from its quartile, whether a low fence holds too). Most documents of most groups have
-#: shares of zero, whose quartiles don't differ: distances under the least one are not odd, however alike a group is.
+#: Words of a window of base_counts().
+WINDOW = 8
+#: metric: (what sketches hold, a document's value, the square of its standard error, whether a low fence holds too). Sketches hold shares
+#: expected after one more case of either kind (the rule of succession): they are never zero, so that the quartiles of a group in which
+#: most documents have no case still differ, by the documents' lengths. Repeated words come by whole windows. Standard errors take cases as independent, and lengths of words as counts.
 METRICS = {
-    "symbol_share": ("n_symbols / n_words", 0.1, False),
-    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", 0.5, False),
-    "repeat_share": ("n_repeat_words / n_words", 0.25, False),
-    "word_length": ("word_chars / n_words", 1.5, True),
+    **{
+        name: (f"({n} + {case}) / ({of} + {2 * case})", f"{n} / {of}", f"{n} / {of} * (1 - {n} / {of}) / {of}", False)
+        for name, n, of, case in (
+            ("symbol_share", "n_symbols", "word_chars", 1),
+            ("dup_line_share", "n_dup_lines", "n_lines", 1),
+            ("repeat_share", "n_repeat_words", "n_words", WINDOW),
+        )
+    },
+    "word_length": ("word_chars / n_words", "word_chars / n_words", "word_chars / n_words / n_words", True),
 }
 GROUP = ["lang", "source"]
 
 
-def base_counts(docs: DataFrame, window: int = 8) -> DataFrame:
+def base_counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines and n_repeat_words to docs; null texts are empty.
 
     n_repeat_words counts the words that stand in a window of so many words found twice or more in the text.
@@ -92,19 +100,25 @@ def sketch_quantiles(sketches: DataFrame, keys: list[str], quantiles: dict[str,
     return df.groupBy(*by).agg(F.first("total").alias("total"), *at)
 
 
-def fences(rows: DataFrame, reach: float = 4.0, prior_docs: int = 200) -> DataFrame:
+def measured(counts: DataFrame) -> DataFrame:
+    """What sketches hold of each row of base_counts(): lang, source and METRICS. Rows need a word."""
+    return counts.select(*GROUP, *[F.expr(e).alias(m) for m, (e, *_) in METRICS.items()])
+
+
+def fences(rows: DataFrame, reach: float = 4.0, prior_docs: int = 200, growth: float = 1.02) -> DataFrame:
     """One row (lang, source, and low and high of each metric) for each group in rows(lang, source, metrics...).
 
     A language's quartiles are means of its own and the corpus's, which count as prior_docs documents; a group's, of its own and its language's.
-    So a group's own documents count the more, the more there are, without a size at which another rule sets in.
+    So a group's own documents count the more, the more there are, without a size at which another rule sets in. A fence lies reach times
+    the quartiles' distance beyond them, and by the sketches' error (a factor of growth) further, so that rows all alike pass.
     """
     names = list(METRICS)
-    fine = materialize(quantile_sketches(rows, names, GROUP), "quality-sketches")
+    fine = materialize(quantile_sketches(rows, names, GROUP, growth), "quality-sketches")
     quartiles = {"q1": 0.25, "q3": 0.75}
     levels = []
     for keys in (GROUP, GROUP[:1], []):
         merged = fine.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-        levels.append(sketch_quantiles(merged, keys, quartiles))
+        levels.append(sketch_quantiles(merged, keys, quartiles, growth))
     own, lang, corpus = (d.withColumnsRenamed({"total": f"n{i}", "q1": f"q1_{i}", "q3": f"q3_{i}"}) for i, d in enumerate(levels))
     df = null_safe(null_safe(own, lang, ["lang", "metric"], "left"), corpus, ["metric"], "left")
 
@@ -115,33 +129,32 @@ def fences(rows: DataFrame, reach: float = 4.0, prior_docs: int = 200) -> DataFr
     df = df.select(*GROUP, "metric", *[c.alias(q) for q, c in quartile.items()])
     spread = (F.col("q3") - F.col("q1")) * reach
     out = []
-    for name, (_, least, low) in METRICS.items():
+    for name, (*_, low) in METRICS.items():
         this = F.col("metric") == name
-        out.append(F.max(F.when(this, F.col("q3") + F.greatest(spread, F.lit(least)))).alias(f"high_{name}"))
+        out.append(F.max(F.when(this, (F.col("q3") + spread) * growth)).alias(f"high_{name}"))
         if low:
-            out.append(F.max(F.when(this, F.col("q1") - F.greatest(spread, F.lit(least)))).alias(f"low_{name}"))
+            out.append(F.max(F.when(this, (F.col("q1") - spread) / growth)).alias(f"low_{name}"))
     return df.groupBy(*GROUP).agg(*out)
 
 
 def quality_rules(docs: DataFrame, reach: float = 4.0, prior_docs: int = 200, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """One row for each document: doc_id, lang, source, its counts, base_failed, kept and the rules it broke.
 
-    base_failed: fewer than min_words words, or over max_repeat percent of them in repeated windows. Sketches hold
+    base_failed: fewer than min_words words or none, or over max_repeat percent of them in repeated windows. Sketches hold
     the documents that pass this. A document is kept if it passes and lies within the fences of its group: reach
-    times the distance of the quartiles beyond them (see fences). Null or empty texts have no words and fail; null languages and sources are groups of their own.
+    times the distance of the quartiles beyond them (see fences), and reach times its own standard error, which short documents need. Null or empty texts have no words and fail; null languages and sources are groups of their own.
     Rows that repeat a document count each time. Other columns of docs are not used.
     """
     counts = base_counts(docs.select("doc_id", "text", *GROUP)).drop("text")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+    failed = (F.col("n_words") < max(min_words, 1)) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     counts = materialize(counts.withColumn("base_failed", failed), "quality-counts")
-    passed = counts.filter("not base_failed").select(*GROUP, *[F.expr(e).alias(m) for m, (e, _, _) in METRICS.items()])
-    joined = null_safe(counts, fences(passed, reach, prior_docs), GROUP, "left")
+    joined = null_safe(counts, fences(measured(counts.filter("not base_failed")), reach, prior_docs), GROUP, "left")
     broken = []
-    for name, (e, _, low) in METRICS.items():
-        value = F.when(~F.col("base_failed"), F.expr(f"if(n_words > 0, {e}, 0.0)"))
-        broken.append(F.when(value > F.col(f"high_{name}"), F.lit(f"high_{name}")))
+    for name, (_, value, variance, low) in METRICS.items():
+        value, doubt = (F.when(~F.col("base_failed"), F.expr(x)) for x in (value, f"sqrt({variance}) * {float(reach)}D"))
+        broken.append(F.when(value - doubt > F.col(f"high_{name}"), F.lit(f"high_{name}")))
         if low:
-            broken.append(F.when(value < F.col(f"low_{name}"), F.lit(f"low_{name}")))
+            broken.append(F.when(value + doubt < F.col(f"low_{name}"), F.lit(f"low_{name}")))
     joined = joined.withColumn("broken", F.array_compact(F.array(*broken)))
     joined = joined.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
     return joined.drop(*[c for c in joined.columns if c.startswith(("high_", "low_"))])

@@ -12,7 +12,7 @@ from strandloom.llm import line_dedup as line_dedup_module
 from strandloom.llm import registry, spans
 from strandloom.llm.licenses import TEMPLATES, containment_join, license_scan
 from strandloom.llm.line_dedup import keep_bitmaps, line_dedup, line_hashes, repeated_lines
-from strandloom.llm.quality import quality_rules, quantile_sketches, sketch_quantiles
+from strandloom.llm.quality import METRICS, base_counts, fences, measured, quality_rules, quantile_sketches, sketch_quantiles
 from strandloom.llm.secrets import secret_scan, spans_text
 
 from . import brute
@@ -66,6 +66,44 @@ def test_each_rule_fires(spark):
     assert not any(out[i] for i in range(400))
 
 
+HIGH = [f"high_{m}" for m in METRICS]
+
+
+def test_groups_of_other_spread_get_other_cutoffs(spark):
+    """Two large groups alike but for how much their documents differ: all four rules' cutoffs follow, and so do verdicts of the same text."""
+    rng = np.random.default_rng(4)
+
+    def text(wide):
+        n = int(rng.integers(40, 400)) if wide else 200
+        words = [f"w{x:04d}" * (1 + wide * int(rng.integers(3))) for x in rng.integers(0, 9999, n)]
+        words += words[:12] * int(wide and rng.integers(2)) + ["#" * int(wide * rng.integers(30))]
+        lines = [" ".join(words[a : a + 10]) for a in range(0, len(words), 10)]
+        return "\n".join(lines + lines[:1] * int(wide * rng.integers(3)))
+
+    rows = [(i, text(i % 2), "en", "wide" if i % 2 else "narrow") for i in range(3000)]
+    odd = " ".join([f"w{x:04d}" * 2 for x in range(300)] + ["#" * 60])
+    rows += [(9000, odd, "en", "wide"), (9001, odd, "en", "narrow")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cut = {r.source: r for r in fences(measured(base_counts(df).filter("n_words > 0"))).collect()}
+    assert all(cut["wide"][c] > 1.1 * cut["narrow"][c] for c in HIGH) and abs(cut["wide"].low_word_length / cut["narrow"].low_word_length - 1) > 0.1
+    out = {r.doc_id: r.broken for r in quality_rules(df).filter("doc_id >= 9000").collect()}
+    assert out == {9000: [], 9001: ["high_symbol_share", "high_word_length"]}
+
+
+def test_sketches_decide_not_their_error(docs):
+    """On the given documents every group's fences lie beyond its quartiles by more than the sketches' error."""
+    rows = measured(base_counts(docs).filter("n_words >= 20")).persist()
+    far, near = ({(r.lang, r.source): r for r in fences(rows, reach=x).collect()} for x in (4.0, 0.0))
+    assert len(far) > 20 and all(far[g][c] > 1.05 * near[g][c] for g in far for c in HIGH)
+
+
+def test_a_case_in_a_short_document_is_no_evidence(spark):
+    long = [(i, " ".join(f"w{x}" for x in range(i, i + 500 + i)), "en", "a") for i in range(300)]
+    short = [(1000, " ".join(f"w{x}" for x in range(20)) + "#", "en", "a"), (1001, " ".join(f"w{x}#" for x in range(20)), "en", "a")]
+    out = {r.doc_id: r.broken for r in quality_rules(spark.createDataFrame(long + short, "doc_id long, text string, lang string, source string")).collect()}
+    assert out[1000] == [] and "high_symbol_share" in out[1001]
+
+
 def test_sketches_merge_and_are_close(spark):
     values = np.random.default_rng(3).lognormal(size=4000)
     df = spark.createDataFrame([(float(v), "a" if i % 3 else "b") for i, v in enumerate(values)], "m double, g string")
