@@ -138,8 +138,13 @@ def marginals(potentials: np.ndarray, transitions: np.ndarray, sizes: np.ndarray
 
 
 def train(samples: list[tuple[str, list[str]]], epochs: int = 3, rate: float = 0.3, seed: int = 5, length: int = 40, batch: int = 48) -> Model:
-    """Fits weights by gradients of the conditional likelihood, on sequences spliced of pieces of 8 to 24 words."""
+    """Fits weights by gradients of the conditional likelihood, on sequences spliced of pieces of 8 to 24 words.
+
+    Samples of less than length words are gone through again until they fill a sequence, in as many epochs; those without
+    a word of letters teach nothing. Labels without such a word are not learned, so a model may have none.
+    """
     rng = np.random.default_rng(seed)
+    samples = [(x, words) for x, words in samples if any(map(clean, words))]
     labels = sorted({x for x, _ in samples})
     vocabulary: dict[bytes, int] = {}
     pieces: list[tuple[int, list[int]]] = []
@@ -170,9 +175,10 @@ def train(samples: list[tuple[str, list[str]]], epochs: int = 3, rate: float = 0
         for i in rng.permutation(len(pieces)):
             flat_words += pieces[i][1]
             flat_labels += [pieces[i][0]] * len(pieces[i][1])
+        if len(flat_words) < length:
+            again = -(-length // len(flat_words))
+            flat_words, flat_labels = flat_words * again, flat_labels * again
         n = len(flat_words) // length
-        if not n:
-            break
         x = np.array(flat_words[: n * length]).reshape(n, length)
         y = np.array(flat_labels[: n * length]).reshape(n, length)
         for b in range(0, n, batch):
@@ -290,7 +296,8 @@ def identify(docs: DataFrame, labelled: DataFrame, per_lang: int = 400, n_words:
 
     The model learns from labelled(doc_id, text, lang): n_words words of about per_lang documents of each of the max_langs most
     frequent languages, which bounds what the driver holds. Predictions depend on text alone. Texts that are null or have no
-    letter (a character of Unicode's classes L; number signs are none) are und, with score 0; so are all without labelled rows.
+    letter (a character of Unicode's classes L; number signs are none) are und, with score 0; so are all without labelled rows that have
+    one. With rows of one language only, all others are of it, with score 1; few rows are learned from over and over.
     Ties go to the first language in order. Time grows with the length of a text and of a word. Rows that repeat each come back
     the same. Other columns of docs stay; ones with the names of added columns are replaced.
     """

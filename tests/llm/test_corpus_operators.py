@@ -294,6 +294,18 @@ def test_predictions_equal_a_plain_model(docs):
         assert name == model.labels[int(share.argmax())] and abs(score - share.max()) < 1e-3
 
 
+def test_a_few_words_are_learned_from(spark, odd):
+    """Fewer words than a training sequence holds; labels without a word of letters are none, and one language is all."""
+    rows = [(1, "this is the house of the dog", "en"), (2, "das ist das Haus von dem Hund", "de"), (3, "12 345 --", "xx"), (4, None, "yy")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(7, "the dog is this"), (8, "der Hund ist das"), (9, "12 --")], "doc_id long, text string")
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, labelled).collect()}
+    assert out[7][0] == "en" and out[8][0] == "de" and min(out[7][1], out[8][1]) > 0.6 and out[9] == ("und", 0.0)
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, labelled.filter("lang = 'en'")).collect()}
+    assert out == {7: ("en", 1.0), 8: ("en", 1.0), 9: ("und", 0.0)}
+    assert {r.lang_pred for r in langid.identify(odd, labelled.filter("doc_id > 2")).collect()} == {"und"}
+
+
 def test_only_frequent_languages_are_learned(spark):
     rows = [(i, "one two three four five " * 5, f"l{i % 3}" if i < 30 else f"odd{i}") for i in range(90)]
     sample = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_langs=3)
