@@ -2,7 +2,7 @@
 
 Each line becomes a 96-bit hash of its key. The (hash, document, position) rows are range-partitioned on the hash and sorted
 within a partition by hash, document and position; a pass along each sorted run counts a key's documents and sees its
-first occurrence. The few keys that a large share of lines have are cut in slices of documents beforehand, so that one very
+first occurrence. The keys that have more lines than an even part are cut in slices of documents beforehand, so that one very
 common line spreads over many partitions; the counts at the ends of its slices are added up. Only rows of dropped keys
 travel on, and come back as bitmaps of one bit a line.
 """
@@ -16,8 +16,8 @@ from .common import SPACES, ascii_lower, materialize, null_safe
 
 LINE_KEYS = ["h1", "h2"]
 ROW_KEYS = ["doc_id", "text_hash"]
-#: Common keys are those of more than 1 in COMMON of the lines of a sample: fewer than COMMON, whatever the input.
-COMMON, SAMPLE, SLICES = 1024, 64, 4096
+#: Least number of parts in which lines are thought to be dealt: see common_keys().
+PARTS, SAMPLE = 1024, 64
 
 
 def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
@@ -30,11 +30,16 @@ def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 
 
 def common_keys(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Keys (h1, h2) of more than 1 in COMMON of the lines of one in sample documents. They only decide how rows are dealt."""
+    """Keys (h1, h2, slices) with more lines of one in sample documents than an even part of them has, and in how many slices to deal them.
+
+    There are as many parts as shuffle partitions, PARTS at least. So there are fewer such keys than parts, all others have
+    no more lines than a task is to take anyway, but for chance, and a slice has about a quarter of that: five slices a part at most, together.
+    """
+    parts = max(PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     seen = rows.filter(F.pmod(F.xxhash64(*ROW_KEYS), F.lit(sample)) == 0)
     counts = materialize(seen.groupBy(*LINE_KEYS).agg(F.count(F.lit(1)).alias("n")), "line-sample")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.filter(F.col("n") * COMMON > total).select(*LINE_KEYS)
+    return counts.filter(F.col("n") * parts > total).select(*LINE_KEYS, F.ceil(F.col("n") * (4 * parts) / F.lit(total)).cast("int").alias("slices"))
 
 
 def repeated_lines(rows: DataFrame, min_docs: int, sample: int = SAMPLE) -> DataFrame:
@@ -43,9 +48,9 @@ def repeated_lines(rows: DataFrame, min_docs: int, sample: int = SAMPLE) -> Data
     first is a struct of doc_id, text_hash and pos, the smallest in this order; null if no row of the key has a doc_id. Rows
     that repeat a whole document count once.
     """
-    common = F.broadcast(common_keys(rows, sample).withColumn("common", F.lit(True)))  # fewer than COMMON rows
-    part = F.when(F.col("common"), F.pmod(F.xxhash64(F.lit(1), *ROW_KEYS), F.lit(SLICES)).cast("int")).otherwise(F.lit(-1))
-    dealt = rows.join(common, LINE_KEYS, "left").withColumn("slice", part).drop("common")
+    common = F.broadcast(common_keys(rows, sample))  # fewer rows than parts
+    part = F.coalesce(F.pmod(F.xxhash64(F.lit(1), *ROW_KEYS), "slices").cast("int"), F.lit(-1))
+    dealt = rows.join(common, LINE_KEYS, "left").withColumn("slice", part).drop("slices")
     keys = [*LINE_KEYS, "slice"]
     order = [F.col("doc_id").asc_nulls_last(), "text_hash", "pos"]
     runs = dealt.repartitionByRange(*keys).sortWithinPartitions(*keys, *order)
@@ -61,11 +66,11 @@ def repeated_lines(rows: DataFrame, min_docs: int, sample: int = SAMPLE) -> Data
     )
     runs = runs.withColumn("n_docs", F.sum("fresh").over(Window.partitionBy(*keys))).drop("fresh")
     runs = materialize(runs.filter((F.col("slice") >= 0) | (F.col("n_docs") >= min_docs)), "line-runs")
-    # a common key's slices meet at their heads: SLICES rows a key at most
+    # a common key's slices meet at their heads: five rows a part at most, over all keys
     known = F.when(F.col("first.doc_id").isNotNull(), F.col("first"))
     heads = runs.filter("slice >= 0 and head").groupBy(*LINE_KEYS)
     whole = heads.agg(F.sum("n_docs").alias("all_docs"), F.min(known).alias("all_first"))
-    runs = runs.join(F.broadcast(whole), LINE_KEYS, "left")  # fewer than COMMON rows
+    runs = runs.join(F.broadcast(whole), LINE_KEYS, "left")  # fewer rows than parts
     runs = runs.filter(F.coalesce("all_docs", "n_docs") >= min_docs)
     return runs.select(*LINE_KEYS, *ROW_KEYS, "pos", F.when(F.col("slice") >= 0, F.col("all_first")).otherwise(known).alias("first"))
 

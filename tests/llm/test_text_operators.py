@@ -161,6 +161,22 @@ def test_keys_over_the_edges_of_partitions(spark, written, sample):
     assert kept[0] == "Top\nthird\npair 0\nten 0\nx0" and kept[1] == "own 1\npair 0\nx1" and kept[10] == "own 10\npair 5\nten 1\nx10"
 
 
+def test_slices_follow_parts(spark, monkeypatch):
+    """A key of 1 line in 1,500 is common once there are more parts than that, and slices follow a key's size; all keys are few."""
+    rows = spark.range(3000).select(
+        F.expr("if(id % 1500 = 0, -1, if(id % 3 = 0, -2, id))").alias("h1"), F.lit(0).alias("h2"), F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("text_hash"), F.lit(0).alias("pos")
+    )
+
+    def slices(parts):
+        monkeypatch.setattr(line_dedup_module, "PARTS", parts)
+        return {r.h1: r.slices for r in line_dedup_module.common_keys(rows, 1).collect()}
+
+    few, many = slices(1024), slices(2048)
+    assert set(few) == {-2} and set(many) == {-1, -2} and many[-1] == 6 and abs(many[-2] - 4 * 2048 / 3) < 9 and abs(few[-2] - 4 * 1024 / 3) < 9
+    out = [repeated_lines(rows, 2, 1).groupBy("h1").count().collect() for _ in (1, monkeypatch.setattr(line_dedup_module, "PARTS", 1024))]
+    assert all({r.h1: r["count"] for r in x} == {-1: 2, -2: 998} for x in out)
+
+
 def test_runs_are_counted_where_they_are_sorted(docs, written):
     """Between the sorted runs and the windows over them lies no other exchange and no aggregate."""
     keep_bitmaps(docs)
