@@ -13,6 +13,7 @@ from strandloom.operators import kmers as km
 from strandloom.operators import series as s
 from strandloom.plans import forks as fk
 
+from .fork_sql import fork_sql
 from .joins import KM, k3
 from .kmers import HALF, _hist_sql, _hists
 from .kmers import HIST as HISTS
@@ -55,18 +56,32 @@ def _(sig):
     return fk.polyline(at, K, I, "x", "y", 0.4).select(K, I, F.round("y", 6).alias("y"))
 
 
+SPOT = ("mid", "s1", "e1", "s2", "e2")
+
+
 def _part(kind):
-    columns = {"tract": ["start", "end", "dir", "score", "jump_score"]}.get(kind, ["mid", "s1", "e1", "s2", "e2"])
+    columns = {"tract": ["start", "end", "dir", "score", "jump_score"]}.get(kind, SPOT)
 
     def run(sig):
-        return fk.detect_forks(_small(sig), K, I, "x", "y", SMALL).filter(F.col("kind") == kind).select(K, "id", *columns)
+        found = fk.detect_forks(_small(sig), K, I, "x", "y", SMALL).filter(F.col("kind") == kind).select(K, "id", *columns)
+        return found.withColumns({c: F.round(c, 6) for c in ("score", "jump_score") if c in columns})
 
     return run
 
 
-query("K2_detect_tracts", "sig")(_part("tract"))
-query("K4_detect_inits", "sig")(_part("init"))
-query("K5_detect_terms", "sig")(_part("term"))
+FORKS = fork_sql("select read_id as r, idx, read_id * 100000::double + idx * 100::double as x, least(v100, 10000) / 10000 as y from sig", SMALL)
+#: Tracts of a row's list l as rows; places of initiations and terminations are rows of the lists of these names.
+TRACT_SQL = "(t.id - 1)::int as id, t.v.s as start, t.v.e as \"end\", t.v.d as dir, round(t.v.c, 6) as score, round(t.v.j, 6) as jump_score"
+SPOT_SQL = "(t.id - 1)::int as id, " + ", ".join(f"t.v.{c} as {c}" for c in SPOT)
+
+
+def _rows_sql(values: str) -> str:
+    return f"(select r, unnest(list_transform({values}, lambda v, i: {{'v': v, 'id': i}})) as t from ends)"
+
+
+query("K2_detect_tracts", "sig", sql=f"{FORKS} select r as read_id, {TRACT_SQL} from {_rows_sql('l')}")(_part("tract"))
+query("K4_detect_inits", "sig", sql=f"{FORKS} select r as read_id, {SPOT_SQL} from {_rows_sql('inits')}")(_part("init"))
+query("K5_detect_terms", "sig", sql=f"{FORKS} select r as read_id, {SPOT_SQL} from {_rows_sql('terms')}")(_part("term"))
 
 
 @query(
@@ -96,7 +111,21 @@ def _(sig):
     return fk.without_overlaps(tracts, K)
 
 
-@query("K14_detect_forks", "sig", "reads")
+# a read's track is a number: twice the read's, one more for ratios
+TRACKS = fork_sql(
+    """select read_id * 2 as r, idx, case strand when '-' then end_ - idx else start_ + idx end * 100::double as x, (call = 'B')::int::double as y from sig join reads using (read_id) where call in ('T', 'B')
+    union all select read_id * 2 + 1, idx, case strand when '-' then end_ - idx else start_ + idx end * 100::double, least(v100, 10000) / 10000 from sig join reads using (read_id) where call in ('T', 'B')""", SMALL)
+KEY_SQL = "r // 2 as read_id, case r % 2 when 0 then 'letters' else 'ratio' end as track"
+NO_TRACT_SQL = ", ".join(f"null::{t} as {c}" for c, t in (("start", "double"), ("\"end\"", "double"), ("dir", "varchar"), ("score", "double"), ("jump_score", "double")))
+NO_SPOT_SQL = ", ".join(f"null::double as {c}" for c in SPOT)
+
+
+@query(
+    "K14_detect_forks", "sig", "reads",
+    sql=f"""{TRACKS} select {KEY_SQL}, 'tract' as kind, {TRACT_SQL}, {NO_SPOT_SQL} from {_rows_sql('l')}
+    union all by name select {KEY_SQL}, 'init' as kind, {SPOT_SQL}, {NO_TRACT_SQL} from {_rows_sql('inits')}
+    union all by name select {KEY_SQL}, 'term' as kind, {SPOT_SQL}, {NO_TRACT_SQL} from {_rows_sql('terms')}""",
+)
 def _(sig, reads):
     """Both tracks, letters and ratios, with places on the genome."""
     from strandloom.functions.columns import genome_pos, indicator
@@ -105,7 +134,8 @@ def _(sig, reads):
     letters = indicator("call").cast("double")
     ratio = F.when(F.col("call").isin("T", "B"), F.least(F.col("v100"), F.lit(10000)) / 10000)
     at = at.withColumns({"letters": letters, "ratio": ratio})
-    return fk.detect_tracks_of(at, K, I, "x", {name: (name, SMALL) for name in ("letters", "ratio")})
+    found = fk.detect_tracks_of(at, K, I, "x", {name: (name, SMALL) for name in ("letters", "ratio")})
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "jump_score")})
 
 
 def _expected(sig):
