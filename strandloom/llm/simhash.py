@@ -33,6 +33,8 @@ BANDS, BAND_ROWS = 25, 5
 SLACK = 0.15
 #: Bytes of sets that a block of sets holds, in the mean, before it is cut.
 TILE_BYTES = 64_000_000
+#: Hashes of at most so many sets of a block are counted along lists of these sets.
+FEW_SETS = 64
 SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (2, N_HASHES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -155,10 +157,61 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
+class _Overlaps:
+    """Sizes of the intersections of each of some sets with others of them, exactly and without a step for each pair.
+
+    Hashes that no other set holds count for nothing. Those of a few sets are counted along the lists of the sets that hold them; the others are
+    bits of a row for each set, one for each hash, of which there are the fewer the more sets hold them.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        every, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        at, owner = at.astype(np.int32), np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        rare = (counts > 1) & (counts <= FEW_SETS)
+        number = np.cumsum(rare) - 1
+        held = rare[at]
+        # sets of each rare hash, and rare hashes of each set
+        self.tokens, owners = number[at[held]], owner[held]
+        self.holders = owners[np.argsort(self.tokens, kind="stable")]
+        self.begins = np.concatenate([[0], np.cumsum(counts[rare])])
+        self.own = np.searchsorted(owners, np.arange(len(sets) + 1))
+        self.n_rare = np.diff(self.own)
+        often = counts > FEW_SETS
+        number = np.cumsum(often) - 1
+        self.bits = np.zeros((len(sets), -(-int(often.sum()) // 8)), np.uint8)
+        self.n_often = np.zeros(len(sets), np.int64)
+        for i, (a, b) in enumerate(itertools.pairwise([0, *np.cumsum(self.sizes).tolist()])):
+            mine = at[a:b][often[at[a:b]]]
+            row = np.zeros(int(often.sum()), bool)
+            row[number[mine]] = True
+            self.bits[i], self.n_often[i] = np.packbits(row), len(mine)
+
+    def similar(self, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Those of others whose sets are similar to that of i."""
+        total = self.sizes[i] + self.sizes[others]
+        need = similarity * total - 1e-9 * (1 + similarity)
+        most = np.minimum(self.n_rare[i] + self.n_often[i], self.n_rare[others] + self.n_often[others])
+        near = (1 + similarity) * most >= need
+        others, need = others[near], need[near]
+        if not len(others):
+            return others
+        mine = self.tokens[self.own[i] : self.own[i + 1]]
+        lists = [self.holders[self.begins[t] : self.begins[t + 1]] for t in mine.tolist()]
+        common = np.bincount(np.concatenate(lists), minlength=len(self.sizes))[others] if lists else np.zeros(len(others), np.int64)
+        near = (1 + similarity) * (common + np.minimum(self.n_often[i], self.n_often[others])) >= need
+        others, need, common = others[near], need[near], common[near]
+        step = max(1, (1 << 24) // max(1, self.bits.shape[1]))
+        for k in range(0, len(others), step):
+            common[k : k + step] += np.bitwise_count(self.bits[others[k : k + step]] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        # two empty sets are similar
+        return others[(1 + similarity) * common >= need]
+
+
 def _links_apart(similarity: float):
     """Links (node, other) that join the components of a group: pairs of different ones whose sets are similar, exactly, fewer than rows.
 
-    Pairs whose signatures agree too little are passed over; each other pair of parts that are still apart is compared where it meets.
+    Pairs whose signatures agree too little are passed over; all other pairs of parts that are still apart are compared, those of one set at a time.
     """
 
     def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -167,20 +220,16 @@ def _links_apart(similarity: float):
         held = rows.column("shingles")
         found = []
         for start, end in itertools.pairwise([*_groups(rows).tolist(), len(node)]):
-            sets = [np.frombuffer(x.as_py(), np.uint64) for x in held.slice(start, end - start)] if end - start > 1 else []
             own = part[start:end]
-            for i in range(len(sets) - 1):
+            if not (own != own[0]).any():
+                continue
+            overlaps = _Overlaps([np.frombuffer(x.as_py(), np.uint64) for x in held.slice(start, end - start)])
+            for i in range(end - start - 1):
                 others = i + 1 + np.nonzero(own[i + 1 :] != own[i])[0]
                 if len(others):
                     others = others[(signs[start + others] == signs[start + i]).mean(axis=1) >= similarity - SLACK]
-                for j in others.tolist():
-                    if own[j] == own[i]:
-                        continue
-                    total = len(sets[i]) + len(sets[j])
-                    if min(len(sets[i]), len(sets[j])) < similarity * max(len(sets[i]), len(sets[j])) - 1e-9:
-                        continue
-                    common = _common(sets[i], sets[j])
-                    if common >= similarity * (total - common) - 1e-9:
+                for j in overlaps.similar(i, others, similarity).tolist() if len(others) else ():
+                    if own[j] != own[i]:
                         found.append((node[start + i], node[start + j]))
                         own[own == own[j]] = own[i]
         a, b = zip(*found, strict=True) if found else ((), ())

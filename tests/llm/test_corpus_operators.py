@@ -758,3 +758,53 @@ def test_pipeline_of_odd_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA).cache()
     assert docs.count() > 0
+
+
+def _set_rows(held):
+    """Rows of one block of sets, each a component by itself."""
+    sets = [np.unique(s) for s in held]
+    n = pa.array(np.arange(len(sets)))
+    zero = pa.array(np.zeros(len(sets), np.int64))
+    signs = pa.array([(simhash.minhashes(s) & np.uint64(0xFF)).astype(np.uint8).tobytes() for s in sets], pa.binary())
+    return sets, pa.table({"block": zero, "key": zero, "tile_a": zero, "tile_b": zero, "node": n, "part": n, "signature": signs, "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+
+def _joined(n, pairs):
+    root = np.arange(n)
+    for a, b in pairs:
+        root[root == root[b]] = root[a]
+    return len(set(root.tolist())), root
+
+
+def test_sets_of_a_block_are_compared_exactly():
+    """Random parts of a common pool, boilerplate with words of its own, repeated and empty sets, rare and frequent hashes, all at once."""
+    r = np.random.default_rng(5)
+    pool = r.integers(1, 1 << 63, 100, dtype=np.uint64)
+    own = lambda k: r.integers(1, 1 << 63, k, dtype=np.uint64)
+    held = [r.choice(pool, 88, replace=False) for _ in range(150)]
+    held += [np.concatenate([pool[:k], own(18)]) for k in (82, 90, 70) for _ in range(90)]
+    held += [np.concatenate([own(0), held[0][: 80 + k]]) for k in range(9)] + [np.empty(0, np.uint64)] * 2
+    family = own(60)
+    held += [np.concatenate([family[: 60 - k], own(k)]) for k in range(14)]
+    sets, rows = _set_rows(held)
+    every = np.unique(np.concatenate(sets))
+    has = np.stack([np.isin(every, s) for s in sets]).astype(np.int64)
+    common, size = has @ has.T, has.sum(axis=1)
+    near = common >= 0.8 * (size[:, None] + size - common) - 1e-9
+    signs = np.stack([np.frombuffer(b, np.uint8) for b in rows.column("signature").to_pylist()])
+    agree = np.stack([(signs == s).mean(axis=1) for s in signs]) >= 0.8 - simhash.SLACK
+    want = [(i, j) for i, j in zip(*np.nonzero(near & agree), strict=True) if i < j]
+    found = next(simhash._links_apart(0.8)(rows)).to_pylist()
+    found = [(x["node"], x["other"]) for x in found]
+    assert all(near[a, b] for a, b in found)
+    (n, a), (m, b) = _joined(len(sets), want), _joined(len(sets), found)
+    assert n == m and len({*zip(a.tolist(), b.tolist(), strict=True)}) == n and len(found) == len(sets) - n
+
+
+def test_five_thousand_sets_a_little_below_the_bound_take_bounded_time():
+    r = np.random.default_rng(6)
+    pool = r.integers(1, 1 << 63, 82, dtype=np.uint64)
+    _, rows = _set_rows([np.concatenate([pool, r.integers(1, 1 << 63, 18, dtype=np.uint64)]) for _ in range(5000)])
+    began = time.monotonic()
+    assert next(simhash._links_apart(0.8)(rows)).num_rows == 0
+    assert time.monotonic() - began < 60
