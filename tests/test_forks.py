@@ -1,13 +1,20 @@
 """Fork detection on reads drawn by hand."""
 
+import os
 import random
 import time
+from collections import Counter
+from dataclasses import replace
 
+import duckdb
 import numpy as np
 import pytest
 
 from strandloom.operators.calling import best_partition, find_peaks
 from strandloom.plans import forks as fk
+from strandloom.queries.calling import SMALL, _small
+from strandloom.queries.fork_sql import fork_sql
+from strandloom.sources import tables
 
 S = fk.LETTERS
 
@@ -142,3 +149,23 @@ def test_many_tracts_of_a_read():
     start = time.time()
     left = fk.resolve_overlaps(tracts)
     assert time.time() - start < 3 and all(a.end <= b.start for a, b in zip(left, left[1:]))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables are not here")
+@pytest.mark.parametrize("change", [{"mirror": True}, {"min_jump": 0.15, "tolerance": 0.1, "smoothing": 2}, {"low_plateau": 0.7, "min_distance": 0, "jump_score": 0, "score": 0.1}])
+def test_recursive_sql_follows_the_settings(spark, change):
+    """Kinds and places of all rows agree under settings other than those of the queries."""
+    at = "/root/testdata/sf0.01"
+    settings = replace(SMALL, **change)
+    sig = tables.view(spark, at, "sig")
+    found = fk.detect_forks(_small(sig), "read_id", "idx", "x", "y", settings)
+    got = Counter((r.kind, r.read_id, r.id, *((r.start, r.end, r.dir) if r.kind == "tract" else (r.s1, r.e1, r.s2, r.e2))) for r in found.collect())
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{at}/events.parquet'")
+    ctes = fork_sql(f"select read_id as r, idx, read_id * 100000::double + idx * 100::double as x, least(v100, 10000) / 10000 as y from ({tables.SQL['sig']})", settings)
+    want = Counter()
+    for r, l, inits, terms in con.execute(f"with {ctes} select r, l, inits, terms from ends").fetchall():
+        want.update(("tract", r, i, t["s"], t["e"], t["d"]) for i, t in enumerate(l))
+        for kind, spots in (("init", inits), ("term", terms)):
+            want.update((kind, r, i, t["s1"], t["e1"], t["s2"], t["e2"]) for i, t in enumerate(spots))
+    assert got == want and {k[0] for k in got} == {"tract", "init", "term"}
