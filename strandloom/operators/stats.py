@@ -179,9 +179,12 @@ def p75_scale(df: DataFrame, x: str, length: str, key: str, out: str) -> DataFra
     return df.withColumns({out: F.try_divide(F.col(x) - F.col("__q"), "__q"), f"{out}_length": F.try_divide(length, "__l")}).drop("__q", "__l")
 
 
-def affine_fit_rescale(df: DataFrame, x: str, expected: str, use: Column, key: str, out: str, trim: float = 0.8, limit: float | None = 0.25) -> DataFrame:
+def affine_fit_rescale(
+    df: DataFrame, x: str, expected: str, use: Column, key: str, out: str, trim: float = 0.8, limit: float | None = 0.25, flat: float = 0.0
+) -> DataFrame:
     """(x - a) / b with a and b of the line of x on expected, fitted twice by least squares over the positions in use: the second time
-    without those whose residual is among the largest, beyond the trim percentile. Reads go whose mean squared error there exceeds limit."""
+    without those whose residual is among the largest, beyond the trim percentile. Reads go whose mean squared error there exceeds limit, and
+    those whose slope b is flat or less by amount."""
 
     def fit(df: DataFrame, keep: Column, a: str, b: str) -> DataFrame:
         xs, es = F.when(keep, F.col(x).cast("double")), F.when(keep, F.col(expected).cast("double"))
@@ -191,7 +194,7 @@ def affine_fit_rescale(df: DataFrame, x: str, expected: str, use: Column, key: s
     df = df.withColumn("__r", F.abs(F.col(x) - F.col("__a0") - F.col("__b0") * F.col(expected)))
     df = per_read(df, key, {"__c": F.percentile(F.when(F.col("__u"), F.col("__r")), trim)})
     df = fit(df, F.col("__u") & (F.col("__r") <= F.col("__c")), "__a", "__b")
-    df = df.filter("__b != 0").withColumn(out, (F.col(x) - F.col("__a")) / F.col("__b"))
+    df = df.filter(F.abs("__b") > flat).withColumn(out, (F.col(x) - F.col("__a")) / F.col("__b"))
     if limit is not None:
         gap = F.when(F.col("__u"), (F.col(out) - F.col(expected)) * (F.col(out) - F.col(expected)))
         df = per_read(df, key, {"__e": F.avg(gap)}).filter(F.col("__e") <= limit).drop("__e")
