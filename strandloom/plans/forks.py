@@ -94,7 +94,8 @@ def corner_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
             continue
         dx, dy = x[b] - x[a], y[b] - y[a]
         px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
-        length = np.hypot(dx, dy)
+        # the root of the squares, as in SQL: hypot may differ in the last bit, which decides between points that are equally far away
+        length = np.sqrt(dx * dx + dy * dy)
         away = np.abs(dx * py - dy * px) / length if length else np.hypot(px, py)
         far = int(away.argmax())
         if away[far] > tolerance:
@@ -314,7 +315,8 @@ def detect_inits(tracts: list[Tract], x: np.ndarray, yr: np.ndarray, s: Settings
     out = []
     for a, b in _pairs(tracts, "L", "R", s):
         lo, hi = sorted((_closest(x, a.end), _closest(x, b.start)))
-        if hi == lo or yr[lo:hi].mean() >= s.low_plateau or b.start - a.end <= s.min_distance:
+        # added in order, as in SQL: mean() adds in parts, which may differ in the last bit
+        if hi == lo or np.cumsum(yr[lo:hi])[-1] / (hi - lo) >= s.low_plateau or b.start - a.end <= s.min_distance:
             continue
         out.append(((a.end + b.start) / 2, a.start, a.end, b.start, b.end))
         for tract, way in ((a, "L"), (b, "R")):
