@@ -14,8 +14,8 @@ from strandloom.llm.simhash import near_duplicates, one_of_each
 
 #: A document stays if its language holds at least this share of its words.
 MIN_SHARE = 0.4
-#: Texts are near copies if the sets of their 5-word shingles are similar by 0.8 or more.
-SHINGLE, SIMILARITY = 5, 0.8
+#: Texts are near copies if the sets of their 5-word shingles are similar by 0.8 or more; fingerprints that differ in so many bits or fewer make candidates.
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 3
 
 
 #: Columns that operators use; a stage puts all others aside, whatever their names.
@@ -49,8 +49,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies: that of the smallest doc_id. Null texts are empty; of empty ones one stays."""
-    return one_of_each(docs, near_duplicates(docs, SHINGLE, similarity=SIMILARITY)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of copies and near copies: that of the smallest doc_id. Null texts are empty; of empty ones one stays.
+
+    Links of fingerprints (op5) and of minimum hashes are candidates, which the sets of shingles themselves confirm or not.
+    """
+    return one_of_each(docs, near_duplicates(docs, SHINGLE, RADIUS, SIMILARITY)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

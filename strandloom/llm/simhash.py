@@ -5,8 +5,8 @@ radius share a block; large blocks are cut in tiles, each pair of which is compa
 returns, for each fingerprint, the first one of the block that it reaches, so that a group of n near copies
 makes fewer than n links a block. Links are joined to components over shared storage.
 
-By similarity, different sets of shingles meet in blocks of equal bands of minimum hashes. These and the share of minimum hashes
-that agree only find candidates; the sets themselves decide.
+By similarity, the links of fingerprints are candidates, and different sets of shingles meet in blocks of equal bands of minimum hashes too. All these
+and the share of minimum hashes that agree only find candidates; the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -337,24 +337,34 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return held.select("node", "other", "shingles", "others").mapInArrow(_similar(similarity), "node long, other long")
 
 
-def _similar_roots(docs: DataFrame, classes: DataFrame, n_words: int, similarity: float, tile: int) -> DataFrame:
-    """(node, root) of classes (node, doc_id, text_hash, signature, bands) that are linked to a smaller one.
+def _fingerprint_links(prints: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Links (node, other) of prints (node, fingerprint) that differ in radius bits or fewer: each row's to the first one of a block that it reaches."""
+    masks = [F.lit(m - (1 << 64) if m >> 63 else m) for m in _block_masks(prints.count(), radius)]
+    keys = F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(m) for m in masks]))
+    return block_links(prints.select(keys.alias("block", "key"), "node", "fingerprint"), radius, None, tile)
 
-    First each class is compared with the first one of a block that it seems to reach, which joins most copies; then all
-    pairs of a block that are candidates and still apart, in the tasks that hold the block's sets.
+
+def _similar_roots(docs: DataFrame, classes: DataFrame, prints: DataFrame, n_words: int, radius: int, similarity: float, tile: int) -> DataFrame:
+    """(node, root) of classes (node, doc_id, text_hash, signature, bands) that are linked to a smaller one; prints are their (node, fingerprint).
+
+    First each class is compared with the first one whose fingerprint links with its own, and with the first one of a block that it seems to reach, which
+    joins most copies; then all pairs of a block that are candidates and still apart, in the tasks that hold the block's sets.
     """
+    printed = _fingerprint_links(prints, radius, tile).filter("node != other").distinct()
+    printed = materialize(printed, "fingerprint-links")
     keys = classes.select(F.explode("bands").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     blocks = materialize(keys.join(shared, "key"), "band-blocks")
     signed = blocks.join(classes.select("node", "signature"), "node").select(F.lit(0).alias("block"), "key", "node", "signature")
-    met = blocks.select("node").distinct().join(classes.select("node", "doc_id", "text_hash"), "node")
+    sought = blocks.select("node").union(printed.select("node")).union(printed.select("other"))
+    met = sought.distinct().join(classes.select("node", "doc_id", "text_hash"), "node")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     met = materialize(met, "met-classes")
     kind = rows.schema["doc_id"].dataType.simpleString()
     sets = rows.mapInArrow(_sets(n_words, _bitmap(met)), f"doc_id {kind}, text_hash long, shingles binary")
     sets = null_safe(sets, met, ["doc_id", "text_hash"], "inner").select("node", "shingles").dropDuplicates(["node"])
     sets = materialize(sets, "shingle-sets")
-    roots = connected_components(similar_pairs(block_links(signed, 0, similarity, tile), sets, similarity))
+    roots = connected_components(similar_pairs(printed.union(block_links(signed, 0, similarity, tile)), sets, similarity))
     roots = materialize(roots.select("node", F.col("root").alias("part")), "first-components")
     parts = blocks.join(roots, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part"))
     mixed = parts.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a != b").select("key")
@@ -374,8 +384,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row (doc_id, text_hash, fingerprint, root, component_id) for each row of docs: root names the component, component_id is its smallest doc_id.
 
-    Without similarity, fingerprints link if they differ in radius bits or fewer, exactly. With it, radius counts for nothing and documents
-    link if the sets of their shingles are similar (Jaccard) by that much, exactly; pairs that minimum hashes don't find, about
+    Without similarity, fingerprints link if they differ in radius bits or fewer, exactly. With it, these links are candidates only, next to those of minimum hashes, and documents
+    link if the sets of their shingles are similar (Jaccard) by that much, exactly; pairs that neither finds, at most about
     1 in 10,000 at 0.8 and fewer above, are missed. Null texts are empty; documents without words have fingerprint zero, are equal to
     each other, and link like others. Rows that repeat a text share a component; null doc_ids count for none, so that a
     component of them alone has id null. Other columns of docs are not used.
@@ -388,15 +398,12 @@ def near_duplicates(
         carried = [F.any_value(c).alias(c) for c in ("signature", "bands")]
         classes = marked.groupBy("node").agg(first, *carried).select("node", "k.doc_id", "k.text_hash", "signature", "bands")
         classes = materialize(classes.withColumn("first_id", F.col("doc_id")), "set-classes")
-        roots = _similar_roots(docs, classes, n_words, similarity, tile)
+        prints = materialize(marked.select("node", "fingerprint").distinct(), "set-fingerprints")
+        roots = _similar_roots(docs, classes, prints, n_words, radius, similarity, tile)
     else:
         classes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("fingerprint").alias("fingerprint"))
         classes = materialize(classes, "fingerprint-classes")
-        masks = _block_masks(classes.count(), radius)
-        masks = [F.lit(m - (1 << 64) if m >> 63 else m) for m in masks]
-        keys = F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(m) for m in masks]))
-        blocks = classes.select(keys.alias("block", "key"), "node", "fingerprint")
-        roots = connected_components(block_links(blocks, radius, None, tile))
+        roots = connected_components(_fingerprint_links(classes.select("node", "fingerprint"), radius, tile))
     placed = classes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = placed.select("node", "root").join(smallest, "root")

@@ -196,6 +196,23 @@ def test_links_by_similarity_are_exact(spark, tile):
     assert {r.doc_id: r.component_id for r in out} == want
 
 
+def test_links_of_fingerprints_are_candidates(spark, monkeypatch):
+    # one band of all hashes: minimum hashes find hardly any of these copies
+    monkeypatch.setattr(simhash, "BANDS", 1)
+    monkeypatch.setattr(simhash, "BAND_ROWS", simhash.N_HASHES)
+    texts, near = {}, set()
+    for g in range(30):
+        words = [f"g{g}w{i}" for i in range(3000)]
+        texts[10 * g] = " ".join(words)
+        words[500:2500:500] = [f"x{g}y{i}" for i in range(4)]
+        texts[10 * g + 1] = " ".join(words)
+        a, b = (simhash.simhash(simhash.shingle_hashes(texts[10 * g + k].encode(), 5)) for k in (0, 1))
+        near |= {g} if (a ^ b).bit_count() <= corpus_pipeline.RADIUS else set()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.near_copy_stage(spark, df, DATA).collect()}
+    assert len(near) > 15 and not left & {10 * g + 1 for g in near} and {10 * g for g in range(30)} <= left
+
+
 def test_one_row_of_each_component_stays(odd):
     near = simhash.near_duplicates(odd)
     out = simhash.one_of_each(odd, near)
