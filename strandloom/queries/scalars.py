@@ -213,14 +213,15 @@ def _(seqs):
 @query("B31_motif_positions", "seqs", sql="""q as (select read_id, unnest(list_transform(range(1, len(string_split(seq, 'TA'))), lambda i: list_sum(list_transform(list_slice(string_split(seq, 'TA'), 1, i), lambda x: length(x) + 2)) - 2)) as pos from seqs)
     select read_id, pos::int as pos from q""")
 def _(seqs):
-    return seqs.select("read_id", F.explode(c.motif_positions("seq", "TA")).alias("pos"))
+    # outer: else Spark makes all positions once more to see whether there is one
+    return seqs.select("read_id", F.explode_outer(c.motif_positions("seq", "TA")).alias("pos")).filter("pos is not null")
 
 
 @query("B32_kmer_index", "seqs", sql=f"{KMER5} select distinct kmer, list_sum(list_transform(range(1, 6), lambda i: (strpos('ATCG', substr(kmer, i::int, 1)) - 1) * 4 ** (5 - i)))::bigint as idx from k where not contains(kmer, 'N')")
 def _(seqs):
     from strandloom.operators.kmers import kmers
 
-    return kmers(seqs, "seq", 5).filter(~F.contains("kmer", F.lit("N"))).select("kmer", c.kmer_index("kmer").alias("idx")).distinct()
+    return kmers(seqs, "seq", 5).select("kmer").distinct().filter(~F.contains("kmer", F.lit("N"))).select("kmer", c.kmer_index("kmer").alias("idx"))
 
 
 @query("B33_encode_channels", "sig", sql="select read_id, idx, [v100::double, (call = 'A')::int, (call = 'T')::int, (call = 'C')::int, 0.0] as plain, [v100 / 3, (call = 'A')::int, (call in ('T', 'B'))::int, (call = 'C')::int, 0.0] as collapsed from sig")
