@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -124,14 +125,10 @@ def motif_mask(kmer, kind: str, base: str, k: int) -> Column:
 
 def motif_positions(seq, motif: str) -> Column:
     """Starts, from 0, of the matches of a fixed motif that do not overlap earlier ones."""
-    pieces = F.split(col(seq), motif)
-    grown = F.aggregate(
-        F.slice(pieces, 1, F.size(pieces) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, p: F.struct((a.at + F.length(p) + len(motif)).alias("at"), F.array_append(a.out, a.at + F.length(p)).alias("out")),
-        lambda a: a.out,
-    )
-    return grown
+    # an element for each match and each letter outside: a match moves those behind it by its length less one
+    parts = F.regexp_extract_all(col(seq), F.lit(f"(?s)({re.escape(motif)})|."), 1)
+    places = F.filter(F.transform(parts, lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
+    return F.transform(places, lambda i, n: i + n * (len(motif) - 1))
 
 
 def indicator(call) -> Column:
