@@ -64,18 +64,27 @@ def _binned(df: DataFrame, bin_width: int) -> DataFrame:
     return df.withColumn("__bin", F.explode(F.expr(f"sequence(s div {bin_width}, e div {bin_width})")))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, bin_width: int = BIN) -> DataFrame:
+def fitted_width(a: DataFrame, b: DataFrame, least: int = 64) -> int:
+    """Width of bins for overlap_join(): the larger mean width of both sides, so that a row is in two bins in the mean and meets few that it does not overlap."""
+    mean = F.avg(F.col("e") - F.col("s") + 1)
+    found = a.agg(mean.alias("a")).crossJoin(b.agg(mean.alias("b"))).first()
+    return max(least, *(math.ceil(x or 0) for x in found))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, bin_width: int | None = BIN) -> DataFrame:
     """All pairs of a row of a and one of b on the same chromosome with a common base; b's chrom, s and e become chrom_b, s_b, e_b.
 
-    Both are dealt to bins of positions; a pair is kept in the first bin that both reach, so it comes once.
+    Both are dealt to bins of positions; a pair is kept in the first bin that both reach, so it comes once. Without bin_width it is fitted
+    to the rows' widths, for which both sides are read once more.
     """
+    bin_width = bin_width or fitted_width(a, b)
     right = _binned(b, bin_width).withColumnsRenamed({"s": "s_b", "e": "e_b"})
     pairs = _binned(a, bin_width).join(right, ["chrom", "__bin"])
     first = F.expr(f"greatest(s, s_b) div {bin_width}")
     return pairs.filter((F.col("s") <= F.col("e_b")) & (F.col("s_b") <= F.col("e")) & (F.col("__bin") == first)).drop("__bin")
 
 
-def overlaps_any(a: DataFrame, b: DataFrame, key: str, negate: bool = False, bin_width: int = BIN) -> DataFrame:
+def overlaps_any(a: DataFrame, b: DataFrame, key: str, negate: bool = False, bin_width: int | None = BIN) -> DataFrame:
     """Rows of a with (negate: without) a common base with any of b. key is unique in a."""
     slim = b.select("chrom", "s", "e").distinct()
     hit = overlap_join(a.select(key, "chrom", "s", "e"), slim, bin_width).select(key).distinct()

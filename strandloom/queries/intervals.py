@@ -126,18 +126,18 @@ def _ranges(pts):
 
 @query("D9_overlap_join", "pts", "feat", sql=f"select id, chrom, pos, fid, s, e from {PTS_FEAT}")
 def _(pts, feat):
-    pairs = iv_ops.overlap_join(_ranges(pts).drop("rep"), feat.select("fid", "chrom", "s", "e"))
+    pairs = iv_ops.overlap_join(_ranges(pts).drop("rep"), feat.select("fid", "chrom", "s", "e"), bin_width=None)
     return pairs.selectExpr("id", "chrom", "s pos", "fid", "s_b s", "e_b e")
 
 
 @query("D10_overlaps_any", "feat", "pts", sql="select chrom, s, e, status, fid from feat f where exists (select 1 from pts p where p.chrom = f.chrom and p.pos between f.s and f.e)")
 def _(feat, pts):
-    return iv_ops.overlaps_any(feat, _ranges(pts), "fid")
+    return iv_ops.overlaps_any(feat, _ranges(pts), "fid", bin_width=None)
 
 
 @query("D10_overlaps_none", "feat", "pts", sql="select chrom, s, e, status, fid from feat f where not exists (select 1 from pts p where p.chrom = f.chrom and p.pos between f.s and f.e)")
 def _(feat, pts):
-    return iv_ops.overlaps_any(feat, _ranges(pts), "fid", negate=True)
+    return iv_ops.overlaps_any(feat, _ranges(pts), "fid", negate=True, bin_width=None)
 
 
 @query("D11_nearest", "pts", "feat", sql="select id, p.chrom, min(greatest(0, f.s - pos - 1, pos - f.e - 1))::bigint as distance from pts p left join feat f on p.chrom = f.chrom group by all")

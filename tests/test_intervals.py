@@ -128,3 +128,11 @@ def test_profiles_of_small_values_next_to_large_ones(spark, large):
     out = {r["offset"]: r["total"] for r in iv.meta_profile(features, track, 20, "by").collect()}
     assert set(out) == {*range(-20, -10), *range(-5, 6)}
     assert all(abs(out[o] / large - 1) < 1e-12 for o in range(-20, -10)) and all(abs(out[o] / large * 1e16 - 1) < 1e-8 for o in range(-5, 6))
+
+
+def test_bins_follow_the_widths(spark):
+    a = spark.createDataFrame([(i, "c", 37 * i % 5000, 37 * i % 5000) for i in range(300)], "id int, chrom string, s long, e long")
+    b = spark.createDataFrame([(i, "c", 91 * i % 5000, 91 * i % 5000 + i % 300) for i in range(300)], "fid int, chrom string, s long, e long")
+    assert iv.fitted_width(a, b) == 151 and iv.fitted_width(a, b.limit(0)) == 64
+    want = sorted((r.id, q.fid) for r in a.collect() for q in b.collect() if q.s <= r.s <= q.e)
+    assert sorted(map(tuple, iv.overlap_join(a, b, None).select("id", "fid").collect())) == want
