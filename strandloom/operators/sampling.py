@@ -142,8 +142,7 @@ def shuffle_intervals(features: DataFrame, gaps: DataFrame, chrom_sizes: DataFra
 def null_quantiles(features: DataFrame, gaps: DataFrame, chrom_sizes: DataFrame, hits: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
     """Median, 1 and 99 percent quantiles of the share of shuffled features that overlap hits, over reps shuffles; features without a place count in none."""
     many = features.withColumn("rep", F.explode(F.expr(f"sequence(1, {reps})")))
-    drawn = shuffle_intervals(many, gaps, chrom_sizes, key, seed, salt="rep").filter("s is not null").withColumn("__k", F.concat_ws(":", key, "rep"))
-    hit = iv.overlaps_any(drawn, hits, "__k").select("__k", F.lit(1).alias("hit"))
-    share = drawn.join(hit, "__k", "left").groupBy("rep").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
+    drawn = shuffle_intervals(many, gaps, chrom_sizes, key, seed, salt="rep").filter("s is not null").select("rep", "chrom", "s", "e")
+    share = iv.with_hit(drawn, hits).groupBy("rep").agg(F.avg(F.col("hit").cast("int")).alias("share"))
     q = F.percentile("share", F.array(F.lit(0.5), F.lit(0.01), F.lit(0.99))).alias("q")
     return share.agg(q).select(F.col("q")[0].alias("median"), F.col("q")[1].alias("q01"), F.col("q")[2].alias("q99"))
