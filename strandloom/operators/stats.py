@@ -218,6 +218,7 @@ def enrichment_over_shuffles(
     """
     from .sampling import shuffle_intervals
 
+    hits = stored(hits.select("chrom", "s", "e").distinct(), "hits")  # both sides ask for them, and a scan may be costly
     middle = F.expr("(s + e) div 2").alias("mid")
     shares = motif_enrichment(features.select(key, "chrom", by, middle), hits, key, by, half)
     many = features.select(key, "chrom", "s", "e").withColumn("rep", F.explode(F.expr(f"sequence(1, {reps})")))
