@@ -22,7 +22,7 @@ def weighted_ranks(df: DataFrame, by: list[str], columns: dict[str, str], weight
     ranks = stored(ranks.select(*by, "__c", "__v", (2 * F.col("__to") - F.col("__w") + 1).alias("__r")), "ranks")
     for out, c in columns.items():
         of = ranks.filter(F.col("__c") == out).select(*by, F.col("__v").alias(c), F.col("__r").alias(out))
-        df = df.join(of, [*by, c])
+        df = df.join(of.hint("merge"), [*by, c])  # files of ranks are much smaller than their rows, so Spark would broadcast millions
     return df
 
 

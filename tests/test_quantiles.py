@@ -64,3 +64,19 @@ def test_tests_of_two_samples_with_a_hot_group(spark):
         assert u[k] == sum((x > y) + (x == y) / 2 for x in a for y in b)
         gap = max(abs(sum(x <= v for x in a) / len(a) - sum(y <= v for y in b) / len(b)) for v in {*a, *b})
         assert abs(d[k] - gap) < 1e-12
+
+
+def test_ranks_are_not_broadcast(spark):
+    """The size of their files says little about that of their rows."""
+    r = random.Random(5)
+    rows = [(r.choice("ab"), r.randrange(9), r.randrange(40)) for _ in range(300)]
+    df = spark.createDataFrame([(k, x, y, 1) for k, x, y in set(rows)], "k string, x long, y long, w long")
+    ranked = stats.weighted_ranks(df, ["k"], {"a": "x", "b": "y"}, "w")
+    assert "BroadcastHashJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
+    found = ranked.collect()
+    assert len(found) == len(set(rows))
+    for row in found:
+        for rank, v in ((row.a, 1), (row.b, 2)):
+            own = [x[v] for x in set(rows) if x[0] == row.k]
+            at = row.x if v == 1 else row.y
+            assert rank == 2 * sum(x < at for x in own) + own.count(at) + 1
