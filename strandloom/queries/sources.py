@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.sources import bed, reads
-from strandloom.sources.storage import new_path
+from strandloom.sources.storage import new_path, stored
 
 from .registry import query
 
@@ -18,7 +18,9 @@ def _text(df, label):
 
 
 def _calls(seqs, rds):
-    return rds.join(seqs, "read_id").selectExpr("concat('r', read_id) read", "chrom", "strand", "start_ start", "end_ end", "seq", "transform(split(seq, ''), (x, i) -> case when i % 5 = 0 then null else i % 100 / 100D end) ratio")
+    # both files are written from here; dealt anew, as reads may lie in few of the sequences' files. Ratios are never null, so no filter works them out once more
+    met = stored(rds.join(seqs, "read_id").repartition("read_id"), "met")
+    return met.selectExpr("concat('r', read_id) read", "chrom", "strand", "start_ start", "end_ end", "seq", "coalesce(transform(sequence(0, length(seq) - 1), i -> case when i % 5 != 0 then i % 100 / 100D end), array()) ratio")
 
 
 @query(
